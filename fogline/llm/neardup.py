@@ -198,6 +198,29 @@ def _links(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFr
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of documents; see the module's text."""
+    found = _grouped(documents)
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.expr("doc_id <=> (case when n = 0 then doc_id else component_id end)").alias("kept"))
+
+
+def drop_near_duplicates(documents: DataFrame) -> DataFrame:
+    """The rows of documents without all but one of each component: that with the smallest doc_id (null last, then by a
+    hash of the text; of equal rows one stays). Rows without words are all kept."""
+    found = _grouped(documents).where("n > 0")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(-1)).alias("id"), "th")
+    winner = found.groupBy("component").agg(F.min(key).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.th").alias("__th"))
+    winner = stored(winner, "winners")
+    keyed = documents.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__th": F.xxhash64("text")})
+    stay = keyed.join(winner, ["__id", "__th"], "left_semi")
+    again = found.groupBy(F.coalesce("doc_id", F.lit(-1)), "th").agg(F.count("*").alias("many")).where("many > 1")
+    if again.take(1):
+        stay = stay.dropDuplicates(["__id", "__th"])
+    wordless = documents.where("text is null").unionAll(documents.where(~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    return stay.select(*documents.columns).unionAll(wordless)
+
+
+def _grouped(documents: DataFrame) -> DataFrame:
+    """doc_id, th, n, component (a class id) and component_id for every row."""
     spark = documents.sparkSession
     small_batches(spark)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -228,10 +251,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     if more.take(1):
         parts = stored(connected_components(links.union(more)), "parts")
 
-    named = classes.select("cid", "least_id").join(parts.withColumnRenamed("node", "cid"), "cid")
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of = classes.select("cid", "least_id").join(named.select("cid", "component").join(least, "component").select("cid", "component_id"), "cid", "left")
-    of = of.select("cid", F.coalesce("component_id", "least_id").alias("component_id"))
-    found = rows.select("doc_id", "n", "cid").join(of, "cid", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.expr("doc_id <=> (case when n = 0 then doc_id else component_id end)").alias("kept"))
+    whole = classes.select("cid", "least_id").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least_id", F.coalesce("component", "cid").alias("component"))
+    least = whole.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    of = stored(whole.join(least, "component").select("cid", "component", "component_id"), "components")
+    return rows.select("doc_id", "th", "n", "cid").join(of, "cid", "left").select("doc_id", "th", "n", "component", "component_id")
