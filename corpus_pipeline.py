@@ -1,7 +1,61 @@
-"""From raw documents to packed sequences."""
-STAGES = []
+"""From raw documents to packed sequences, in five stages.
+
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame; all but the
+last return the columns of documents. run() writes each stage's rows to the shared folder and reads them again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fogline.llm.mixing import mix_sources
+from fogline.llm.neardup import drop_near_duplicates
+from fogline.llm.packing import pack
+from fogline.llm.quality import fit_quality, judge_quality
+from fogline.llm.secrets import find_secrets, redact
+from fogline.session import stored, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the quality rules accept."""
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return judge_quality(docs, model).where("kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return drop_near_duplicates(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets by a mark; n_chars follows the text."""
+    redacted = redact(find_secrets(docs))
+    if "n_chars" in docs.columns:
+        changed = F.when(F.size("all_spans") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        redacted = redacted.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
+    return redacted.select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents so that sources reach their target weights, in global random order."""
+    return mix_sources(docs).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts documents into pieces and packs them into sequences of 1024 tokens."""
+    return pack(docs)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
+
+#: SQL cannot express the classifier, the registers or the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of the documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs
