@@ -6,13 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mixing
+from . import mixing, topk, urls
+from .html import extract_main_text
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .packing import pack
 from .quality import fit_quality, judge_quality
 from .secrets import find_secrets, span_text
 from .substrings import remove_repeats
+from .topk import integer_vectors, top_k
+from .toxicity import fit_grammar, score_toxicity
+from .urls import judge_urls
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("id % 50 = 0"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,14 +49,28 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grammar = fit_grammar(documents, table(spark, sf_dir, "labels"))
+    return score_toxicity(documents, grammar).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "source", "copy", "n_copies", "shuffle_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_secret_scans, op5_packing, op6_substring_dedup, op8_source_mixing, op10_near_duplicates)}
-SQL: dict[str, str] = {"op8_source_mixing": mixing.SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_html_extraction, op2_exact_topk, op3_quality_rules, op4_secret_scans, op5_packing, op6_substring_dedup, op7_toxicity, op8_source_mixing, op9_url_filters, op10_near_duplicates)
+}
+#: The others rest on a classifier, a tokenizer, hashes of word runs or real-valued tests; brute force tests them.
+SQL: dict[str, str] = {"op2_exact_topk": topk.SQL, "op8_source_mixing": mixing.SQL, "op9_url_filters": urls.sql()}
