@@ -1,6 +1,6 @@
 """All queries of the engine."""
 
 from .registry import QUERIES, SQL
-from . import belief_queries  # noqa: F401
+from . import belief_queries, counting_queries, relational_queries, temporal_queries  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]
