@@ -8,10 +8,11 @@ the two known set sizes give a likelihood of the similarity; pairs whose thresho
 estimate are dropped, and all others are verified on their full shingle sets.
 
 Equal sets are one class, and only classes are compared. In a band's bucket every class is first compared with one
-leader; the links found give components. Only buckets of three or more classes that still hold different components
-are then compared class by class across components, so that a bucket filled by one group of near copies costs one
-comparison a member, and no link is lost to the leader's choice. With 40 bands of 5 registers a pair at similarity
-0.75 shares no bucket with probability 2e-5, at 0.8 with 1e-7.
+leader; the links found give components. Only buckets of three or more classes that still hold different components go
+on: their classes are compared on full sets across components, a block of classes with another at a time, inside the
+task; a task returns no more links than join its components. So a bucket filled by one group of near copies costs one
+comparison a member and those of its outliers, pairs are never rows, and no link is lost to the leader's choice.
+With 40 bands of 5 registers a pair at similarity 0.75 shares no bucket with probability 2e-5, at 0.8 with 1e-7.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; fewer words than the shingle
 length are one shingle; repeated rows are members of the same class; a null doc_id takes part in links, is never the
@@ -42,6 +43,8 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 DOUBT = 14.0
 #: Members compared with one copy of a leader's text.
 GROUP = 32
+#: Classes of an unsettled bucket that are held at a time; larger buckets are compared block by block.
+BLOCK = 1024
 
 _SEED = mix(np.arange(1, M + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _FACTOR = mix(_SEED) | U(1)
@@ -180,6 +183,68 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["src", "dst"])
 
 
+def _texts(documents: DataFrame, classes: DataFrame, cids: DataFrame) -> DataFrame:
+    """(cid, text): one text of each wanted class."""
+    wanted = cids.join(classes.select("cid", "id", "th"), "cid")
+    keyed = documents.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("text").alias("th"), "text")
+    return keyed.join(wanted, ["id", "th"]).select("cid", "text").dropDuplicates(["cid"])
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links that join parts within one bucket (or two of its blocks); rows come bucket by bucket."""
+    key, held = None, []
+
+    def links() -> pa.RecordBatch:
+        cid, part, side = (np.array([h[i] for h in held]) for i in range(3))
+        sets = [h[3] for h in held]
+        size = np.array([len(x) for x in sets])
+        values, at = np.unique(np.concatenate(sets), return_inverse=True)
+        begin = np.concatenate(([0], np.cumsum(size)))
+        group, inverse = np.unique(part, return_inverse=True)
+        parent = np.arange(len(group))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        mark, out_a, out_b = np.zeros(len(values), np.int64), [], []
+        two = len(set(side.tolist())) > 1
+        # rows of the largest part are met by all others
+        largest = np.bincount(inverse).argmax()
+        for i in np.flatnonzero(inverse != largest):
+            other = inverse != inverse[i]
+            if two:
+                other &= side != side[i]
+            if not other.any():
+                continue
+            mine = at[begin[i] : begin[i + 1]]
+            mark[mine] = 1
+            both = np.add.reduceat(mark[at], begin[:-1])
+            mark[mine] = 0
+            for j in np.flatnonzero(other & (100 * both >= PERCENT * (size + size[i] - both))):
+                a, b = root(inverse[i]), root(inverse[j])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out_a.append(cid[i])
+                    out_b.append(cid[j])
+        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["src", "dst"])
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        side, cid, part = (batch.column(i).to_pylist() for i in (3, 4, 5))
+        for chunk in chunks(batch.column(6)):
+            sets, begin = shingle_sets(chunk)
+            for i, row in enumerate(chunk.rows):
+                if keys[row] != key:
+                    if held:
+                        yield links()
+                    key, held = keys[row], []
+                held.append((cid[row], part[row], side[row], sets[begin[i] : begin[i + 1]].copy()))
+    if held:
+        yield links()
+
+
 def _links(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The (cid, leader) pairs whose full sets are similar, as (src, dst)."""
     regs = classes.select("cid", "regs", "n")
@@ -187,9 +252,7 @@ def _links(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFr
     likely = stored(sized.select("cid", "leader", "regs", "n", "regs2", "n2").mapInArrow(_likely, "cid long, leader long"), "pairs")
     crowd = likely.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
     dealt = likely.join(crowd, "leader").select("leader", F.expr("pmod(xxhash64(cid), parts)").alias("part"), "cid")
-    wanted = likely.select("cid").union(likely.select("leader")).distinct().join(classes.select("cid", "id", "th"), "cid")
-    keyed = documents.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("text").alias("th"), "text")
-    texts = stored(keyed.join(wanted, ["id", "th"]).select("cid", "text").dropDuplicates(["cid"]), "texts")
+    texts = stored(_texts(documents, classes, likely.select("cid").union(likely.select("leader")).distinct()), "texts")
     members = dealt.join(texts, "cid").select("leader", "part", F.lit(1).alias("is_member"), "cid", "text")
     leaders = dealt.select("leader", "part").distinct().join(texts.withColumnRenamed("cid", "leader"), "leader").select("leader", "part", F.lit(0).alias("is_member"), F.col("leader").alias("cid"), "text")
     merged = members.unionAll(leaders).repartition("leader", "part").sortWithinPartitions("leader", "part", "is_member")
@@ -232,25 +295,27 @@ def _grouped(documents: DataFrame) -> DataFrame:
     banded = classes.select("regs", "cid", "n").mapInArrow(_banded, "bucket long, cid long, n long")
     lead = banded.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("lead"), F.count("*").alias("many")).where("many > 1")
     met = banded.join(lead, "bucket").where(f"cid <> lead.cid and 100 * least(n, lead.n) >= {PERCENT} * greatest(n, lead.n)")
+    # the leader is the least of its bucket, so every pair is named in the same order
     tested = stored(met.select("cid", F.col("lead.cid").alias("leader")).distinct(), "candidates")
     release(spark)
     links = _links(documents, classes, tested)
     release(spark)
 
     parts = stored(connected_components(links), "parts")
-    labelled = stored(classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("regs", "cid", "n", F.coalesce("component", "cid").alias("part")), "labelled")
-    again = labelled.mapInArrow(_banded, "bucket long, cid long, n long, part long")
-    split = again.groupBy("bucket").agg(F.count("*").alias("many"), F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("cid").alias("lead")).where("many > 2 and lo <> hi").select("bucket", "lead")
-    left = stored(again.join(split, "bucket").where("cid <> lead").select("bucket", "cid", "n", "part"), "unsettled")
+    labelled = stored(classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("regs", "cid", F.coalesce("component", "cid").alias("part")), "labelled")
+    banded = labelled.mapInArrow(_banded, "bucket long, cid long, part long")
+    split = banded.groupBy("bucket").agg(F.count("*").alias("many"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("many > 2 and lo <> hi").select("bucket", F.ceil(F.col("many") / BLOCK).alias("blocks"))
+    left = stored(banded.join(split, "bucket").select("bucket", "cid", "part", "blocks", F.expr("pmod(xxhash64(cid), blocks)").alias("side")), "unsettled")
     release(spark)
-    a, b = left.alias("a"), left.alias("b")
-    crossing = a.join(b, F.col("a.bucket") == F.col("b.bucket")).where(f"a.cid < b.cid and a.part <> b.part and 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)")
-    rest = crossing.select(F.col("b.cid").alias("cid"), F.col("a.cid").alias("leader")).distinct().join(tested, ["cid", "leader"], "left_anti")
-    more = _links(documents, classes, stored(rest, "candidates"))
+    texts = stored(_texts(documents, classes, left.select("cid").distinct()), "texts")
+    release(spark)
+    paired = left.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(texts, "cid")
+    paired = paired.select("bucket", F.least("side", "with").alias("x"), F.greatest("side", "with").alias("y"), "side", "cid", "part", "text")
+    dealt = paired.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    more = stored(dealt.mapInArrow(_settled, "src long, dst long"), "links")
     release(spark)
     if more.take(1):
         parts = stored(connected_components(links.union(more)), "parts")
-
     whole = classes.select("cid", "least_id").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least_id", F.coalesce("component", "cid").alias("component"))
     least = whole.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of = stored(whole.join(least, "component").select("cid", "component", "component_id"), "components")
