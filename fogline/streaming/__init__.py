@@ -1 +1 @@
-
+"""The stateful online semantics on Structured Streaming."""
