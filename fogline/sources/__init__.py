@@ -1 +1 @@
-
+"""Storage: schemas, match tables, catalog, sinks."""
