@@ -131,11 +131,12 @@ def features(column: pa.Array) -> np.ndarray:
 
 
 def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 150, pull: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression by accelerated gradient steps; columns are scaled by their root mean square."""
-    scale = 1 / (np.sqrt((x**2).mean(0)) + 1e-4)
-    x = x * scale.astype(np.float32)
+    """Weighted logistic regression by accelerated gradient steps; columns are scaled by their root mean square. x is
+    scaled in place and scaled back at the end."""
+    scale = (1 / (np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + 1e-4)).astype(np.float32)
+    x *= scale
     weight = weight / weight.sum()
-    rate = 4 / max(float((weight * (x.astype(np.float32) ** 2).sum(1)).sum()), 1e-9)
+    rate = 4 / max(float(weight @ np.einsum("ij,ij->i", x, x)), 1e-9)
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     ahead, ahead_b = w, b
     for t in range(steps):
@@ -145,6 +146,7 @@ def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 150,
         momentum = t / (t + 3)
         ahead, ahead_b = new + momentum * (new - w), new_b + momentum * (new_b - b)
         w, b = new, new_b
+    x /= scale
     return (w * scale).astype(np.float64), b
 
 
@@ -184,23 +186,55 @@ def fit_quality(documents: DataFrame, labels: DataFrame, train_rows: int = 1500)
 
     # at most 2 * train_rows rows are broadcast
     joined = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
-    rows = joined.mapInArrow(vectors, "doc_id long, quality int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
-    y = rows["quality"].to_numpy().astype(np.float64)
+    x, ids, y = _matrix(joined.mapInArrow(vectors, "doc_id long, quality int, x binary"))
     if len(set(y)) < 2:
         return None
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(len(y), -1).astype(np.float32)
-    held = mix(rows["doc_id"].to_numpy().astype(np.int64).view(U)) % U(4) == U(0)
+    held = mix(ids.view(U)) % U(4) == U(0)
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), bool)
-    weight = np.where(y == 1, 0.5 / max((y[~held] == 1).sum(), 1), 0.5 / max((y[~held] == 0).sum(), 1))
-    weights, bias = _descend(x[~held], y[~held], weight[~held])
-    use = held if held.any() else np.ones(len(y), bool)
-    margin = x[use] @ weights.astype(np.float32) + bias
-    prior = np.where(y[use] == 1, shares[1], shares[0]) / np.where(y[use] == 1, (y[use] == 1).sum(), (y[use] == 0).sum())
-    slope, shift = _platt(margin.astype(np.float64), y[use], prior * use.sum() / prior.sum())
+    # the rows for the weights first, so that both parts are views
+    order = np.argsort(held, kind="stable")
+    _reorder(x, order)
+    y, n = y[order], int((~held).sum())
+    fit_y = y[:n]
+    weights, bias = _descend(x[:n], fit_y, np.where(fit_y == 1, 0.5 / max((fit_y == 1).sum(), 1), 0.5 / max((fit_y == 0).sum(), 1)))
+    part = slice(n, None) if n < len(y) else slice(None)
+    margin, y = x[part] @ weights.astype(np.float32) + bias, y[part]
+    prior = np.where(y == 1, shares[1], shares[0]) / np.where(y == 1, (y == 1).sum(), (y == 0).sum())
+    slope, shift = _platt(margin.astype(np.float64), y, prior * len(y) / prior.sum())
     return QualityModel(weights, bias, slope, shift)
 
 
+def _matrix(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, doc_ids and labels, in order of doc_id; the only large thing that stays is the matrix itself."""
+    table = rows.toArrow()
+    ids, y = table["doc_id"].to_numpy().astype(np.int64), table["quality"].to_numpy().astype(np.float64)
+    x = np.empty((len(y), 2 * BLOCK), np.float32)
+    at = 0
+    for chunk in table["x"].chunks:
+        part = np.frombuffer(chunk.buffers()[2], np.float16)[: 2 * BLOCK * (chunk.offset + len(chunk))] if len(chunk) else np.zeros(0, np.float16)
+        x[at : at + len(chunk)] = part.reshape(-1, 2 * BLOCK)[chunk.offset :]
+        at += len(chunk)
+    del table
+    pa.default_memory_pool().release_unused()
+    order = np.lexsort((y, ids))
+    _reorder(x, order)
+    return x, ids[order], y[order]
+
+
+def _reorder(x: np.ndarray, order: np.ndarray) -> None:
+    """x[:] = x[order] with room for one row: every cycle of the permutation is turned in place."""
+    done = np.zeros(len(order), bool)
+    for i in range(len(order)):
+        if done[i] or order[i] == i:
+            continue
+        first, at = x[i].copy(), i
+        while not done[at]:
+            done[at] = True
+            x[at] = first if order[at] == i else x[order[at]]
+            at = order[at]
+
+
 def quality_columns(text: Column, model: QualityModel | None, least_quality: float = LEAST_QUALITY) -> Column:
     """A struct of the counts, the probability of good quality and the decision, for each text."""
 
