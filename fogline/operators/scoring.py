@@ -68,25 +68,21 @@ def bootstrap(samples: DataFrame, model: str, cluster: str, value: str, draws: i
 
     def resampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        draw = np.arange(draws, dtype=np.uint64)
+        draw = np.arange(draws, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        k = np.arange(1, 18)
+        below = np.cumsum(np.exp(-1.0) / np.concatenate(([1.0], np.cumprod(k.astype(float)))))
         for batch in batches:
-            names, hashes = batch.column(0).to_pylist(), batch.column(1).to_numpy().view(np.uint64)
-            s, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            for i, name in enumerate(names):
-                x = (draw * np.uint64(0x9E3779B97F4A7C15)) ^ hashes[i]
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                u = (x >> np.uint64(11)).astype(np.float64) / 2**53
-                copies = np.zeros(draws)
-                p = c = np.exp(-1.0)
-                for k in range(1, 18):
-                    copies += u >= c
-                    p = p / k
-                    c = c + p
-                if name not in total:
-                    total[name] = np.zeros((2, draws))
-                total[name][0] += copies * s[i]
-                total[name][1] += copies * n[i]
+            names = np.array(batch.column(0).to_pylist(), object)
+            hashes, sums = batch.column(1).to_numpy().view(np.uint64), np.stack([batch.column(i).to_numpy() for i in (2, 3)])
+            for name in set(names.tolist()):
+                own = np.flatnonzero(names == name)
+                for i in range(0, len(own), 512):
+                    rows = own[i : i + 512]
+                    x = draw[None, :] ^ hashes[rows, None]
+                    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    copies = np.searchsorted(below, (x >> np.uint64(11)).astype(np.float64) / 2**53, "right")
+                    total[name] = total.get(name, 0.0) + sums[:, rows] @ copies
         for name, t in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * draws, pa.string()), pa.array(np.arange(draws, dtype=np.int32)), pa.array(t[0]), pa.array(t[1])], names=["model", "draw", "s", "n"])
 
