@@ -45,6 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Tables written by stored() in this process, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame, label: str = "step") -> DataFrame:
     """Write df to the shared folder and read it back.
 
@@ -54,6 +58,7 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/fogline-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,3 +68,12 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Deletes the tables that stored() has written for this application; their DataFrames can no longer be read."""
+    jvm, gone = spark.sparkContext._jvm, 0
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+    return gone

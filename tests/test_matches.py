@@ -1,5 +1,6 @@
 """From synthetic matches through storage to maps, models, beliefs and scores."""
 
+import numpy as np
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +179,13 @@ def test_from_states_to_scores(spark, states, world):
     assert samples.where("abs(aggregate(probs, 0D, (a, x) -> a + x) - 1) > 1e-6").count() == 0
     distances = graph.shortest_paths(grid.edges)
     assert distances.where("src = dst and distance <> 0").count() == 0
+
+
+def test_stored_tables_can_be_cleared(spark):
+    from fogline.session import clear_stored, stored
+
+    clear_stored(spark)
+    df = stored(spark.range(3), "x")
+    assert df.count() == 3 and clear_stored(spark) == 1 and clear_stored(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(df.inputFiles()[0]).count()
