@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -47,8 +48,10 @@ PATTERNS = ("plain", "targeted", "negated", "reported", "threat")
 DEFAULTS = np.array([1.0, 1.3, 0.3, 0.3, 1.0])
 SCOPE = 3
 TRAIN_ROWS = 20_000
-#: A lexeme occurs in so many toxic groups at least, in this share of them, and is e**RATIO times as frequent there.
+#: A lexeme occurs in so many toxic groups at least (or in fewer, so often in each), in this share of them, and is
+#: e**RATIO times as frequent there.
 LEAST, SHARE, RATIO = 4, 0.01, 3.0
+FEW, RECURS = 2, 2.0
 PREFIXES = (4, 5, 6, 7, 8)
 
 _CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -154,12 +157,13 @@ def fit_grammar(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN
     rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
 
     def lexemes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of toxic rows (lexeme, half, group); of clean rows (lexeme, half, null, rows), counted first."""
+        """Of toxic rows (lexeme, half, group, 0, times in the text); of clean rows (lexeme, half, null, rows, 0), counted first."""
         clean: dict[tuple[str, int], int] = {}
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["lexeme", "half", "group", "rows"])
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lexeme", "half", "group", "rows", "times"])
 
         for batch in batches:
             emitted: list[tuple] = []
@@ -167,30 +171,37 @@ def fit_grammar(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN
                 sequence = [w for w in _WORD.findall(text.lower()) if w not in QUOTES]
                 if not sequence:
                     continue
-                words = set(sequence)
+                words = Counter(sequence)
                 group = min(_hash(" ".join(sequence[k : k + 3])) for k in range(max(len(sequence) - 2, 1)))
                 half = group % 2
-                found = words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) >= n} | {""}
+                found = Counter(words)
+                for w, k in words.items():
+                    for n in PREFIXES:
+                        if len(w) >= n:
+                            found[w[:n] + "*"] += k
+                found[""] = 1
                 if toxic:
-                    emitted += [(w, half, group, 0) for w in found]
+                    emitted += [(w, half, group, 0, k) for w, k in found.items()]
                 else:
                     for w in found:
                         clean[w, half] = clean.get((w, half), 0) + 1
             yield batch_of(emitted)
             if len(clean) > 500_000:
-                yield batch_of([(w, h, None, n) for (w, h), n in clean.items()])
+                yield batch_of([(w, h, None, n, 0) for (w, h), n in clean.items()])
                 clean.clear()
-        yield batch_of([(w, h, None, n) for (w, h), n in clean.items()])
+        yield batch_of([(w, h, None, n, 0) for (w, h), n in clean.items()])
 
-    by_half = rows.select("text", "toxic").mapInArrow(lexemes, "lexeme string, half int, group long, rows long").groupBy("lexeme", "half").agg(F.countDistinct("group").alias("a"), F.sum("rows").alias("b"))
-    counts = by_half.groupBy("lexeme").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.min("a").alias("least"), F.count("*").alias("halves")).where(f"a >= {LEAST} and least > 0 and halves = 2 or lexeme = ''")
+    by_half = rows.select("text", "toxic").mapInArrow(lexemes, "lexeme string, half int, group long, rows long, times long").groupBy("lexeme", "half").agg(F.countDistinct("group").alias("a"), F.sum("rows").alias("b"), F.count("group").alias("texts"), F.sum("times").alias("times"))
+    counts = by_half.groupBy("lexeme").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.min("a").alias("least"), F.count("*").alias("halves"), F.try_divide(F.sum("times"), F.sum("texts")).alias("each"))
+    # an insult that recurs in its texts needs fewer of them
+    counts = counts.where(f"(a >= {LEAST} or a >= {FEW} and each >= {RECURS}) and least > 0 and halves = 2 or lexeme = ''")
     total = counts.where("lexeme = ''").first()
     grammar = ToxicGrammar()
     if total is not None and total["a"] >= LEAST and total["b"]:
         t, n = total["a"], total["b"]
         ratio = F.log((F.col("a") + 0.5) / (t + 1)) - F.log((F.col("b") + 0.5) / (n + 1))
         # a lexeme is in SHARE of the toxic texts or more, so there are at most 1 / SHARE times the lexemes of a text
-        found = counts.where("lexeme <> ''").where(F.col("a") >= max(LEAST, math.ceil(SHARE * t))).withColumn("ratio", ratio).where(F.col("ratio") >= RATIO).collect()
+        found = counts.where("lexeme <> ''").where(F.col("a") >= math.ceil(SHARE * t)).withColumn("ratio", ratio).where(F.col("ratio") >= RATIO).collect()
         beginnings = {r["lexeme"][:-1]: r for r in found if r["lexeme"].endswith("*")}
         # a beginning stands for its words unless a shorter one already does
         kept = {p: r["ratio"] for p, r in beginnings.items() if not any(p[:i] in beginnings for i in range(1, len(p)))}
