@@ -17,9 +17,9 @@ def transitions(moves: DataFrame, keys: Sequence[str], place: str, next_place: s
 
 
 def row_share(df: DataFrame, keys: Sequence[str], value: str, name: str = "p") -> DataFrame:
-    """value over its sum by keys."""
+    """value over its sum by keys; null where the sum is 0."""
     w = Window.partitionBy(*keys)
-    return df.withColumn(name, F.col(value) / F.sum(value).over(w))
+    return df.withColumn(name, F.try_divide(F.col(value), F.sum(value).over(w)))
 
 
 def random_walk(edges: DataFrame, stays: DataFrame, place: str, next_place: str) -> DataFrame:

@@ -87,7 +87,7 @@ def bootstrap(samples: DataFrame, model: str, cluster: str, value: str, draws: i
             yield pa.RecordBatch.from_arrays([pa.array([name] * draws, pa.string()), pa.array(np.arange(draws, dtype=np.int32)), pa.array(t[0]), pa.array(t[1])], names=["model", "draw", "s", "n"])
 
     keyed = sums.select(F.col(model).cast("string").alias("model"), F.xxhash64(F.lit(seed), F.col(cluster).cast("string")).alias("h"), F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n"))
-    drawn = keyed.mapInArrow(resampled, "model string, draw int, s double, n double").groupBy("model", "draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    drawn = keyed.mapInArrow(resampled, "model string, draw int, s double, n double").groupBy("model", "draw").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"))  # a draw may miss all clusters
     means = samples.groupBy(F.col(model).cast("string").alias("model")).agg(F.avg(value).alias("mean"))
     for a, b in pairs:
         x, y = drawn.where(F.col("model") == a), drawn.where(F.col("model") == b)

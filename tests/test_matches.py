@@ -189,3 +189,26 @@ def test_stored_tables_can_be_cleared(spark):
     assert df.count() == 3 and clear_stored(spark) == 1 and clear_stored(spark) == 0
     with pytest.raises(Exception):
         spark.read.parquet(df.inputFiles()[0]).count()
+
+
+def test_fit_evaluate_calibrate(spark, tmp_path):
+    """The three calls over a store, and the calibrated configuration after them."""
+    from fogline.plans import evaluation
+
+    tables = generator.matches(spark, 1, rounds=4, seconds=20, seed=3)
+    s = store.MatchStore(spark, str(tmp_path))
+    for name in schemas.TABLES:
+        s.write(name, tables[name])
+    s.write_meta(tables["meta"])
+    evaluation.fit(s, "m")
+    models, names, xy = evaluation.load(s, "m")
+    assert models.library is not None and models.teams and models.calibration is None and len(xy) == models.n and "TSpawn" in names
+    samples = evaluation.evaluate(s, "m", ["last_seen", "hmm", "hmm_noneg", "pf"]).persist()
+    table = {(r.model, r.horizon): r for r in evaluation.report(samples).collect()}
+    assert table["hmm", None].log_loss < table["last_seen", None].log_loss
+    assert samples.groupBy("model").count().select("count").distinct().count() == 1
+    losses = evaluation.calibrate(s, "m", samples, "hmm", kinds=("power",))
+    assert set(losses) == {"none", "power"}
+    evaluation.fit(s, "m", only=["buys"])
+    assert s.load_part("m", "buys").where("abs(aggregate(p, 0D, (a, x) -> a + x) - 1) > 1e-9").count() == 0
+    assert evaluation.evaluate(s, "m", ["ens"]).where("p_true is null or p_true < 0").count() == 0
