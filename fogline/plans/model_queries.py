@@ -197,3 +197,17 @@ def buy_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     buy = ((F.col("o_totalprice") >= 100_000).cast("int") + (F.col("o_totalprice") >= 200_000).cast("int")).alias("buy")
     p = maps.buy_priors(o.select(name.alias("situation"), buy))
     return p.select("situation", *(F.round(F.col("p")[i], 6).alias(a) for i, a in enumerate(("eco", "force", "full_buy"))))
+
+
+@query()
+def formula_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of the conditional logit's weights, clusters being fifty groups of vectors, and its held-out loss."""
+    from ..operators.scoring import folds
+
+    x = _choices(spark, sf_dir).select((F.col("vec_id") % 50).alias("grp"), "truth", F.flatten(F.transform("p", lambda p, i: F.array(F.log(p + 0.01), i.cast("double") / 10))).alias("x"))
+    like = fitting.choice_likelihood()
+    theta = fitting.maximise(x.drop("grp"), like, (1.0, 0.0), pull=0.01)
+    ends = fitting.bootstrap_weights(x, "grp", like, theta, pull=0.01)
+    loss, _ = fitting.held_out_loss(folds(x, "grp", 4).drop("grp"), "fold", 4, like, (1.0, 0.0))
+    rows = [(i, round(float(t), 4), round(float(lo), 4), round(float(hi), 4), round(float(loss), 4)) for i, (t, (lo, hi)) in enumerate(zip(theta, ends, strict=True))]
+    return spark.createDataFrame(rows, "i int, weight double, lo double, hi double, held_out_loss double")

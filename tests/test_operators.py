@@ -220,6 +220,10 @@ def test_parameters_are_recovered(spark):
     chosen = [int(rng.choice(4, p=q / q.sum())) for q in u]
     d = spark.createDataFrame([(v.ravel().tolist(), t) for v, t in zip(x, chosen, strict=True)], "x array<double>, truth int")
     assert fitting.maximise(d, fitting.choice_likelihood(), (0.0, 0.0)) == pytest.approx([1.5, -0.7], abs=0.15)
+    ends = fitting.bootstrap_weights(d.withColumn("c", F.monotonically_increasing_id()), "c", fitting.choice_likelihood(), (1.5, -0.7))
+    assert all(lo < t < hi and 0.05 < hi - lo < 0.3 for (lo, hi), t in zip(ends, (1.5, -0.7), strict=True))
+    loss, weights = fitting.held_out_loss(d.withColumn("fold", F.pmod(F.xxhash64("truth", "x"), F.lit(3))), "fold", 3, fitting.choice_likelihood(), (0.0, 0.0), pull=0.0)
+    assert 0.3 < loss < 1.3 and weights == pytest.approx([1.5, -0.7], abs=0.2)
     bounded = fitting.maximise(d, fitting.choice_likelihood(), (0.0, 0.0), bounds=(-0.3, 1.0))
     assert bounded == pytest.approx([1.0, -0.3], abs=1e-6)
 

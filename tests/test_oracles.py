@@ -45,7 +45,8 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_queries_without_sql(spark):
     q = catalogue.QUERIES
-    assert set(q) - set(catalogue.SQL) == {"bootstrap_ci", "grouped_folds", "belief_recursion", "particle_filter", "team_correction", "platt_fit", "formula_fit", "stack_fit", "spot_fit", "stream_late_data"}
+    assert set(q) - set(catalogue.SQL) == {"bootstrap_ci", "grouped_folds", "belief_recursion", "particle_filter", "team_correction", "platt_fit", "formula_fit", "stack_fit", "spot_fit", "stream_late_data", "formula_bootstrap"}
+    assert all(r.lo <= r.weight <= r.hi and r.held_out_loss > 0 for r in q["formula_bootstrap"](spark, SF).collect())
     for r in q["bootstrap_ci"](spark, SF).collect():
         assert r.lo <= r.mean <= r.hi
     f = q["grouped_folds"](spark, SF).collect()
