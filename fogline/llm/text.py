@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Texts are handled in chunks of about so many bytes; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 #: Rows in an Arrow batch. Spark's default of 10,000 long texts would not fit a small worker.
 BATCH_ROWS = 512
 
