@@ -260,3 +260,32 @@ def fire_rings(positions: DataFrame, fires: DataFrame, width: float = 20.0, ring
     ring = F.floor(F.hypot(F.col("X") - F.col("fx"), F.col("Y") - F.col("fy")) / width).cast("int")
     near = met.withColumn("ring", ring).where((F.col("ring") < rings) & (F.abs(F.col("Z") - F.col("fz")) < height))
     return near.groupBy("ring").agg(F.count(F.when(F.col("during"), 1)).alias("during"), F.count(F.when(~F.col("during"), 1)).alias("after")).withColumn("occupancy", F.col("during") / F.greatest("after", F.lit(1)))
+
+
+def fire_profile(rings: DataFrame, count: int = 14, width: float = 20.0, floor: float = 0.01) -> dict[str, np.ndarray]:
+    """Edges and occupancy factors by ring: between floor and 1, and 1 from the first ring that is nearly as full as usual."""
+    found = {r["ring"]: r["occupancy"] for r in rings.collect()}  # 14 rings at most
+    occupancy = np.clip([found.get(i, 1.0) for i in range(count)], floor, 1.0)
+    full = np.flatnonzero(occupancy >= 0.95)
+    if len(full):
+        occupancy[full[0] :] = 1.0
+    return {"edges": width * np.arange(count + 1), "occupancy": occupancy}
+
+
+def fire_choices(states: DataFrame, fires: DataFrame, cells: DataFrame, walk: DataFrame, count: int = 14, width: float = 20.0, height: float = 100.0, spread: float = 0.5) -> DataFrame:
+    """Moves near a burning fire as choices: truth, and x: for each of up to twelve next cells of the walk a one-hot of its
+    ring, and base: its probability; cells beyond the rings and missing choices have no ring.
+
+    Fires of a round and a player's next cells are few, so a move meets a handful of rows."""
+    moves = temporal.moves(states, ["demo_id", "round_num", "steamid"], ["tick"], "tick", "node", exact=STEP)
+    burning = fires.select("demo_id", "round_num", F.col("X").alias("fx"), F.col("Y").alias("fy"), F.col("Z").alias("fz"), (F.col("start_tick") + spread * TICKS).alias("s"), F.col("end_tick").alias("e"))
+    met = temporal.interval_join(moves.select("demo_id", "round_num", "steamid", "tick", "node", "next_node", "X", "Y", "Z"), burning, ["demo_id", "round_num"], "tick", "s", "e", 7 * TICKS)
+    near = met.where((F.hypot(F.col("X") - F.col("fx"), F.col("Y") - F.col("fy")) < count * width + 128) & (F.abs(F.col("Z") - F.col("fz")) < height))
+    at = cells.select(F.col("node").alias("to"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    options = near.join(walk.select("node", F.col("next_node").alias("to"), "p"), "node").join(at, "to")
+    ring = F.least(F.floor(F.hypot(F.col("cx") - F.col("fx"), F.col("cy") - F.col("fy")) / width), F.lit(count)).cast("int")
+    rows = options.groupBy("demo_id", "round_num", "steamid", "tick", "fx", "fy").agg(F.max("next_node").alias("next_node"), F.slice(F.array_sort(F.collect_list(F.struct("to", ring.alias("ring"), "p"))), 1, 12).alias("o"))
+    truth = F.array_position(F.transform("o", lambda c: c["to"]), F.col("next_node")) - 1
+    padded = F.concat("o", F.array_repeat(F.struct(F.lit(-1).cast("long").alias("to"), F.lit(count).alias("ring"), F.lit(0.0).alias("p")), F.lit(12) - F.size("o")))
+    x = F.flatten(F.transform(padded, lambda c: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: (c["ring"] == i).cast("double"))))
+    return rows.select(truth.cast("int").alias("truth"), F.transform(padded, lambda c: c["p"]).alias("base"), x.alias("x")).where("truth >= 0")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import weapon_class
 from ..operators import belief as b
-from ..operators import fitting, history, maps, scoring, sight
+from ..operators import fitting, history, maps, scoring, sight, temporal
 from ..session import stored
 from ..sources.store import MatchStore
 
@@ -50,7 +50,14 @@ def fit(store: MatchStore, name: str, demos: DataFrame | None = None, only: Sequ
         rows = [(k, i, float(v)) for k, t in enumerate(tables) for i, v in enumerate(t)]
         store.save_model(name, {"spot": store.spark.createDataFrame(rows, "tab int, bin int, value double")})
     if "fires" in todo:
-        store.save_model(name, {"fires": maps.fire_rings(maps.in_play(ticks.where("is_alive"), rounds), store.read("infernos", demos=demos))})
+        infernos = store.read("infernos", demos=demos)
+        profile = maps.fire_profile(maps.fire_rings(maps.in_play(ticks.where("is_alive"), rounds), infernos))
+        choices = maps.fire_choices(states, infernos, grid.cells, store.load_part(name, "walk"))
+        step = np.ones(len(profile["occupancy"]))
+        if choices.take(1):
+            step = np.exp(fitting.maximise(choices, fitting.stack_likelihood(), np.zeros(len(step)), pull=1e-3, bounds=(float(np.log(0.01)), 0.0)))
+        rows = [(i, float(profile["edges"][i]), float(o), float(m)) for i, (o, m) in enumerate(zip(profile["occupancy"], step, strict=True))]
+        store.save_model(name, {"fires": store.spark.createDataFrame(rows, "ring int, lo double, occupancy double, step double")})
     if "buys" in todo:
         store.save_model(name, {"buys": maps.buy_priors(_situations(store, demos))})
 
@@ -103,6 +110,13 @@ def load(store: MatchStore, name: str, most_states: int = 5_000_000) -> tuple[b.
     degree = np.bincount(edges.src, minlength=n)
     smooth = b.Chain(edges.src.to_numpy(), edges.dst.to_numpy(), 1.0 / degree[edges.src], n)
     models = b.Models(chains, chain(walk), spawn, occupancy, region, smooth)
+    models.rings = b.rings_of(edges.src.to_numpy(), edges.dst.to_numpy(), n)
+    models.xyz = np.array([(r["x"], r["y"], r["z"]) for r in cells], float)
+    burnt = store.load_part(name, "fires")
+    if burnt is not None:
+        rows = sorted(burnt.collect(), key=lambda r: r["ring"])
+        width = rows[1]["lo"] - rows[0]["lo"]
+        models.fires = {"edges": np.array([r["lo"] for r in rows] + [rows[-1]["lo"] + width]), "occupancy": np.array([r["occupancy"] for r in rows]), "step": np.array([r["step"] for r in rows])}
     lib = store.load_part(name, "library")
     if lib is not None:
         rows = lib.limit(most_states + 1).toPandas()
@@ -134,13 +148,33 @@ def episode_steps(store: MatchStore, name: str, states: DataFrame) -> DataFrame:
     of = lambda f: F.transform("who", lambda w: F.coalesce(F.element_at("m", w)[f], F.lit(-1)))
     friendly = F.when(F.col("side") == "t", "ct").otherwise("t")
     step = F.row_number().over(Window.partitionBy(*side).orderBy("tick")) - 1
-    out = steps.select("demo_id", "round_num", friendly.alias("friendly"), F.when(F.col("side") == "t", 0).otherwise(1).alias("side"), "tick", step.alias("step"), "t", "phase", of("seen").alias("seen"), F.transform("who", lambda w: F.coalesce(F.map_contains_key("m", w), F.lit(False))).alias("alive"), of("true").alias("true"))
+    out = steps.select("demo_id", "round_num", friendly.alias("friendly"), F.when(F.col("side") == "t", 0).otherwise(1).alias("side"), "tick", step.alias("step"), "t", "phase", of("seen").alias("seen"), F.transform("who", lambda w: F.coalesce(F.map_contains_key("m", w), F.lit(False))).alias("alive"), of("true").alias("true"), "who")
+    out = _with_fires(store, out)
     spot, lines = store.load_part(name, "spot"), store.load_part(name, "lines")
     if spot is None or lines is None:
-        return out
+        return out.drop("who")
     tables = [np.array([r["value"] for r in sorted(spot.where(F.col("tab") == k).collect(), key=lambda r: r["bin"])]) for k in range(3)]
     watch = sight.looks(states.withColumn("friendly", F.col("side")), grid.cells, lines, tables, [*KEYS, "tick"])
-    return out.join(watch, [*KEYS, "tick"], "left")
+    out = _with_kills(store, out, grid, lines, tables)
+    return out.join(watch, [*KEYS, "tick"], "left").drop("who")
+
+
+def _with_fires(store: MatchStore, steps: DataFrame) -> DataFrame:
+    """steps with fires: those burning for half a second or more."""
+    spans = store.read("infernos").select("demo_id", "round_num", F.col("X").alias("x"), F.col("Y").alias("y"), F.col("Z").alias("z"), (F.col("start_tick") + 32).alias("s"), F.col("end_tick").alias("e"))
+    clock = steps.select("demo_id", "round_num", "tick").distinct()
+    burning = temporal.interval_join(clock, spans, ["demo_id", "round_num"], "tick", "s", "e", 7 * 64).groupBy("demo_id", "round_num", "tick").agg(F.collect_list(F.struct("x", "y", "z")).alias("fires"))
+    return steps.join(burning, ["demo_id", "round_num", "tick"], "left")
+
+
+def _with_kills(store: MatchStore, steps: DataFrame, grid: maps.Grid, lines: DataFrame, tables: Sequence[np.ndarray]) -> DataFrame:
+    """steps with kills: what the kill feed says of where an enemy shot from, at the first step at or after the kill."""
+    k = store.read("kills").where("attacker_steamid is not null and attacker_side <> victim_side and victim_X is not null")
+    k = k.select("demo_id", "round_num", F.col("victim_side").alias("friendly"), temporal.snap_up(F.col("tick"), maps.STEP).alias("tick"), "attacker_steamid", F.col("victim_X").alias("X"), F.col("victim_Y").alias("Y"), F.col("victim_Z").alias("Z"), (F.coalesce("thrusmoke", F.lit(False)) | (F.coalesce("penetrated", F.lit(0)) > 0)).alias("obstructed"))
+    keys = [*KEYS, "tick", "attacker_steamid"]
+    like = sight.shooter_likelihood(maps.on_grid(k, grid).dropDuplicates(keys), grid.cells, lines, tables, keys)
+    shot = steps.select(*KEYS, "tick", "who").join(like, [*KEYS, "tick"]).withColumn("e", (F.array_position("who", F.col("attacker_steamid")) - 1).cast("int")).where("e >= 0")
+    return steps.join(shot.groupBy(*KEYS, "tick").agg(F.collect_list(F.struct("e", "like")).alias("kills")), [*KEYS, "tick"], "left")
 
 
 def evaluate(store: MatchStore, name: str, configs: Sequence[str], demos: DataFrame | None = None) -> DataFrame:

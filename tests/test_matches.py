@@ -202,11 +202,16 @@ def test_fit_evaluate_calibrate(spark, tmp_path):
     s.write_meta(tables["meta"])
     evaluation.fit(s, "m")
     models, names, xy = evaluation.load(s, "m")
+    assert models.fires is not None and (models.fires["occupancy"] <= 1).all() and (models.fires["step"] <= 1).all() and len(models.rings) == models.n
     assert models.library is not None and models.teams and models.calibration is None and len(xy) == models.n and "TSpawn" in names
     samples = evaluation.evaluate(s, "m", ["last_seen", "hmm", "hmm_noneg", "pf"]).persist()
     table = {(r.model, r.horizon): r for r in evaluation.report(samples).collect()}
     assert table["hmm", None].log_loss < table["last_seen", None].log_loss
     assert samples.groupBy("model").count().select("count").distinct().count() == 1
+    steps = evaluation.episode_steps(s, "m", evaluation.states_of(s, evaluation.load_grid(s, "m"))).persist()
+    assert steps.where("size(fires) > 0").count() > 0 and steps.where("size(kills) > 0").count() > 0
+    bad = steps.where("size(kills) > 0").select(F.explode("kills").alias("k")).where(f"size(k.like) <> {models.n} or array_max(k.like) > 1 or array_min(k.like) < 0.05 - 1e-9 or k.e >= 5")
+    assert bad.count() == 0 and steps.where("size(looked) <> size(missed)").count() == 0
     losses = evaluation.calibrate(s, "m", samples, "hmm", kinds=("power",))
     assert set(losses) == {"none", "power"}
     evaluation.fit(s, "m", only=["buys"])
