@@ -43,8 +43,8 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 DOUBT = 14.0
 #: Members compared with one copy of a leader's text.
 GROUP = 32
-#: Classes of an unsettled bucket that are held at a time; larger buckets are compared block by block.
-BLOCK = 1024
+#: Classes of an unsettled bucket, and their shingles, that make a block; larger buckets are compared block by block.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 
 _SEED = mix(np.arange(1, M + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _FACTOR = mix(_SEED) | U(1)
@@ -302,9 +302,9 @@ def _grouped(documents: DataFrame) -> DataFrame:
     release(spark)
 
     parts = stored(connected_components(links), "parts")
-    labelled = stored(classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("regs", "cid", F.coalesce("component", "cid").alias("part")), "labelled")
-    banded = labelled.mapInArrow(_banded, "bucket long, cid long, part long")
-    split = banded.groupBy("bucket").agg(F.count("*").alias("many"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("many > 2 and lo <> hi").select("bucket", F.ceil(F.col("many") / BLOCK).alias("blocks"))
+    labelled = stored(classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("regs", "cid", F.coalesce("component", "cid").alias("part"), "n"), "labelled")
+    banded = labelled.mapInArrow(_banded, "bucket long, cid long, part long, n long")
+    split = banded.groupBy("bucket").agg(F.count("*").alias("many"), F.min("part").alias("lo"), F.max("part").alias("hi"), F.sum("n").alias("size")).where("many > 2 and lo <> hi").select("bucket", F.ceil(F.greatest(F.col("many") / BLOCK, F.col("size") / BLOCK_SHINGLES)).alias("blocks"))
     left = stored(banded.join(split, "bucket").select("bucket", "cid", "part", "blocks", F.expr("pmod(xxhash64(cid), blocks)").alias("side")), "unsettled")
     release(spark)
     texts = stored(_texts(documents, classes, left.select("cid").distinct()), "texts")
