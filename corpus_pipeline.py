@@ -6,6 +6,8 @@ last return the columns of documents. run() writes each stage's rows to the shar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +19,20 @@ from fogline.llm.secrets import find_secrets, redact
 from fogline.session import stored, table
 
 
+USED = ("doc_id", "text", "source", "n_chars")
+
+
+def _beside(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """stage(docs) with the columns of docs; those that no stage uses are out of the way of the operators' own names."""
+    aside = {c: f"__own{i}" for i, c in enumerate(docs.columns) if c.lower() not in USED}
+    out = stage(docs.withColumnsRenamed(aside))
+    return out.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the quality rules accept."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return judge_quality(docs, model).where("kept").select(*docs.columns)
+    return _beside(docs, lambda d: judge_quality(d, model).where("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,16 +42,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark; n_chars follows the text."""
-    redacted = redact(find_secrets(docs))
-    if "n_chars" in docs.columns:
+
+    def stage(d: DataFrame) -> DataFrame:
+        redacted = redact(find_secrets(d))
+        if "n_chars" not in d.columns:
+            return redacted
         changed = F.when(F.size("all_spans") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        redacted = redacted.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
-    return redacted.select(*docs.columns)
+        return redacted.withColumn("n_chars", changed.cast(d.schema["n_chars"].dataType))
+
+    return _beside(docs, stage)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources reach their target weights, in global random order."""
-    return mix_sources(docs).select(*docs.columns)
+    return _beside(docs, mix_sources)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
