@@ -347,3 +347,15 @@ def test_the_pipeline_keeps_its_promises(spark, small):
     ids = tokenizer()
     assert after.agg(F.sum("length")).first()[0] == sum(len(ids.encode(r.text, add_special_tokens=False).ids) + 1 for r in before.collect())
     assert corpus_pipeline.run(spark, small).count() == after.count()
+
+
+def test_stages_leave_other_columns_alone(spark, small):
+    extra = {"kept": F.lit("mine"), "N_WORDS": F.lit(5), "copy": F.lit("c"), "all_spans": F.lit(1), "shuffle_key": F.lit("k"), "quality": F.lit("q")}
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumns(extra)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns, name
+        assert {tuple(r) for r in out.select("kept", "N_WORDS", "copy", "all_spans", "shuffle_key", "quality").distinct().collect()} == {("mine", 5, "c", 1, "k", "q")}
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, small).count() == 0, name
