@@ -43,7 +43,9 @@ def shrunk(counts: DataFrame, parent: DataFrame, keys: Sequence[str], place: str
 
 def smoothed_share(counts: DataFrame, cells: DataFrame, keys: Sequence[str], cell: str, add: float) -> DataFrame:
     """(n + add) over its sum, for all keys and all cells."""
-    dense = counts.select(*keys).distinct().join(F.broadcast(cells.select(cell).distinct()) if not keys else cells.select(cell).distinct(), how="cross") if keys else cells.select(cell).distinct()
+    dense = cells.select(cell).distinct()
+    if keys:
+        dense = counts.select(*keys).distinct().crossJoin(dense)  # as many rows as the result
     both = dense.join(counts, [*keys, cell], "left").fillna(0, ["n"]).withColumn("mass", F.col("n") + add)
     return row_share(both, keys, "mass").select(*keys, cell, "n", "p")
 

@@ -90,7 +90,7 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], time
     s = spans.withColumn("__b", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
     p = points.withColumn("__b", bucket(F.col(time)))
     inside = (F.col(time) >= F.col(start)) & ((F.col(time) <= F.col(end)) if closed else (F.col(time) < F.col(end)))
-    on = [p[k].eqNullSafe(s[k]) for k in ()] + [p[k] == s[k] for k in keys] + [p["__b"] == s["__b"], inside]
+    on = [*(p[k] == s[k] for k in keys), p["__b"] == s["__b"], inside]
     joined = p.join(s, on, how)
     if how != "inner":
         return joined.drop("__b")
