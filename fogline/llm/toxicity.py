@@ -52,6 +52,8 @@ TRAIN_ROWS = 20_000
 #: e**RATIO times as frequent there.
 LEAST, SHARE, RATIO = 4, 0.01, 3.0
 FEW, RECURS = 2, 2.0
+#: Counts of clean rows that a task holds before it passes them on.
+HELD = 150_000
 PREFIXES = (4, 5, 6, 7, 8)
 
 _CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -186,7 +188,7 @@ def fit_grammar(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN
                     for w in found:
                         clean[w, half] = clean.get((w, half), 0) + 1
             yield batch_of(emitted)
-            if len(clean) > 500_000:
+            if len(clean) > HELD:
                 yield batch_of([(w, h, None, n, 0) for (w, h), n in clean.items()])
                 clean.clear()
         yield batch_of([(w, h, None, n, 0) for (w, h), n in clean.items()])
