@@ -14,8 +14,8 @@ So the table of anchors is a fraction (2 in 29) of the words, single windows are
 and what a passage in very many documents costs grows with its occurrences, not with their pairs. Groups are
 aggregated with partial sums and joined back; no anchor's occurrences meet in one task.
 
-Words are compared by hashes of 64 bits for anchors together with 64 bits for blocks and 32 bits for windows (an
-accidental match needs both). A window that repeats inside one document is removed at both places. Windows are judged
+Words are compared by hashes of 64 bits for anchors together with 64 bits for blocks or for windows (an accidental
+match needs both; among N different windows under one anchor about N * N / 2**65 pairs, 4e-5 at 4e7 windows). A window that repeats inside one document is removed at both places. Windows are judged
 on the input. Defined cases: null, empty and short texts lose nothing; repeated rows are each other's copies; doc_id
 may be null or repeated. Columns other than doc_id and text are not used.
 """
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import release, stored
+from ..session import discard, release, stored
 from .text import Chunk, U, chunks, grams, runs, small_batches
 
 WINDOW = 35
@@ -37,7 +37,7 @@ ANCHOR = 8
 
 
 def blocks(chunk: Chunk, window: int = WINDOW, anchor: int = ANCHOR) -> dict[str, np.ndarray]:
-    """The blocks of a chunk's texts: row, start (word of the text), windows, kg, b; and w, the 32-bit hashes of all
+    """The blocks of a chunk's texts: row, start (word of the text), windows, kg, b; and w, the 64-bit hashes of all
     windows in order."""
     words, first = chunk.word_hashes(), chunk.first
     at, hashes = grams(words, first, window)
@@ -67,7 +67,7 @@ def blocks(chunk: Chunk, window: int = WINDOW, anchor: int = ANCHOR) -> dict[str
         "windows": many,
         "kg": kgrams[place[begin]].view(np.int64),
         "b": runs(words, start, start + many + window - 1, 1).view(np.int64),
-        "w": (hashes >> U(32)).astype(np.uint32).view(np.int32),
+        "w": hashes.view(np.int64),
     }
 
 
@@ -87,7 +87,7 @@ def _places(window: int, anchor: int):
             for chunk in chunks(batch.column(2)):
                 found = blocks(chunk, window, anchor)
                 rows = pa.array(found["row"])
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(found["windows"])).astype(np.int32)), pa.array(found["w"].astype(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(found["windows"])).astype(np.int32)), pa.array(found["w"].astype(np.int64, copy=False)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(found["start"].astype(np.int32)), pa.array(found["windows"].astype(np.int32)), pa.array(found["kg"]), pa.array(found["b"]), lists], names=["id", "th", "s", "m", "kg", "b", "win"])
 
     return places
@@ -104,11 +104,13 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, anchor: int = A
     release(spark)
     of_anchor = counted.groupBy("kg").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.min("n").alias("least")).where("total > 1")
     index = stored(counted.join(of_anchor, "kg").select("kg", "b", "n", "rep", F.expr("kinds > 1 and least = 1").alias("ends")).where("n > 1 or ends"), "index")
+    discard(counted)
     release(spark)
 
-    placed = docs.select("id", F.xxhash64("text").alias("th"), "text").mapInArrow(_places(window, anchor), "id long, th long, s int, m int, kg long, b long, win array<int>")
+    placed = docs.select("id", F.xxhash64("text").alias("th"), "text").mapInArrow(_places(window, anchor), "id long, th long, s int, m int, kg long, b long, win array<long>")
     met = placed.join(index, ["kg", "b"])
     hits = stored(met.select("id", "th", "s", "m", "kg", F.expr("n > 1").alias("whole"), F.expr("case when ends and (n = 1 or id = rep) then win end").alias("win")), "hits")
+    discard(index)
     release(spark)
     single = hits.where("win is not null").select("id", "th", "s", "kg", "whole", F.posexplode("win").alias("i", "w"))
     known = single.groupBy("kg", "w").agg(F.sum(F.when(F.col("whole"), 2).otherwise(1)).alias("n")).where("n > 1").select("kg", "w")

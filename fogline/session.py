@@ -70,6 +70,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that stored() has written, once all that is read from it is stored itself."""
+    spark = df.sparkSession
+    written, files = _WRITTEN.get(spark.sparkContext.applicationId, []), df.inputFiles()
+    for path in [p for p in written if files and f"/{p.rsplit('/', 1)[1]}/" in files[0]]:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        written.remove(path)
+
+
 def clear_stored(spark: SparkSession) -> int:
     """Deletes the tables that stored() has written for this application; their DataFrames can no longer be read."""
     jvm, gone = spark.sparkContext._jvm, 0

@@ -204,6 +204,31 @@ def test_repeats_match_brute_force(spark, documents, rows, window):
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.h) for r in found.collect()) == brute_repeats(rows, window)
 
 
+def test_windows_under_a_hot_anchor_are_told_apart_by_64_bits(spark):
+    """Among many different windows round one 8-word run, two whose hashes share their upper 32 bits are not equal."""
+    r = np.random.default_rng(5)
+    phrases = [" ".join(f"p{i}" for i in range(k, k + 8)) for k in range(0, 80_000, 8)]
+    hashed = [next(text.chunks(pa.array(phrases[i : i + 5000]))) for i in range(0, len(phrases), 5000)]
+    hot = phrases[int(np.concatenate([text.grams(c.word_hashes(), c.first, 8)[1] for c in hashed]).argmin())]
+    texts = [" ".join(f"u{x}" for x in a) + f" {hot} " + " ".join(f"u{x}" for x in b) for a, b in r.integers(0, 1 << 40, (12_000, 2, 27))]
+    owner, upper, full, anchors = [], [], [], []
+    for chunk in text.chunks(pa.array(texts)):
+        at, h = text.grams(chunk.word_hashes(), chunk.first, 35)
+        owner.append(chunk.rows[np.searchsorted(chunk.first, at, "right") - 1])
+        upper.append(h >> np.uint64(32))
+        full.append(h)
+        anchors.append(substrings.blocks(chunk)["kg"])
+    owner, upper, full = (np.concatenate(x) for x in (owner, upper, full))
+    assert np.unique(np.concatenate(anchors), return_counts=True)[1].max() > 11_000
+    assert len(np.unique(full)) == len(full)
+    order = np.argsort(upper, kind="stable")
+    twins = np.flatnonzero(upper[order][1:] == upper[order][:-1])
+    assert len(twins)
+    near = sorted({int(owner[order[i + k]]) for i in twins for k in (0, 1)})
+    found = substrings.remove_repeats(spark.createDataFrame([(i, texts[i]) for i in near], "doc_id long, text string")).collect()
+    assert len(found) == len(near) and all(x.n_removed == 0 for x in found)
+
+
 def test_spans_are_where_words_were_removed(spark, documents):
     for r in substrings.remove_repeats(documents).collect():
         assert sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2], strict=True)) == r.n_removed
