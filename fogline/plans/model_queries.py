@@ -15,6 +15,8 @@ from .common import DAY, E, sightings
 from .registry import query
 
 CELLS = 100
+#: States of a library, which one process holds.
+MOST_STATES = 5_000_000
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,13 +48,16 @@ def chain_models(spark: SparkSession, sf_dir: str) -> b.Models:
     return b.Models({(0, 0, k, -1): chain for k in range(6)}, walk, first[None, :], {(0, 0): first[None, :]}, np.arange(CELLS) // 10, smooth=walk)
 
 
-def _library(spark: SparkSession, sf_dir: str) -> b.Library:
-    """The latest 20,000 states of the event table as recorded trajectories (a bounded library)."""
+def _library(spark: SparkSession, sf_dir: str, most_states: int = MOST_STATES) -> b.Library:
+    """All states of the event table as recorded trajectories; more than most_states are an error, as in evaluation.load."""
     e = sightings(spark, sf_dir)
     w = Window.partitionBy("user_id").orderBy("us", "event_id")
-    rows = e.select("event_id", "cell", F.lead("event_id").over(w).alias("nxt"), F.pmod(F.col("us") / DAY, F.lit(30.0)).alias("t")).orderBy(F.col("event_id").desc()).limit(20_000).toArrow().sort_by("event_id")
-    ids = rows["event_id"].to_numpy()
-    nxt = np.array([-1 if x is None else x for x in rows["nxt"].to_pylist()])
+    rows = e.select("event_id", "cell", F.coalesce(F.lead("event_id").over(w), F.lit(-1)).alias("nxt"), F.pmod(F.col("us") / DAY, F.lit(30.0)).alias("t"))
+    rows = rows.limit(most_states + 1).toArrow()
+    if len(rows) > most_states:
+        raise ValueError("the library exceeds most_states; fit it from fewer events")
+    rows = rows.sort_by("event_id")
+    ids, nxt = rows["event_id"].to_numpy(), rows["nxt"].to_numpy()
     at = np.searchsorted(ids, np.maximum(nxt, 0)).clip(0, max(len(ids) - 1, 0))
     n = len(ids)
     return b.Library(rows["cell"].to_numpy().astype(int), np.zeros(n, int), rows["t"].to_numpy(), np.zeros(n, int), np.full(n, np.nan), np.full(n, 2), np.full(n, -1), np.zeros((n, 2)), np.where((nxt >= 0) & (ids[at] == nxt), at, -1) if n else nxt, CELLS)

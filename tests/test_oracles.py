@@ -4,6 +4,7 @@ import datetime
 import decimal
 
 import duckdb
+import numpy as np
 import pytest
 
 from fogline.plans import catalogue
@@ -63,6 +64,18 @@ def test_queries_without_sql(spark):
     assert closed <= {(r.user_id, r.start_us, r.n) for r in q["stream_sessions"](spark, SF).collect()}
 
 
+def test_the_library_holds_every_state(spark, tmp_path):
+    from fogline.plans import model_queries as m
+
+    events = spark.range(25_000).selectExpr("id AS event_id", "id % 50 AS user_id", "timestamp_micros(id * 1000000) AS ts", "'view' AS event_type", "1.0 AS value", "concat('{\"k\": ', id % 100, '}') AS props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    lib = m._library(spark, str(tmp_path))
+    assert len(lib.node) == 25_000 and (lib.node == np.arange(25_000) % 100).all()
+    assert (lib.next == np.where(np.arange(25_000) < 24_950, np.arange(25_000) + 50, -1)).all()
+    with pytest.raises(ValueError):
+        m._library(spark, str(tmp_path), 24_999)
+
+
 def test_entry_and_contract(spark):
     import __spark_entry__ as e
 
