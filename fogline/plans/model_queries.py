@@ -92,19 +92,29 @@ def particle_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(b.score(_steps(spark, sf_dir), ["user_id"], models, [named["pf"], named["ens_nofire"]], unseen=_unseen))
 
 
+def _line_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(clock, places, alive, count): how often each line-up was recorded; at most 60 x 3002 rows from any table.
+
+    A team is five users; a snapshot holds the last region of each that was seen on a day, so five at most.
+    """
+    e = sightings(spark, sf_dir).select("user_id", F.floor(F.col("us") / DAY).alias("day"), F.floor(F.col("cell") / 10).cast("int").alias("region"), F.struct("us", "event_id").alias("at"))
+    last = e.groupBy("user_id", "day").agg(F.max_by("region", "at").alias("region"))
+    ups = last.groupBy(F.floor(F.col("user_id") / 5).alias("team"), "day").agg(F.array_sort(F.collect_list("region")).alias("places"))
+    return ups.groupBy(F.pmod("day", F.lit(60)).cast("double").alias("clock"), "places").agg(F.count("*").alias("count")).withColumn("alive", F.size("places"))
+
+
 @query()
 def team_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Team factors for three independent beliefs from the recorded line-ups of ten users a snapshot."""
+    """Team factors for three independent beliefs from all recorded line-ups of five users a snapshot."""
     from ..operators.corrections import team_ratio
 
-    e = sightings(spark, sf_dir)
-    ups = e.groupBy((F.col("user_id") % 15).alias("team"), F.floor(F.col("us") / DAY).alias("day")).agg(F.slice(F.array_sort(F.collect_list(F.floor(F.col("cell") / 10).cast("int"))), 1, 5).alias("places"), F.least(F.count("*"), F.lit(5)).cast("int").alias("alive"))
-    rows = ups.orderBy("day", "team").select(F.pmod("day", F.lit(60)).cast("double").alias("clock"), "places", "alive").orderBy("clock").limit(100_000).collect()  # a bounded library
-    recorded = {"clock": np.array([r["clock"] for r in rows]), "alive": np.array([r["alive"] for r in rows]), "buy": np.full(len(rows), 2), "places": np.array([[*r["places"], *[-1] * (5 - len(r["places"]))] for r in rows], int).reshape(-1, 5)}
+    rows = _line_ups(spark, sf_dir).orderBy("clock", "places").collect()
+    recorded = {"clock": np.array([r["clock"] for r in rows]), "alive": np.array([r["alive"] for r in rows]), "buy": np.full(len(rows), 2), "count": np.array([r["count"] for r in rows]), "places": np.array([[*r["places"], *[-1] * (5 - len(r["places"]))] for r in rows], int).reshape(-1, 5)}
+    options = b.TeamOptions(most_candidates=max(len(rows), 1))  # none is left out
     p = np.stack([np.bincount([i], minlength=10) * 0.5 + 0.05 for i in (1, 4, 8)])
     out = []
     for clock in range(0, 60, 5):
-        ratio = team_ratio(recorded, float(clock), None, p, b.TeamOptions())
+        ratio = team_ratio(recorded, float(clock), None, p, options)
         out += [(clock, e, r, float(ratio[e, r])) for e in range(3) for r in range(10)] if ratio is not None else []
     return spark.createDataFrame(out, "clock int, entity int, region int, factor double")
 

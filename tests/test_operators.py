@@ -311,6 +311,16 @@ def test_independent_line_ups_correct_nothing_and_stacks_do():
     assert corrections.team_ratio(flat, 100.0, None, p, sharp) is None
 
 
+def test_counted_line_ups_weigh_like_repeated_ones():
+    rng = np.random.default_rng(4)
+    n = 30
+    once = {"clock": np.sort(rng.random(n)), "alive": np.full(n, 3), "buy": np.full(n, 2), "places": np.hstack([rng.integers(0, 4, (n, 3)), np.full((n, 2), -1)]), "count": rng.integers(1, 6, n)}
+    repeated = {k: np.repeat(v, once["count"], axis=0) for k, v in once.items() if k != "count"}
+    p = rng.dirichlet(np.ones(4), 2)
+    for options in (b.TeamOptions(), b.TeamOptions(best_pairing=True)):
+        assert corrections.team_ratio(once, 0.5, None, p, options) == pytest.approx(corrections.team_ratio(repeated, 0.5, None, p, options))
+
+
 def test_fire_factors():
     x = np.array([50.0, 150.0, 250.0, 50.0])
     out = corrections.ring_factors(x, np.zeros(4), np.array([0, 0, 0, 500.0]), np.array([[0.0, 0, 0]]), np.array([0, 100.0, 200]), np.array([0.1, 0.5]))

@@ -76,6 +76,18 @@ def test_the_library_holds_every_state(spark, tmp_path):
         m._library(spark, str(tmp_path), 24_999)
 
 
+def test_line_ups_are_the_last_places_of_a_day(spark, tmp_path):
+    """More events earlier on the same day, all in low regions, change no line-up."""
+    rng = np.random.default_rng(2)
+    cells = rng.integers(0, 100, (20, 30))
+    for name, earlier in (("few", 0), ("many", 8)):
+        rows = [(day * 1000 + user * 20 + i, user, day * 86_400 + i, int(cells[day, user]) if i == 8 else i) for day in range(20) for user in range(30) for i in range(8 - earlier, 9)]
+        events = spark.createDataFrame(rows, "event_id long, user_id long, s long, k int").selectExpr("event_id", "user_id", "timestamp_seconds(s) AS ts", "'view' AS event_type", "1.0 AS value", "concat('{\"k\": ', k, '}') AS props")
+        events.write.parquet(f"{tmp_path}/{name}/events.parquet")
+    few, many = (sorted(map(tuple, catalogue.QUERIES["team_correction"](spark, f"{tmp_path}/{x}").collect())) for x in ("few", "many"))
+    assert few and few == many
+
+
 def test_entry_and_contract(spark):
     import __spark_entry__ as e
 
