@@ -1,8 +1,8 @@
 """Secret scans, with DataFrame functions only.
 
 Three fixed patterns give the base spans. The method adds spans for tokens that look like output of a random
-generator: every long token of code characters is assigned an encoding (hex, upper or lower alphanumeric,
-alphanumeric, base64) and tested for randomness over that alphabet by
+generator: every long token of code characters is assigned an encoding (hex, base32, upper or lower alphanumeric,
+alphanumeric, base64, base64url, or mixed) and, without its padding, tested for randomness over that alphabet by
 - chi-squared of the symbol counts against uniformity,
 - the Wald-Wolfowitz runs test of symbols above and below the alphabet's middle,
 - the lag-1 serial correlation of the symbols' places in the alphabet.
@@ -13,7 +13,7 @@ the corpus in the same length class and encoding, on a histogram of the p-values
 share of false discoveries in each stratum under FDR.
 
 Positions are code points, ends exclusive. A row is judged in place and nothing is joined, so repeated rows and
-repeated or null doc_ids need no care; null and empty texts have no spans. The histogram has at most 20 strata of 401
+repeated or null doc_ids need no care; null and empty texts have no spans. The histogram has at most 40 strata of 401
 bins, of which one cutoff a stratum goes to the driver. Columns of the input with the names of the result are replaced.
 """
 
@@ -34,7 +34,9 @@ KINDS = ("assign", "access", "hex", "random")
 
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 DIGITS, LOWER, UPPER, OTHER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "+/_=-"
-ALPHABETS = {"hex": DIGITS + LOWER[:6], "HEX": DIGITS + UPPER[:6], "lower": DIGITS + LOWER, "upper": DIGITS + UPPER, "alnum": DIGITS + LOWER + UPPER, "base64": DIGITS + LOWER + UPPER + OTHER}
+ALPHABETS = {"hex": DIGITS + LOWER[:6], "HEX": DIGITS + UPPER[:6], "lower": DIGITS + LOWER, "upper": DIGITS + UPPER, "alnum": DIGITS + LOWER + UPPER, "base64": DIGITS + LOWER + UPPER + "+/", "base64url": DIGITS + LOWER + UPPER + "_-", "base32": UPPER + "234567", "lower32": LOWER + "234567", "mixed": DIGITS + LOWER + UPPER + OTHER}
+#: base64 is padded by two characters at most, base32 by six.
+PADDING = "={1,6}$"
 LENGTH_CLASSES = (20, 32, 48, 80)
 #: A token is not random if a test statistic lies so many standard deviations off (three tests at 0.001 together).
 OFF = 3.6
@@ -70,17 +72,21 @@ def _tested(token: Column) -> Column:
     """(s, e, stratum, nlp): nlp is -log10 of the p-value under ordinary text, 0 for tokens that fail a test."""
 
     def counted(x: Column) -> Column:
-        t = x["t"]
+        t = F.regexp_replace(x["t"], PADDING, "")
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), t.alias("t"), F.length(t).alias("n"), *(_count(t, c).alias(a) for a, c in (("nd", DIGITS), ("nl", LOWER), ("nu", UPPER), ("no", OTHER))))
 
     def encoded(x: Column) -> Column:
         kind = (
             F.when((x["no"] == 0) & (x["nu"] == 0) & ~x["t"].rlike("[g-z]"), "hex")
             .when((x["no"] == 0) & (x["nl"] == 0) & ~x["t"].rlike("[G-Z]"), "HEX")
+            .when((x["no"] == 0) & (x["nu"] == 0) & ~x["t"].rlike("[0189]"), "lower32")
+            .when((x["no"] == 0) & (x["nl"] == 0) & ~x["t"].rlike("[0189]"), "base32")
             .when((x["no"] == 0) & (x["nu"] == 0), "lower")
             .when((x["no"] == 0) & (x["nl"] == 0), "upper")
             .when(x["no"] == 0, "alnum")
-            .otherwise("base64")
+            .when(~x["t"].rlike("[_=-]"), "base64")
+            .when(~x["t"].rlike("[+/=]"), "base64url")
+            .otherwise("mixed")
         )
         alphabet = reduce(lambda acc, a: acc.when(kind == a, ALPHABETS[a]), list(ALPHABETS), F.when(F.lit(False), ""))
         classes = F.translate(x["t"], DIGITS + LOWER + UPPER + OTHER, "d" * 10 + "l" * 26 + "u" * 26 + "o" * 5)
@@ -113,10 +119,9 @@ def _tested(token: Column) -> Column:
         turned = F.when(spread > 0, (x["turns"] - two / n) / F.sqrt(F.greatest(spread, F.lit(1e-9)))).otherwise(99.0)
         serial = F.when(x["spread"] > 0, (x["lagged"] / F.greatest(x["spread"], F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(99.0)
         random = F.greatest(F.abs(chi), F.abs(turned), F.abs(serial)) < OFF
-        mixed = (x["nd"] >= 2) & (x["nl"] + x["nu"] >= 2)
         ratio = -n * F.log(k) + x["nd"] * math.log(10) + (x["nl"] + x["nu"]) * math.log(26) + x["no"] * math.log(5) - x["changes"] * math.log(CHANGE) - (n - 1 - x["changes"]) * math.log(1 - CHANGE)
-        nlp = F.when(random & mixed, F.greatest(ratio / math.log(10), F.lit(0.0))).otherwise(0.0)
-        size = reduce(lambda a, c: a + F.when(n >= c, 1).otherwise(0), LENGTH_CLASSES, F.lit(-1))
+        nlp = F.when(random, F.greatest(ratio / math.log(10), F.lit(0.0))).otherwise(0.0)
+        size = reduce(lambda a, c: a + F.when(x["e"] - x["s"] >= c, 1).otherwise(0), LENGTH_CLASSES, F.lit(-1))
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat_ws(":", x["kind"], size).alias("stratum"), F.least(F.floor(nlp * 10), F.lit(BINS)).cast("int").alias("bin"))
 
     return _let(_let(_let(_let(counted(token), encoded), coded), summed), judged)

@@ -1,5 +1,6 @@
 """Secrets, packing, mixing, urls, vectors, pages, toxicity and the pipeline, against brute force."""
 
+import base64
 import collections
 import hashlib
 import random
@@ -52,6 +53,26 @@ def test_base_spans(spark):
     assert secrets.find_secrets(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n, least", [(20, 0.45), (24, 0.6), (44, 0.9), (300, 0.9), (1200, 0.9), (4000, 0.9)])
+def test_random_tokens_of_every_encoding_and_length_are_found(spark, n, least):
+    r = random.Random(n)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    few = lambda: "".join(r.choice(letters) for _ in range(n - 1)) + "7"
+    kinds = {
+        "hex": lambda: r.randbytes(n // 2).hex(),
+        "base32": lambda: base64.b32encode(r.randbytes(n * 5 // 8)).decode(),
+        "lower32": lambda: base64.b32encode(r.randbytes(n * 5 // 8)).decode().lower(),
+        "alnum": lambda: "".join(r.choice(letters + "0123456789") for _ in range(n)),
+        "base64": lambda: base64.b64encode(r.randbytes(n * 3 // 4)).decode(),
+        "base64url": lambda: base64.urlsafe_b64encode(r.randbytes(n * 3 // 4)).decode(),
+    } | ({"one digit": few} if n < 30 else {})
+    rows = [(k, " ".join(["see", f(), "there"])) for k, f in kinds.items() for _ in range(40)]
+    rows += [("prose", x) for x in ("internationalizationandlocalization", "counterrevolutionaries-and-others", "0" * n, "=" * n, "20240101202401012024", "some_snake_case_name_of_a_thing")]
+    d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    hit = collections.Counter(rows[x.doc_id][0] for x in secrets.find_secrets(d).collect() if any(s.k == 3 for s in x.all_spans))
+    assert not hit["prose"] and all(hit[k] >= 40 * least for k in kinds), hit
+
+
 def test_random_tokens_are_found_and_ordinary_ones_left(spark):
     r = random.Random(4)
     symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
