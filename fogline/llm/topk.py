@@ -15,9 +15,10 @@ expands. Annuli are streamed: rows of a partition are sorted by annulus, its vec
 holds one annulus and a batch of queries. Equal vectors, however many, are cut into annuli like others.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; vectors of another length than
-the first pivot's take no part either; a query is compared with every row but those of its own id; repeated ids are
-separate candidates, and queries that repeat an id and vector are one query; with fewer than k candidates all are returned. Components are scaled and floored to integers first, and
-scores are exact as long as norms stay below 2**26 (asserted).
+the most frequent one of the table have no inner product with it and take no part either; a query is compared with every row but those of its own id; repeated ids are
+separate candidates, and queries that repeat an id and vector are one query; with fewer than k candidates all are returned. Components are scaled and floored to
+64-bit integers first, and scores are exact: doubles below 2**52, 64-bit integers below 2**62, Python's integers beyond.
+A component or a score that 64 bits cannot hold is an error, as in the SQL.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ SAMPLE = 4096
 ANNULUS = 2048
 #: Queries multiplied with an annulus at a time.
 BATCH = 512
+#: Less than every score.
+NONE = -(1 << 63)
 
 
 def _pivots(sample: np.ndarray, count: int) -> np.ndarray:
@@ -49,22 +52,38 @@ def _pivots(sample: np.ndarray, count: int) -> np.ndarray:
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    square = (x**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * x @ pivots.T
-    return np.sqrt(np.maximum(square, 0))
+    """Distances from plain differences, which lose nothing for long vectors that lie close together."""
+    return np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], 1)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(len(column), -1).astype(np.float64)
+    return np.frombuffer(b"".join(column.to_pylist()), "<i8").reshape(len(column), -1)
+
+
+def _scores(q: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """The exact inner products of integer rows, as 64-bit integers."""
+    longest = np.sqrt((q.astype(np.float64) ** 2).sum(1).max() * (block.astype(np.float64) ** 2).sum(1).max())
+    if longest < 2.0**52:
+        return (q.astype(np.float64) @ block.T.astype(np.float64)).astype(np.int64)
+    if longest < 2.0**62:
+        return q @ block.T
+    exact = q.astype(object) @ block.T.astype(object)
+    if max(map(abs, exact.ravel())) >= 1 << 63:
+        raise OverflowError("a score does not fit 64 bits")
+    return exact.astype(np.int64)
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 256, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(id, v): floor(scale * component) as packed 32-bit integers, of the rows that take part."""
-    usable = F.col(column).isNotNull() & (F.size(column) > 0) & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < 1e6))
+    """(id, v): floor(scale * component) as packed 64-bit integers, of the rows that take part."""
+    usable = F.col(column).isNotNull() & (F.size(column) > 0) & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
-            values = np.floor(scale * lists.flatten().to_numpy(zero_copy_only=False)).astype("<i4")
+            values = np.floor(scale * lists.flatten().to_numpy(zero_copy_only=False))
+            if len(values) and np.abs(values).max() >= 2.0**63:
+                raise OverflowError("a scaled component does not fit 64 bits")
+            values = values.astype("<i8")
             ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
             rows = [values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["id", "v"])
@@ -73,18 +92,17 @@ def integer_vectors(vectors: DataFrame, scale: int = 256, key: str = "vec_id", c
 
 
 def _indexed(pivots: np.ndarray):
-    width = pivots.shape[1] * 4
+    width = pivots.shape[1] * 8
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array([len(v) == width for v in batch.column(1).to_pylist()], pa.bool_()))
             if not len(batch):
                 continue
-            x = _matrix(batch.column(1))
+            x = _matrix(batch.column(1)).astype(np.float64)
             d = _distances(x, pivots)
             near = d.argmin(1)
             norm = (x**2).sum(1)
-            assert norm.max() < 2.0**52, "vectors too long for exact scores"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(x)), near]), pa.array(norm)], names=["id", "v", "pivot", "r", "norm"])
 
     return keyed
@@ -116,17 +134,17 @@ def _scored(k: int):
             if block is None:
                 block = np.concatenate(parts)
             own = np.concatenate(ids)
-            scores = q @ block.T
-            scores[qid[:, None] == own[None, :]] = -np.inf
+            scores = _scores(q, block)
+            scores[qid[:, None] == own[None, :]] = NONE
             # the k best with ties to the smaller id: all above the k-th value, then the smallest ids among the equal
             take = min(k, len(own))
-            kth = np.partition(scores, len(own) - take, axis=1)[:, len(own) - take] if take else np.zeros(len(q))
-            hit_q, hit_v = np.nonzero((scores >= np.maximum(kth, floor)[:, None]) & np.isfinite(scores))
+            kth = np.partition(scores, len(own) - take, axis=1)[:, len(own) - take] if take else np.full(len(q), NONE)
+            hit_q, hit_v = np.nonzero((scores >= np.maximum(kth, floor)[:, None]) & (scores > NONE))
             order = np.lexsort((own[hit_v], -scores[hit_q, hit_v], hit_q))
             hit_q, hit_v = hit_q[order], hit_v[order]
             place = np.arange(len(hit_q)) - np.searchsorted(hit_q, hit_q)
             hit_q, hit_v = hit_q[place < k], hit_v[place < k]
-            return pa.RecordBatch.from_arrays([pa.array(qid[hit_q]), pa.array(own[hit_v]), pa.array(scores[hit_q, hit_v].astype(np.int64))], names=["query_id", "vec_id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(qid[hit_q]), pa.array(own[hit_v]), pa.array(scores[hit_q, hit_v])], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
             at, kind, rid = (batch.column(i).to_numpy() for i in range(3))
@@ -151,7 +169,7 @@ def _scored(k: int):
 
 def _expand(index: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score) of the wanted (annulus, id, v, floor) queries, at most k of each annulus."""
-    vectors = index.join(wanted.select("annulus").distinct(), "annulus", "left_semi").select("annulus", F.lit(0).alias("kind"), "id", "v", F.lit(0.0).alias("floor"))
+    vectors = index.join(wanted.select("annulus").distinct(), "annulus", "left_semi").select("annulus", F.lit(0).alias("kind"), "id", "v", F.lit(0).cast("long").alias("floor"))
     merged = vectors.unionAll(wanted.select("annulus", F.lit(1).alias("kind"), "id", "v", "floor")).repartition("annulus").sortWithinPartitions("annulus", "kind")
     return merged.mapInArrow(_scored(k), "query_id long, vec_id long, score long")
 
@@ -166,34 +184,35 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivot_count: int =
 
     vectors and queries: (id, v) as integer_vectors makes them; sample bounds the rows that the pivots are chosen from.
     """
-    some = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    widths = vectors.groupBy(F.length("v").alias("width")).count().orderBy(F.col("count").desc(), "width").head(1)
+    some = vectors.where(F.length("v") == widths[0]["width"]).orderBy(F.xxhash64("id"), "id").limit(sample).collect() if widths else []
     if not some:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width = len(some[0]["v"])
-    pivots = _pivots(np.array([np.frombuffer(r["v"], "<i4") for r in some if len(r["v"]) == width], np.float64), pivot_count)
+    pivots = _pivots(np.array([np.frombuffer(r["v"], "<i8") for r in some], np.float64), pivot_count)
     schema = "id long, v binary, pivot int, r double, norm double"
     ordered = vectors.mapInArrow(_indexed(pivots), schema).repartitionByRange("pivot", "r", "id").sortWithinPartitions("pivot", "r", "id")
     index = stored(ordered.mapInArrow(_cut, "annulus long, " + schema), "annuli")
     annuli = stored(index.groupBy("annulus", "pivot").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.max("norm").alias("most")), "rings")
     asked = queries.dropDuplicates(["id", "v"]).mapInArrow(_indexed(pivots), schema).select("id", "v", "pivot", "r", "norm")
     own = asked.join(annuli, "pivot").withColumn("off", F.greatest(F.col("lo") - F.col("r"), F.col("r") - F.col("hi"), F.lit(0.0)))
-    first = own.groupBy("id", "v").agg(F.min_by("annulus", F.struct("off", "annulus")).alias("annulus")).select("annulus", "id", "v", F.lit(float("-inf")).alias("floor"))
-    floors = _best(_expand(index, first, k), k).where(F.col("rank") == k).groupBy("query_id").agg(F.min("score").cast("double").alias("floor"))
+    first = own.groupBy("id", "v").agg(F.min_by("annulus", F.struct("off", "annulus")).alias("annulus")).select("annulus", "id", "v", F.lit(NONE).cast("long").alias("floor"))
+    floors = _best(_expand(index, first, k), k).where(F.col("rank") == k).groupBy("query_id").agg(F.min("score").alias("floor"))
     floors = stored(floors, "floors")
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query's distance to every pivot."""
         for batch in batches:
             if len(batch):
-                d = _distances(_matrix(batch.column(1)), pivots)
+                d = _distances(_matrix(batch.column(1)).astype(np.float64), pivots)
                 take = pa.array(np.repeat(np.arange(len(d)), len(pivots)))
                 yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns), pa.array(np.tile(np.arange(len(pivots), dtype=np.int32), len(d))), pa.array(d.ravel())], names=["id", "v", "norm", "pivot", "d"])
 
     spread = asked.select("id", "v", "norm").mapInArrow(far, "id long, v binary, norm double, pivot int, d double")
     gap = F.greatest(F.col("lo") - F.col("d"), F.col("d") - F.col("hi"), F.lit(0.0))
-    # distances carry rounding errors far below 1
-    bound = (F.col("norm") + F.col("most") - gap * gap) / 2 + 1
-    wanted = spread.join(annuli, "pivot").withColumn("bound", bound).join(floors, F.col("id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))).where("bound >= floor")
+    # rounding errors are far below 1, or below this share of the squares that the distances come from
+    slack = 1 + 1e-11 * (F.col("norm") + F.col("most") + float((pivots**2).sum(1).max()))
+    bound = (F.col("norm") + F.col("most") - gap * gap) / 2 + slack
+    wanted = spread.join(annuli, "pivot").withColumn("bound", bound).join(floors, F.col("id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("floor", F.lit(NONE).cast("long"))).where("bound >= cast(floor as double) - 1e-15 * abs(cast(floor as double))")
     return _best(_expand(index, wanted.select("annulus", "id", "v", "floor"), k), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -235,6 +236,24 @@ def brute_top(rows, k):
     return sorted(out)
 
 
+@pytest.mark.parametrize("far", [3e5, 1.5e6, 2.5e6])
+def test_topk_of_long_vectors_and_odd_lengths_is_exact(spark, far):
+    """Components of any finite size count, and one row of another length, wherever its hash falls, changes nothing."""
+    r = np.random.default_rng(9)
+    values = r.normal(0, 1, (200, 6)).astype(np.float32)
+    values[::7] *= np.float32(far)
+    exact = [[math.floor(256 * float(x)) for x in v] for v in values]
+    expected = []
+    for q in range(0, 200, 50):
+        best = sorted((-sum(a * b for a, b in zip(exact[q], exact[c], strict=True)), c) for c in range(200) if c != q)[:5]
+        expected += [(q, i + 1, c, -s) for i, (s, c) in enumerate(best)]
+    hashes = spark.range(1000, 1400).select("id", F.xxhash64("id").alias("h")).orderBy("h").limit(1).collect()
+    rows = [(i, v.tolist()) for i, v in enumerate(values)] + [(hashes[0].id, [1.0, 2.0])]
+    v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = topk.top_k(v, v.where("id % 50 = 0 and id < 1000"), 5, pivot_count=4, sample=50).collect()
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == expected
+
+
 def test_topk_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "ANNULUS", 16)
     r = np.random.default_rng(1)
