@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of reference blocks.
+"""Substring dedup by content-defined blocks and a window join, in place of a greedy relative Lempel-Ziv parse.
 
 A factor is a stretch of a document that occurs at another place of the corpus; stretches of WINDOW words or more,
 however long, are removed wherever they occur. The index makes every text a reference of every other:
@@ -6,7 +6,7 @@ however long, are removed wherever they occur. The index makes every text a refe
 - Anchors. In each window of WINDOW words the least hash among its runs of ANCHOR words is its anchor. Consecutive
   windows with the same anchor form one block, so equal stretches fall into equal blocks, up to those at their ends.
 - Reference blocks. A block is keyed by its anchor and a hash of all its words. Blocks met twice or more are factors
-  as a whole; a text is parsed greedily by chaining them.
+  as a whole. No text is parsed greedily: matched blocks and windows are joined by hash and their stretches united.
 - Factor boundaries. Where an anchor is known but the block around it is not, a factor begins or ends inside the
   block. Only there, the single windows are looked up among the windows of all blocks with this anchor.
 
