@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fogline.llm import html, mixing, packing, secrets, topk, toxicity, urls
+from fogline.llm import mixing, packing, secrets, topk, toxicity, urls
 
 NAMES = [k for k in secrets.KINDS]
 PATTERNS = [
@@ -269,46 +269,6 @@ def test_topk_matches_brute_force(spark, monkeypatch):
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
-def page(title, paragraphs, i, extra=""):
-    menu = "".join(f'<li><a href="/{i}{k}">item {i} {k}</a>' for k in range(4))
-    return f"""<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style><script>var a="</p><p>no</p>";</script></head><body class="menu">
-    <header><a href=/>Site</a></header><nav><ul>{menu}</ul></nav><!-- <p>hidden</p> --><div class="ad banner">Buy {i}</div><article><h1>{title}</h1>{"".join(f"<p>{x}" for x in paragraphs)}
-    <div class="share">Share this {i}</div>{extra}<p>All rights of this text are reserved.</p><section id="comments"><article class="comment"><p>first! {i}</p></article></section></article>
-    <aside><p>side {i}</p></aside><form><p>mail</p><input></form><footer>&copy; {i}</footer></body>"""
-
-
-def test_pages_lose_chrome_and_template():
-    texts = [[f"Paragraph {i} &amp; more\n  text <b>bold</b><br>line", f"Second of {i}: " + "word " * (5 + i)] for i in range(8)]
-    got = html.main_texts([page(f"Title {i}", t, i) for i, t in enumerate(texts)] + [None, "", "<p>lone", "plain &lt;text&gt;"])
-    for i in range(8):
-        assert got[i] == f"Title {i}\nParagraph {i} & more text bold line\nSecond of {i}: " + " ".join(["word"] * (5 + i))
-    assert got[8:] == ["", "", "lone", "plain <text>"]
-
-
-def test_copies_of_one_article_are_no_template():
-    words = ["The same long article text in all of these pages, again and again.", "With a second paragraph that is the same as well."]
-    got = html.main_texts([page("One title", [*words, f"tiny {i}"], i) for i in range(6)])
-    assert all(words[0] in x and words[1] in x and f"tiny {i}" in x for i, x in enumerate(got))
-
-
-def test_simple_tree_matching_is_optimal_and_ordered():
-    a = html.parse("<div><h1>t</h1><p>a</p><p>b</p><ul><li>x<li>y</ul></div>")
-    b = html.parse("<div><p>b</p><ul><li>x<li>z<li>y</ul><p>c</p></div>")
-    pairs = [(p.text, q.text) for p, q in html.align(a, b)]
-    assert ("x", "x") in pairs and ("y", "y") in pairs and len(pairs) == 3
-    assert html.align(a, a) == list(zip(html._leaves(a), html._leaves(a), strict=True))
-
-
-def test_pages_of_many_hosts(spark):
-    rows = [(i, f"http://h{i % 3}.info/{i}" if i % 4 else f"http://hot.info/{i}", page(f"T {i}", [f"body {i} " * 9], i)) for i in range(700)] + [(9, None, None), (9, None, None), (None, "http://hot.info/x", ""), (10**6, "http://deep.info", "<div>" * 5000 + "deep" + "<p>x" * 3000)]
-    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    out = html.extract_main_text(d).collect()
-    assert len(out) == len(rows)
-    assert all(x.text == f"T {x.page_id}\n" + " ".join([f"body {x.page_id}"] * 9) and x.n_chars == len(x.text) for x in out if x.page_id is not None and x.page_id < 700 and x.url)
-    assert [x.text for x in out if x.url is None or x.page_id is None] == ["", "", ""]
-    assert html.extract_main_text(d.limit(0)).count() == 0
-
-
 def test_toxicity_is_learned_and_held_out(spark):
     r = random.Random(11)
     calm = [f"c{i}" for i in range(200)]
