@@ -32,6 +32,7 @@ import re
 from collections import Counter, OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ HOSTS = 16
 SUPPORT, SHARE = 3, 0.8
 #: Pages that share more than this part of the blocks of their article or main elements, and of the text in them, are copies.
 COPIES = 0.5
+#: Up to so many pairs of children are summed without numpy; the sums are the same.
+FEW = 400
 
 # Elements by what they do.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -101,6 +104,7 @@ def _names_chrome(value: str) -> bool:
     return False
 
 
+@lru_cache(4096)
 def _chrome(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
     """Whether an element is page chrome; whether it is the main part of the page."""
     values = {}
@@ -231,10 +235,12 @@ class Matching:
         self.texts: list[frozenset[int]] = []  # classes of shared leaves in it
         self.memo: dict[tuple[int, int], int] = {}
         self._known: dict[tuple, int] = {}
-        shared = a.texts & b.texts
+        shared, known = a.texts & b.texts, self._known
         for page in (a, b):
             for node in page.order:
-                node.cls = self._class(node.tag, node.text if node.text in shared else "", tuple([k.cls for k in node.kids]))
+                key = (node.tag, node.text if node.text in shared else "", tuple([k.cls for k in node.kids]) if node.kids else ())
+                found = known.get(key)
+                node.cls = self._class(*key) if found is None else found
 
     def _class(self, tag: str, text: str, kids: tuple[int, ...]) -> int:
         key = (tag, text, kids)
@@ -291,13 +297,14 @@ class Matching:
 
     def _rows(self, p: tuple[int, ...], q: tuple[int, ...]) -> Callable[[int], np.ndarray]:
         """The sizes of p[i] with every q."""
-        kinds, place = np.unique(np.array(q), return_inverse=True)
+        kinds = {k: i for i, k in enumerate(dict.fromkeys(q))}
+        place = np.array([kinds[k] for k in q])
         rows: dict[int, np.ndarray] = {}
 
         def row(i: int) -> np.ndarray:
             found = rows.get(p[i])
             if found is None:
-                found = np.array([self.size(p[i], int(k)) for k in kinds], np.int64)
+                found = np.array([self.size(p[i], k) for k in kinds], np.int64)
                 if len(rows) * len(kinds) < 1 << 20:
                     rows[p[i]] = found
             return found[place]
@@ -305,13 +312,31 @@ class Matching:
         return row
 
     def _best(self, p: tuple[int, ...], q: tuple[int, ...]) -> int:
+        if len(p) * len(q) <= FEW:
+            return self._sums(p, q)[-1][-1]
         row, best = self._rows(p, q), np.zeros(len(q) + 1, np.int64)
         for i in range(len(p)):
             best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + row(i)))
         return int(best[-1])
 
+    def _sums(self, p: tuple[int, ...], q: tuple[int, ...]) -> list[list[int]]:
+        """For short lists, the sums of all their beginnings."""
+        sums, sizes = [[0] * (len(q) + 1)], {}
+        for x in p:
+            above, own = sums[-1], [0]
+            for j, y in enumerate(q):
+                w = sizes.get((x, y))
+                if w is None:
+                    w = sizes[x, y] = self.size(x, y)
+                own.append(max(above[j + 1], own[j], above[j] + w))
+            sums.append(own)
+        return sums
+
     def _pairs(self, p: tuple[int, ...], q: tuple[int, ...]) -> list[tuple[int, int]]:
-        """The pairs of a best matching of two lists; only every root-th row of sums is kept, the others made again."""
+        """The pairs of a best matching of two lists; of long ones only every root-th row of sums is kept, the others
+        are made again."""
+        if len(p) * len(q) <= FEW:
+            return self._back(self._sums(p, q), 0, len(q), [])[1][::-1]
         row, step = self._rows(p, q), max(1, int(len(p) ** 0.5))
         kept, best = [], np.zeros(len(q) + 1, np.int64)
         for i in range(len(p)):
@@ -321,23 +346,28 @@ class Matching:
         out, j = [], len(q)
         for block in range(len(kept) - 1, -1, -1):
             lo, hi = block * step, min(len(p), (block + 1) * step)
-            sums, sizes = [kept[block]], []
+            sums = [kept[block]]
             for i in range(lo, hi):
-                sizes.append(row(i))
                 following = sums[-1].copy()
-                following[1:] = np.maximum.accumulate(np.maximum(following[1:], following[:-1] + sizes[-1]))
+                following[1:] = np.maximum.accumulate(np.maximum(following[1:], following[:-1] + row(i)))
                 sums.append(following)
-            i = hi - lo
-            while i and j:
-                if sums[i][j] == sums[i - 1][j]:
-                    i -= 1
-                elif sums[i][j] == sums[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    out.append((lo + i, j))
+            j, out = self._back(sums, lo, j, out)
         return out[::-1]
 
+    @staticmethod
+    def _back(sums: list, lo: int, j: int, out: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int]]]:
+        """Follows the sums of rows lo and after back to their beginning, from column j."""
+        i = len(sums) - 1
+        while i and j:
+            if sums[i][j] == sums[i - 1][j]:
+                i -= 1
+            elif sums[i][j] == sums[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((lo + i, j))
+        return j, out
+
     def leaves(self, a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
         """The pairs of texts in a best matching of two trees."""
         todo = [(a, b)] if a.tag == b.tag else []
@@ -346,11 +376,22 @@ class Matching:
             if a.text and b.text:
                 yield a, b
                 continue
-            lo, p, q, hi = self._trimmed(tuple([k.cls for k in a.kids]), tuple([k.cls for k in b.kids]))
-            todo += zip(a.kids[:lo], b.kids[:lo], strict=True)
-            todo += zip(a.kids[len(a.kids) - hi :], b.kids[len(b.kids) - hi :], strict=True)
-            if p and q:
-                todo += [(a.kids[lo + i], b.kids[lo + j]) for i, j in self._pairs(p, q)]
+            x, y = a.kids, b.kids
+            lo, p, q, hi = self._trimmed(self.kids[a.cls], self.kids[b.cls])
+            todo += zip(x[:lo], y[:lo], strict=True)
+            todo += zip(x[len(x) - hi :], y[len(y) - hi :], strict=True)
+            # a child whose tag is unique in both lists has one partner; at an end, it takes nothing from the others
+            x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
+            once = {t for t, n in Counter([k.tag for k in x]).items() if n == 1} & {t for t, n in Counter([k.tag for k in y]).items() if n == 1} if x and y else ()
+            lo, hi = 0, 0
+            while lo < min(len(x), len(y)) and x[lo].tag == y[lo].tag and x[lo].tag in once:
+                todo.append((x[lo], y[lo]))
+                lo += 1
+            while hi < min(len(x), len(y)) - lo and x[-1 - hi].tag == y[-1 - hi].tag and x[-1 - hi].tag in once:
+                todo.append((x[-1 - hi], y[-1 - hi]))
+                hi += 1
+            if lo + hi < min(len(x), len(y)):
+                todo += [(x[lo + i], y[lo + j]) for i, j in self._pairs(p[lo : len(p) - hi], q[lo : len(q) - hi])]
 
 
 def align(a: Page, b: Page) -> list[tuple[int, int]]:
