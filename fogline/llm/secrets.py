@@ -1,19 +1,20 @@
 """Secret scans, with DataFrame functions only.
 
 Three fixed patterns give the base spans. The method adds spans for tokens that look like output of a random
-generator: every long token of code characters is assigned an encoding (hex, base32, upper or lower alphanumeric,
-alphanumeric, base64, base64url, or mixed) and, without its padding, tested for randomness over that alphabet by
+generator: every long token of code characters is assigned an encoding (digits, small or capital letters, letters, hex,
+base32, upper or lower alphanumeric, alphanumeric, base64, base64url, or mixed) and, without its padding, tested for randomness over that alphabet by
 - chi-squared of the symbol counts against uniformity,
 - the Wald-Wolfowitz runs test of symbols above and below the alphabet's middle,
 - the lag-1 serial correlation of the symbols' places in the alphabet.
 A token passes if none rejects randomness. Its p-value under the opposite hypothesis, ordinary text, is the inverse
-of the likelihood ratio of uniform symbols to a chain of character classes that changes class one time in ten (by
-Markov's inequality a valid p-value, and smaller for longer tokens). Benjamini-Hochberg's step-up over all tokens of
+of the likelihood ratio of uniform symbols to a chain of character classes that changes class one time in ten (for
+letters alone, to a chain that goes on in a capital one time in ten; by Markov's inequality a valid p-value, and smaller for longer tokens). Benjamini-Hochberg's step-up over all tokens of
 the corpus in the same length class and encoding, on a histogram of the p-values' orders of magnitude, then holds the
 share of false discoveries in each stratum under FDR.
 
 Positions are code points, ends exclusive. A row is judged in place and nothing is joined, so repeated rows and
-repeated or null doc_ids need no care; null and empty texts have no spans. The histogram has at most 40 strata of 401
+repeated or null doc_ids need no care; null and empty texts have no spans. The time is in proportion to
+the length of a text, also if it is one token. The histogram has at most 56 strata of 401
 bins, of which one cutoff a stratum goes to the driver. Columns of the input with the names of the result are replaced.
 """
 
@@ -25,6 +26,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 # The base patterns and their least lengths.
 ASSIGN = r"""(?=[pPsStTaA])(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 6
@@ -34,19 +37,26 @@ KINDS = ("assign", "access", "hex", "random")
 
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 DIGITS, LOWER, UPPER, OTHER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "+/_=-"
-ALPHABETS = {"hex": DIGITS + LOWER[:6], "HEX": DIGITS + UPPER[:6], "lower": DIGITS + LOWER, "upper": DIGITS + UPPER, "alnum": DIGITS + LOWER + UPPER, "base64": DIGITS + LOWER + UPPER + "+/", "base64url": DIGITS + LOWER + UPPER + "_-", "base32": UPPER + "234567", "lower32": LOWER + "234567", "mixed": DIGITS + LOWER + UPPER + OTHER}
+ALPHABETS = {"digits": DIGITS, "small": LOWER, "capital": UPPER, "letters": LOWER + UPPER, "hex": DIGITS + LOWER[:6], "HEX": DIGITS + UPPER[:6], "lower": DIGITS + LOWER, "upper": DIGITS + UPPER, "alnum": DIGITS + LOWER + UPPER, "base64": DIGITS + LOWER + UPPER + "+/", "base64url": DIGITS + LOWER + UPPER + "_-", "base32": UPPER + "234567", "lower32": LOWER + "234567", "mixed": DIGITS + LOWER + UPPER + OTHER}
 #: base64 is padded by two characters at most, base32 by six.
 PADDING = "={1,6}$"
+#: A stretch of one class of characters.
+CLASS_RUN = "[0-9]+|[a-z]+|[A-Z]+|[+/_=-]+"
 LENGTH_CLASSES = (20, 32, 48, 80)
 #: A token is not random if a test statistic lies so many standard deviations off (three tests at 0.001 together).
 OFF = 3.6
 CHANGE = 0.1
 FDR = 0.01
+#: Matches of a text whose lengths are summed in one go.
+BLOCK = 256
 BINS = 400  # tenths of a power of ten; smaller p-values count as the last bin
 
 
 def _placed(text: Column, pattern: str, found: Column) -> Column:
-    """The matches as an array of (s, e, t)."""
+    """The matches as an array of (s, e, t).
+
+    Lengths are summed in blocks of BLOCK matches and over the blocks, so that no long array is appended to.
+    """
     between = F.split(text, pattern, -1)
     pairs = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b"))
     empty = F.expr("cast(array() as array<struct<s: int, e: int, t: string>>)")
@@ -56,7 +66,16 @@ def _placed(text: Column, pattern: str, found: Column) -> Column:
         e = s + F.length(x["m"])
         return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), x["m"].alias("t"))).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    def block(all_pairs: Column) -> Column:
+        last = F.greatest(F.floor((F.size(all_pairs) - 1) / BLOCK).cast("int"), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.aggregate(F.slice(all_pairs, i * BLOCK + 1, F.lit(BLOCK)), F.struct(F.lit(0).alias("at"), empty.alias("out")), step))
+
+    def joined(acc: Column, x: Column) -> Column:
+        shifted = F.transform(x["out"], lambda y: F.struct((y["s"] + acc["at"]).alias("s"), (y["e"] + acc["at"]).alias("e"), y["t"].alias("t")))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.array_append(acc["out"], shifted).alias("out"))
+
+    none = F.expr("cast(array() as array<array<struct<s: int, e: int, t: string>>>)")
+    return F.aggregate(_let(pairs, block), F.struct(F.lit(0).alias("at"), none.alias("out")), joined, lambda acc: F.flatten(acc["out"]))
 
 
 def _count(token: Column, chars: str) -> Column:
@@ -77,7 +96,11 @@ def _tested(token: Column) -> Column:
 
     def encoded(x: Column) -> Column:
         kind = (
-            F.when((x["no"] == 0) & (x["nu"] == 0) & ~x["t"].rlike("[g-z]"), "hex")
+            F.when(x["nd"] == x["n"], "digits")
+            .when(x["nl"] == x["n"], "small")
+            .when(x["nu"] == x["n"], "capital")
+            .when(x["nl"] + x["nu"] == x["n"], "letters")
+            .when((x["no"] == 0) & (x["nu"] == 0) & ~x["t"].rlike("[g-z]"), "hex")
             .when((x["no"] == 0) & (x["nl"] == 0) & ~x["t"].rlike("[G-Z]"), "HEX")
             .when((x["no"] == 0) & (x["nu"] == 0) & ~x["t"].rlike("[0189]"), "lower32")
             .when((x["no"] == 0) & (x["nl"] == 0) & ~x["t"].rlike("[0189]"), "base32")
@@ -89,23 +112,25 @@ def _tested(token: Column) -> Column:
             .otherwise("mixed")
         )
         alphabet = reduce(lambda acc, a: acc.when(kind == a, ALPHABETS[a]), list(ALPHABETS), F.when(F.lit(False), ""))
-        classes = F.translate(x["t"], DIGITS + LOWER + UPPER + OTHER, "d" * 10 + "l" * 26 + "u" * 26 + "o" * 5)
-        return F.struct(*(x[c].alias(c) for c in ("s", "e", "t", "n", "nd", "nl", "nu", "no")), kind.alias("kind"), alphabet.alias("alphabet"), classes.alias("classes"))
+        return F.struct(*(x[c].alias(c) for c in ("s", "e", "t", "n", "nd", "nl", "nu", "no")), kind.alias("kind"), alphabet.alias("alphabet"))
 
     def coded(x: Column) -> Column:
         places = F.transform(F.split(x["t"], ""), lambda c: F.call_function("instr", x["alphabet"], c).cast("double"))
-        return F.struct(*(x[c].alias(c) for c in ("s", "e", "t", "n", "nd", "nl", "nu", "no", "kind", "classes")), F.length(x["alphabet"]).cast("double").alias("k"), places.alias("places"))
+        stretches = F.length(F.regexp_replace(x["t"], CLASS_RUN, "x"))
+        # a capital is what is rare in words and in camel case
+        capitals = x["nu"] - x["t"].rlike("^[A-Z]").cast("int")
+        changes = F.when(x["kind"] == "letters", capitals).otherwise(stretches - 1)
+        squares = F.aggregate(F.split(x["alphabet"], ""), F.lit(0.0), lambda a, c: a + F.pow((x["n"] - F.length(F.replace(x["t"], c, F.lit("")))).cast("double"), F.lit(2.0)))
+        return F.struct(*(x[c].alias(c) for c in ("s", "e", "n", "nd", "nl", "nu", "no", "kind")), F.length(x["alphabet"]).cast("double").alias("k"), places.alias("places"), squares.alias("squares"), changes.alias("changes"))
 
     def summed(x: Column) -> Column:
         n, k, places = x["n"], x["k"], x["places"]
         mean = F.aggregate(places, F.lit(0.0), lambda a, p: a + p) / n
-        squares = F.aggregate(F.array_distinct(places), F.lit(0.0), lambda a, p: a + F.pow(F.size(F.filter(places, lambda q: q == p)).cast("double"), F.lit(2.0)))
         high = F.aggregate(places, F.lit(0.0), lambda a, p: a + F.when(p > k / 2, 1.0).otherwise(0.0))
         pairs = F.arrays_zip(F.slice(places, 1, n - 1).alias("a"), F.slice(places, 2, n - 1).alias("b"))
         turns = F.size(F.filter(pairs, lambda p: (p["a"] > k / 2) != (p["b"] > k / 2))).cast("double")
-        changes = F.size(F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.substring(x["classes"], i, F.lit(1)) != F.substring(x["classes"], i + 1, F.lit(1))))
         return F.struct(
-            *(x[c].alias(c) for c in ("s", "e", "n", "nd", "nl", "nu", "no", "kind", "k")), squares.alias("squares"), high.alias("high"), turns.alias("turns"), changes.alias("changes"),
+            *(x[c].alias(c) for c in ("s", "e", "n", "nd", "nl", "nu", "no", "kind", "k", "squares", "changes")), high.alias("high"), turns.alias("turns"),
             _let(mean, lambda m: F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - m) * (p["b"] - m))).alias("lagged"),
             _let(mean, lambda m: F.aggregate(places, F.lit(0.0), lambda a, p: a + (p - m) * (p - m))).alias("spread"),
         )
@@ -144,7 +169,11 @@ def _columns(documents: DataFrame) -> DataFrame:
 
 def fit_cutoffs(documents: DataFrame) -> dict[str, int]:
     """For each stratum with discoveries, the least bin of a discovery, over the tokens of all texts."""
-    bins = _columns(documents.select("text")).where(F.size("__tok") > 0).select(F.explode("__tok").alias("x")).groupBy("x.stratum", "x.bin").agg(F.count("*").alias("n"))
+    return _cutoffs(_columns(documents.select("text")))
+
+
+def _cutoffs(tested: DataFrame) -> dict[str, int]:
+    bins = tested.where(F.size("__tok") > 0).select(F.explode("__tok").alias("x")).groupBy("x.stratum", "x.bin").agg(F.count("*").alias("n"))
     w = Window.partitionBy("stratum")
     above = bins.withColumn("m", F.sum("n").over(w)).withColumn("r", F.sum("n").over(w.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)))
     passing = above.where(F.pow(F.lit(10.0), -F.col("bin") / 10) <= FDR * F.col("r") / F.col("m")).groupBy("stratum").agg(F.min("bin").alias("bin"))
@@ -158,9 +187,11 @@ def find_secrets(documents: DataFrame, cutoffs: dict[str, int] | None = None) ->
     """
     new = ("n_assign", "n_access", "n_hex", "base_spans", "all_spans")
     documents = documents.select(*[c for c in documents.columns if c.lower() not in new])
-    cutoffs = fit_cutoffs(documents) if cutoffs is None else cutoffs
-    table = F.create_map(*(F.lit(v) for kv in sorted(cutoffs.items()) for v in kv)) if cutoffs else F.expr("cast(map() as map<string, int>)")
     df = _columns(documents)
+    if cutoffs is None:
+        df = stored(df, "tokens")  # tokens are tested once; the cutoffs read nothing else
+        cutoffs = _cutoffs(df)
+    table = F.create_map(*(F.lit(v) for kv in sorted(cutoffs.items()) for v in kv)) if cutoffs else F.expr("cast(map() as map<string, int>)")
     df = df.withColumn("__tok", F.filter("__tok", lambda x: F.coalesce(x["bin"] >= F.element_at(table, x["stratum"]), F.lit(False))))
 
     def of(column: str, kind: int) -> Column:

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -85,6 +86,55 @@ def test_random_tokens_are_found_and_ordinary_ones_left(spark):
     assert not [i for i in hit if i >= 40]
 
 
+def brute_stratum(t):
+    """The three statistics, the likelihood ratio and the stratum of a token, by their definitions."""
+    n0, t = len(t), re.sub("={1,6}$", "", t)
+    n, only = len(t), lambda chars: set(t) <= set(chars)
+    d, l, u = secrets.DIGITS, secrets.LOWER, secrets.UPPER  # noqa: E741
+    kinds = {"digits": d, "small": l, "capital": u, "letters": l + u, "hex": d + "abcdef", "HEX": d + "ABCDEF", "lower32": l + "234567", "base32": u + "234567", "lower": d + l, "upper": d + u, "alnum": d + l + u, "base64": d + l + u + "+/", "base64url": d + l + u + "_-", "mixed": d + l + u + secrets.OTHER}
+    kind = next(k for k, chars in kinds.items() if only(chars))
+    alphabet = secrets.ALPHABETS[kind]
+    k, x = len(alphabet), np.array([alphabet.index(c) + 1 for c in t], float)
+    counts = np.array([t.count(c) for c in alphabet], float)
+    chi = (((counts - n / k) ** 2 / (n / k)).sum() - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    high = x > k / 2
+    a, b = high.sum(), n - high.sum()
+    spread = 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+    runs = ((high[1:] != high[:-1]).sum() - 2 * a * b / n) / math.sqrt(spread) if spread > 0 else 99.0
+    y = x - x.mean()
+    serial = ((y[1:] * y[:-1]).sum() / (y * y).sum() + 1 / n) * math.sqrt(n) if (y * y).sum() > 0 else 99.0
+    of = ["d" if c in d else "l" if c in l else "u" if c in u else "o" for c in t]
+    changes = sum(q == "u" for q in of[1:]) if kind == "letters" else sum(p != q for p, q in zip(of, of[1:]))
+    ordinary = sum({"d": -math.log(10), "l": -math.log(26), "u": -math.log(26), "o": -math.log(5)}[c] for c in of) + changes * math.log(0.1) + (n - 1 - changes) * math.log(0.9)
+    nlp = max((-n * math.log(k) - ordinary) / math.log(10), 0) if max(map(abs, (chi, runs, serial))) < secrets.OFF else 0
+    return f"{kind}:{sum(n0 >= c for c in secrets.LENGTH_CLASSES) - 1}", nlp
+
+
+def test_the_three_tests_equal_brute_force(spark):
+    r = random.Random(12)
+    d, l, u = secrets.DIGITS, secrets.LOWER, secrets.UPPER  # noqa: E741
+    pools = [d, l, u, l + u, d + "abcdef", d + "ABCDEF", u + "234567", l + "234567", d + l, d + u, d + l + u, d + l + u + "+/", d + l + u + "-_", d + l + u + "+/-_=", "ab", "a"]
+    tokens = ["".join(r.choice(p) for _ in range(n)) + "=" * r.choice((0, 0, 1)) for p in pools for n in (20, 33, 50, 120, 900) for _ in range(4)]
+    rows = spark.createDataFrame([(i, f"x {t} y {t}") for i, t in enumerate(tokens)], "doc_id long, text string")
+    for x in secrets._columns(rows).select("doc_id", "__tok").collect():
+        stratum, nlp = brute_stratum(tokens[x.doc_id])
+        n = len(tokens[x.doc_id])
+        assert [(y.s, y.e) for y in x["__tok"]] == [(2, 2 + n), (5 + n, 5 + 2 * n)]
+        for y in x["__tok"]:
+            assert y.stratum == stratum and abs(y.bin - min(math.floor(nlp * 10), secrets.BINS)) <= (abs(nlp * 10 - round(nlp * 10)) < 1e-6), (tokens[x.doc_id], stratum, nlp, y)
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    r = random.Random(3)
+    data = base64.b64encode(r.randbytes(750_000)).decode()
+    many = " ".join(r.randbytes(16).hex() for _ in range(30_000))
+    began = time.time()
+    found = {x.doc_id: x for x in secrets.find_secrets(spark.createDataFrame([(0, f"see {data} there"), (1, many)], "doc_id long, text string")).collect()}
+    assert time.time() - began < 60
+    assert [(s.s, s.e) for s in found[0].all_spans if s.k == 3] == [(4, 4 + len(data))]
+    assert found[1].n_hex == 30_000 and [(s.s, s.e) for s in found[1].base_spans] == [(33 * i, 33 * i + 32) for i in range(30_000)]
+
+
 def test_redaction_covers_every_span(spark):
     d = spark.createDataFrame([(i, t) for i, t in enumerate(SECRET_TEXTS)], "doc_id long, text string")
     found = secrets.find_secrets(d)
