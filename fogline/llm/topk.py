@@ -1,8 +1,9 @@
 """Exact top-k search by inner product with a pivot-distance index.
 
-Index. Pivots are chosen from a bounded sample of the vectors (farthest-first). Every vector is keyed by its nearest
-pivot and the distance to it; in that order vectors are cut into annuli of at most ANNULUS rows of one pivot. An
-annulus is known by its pivot, its least and greatest distance and its greatest norm.
+Index. Pivots are chosen from a bounded sample of the vectors (farthest-first), more of them for more vectors. Every
+vector is keyed by its nearest pivot and the distance to it; in that order vectors are cut into annuli of one pivot. An
+annulus is known by its pivot, its least and greatest distance and its greatest norm; annuli are so large that there
+are at most some ANNULI + pivots of them, and their summary (four numbers each) goes to all tasks.
 
 Search. For a query q and a vector v at distance r from pivot p, the triangle inequality gives |q - v| >= |d(q, p) - r|,
 and q.v = (|q|^2 + |v|^2 - |q - v|^2) / 2, so every annulus has an upper bound of its inner products with q. A first
@@ -11,19 +12,22 @@ floor. A second pass expands exactly the annuli whose bound reaches the floor, s
 sample. The last k of all scores are taken with ties to the smaller id.
 
 Queries are a stated set against all rows. Vectors are shuffled once for the index; a query is sent to the annuli it
-expands. Annuli are streamed: rows of a partition are sorted by annulus, its vectors before its queries, and a task
-holds one annulus and a batch of queries. Equal vectors, however many, are cut into annuli like others.
-
-Defined cases: vectors that are null or hold null or non-finite components take no part; vectors of another length than
-the most frequent one of the table have no inner product with it and take no part either; a query is compared with every row but those of its own id; repeated ids are
-separate candidates, and queries that repeat an id and vector are one query; with fewer than k candidates all are returned. Components are scaled and floored to
-64-bit integers first, and scores are exact: doubles below 2**52, 64-bit integers below 2**62, Python's integers beyond.
+expands and to no others. Annuli are streamed: rows of a partition are sorted by annulus, its vectors before its queries, and a task
+holds one annulus and a batch of queries; an annulus with more than ASKED queries is sent to several tasks, each with a
+part of the queries. Equal vectors, however many, are cut into annuli like others.
+
+Defined cases: vectors that are null or empty or hold null or non-finite components take no part; vectors have inner
+products with those of the same length only, so each length is searched on its own; a query is compared with every row
+but those of its own id; repeated ids are separate candidates, and queries that repeat an id and vector are one query;
+with fewer than k candidates all are returned; other columns are not used. Components are scaled and floored to 64-bit
+integers first, and scores are exact: doubles below 2**52, 64-bit integers below 2**62, Python's integers beyond.
 A component or a score that 64 bits cannot hold is an error, as in the SQL.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +36,13 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-PIVOTS = 24
+#: Pivots at least and at most; between them, one for every PER_PIVOT vectors.
+PIVOTS, MOST_PIVOTS, PER_PIVOT = 24, 512, 20_000
 SAMPLE = 4096
-ANNULUS = 2048
+#: Rows of an annulus at least; more, where there would be more than so many annuli.
+ANNULUS, ANNULI = 2048, 50_000
+#: Queries of an annulus that go to one task.
+ASKED = 4096
 #: Queries multiplied with an annulus at a time.
 BATCH = 512
 #: Less than every score.
@@ -108,24 +116,55 @@ def _indexed(pivots: np.ndarray):
     return keyed
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers annuli along rows sorted by pivot and distance."""
-    from pyspark import TaskContext
+def _cut(most: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Numbers annuli along rows sorted by pivot and distance."""
+        from pyspark import TaskContext
 
-    number, pivot, held = TaskContext.get().partitionId() << 32, None, 0
-    for batch in batches:
-        out = np.empty(len(batch), np.int64)
-        for i, p in enumerate(batch.column("pivot").to_numpy()):
-            if p != pivot or held == ANNULUS:
-                number, pivot, held = number + 1, p, 0
-            held += 1
-            out[i] = number
-        yield pa.RecordBatch.from_arrays([pa.array(out), *batch.columns], names=["annulus", *batch.schema.names])
+        number, pivot, held = TaskContext.get().partitionId() << 32, None, 0
+        for batch in batches:
+            out = np.empty(len(batch), np.int64)
+            for i, p in enumerate(batch.column("pivot").to_numpy()):
+                if p != pivot or held == most:
+                    number, pivot, held = number + 1, p, 0
+                held += 1
+                out[i] = number
+            yield pa.RecordBatch.from_arrays([pa.array(out), *batch.columns], names=["annulus", *batch.schema.names])
+
+    return cut
+
+
+def _wanted(pivots: np.ndarray, rings: dict[str, np.ndarray], first: bool):
+    """For queries (id, v, pivot, r, norm, floor) the annuli to expand: the one around the query itself, or all that
+    may reach the floor."""
+    reach = float((pivots**2).sum(1).max())
+    block = max(1, (1 << 22) // max(len(rings["annulus"]), 1))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), block):
+                batch = whole.slice(at, block)
+                d = _distances(_matrix(batch.column(1)).astype(np.float64), pivots)[:, rings["pivot"]]
+                off = np.maximum(np.maximum(rings["lo"] - d, d - rings["hi"]), 0)
+                if first:
+                    own = rings["pivot"][None, :] == batch.column(2).to_numpy()[:, None]
+                    place = np.where(own, off, np.inf).argmin(1)
+                    q, a = np.flatnonzero(own.any(1)), place[own.any(1)]
+                else:
+                    norms = batch.column(4).to_numpy()[:, None] + rings["most"]
+                    # rounding errors are far below 1, or below this share of the squares that the distances come from
+                    bound = (norms - off * off) / 2 + 1 + 1e-11 * (norms + reach)
+                    floor = batch.column(5).to_numpy().astype(np.float64)
+                    q, a = np.nonzero(bound >= (floor - 1e-15 * np.abs(floor))[:, None])
+                take = pa.array(q)
+                yield pa.RecordBatch.from_arrays([pa.array(rings["annulus"][a]), batch.column(0).take(take), batch.column(1).take(take), batch.column(5).take(take)], names=["annulus", "id", "v", "floor"])
+
+    return wanted
 
 
 def _scored(k: int):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by annulus, vectors (kind 0) before queries (kind 1)."""
+        """Rows sorted by annulus and part, vectors (kind 0) before queries (kind 1)."""
         annulus, ids, parts = None, [], []
         block: np.ndarray | None = None
 
@@ -147,15 +186,15 @@ def _scored(k: int):
             return pa.RecordBatch.from_arrays([pa.array(qid[hit_q]), pa.array(own[hit_v]), pa.array(scores[hit_q, hit_v])], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
-            at, kind, rid = (batch.column(i).to_numpy() for i in range(3))
-            floor = batch.column(4).to_numpy()
-            matrix = _matrix(batch.column(3)) if len(batch) else np.zeros((0, 0))
-            edges = np.flatnonzero((at[1:] != at[:-1]) | (kind[1:] != kind[:-1])) + 1
+            at, part, kind, rid = (batch.column(i).to_numpy() for i in range(4))
+            floor = batch.column(5).to_numpy()
+            matrix = _matrix(batch.column(4)) if len(batch) else np.zeros((0, 0))
+            edges = np.flatnonzero((at[1:] != at[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
             for a, b in zip(np.concatenate(([0], edges)), np.append(edges, len(batch)), strict=True):
                 if a == b:
                     continue
-                if at[a] != annulus:
-                    annulus, ids, parts, block = at[a], [], [], None
+                if (at[a], part[a]) != annulus:
+                    annulus, ids, parts, block = (at[a], part[a]), [], [], None
                 if kind[a] == 0:
                     ids.append(rid[a:b])
                     parts.append(matrix[a:b])
@@ -169,8 +208,13 @@ def _scored(k: int):
 
 def _expand(index: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score) of the wanted (annulus, id, v, floor) queries, at most k of each annulus."""
-    vectors = index.join(wanted.select("annulus").distinct(), "annulus", "left_semi").select("annulus", F.lit(0).alias("kind"), "id", "v", F.lit(0).cast("long").alias("floor"))
-    merged = vectors.unionAll(wanted.select("annulus", F.lit(1).alias("kind"), "id", "v", "floor")).repartition("annulus").sortWithinPartitions("annulus", "kind")
+    # there are not many more annuli than ANNULI
+    parts = wanted.groupBy(F.col("annulus").alias("of")).agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
+    parts = F.broadcast(stored(parts, "parts"))
+    vectors = index.join(parts, F.col("annulus") == F.col("of")).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    vectors = vectors.select("annulus", "part", F.lit(0).alias("kind"), "id", "v", F.lit(0).cast("long").alias("floor"))
+    asking = wanted.join(parts, F.col("annulus") == F.col("of")).withColumn("part", F.expr("cast(pmod(xxhash64(id, v), parts) as int)"))
+    merged = vectors.unionAll(asking.select("annulus", "part", F.lit(1).alias("kind"), "id", "v", "floor")).repartition("annulus", "part").sortWithinPartitions("annulus", "part", "kind")
     return merged.mapInArrow(_scored(k), "query_id long, vec_id long, score long")
 
 
@@ -179,50 +223,47 @@ def _best(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivot_count: int = PIVOTS, sample: int = SAMPLE) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivot_count: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id and score of the k best other vectors of each query.
 
     vectors and queries: (id, v) as integer_vectors makes them; sample bounds the rows that the pivots are chosen from.
     """
-    widths = vectors.groupBy(F.length("v").alias("width")).count().orderBy(F.col("count").desc(), "width").head(1)
-    some = vectors.where(F.length("v") == widths[0]["width"]).orderBy(F.xxhash64("id"), "id").limit(sample).collect() if widths else []
-    if not some:
+    widths = vectors.groupBy(F.length("v").alias("width")).count().orderBy("width").collect()
+    found = [_search(vectors.where(F.length("v") == r["width"]), queries.where(F.length("v") == r["width"]), r["count"], k, pivot_count, sample) for r in widths]
+    if not found:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    pivots = _pivots(np.array([np.frombuffer(r["v"], "<i8") for r in some], np.float64), pivot_count)
+    # an id may stand for vectors of several lengths
+    scores = reduce(DataFrame.unionAll, found)
+    return _best(scores, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _search(vectors: DataFrame, queries: DataFrame, n: int, k: int, pivot_count: int | None, sample: int) -> DataFrame:
+    """At least the k best scores of each query, among vectors of one length."""
+    some = vectors.orderBy(F.xxhash64("id"), "id", "v").limit(sample).collect()
+    count = min(max(PIVOTS, n // PER_PIVOT), MOST_PIVOTS) if pivot_count is None else pivot_count
+    pivots = _pivots(np.array([np.frombuffer(r["v"], "<i8") for r in some], np.float64), count)
     schema = "id long, v binary, pivot int, r double, norm double"
     ordered = vectors.mapInArrow(_indexed(pivots), schema).repartitionByRange("pivot", "r", "id").sortWithinPartitions("pivot", "r", "id")
-    index = stored(ordered.mapInArrow(_cut, "annulus long, " + schema), "annuli")
-    annuli = stored(index.groupBy("annulus", "pivot").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.max("norm").alias("most")), "rings")
-    asked = queries.dropDuplicates(["id", "v"]).mapInArrow(_indexed(pivots), schema).select("id", "v", "pivot", "r", "norm")
-    own = asked.join(annuli, "pivot").withColumn("off", F.greatest(F.col("lo") - F.col("r"), F.col("r") - F.col("hi"), F.lit(0.0)))
-    first = own.groupBy("id", "v").agg(F.min_by("annulus", F.struct("off", "annulus")).alias("annulus")).select("annulus", "id", "v", F.lit(NONE).cast("long").alias("floor"))
-    floors = _best(_expand(index, first, k), k).where(F.col("rank") == k).groupBy("query_id").agg(F.min("score").alias("floor"))
-    floors = stored(floors, "floors")
-
-    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each query's distance to every pivot."""
-        for batch in batches:
-            if len(batch):
-                d = _distances(_matrix(batch.column(1)).astype(np.float64), pivots)
-                take = pa.array(np.repeat(np.arange(len(d)), len(pivots)))
-                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns), pa.array(np.tile(np.arange(len(pivots), dtype=np.int32), len(d))), pa.array(d.ravel())], names=["id", "v", "norm", "pivot", "d"])
-
-    spread = asked.select("id", "v", "norm").mapInArrow(far, "id long, v binary, norm double, pivot int, d double")
-    gap = F.greatest(F.col("lo") - F.col("d"), F.col("d") - F.col("hi"), F.lit(0.0))
-    # rounding errors are far below 1, or below this share of the squares that the distances come from
-    slack = 1 + 1e-11 * (F.col("norm") + F.col("most") + float((pivots**2).sum(1).max()))
-    bound = (F.col("norm") + F.col("most") - gap * gap) / 2 + slack
-    wanted = spread.join(annuli, "pivot").withColumn("bound", bound).join(floors, F.col("id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("floor", F.lit(NONE).cast("long"))).where("bound >= cast(floor as double) - 1e-15 * abs(cast(floor as double))")
-    return _best(_expand(index, wanted.select("annulus", "id", "v", "floor"), k), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    index = stored(ordered.mapInArrow(_cut(max(ANNULUS, n // ANNULI)), "annulus long, " + schema), "annuli")
+    summary = index.groupBy("annulus", "pivot").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.max("norm").alias("most")).orderBy("annulus").toArrow()
+    rings = {c: summary[c].to_numpy() for c in summary.column_names}
+    asked = stored(queries.dropDuplicates(["id", "v"]).mapInArrow(_indexed(pivots), schema), "asked")
+    target = "annulus long, id long, v binary, floor long"
+    none = F.lit(NONE).cast("long")
+    near = stored(asked.withColumn("floor", none).mapInArrow(_wanted(pivots, rings, True), target), "near")
+    floors = _best(_expand(index, near, k), k).where(F.col("rank") == k).groupBy("query_id").agg(F.min("score").alias("floor"))
+    again = asked.join(stored(floors, "floors"), F.col("id") == F.col("query_id"), "left").select(*asked.columns, F.coalesce("floor", none).alias("floor"))
+    return _expand(index, stored(again.mapInArrow(_wanted(pivots, rings, False), target), "wanted"), k)
 
 
 SQL = """
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT DISTINCT vec_id, v FROM e WHERE vec_id % 50 = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(CASE WHEN len(q.v) = len(c.v) THEN list_dot_product(q.v, c.v) END AS BIGINT) AS score
+  FROM q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
