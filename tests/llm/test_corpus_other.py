@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -16,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fogline.llm import mixing, packing, secrets, topk, toxicity, urls
+from fogline.llm import mixing, packing, secrets, topk, toxicity, transducers, urls
 
 NAMES = [k for k in secrets.KINDS]
 PATTERNS = [
@@ -362,6 +363,62 @@ def test_clauses_select_the_pattern():
     assert pattern("foolish matters only") == set()
 
 
+def brute_clause(g, words):
+    """What a clause emits, word by word, without transducers."""
+    out, scope, said, quoted, act, free = collections.Counter(), 0, False, False, False, []
+    aimed = any(w in toxicity.TARGETS and w not in toxicity.NEGATIONS and w not in toxicity.REPORTS for w in words)
+    for w in words:
+        scope = toxicity.SCOPE + 1 if w in toxicity.NEGATIONS else scope
+        said, quoted = said or w in toxicity.REPORTS, quoted != (w == '"')
+        mark = "negated" if scope else "reported" if said or quoted else ""
+        act = act or w in toxicity.ACTS and not mark
+        if weight := g.insult(w):
+            out[mark or ("targeted" if aimed else "plain")] += weight
+        scope = max(scope - 1, 0)
+    out["threat"] += act and aimed
+    return +out
+
+
+def test_the_composed_grammar_equals_brute_force():
+    r = random.Random(7)
+    g = toxicity.ToxicGrammar(words={"fool": 4.0, "kill": 2.0, "you": 1.0}, beginnings={"idio": 3.0})
+    words = ["fool", "kill", "you", "idiots", "not", "said", '"', "him", "shoot", "house", "green", "never"]
+    for _ in range(400):
+        clause = [r.choice(words) for _ in range(r.randint(1, 12))]
+        got = dict(zip(toxicity.PATTERNS, g.totals(" ".join(clause)), strict=True))
+        assert {k: v for k, v in got.items() if v} == dict(brute_clause(g, clause)), clause
+
+
+def test_composition_reads_what_the_first_writes():
+    a = transducers.build([0], "ab", lambda s, x: [("x" if x == "a" else "y", 1.0, s)])
+    b = transducers.build([0], "xy", lambda s, x: [(x + str(s), 2.0, 1 - s)] if (x == "y") == (s == 1) else [], lambda s: s == 0)
+    ab = transducers.compose(a, b)
+    assert ab.accept("abab") == [(["x0", "y1", "x0", "y1"], 12.0)]
+    assert ab.accept("aba") == [] and ab.accept("ba") == []
+    whole = toxicity.clause_grammar()
+    for n in range(5):  # one path for every clause: the guess of a target is settled at its end
+        for symbols in itertools.product(["word!", "act", "target", "negation", "quote"], repeat=n):
+            assert len(whole.accept([*symbols, "end"])) == 1
+
+
+@pytest.mark.parametrize("sf, found, wrong", [("sf0.01", 0.8, 0.05), ("sf0.1", 0.9, 0.01)])
+def test_toxicity_on_held_out_rows(spark, sf, found, wrong):
+    documents, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score_toxicity(documents, toxicity.fit_grammar(documents, labels)).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id")
+    n = {(r.toxic, r.predicted): r["count"] for r in scored.groupBy("toxic", "predicted").count().collect()}
+    assert n.get((1, 1), 0) >= found * (n.get((1, 1), 0) + n.get((1, 0), 0))
+    assert n.get((0, 1), 0) <= wrong * (n.get((0, 1), 0) + n.get((0, 0), 0))
+
+
+def test_toxicity_of_odd_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    assert toxicity.fit_grammar(none, labels).words == {}
+    d = spark.createDataFrame([(1, "fool " * 100_000), (1, None), (2, ""), (2, "calm words")] * 3, "doc_id long, text string")
+    out = toxicity.score_toxicity(d, toxicity.fit_grammar(d, labels)).collect()
+    assert len(out) == 12 and all(0 <= x.score <= 1 for x in out)
+
+
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
     """The smallest tables, with a few odd rows, as files."""
