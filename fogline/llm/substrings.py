@@ -117,7 +117,8 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, anchor: int = A
     ends = stored(single.where("not whole").join(known, ["kg", "w"]).select("id", "th", F.expr("s + i").alias("s"), F.lit(1).alias("m")), "ends")
     release(spark)
     whole = hits.where("whole").select("id", "th", "s", "m")
-    return whole.unionAll(ends).groupBy("id", "th").agg(F.collect_list(F.struct("s", "m")).alias("spans"))
+    # copies of a row have equal spans, which meet before the shuffle
+    return whole.unionAll(ends).groupBy("id", "th").agg(F.collect_set(F.struct("s", "m")).alias("spans"))
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
