@@ -190,9 +190,7 @@ def calibrate(store: MatchStore, name: str, samples: DataFrame, model: str, kind
 
     samples: of evaluate() on validation matches; only enemies seen before count."""
     own = samples.where((F.col("model") == model) & F.col("since").isNotNull())
-    # the true region is the one whose probability is p_region
-    truth = (F.array_position("probs", F.col("p_region")) - 1).cast("int")
-    rows = own.select("demo_id", "round_num", F.col("probs").alias("p"), truth.alias("truth"), F.when(F.col("since") < 5, 0).when(F.col("since") < 20, 1).otherwise(2).alias("grp")).where("truth >= 0")
+    rows = own.select("demo_id", "round_num", F.col("probs").alias("p"), F.col("true_region").alias("truth"), F.when(F.col("since") < 5, 0).when(F.col("since") < 20, 1).otherwise(2).alias("grp"))
     rows = stored(scoring.folds(rows.withColumn("cluster", F.concat_ws("|", "demo_id", "round_num")), "cluster", 2), "calibration")
     losses = fitting.choose_calibration(rows, "fold", 2, kinds)
     best = min(losses, key=losses.get)

@@ -110,7 +110,7 @@ def team_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = _line_ups(spark, sf_dir).orderBy("clock", "places").collect()
     recorded = {"clock": np.array([r["clock"] for r in rows]), "alive": np.array([r["alive"] for r in rows]), "buy": np.full(len(rows), 2), "count": np.array([r["count"] for r in rows]), "places": np.array([[*r["places"], *[-1] * (5 - len(r["places"]))] for r in rows], int).reshape(-1, 5)}
-    options = b.TeamOptions(most_candidates=max(len(rows), 1))  # none is left out
+    options = b.LineUps(most=max(len(rows), 1))  # none is left out
     p = np.stack([np.bincount([i], minlength=10) * 0.5 + 0.05 for i in (1, 4, 8)])
     out = []
     for clock in range(0, 60, 5):

@@ -1,5 +1,7 @@
 """Operators on literal rows and their invariants."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -248,11 +250,33 @@ def test_masked_moves_keep_mass():
     assert out == pytest.approx([0.5 / 0.55, 0.05 / 0.55, 0.0])
 
 
-def test_the_48_configurations_and_their_cores():
+def test_the_48_configurations_and_what_they_share():
     named = b.configurations()
-    assert len(named) == 48
-    assert named["ens"].core() == named["ens_uncal"].core() == named["ens_indep"].core() != named["ens_nofire"].core()
-    assert named["ens_team_best"].core() == named["ens_team"].core()
+    # ens_team_p100c and ens_uncal are two names of one configuration
+    assert len(named) == 48 and len({(c.parts, c.output) for c in named.values()}) == 47
+    assert named["ens"].parts == named["ens_uncal"].parts == named["ens_indep"].parts != named["ens_nofire"].parts
+    assert named["ens_team_best"].parts == named["ens_team"].parts
+    assert all(sum(w for w, _ in c.parts) == pytest.approx(1.0) for c in named.values())
+    # an evaluation of all runs each recursion once
+    assert len({p for c in named.values() for _, p in c.parts}) == 26
+
+
+@pytest.mark.parametrize("single", [False, True])
+def test_assignments_equal_all_permutations(single):
+    rng = np.random.default_rng(3)
+    for k in range(1, 6):
+        fit = rng.choice([0.0, 0.5, 1.0, 2.0], (20, k, 5))
+        total, share = corrections.assignments(fit, single)
+        for row in range(20):
+            ways = list(itertools.permutations(range(5), k))
+            weights = [np.prod([fit[row, e, j] for e, j in enumerate(way)]) for way in ways]
+            kept = [int(np.argmax(weights))] if single else range(len(ways))
+            assert total[row] == pytest.approx(sum(weights[i] for i in kept))
+            want = np.zeros((k, 5))
+            for i in kept:
+                for e, j in enumerate(ways[i]):
+                    want[e, j] += weights[i]
+            assert share[row] == pytest.approx(want)
 
 
 def models3(**more):
@@ -282,7 +306,7 @@ def test_beliefs_sum_to_one_and_collapse_on_sightings(name):
     models = models3(library=library3(), smooth=None)
     for s, out in b.run_all(episode3(), models, [cfg]):
         assert out[name].sum(1) == pytest.approx(1.0)
-        if s == 2 and "prior" not in name and not cfg.mix_prior:
+        if s == 2 and "prior" not in name and len(cfg.parts) == 1:
             assert out[name][0, 1] > 0.99
         assert (out[name] >= 0).all()
 
@@ -293,6 +317,34 @@ def test_absence_moves_mass_away():
         assert s == 5 or out["hmm"][0, 2] < out["hmm_noneg"][0, 2]
 
 
+def fires3():
+    e = episode3(steps=8, seen_at=0)
+    e.unseen = None
+    e.fire_step = {s: np.array([1.0, 0.0, 0.5]) for s in range(8)}
+    e.fire_occ = {s: np.array([1.0, 0.1, 1.0]) for s in range(8)}
+    return e
+
+
+def test_particles_wait_and_weigh_at_fires():
+    """A particle goes on with the chance of the next cell over that of its own; occupancy, not the step, weighs."""
+    n = 4000
+    node, nxt = np.tile([2, 2], n // 2), np.arange(n) + 1
+    nxt[1::2] = -1
+    lib = b.Library(node, np.zeros(n, int), np.zeros(n), np.zeros(n, int), np.full(n, np.nan), np.full(n, 2), np.full(n, -1), np.zeros((n, 2)), nxt, 3)
+    e = fires3()
+    e.seen[:] = -1
+    models = models3(library=lib, smooth=None)
+    moved = []
+    for fires in ("", "wait"):
+        runs = list(b.run_particles(e, models, b.Recursion("particles", fires=fires), m=2000))
+        moved.append(runs[1][0])
+    assert moved[0] == pytest.approx(moved[1])  # from 0.5 to 0.5 all go on
+    weighed = list(b.run_particles(e, models3(library=library3(3000), smooth=None), b.Recursion("particles", fires="weight"), m=4000))[0][0]
+    free = list(b.run_particles(e, models3(library=library3(3000), smooth=None), b.Recursion("particles"), m=4000))[0][0]
+    want = free * [1.0, 0.1, 1.0]
+    assert weighed == pytest.approx(want / want.sum(), abs=0.02)
+
+
 def test_systematic_draws():
     w = np.array([0.1, 0.2, 0.7])
     assert np.bincount(b.systematic(np.repeat(w, 100) / 100, 0.5) // 100, minlength=3) == pytest.approx([30, 60, 210], abs=2)
@@ -302,7 +354,7 @@ def test_independent_line_ups_correct_nothing_and_stacks_do():
     grid = [(i, j) for i in range(4) for j in range(4)]
     flat = {"clock": np.zeros(16), "alive": np.full(16, 2), "buy": np.full(16, 2), "places": np.array([[*g, -1, -1, -1] for g in grid])}
     p = np.tile(np.array([0.4, 0.3, 0.2, 0.1]), (2, 1))
-    sharp = b.TeamOptions(pseudo=0.0)
+    sharp = b.LineUps(pseudo=0.0)
     assert corrections.team_ratio(flat, 0.0, None, p, sharp) == pytest.approx(1.0, abs=1e-6)
     stack = flat | {"places": np.array([[i % 4, i % 4, -1, -1, -1] for i in range(16)])}
     known = np.array([[0.97, 0.01, 0.01, 0.01], [0.25, 0.25, 0.25, 0.25]])
@@ -317,7 +369,7 @@ def test_counted_line_ups_weigh_like_repeated_ones():
     once = {"clock": np.sort(rng.random(n)), "alive": np.full(n, 3), "buy": np.full(n, 2), "places": np.hstack([rng.integers(0, 4, (n, 3)), np.full((n, 2), -1)]), "count": rng.integers(1, 6, n)}
     repeated = {k: np.repeat(v, once["count"], axis=0) for k, v in once.items() if k != "count"}
     p = rng.dirichlet(np.ones(4), 2)
-    for options in (b.TeamOptions(), b.TeamOptions(best_pairing=True)):
+    for options in (b.LineUps(), b.LineUps(single=True)):
         assert corrections.team_ratio(once, 0.5, None, p, options) == pytest.approx(corrections.team_ratio(repeated, 0.5, None, p, options))
 
 
