@@ -108,8 +108,11 @@ def on_grid(positions: DataFrame, grid: Grid) -> DataFrame:
 
 
 def since_seen(ticks: DataFrame) -> DataFrame:
-    """ticks with since: seconds since the player was last on the radar (null: never in the round)."""
+    """ticks with since: seconds since the player was last on the radar (null: never in the round); and seen_weapon, the
+    weapon class shown then, where ticks have a weapon_class."""
     keys = ["demo_id", "round_num", "steamid"]
+    if "weapon_class" in ticks.columns:
+        ticks = temporal.forward_fill(ticks, keys, ["tick"], F.col("weapon_class"), F.col("spotted"), "seen_weapon")
     seen = temporal.forward_fill(ticks, keys, ["tick"], F.col("tick"), F.col("spotted"), "seen_tick")
     return seen.withColumn("since", (F.col("tick") - F.col("seen_tick")) / TICKS).drop("seen_tick")
 
@@ -118,7 +121,8 @@ def motion_tables(states: DataFrame, cells: DataFrame, edges: DataFrame) -> dict
     """Chains, spawn and occupancy. states: demo_id, round_num, steamid, side, tick, t, phase, since, node.
 
     walk: stay with the empirical rate, else a uniform neighbour; base: counts by side and phase plus half the walk;
-    learned: counts by age bin as well, drawn to base with the weight of four moves.
+    learned: counts by age bin as well, drawn to base with the weight of four moves; armed (if states have a
+    seen_weapon): counts by the weapon class last shown as well, drawn to learned with the weight of four moves.
     """
     moves = temporal.moves(states, ["demo_id", "round_num", "steamid"], ["tick"], "tick", "node", exact=STEP)
     moves = moves.withColumn("sbin", bins.since_bin(F.col("since")))
@@ -132,11 +136,18 @@ def motion_tables(states: DataFrame, cells: DataFrame, edges: DataFrame) -> dict
     prior = rows.join(base.withColumnRenamed("p", "prior"), ["side", "phase", "node"])
     both = prior.join(fine, ["side", "phase", "sbin", "node", "next_node"], "full").fillna(0, ["n", "prior"]).withColumn("mass", F.col("n") + 4 * F.col("prior"))
     learned = counting.row_share(both, ["side", "phase", "sbin", "node"], "mass").select("side", "phase", "sbin", "node", "next_node", "p")
+    armed = {}
+    if "seen_weapon" in states.columns:
+        arms = ["side", "phase", "sbin", "seen_weapon"]
+        shown = counting.transitions(moves.where("seen_weapon is not null"), arms, "node", "next_node")
+        own = shown.select(*arms, "node").distinct().join(learned.withColumnRenamed("p", "prior"), ["side", "phase", "sbin", "node"])
+        mass = own.join(shown, [*arms, "node", "next_node"], "full").fillna(0, ["n", "prior"]).withColumn("mass", F.col("n") + 4 * F.col("prior"))
+        armed["armed"] = counting.row_share(mass, [*arms, "node"], "mass").select(*arms, "node", "next_node", "p")
     first = states.groupBy("demo_id", "round_num", "steamid").agg(F.min_by(F.struct("side", "node"), "tick").alias("s")).select("s.*")
     spawn = counting.smoothed_share(first.groupBy("side", "node").agg(F.count("*").alias("n")), cells, ["side"], "node", 1e-3)
     timed = states.withColumn("tbin", bins.fixed_bin(F.col("t"), 5.0, 36)).groupBy("side", "phase", "tbin", "node").agg(F.count("*").alias("n"))
     occupancy = counting.smoothed_share(timed, cells, ["side", "phase", "tbin"], "node", 0.01)
-    return {"walk": walk, "base": base, "learned": learned, "spawn": spawn, "occupancy": occupancy}
+    return {"walk": walk, "base": base, "learned": learned, "spawn": spawn, "occupancy": occupancy, **armed}
 
 
 def trajectory_library(states: DataFrame) -> DataFrame:
@@ -200,12 +211,13 @@ def pixel_bands(positions: DataFrame, size: float = 16.0) -> DataFrame:
     return positions.groupBy(F.floor(F.col("X") / size).cast("int").alias("px"), F.floor(F.col("Y") / size).cast("int").alias("py")).agg(F.min("Z").alias("lo"), F.max("Z").alias("hi"))
 
 
-def sight_lines(cells: DataFrame, bands: DataFrame, size: float = 16.0, step: float = 8.0, reach: float = 4500.0, eye: float = 64.0, chest: float = 48.0, skip: float = 20.0, most: int = 20_000) -> DataFrame:
-    """(a, b) pairs of cells with a free line, both directions and each cell with itself.
+def sight_lines(cells: DataFrame, bands: DataFrame, opened: DataFrame | None = None, size: float = 16.0, step: float = 8.0, reach: float = 4500.0, eye: float = 64.0, chest: float = 48.0, skip: float = 20.0, most: int = 20_000) -> DataFrame:
+    """(a, b, walk, carve) pairs of cells with a free line, both directions and each cell with itself.
 
-    A line from eye to chest is sampled every 8 units but for 20 at the ends; it is blocked where nobody ever walked or
-    where the ground rises into it. Cells and pixels of a map are checked to be few and go to every task; each task
-    takes some source cells.
+    A line from eye to chest is sampled every 8 units but for 20 at the ends. It is blocked where nobody ever walked,
+    where the ground rises into it, or by the slab under an upper floor (walk); opened pixels (px, py, low, high),
+    which real sightings crossed, do not block at such heights (carve). Cells and pixels of a map are checked to be
+    few and go to every task; each task takes some source cells.
     """
     c = cells.select("node", "x", "y", "z").limit(most + 1).toArrow()
     b = bands.limit(50 * most + 1).toArrow()
@@ -215,37 +227,54 @@ def sight_lines(cells: DataFrame, bands: DataFrame, size: float = 16.0, step: fl
     xyz = np.stack([c[k].to_numpy().astype(float) for k in ("x", "y", "z")], 1)
     px, py, lo = b["px"].to_numpy(), b["py"].to_numpy(), b["lo"].to_numpy().astype(float)
     base = (int(px.min(initial=0)), int(py.min(initial=0)))
-    ground = np.full((int(px.max(initial=0)) - base[0] + 1, int(py.max(initial=0)) - base[1] + 1), np.inf)
+    shape = (int(px.max(initial=0)) - base[0] + 1, int(py.max(initial=0)) - base[1] + 1)
+    ground, roof, low, high = (np.full(shape, v) for v in (np.inf, -np.inf, np.inf, -np.inf))
     ground[px - base[0], py - base[1]] = lo
-
-    def visible(i: int, j: np.ndarray) -> np.ndarray:
+    roof[px - base[0], py - base[1]] = b["hi"].to_numpy().astype(float)
+    if opened is not None:
+        o = opened.limit(50 * most + 1).toArrow()
+        if len(o) > 50 * most:
+            raise ValueError("too large for one map")
+        ox, oy = o["px"].to_numpy() - base[0], o["py"].to_numpy() - base[1]
+        inside = (ox >= 0) & (oy >= 0) & (ox < shape[0]) & (oy < shape[1])
+        low[ox[inside], oy[inside]] = o["low"].to_numpy().astype(float)[inside]
+        high[ox[inside], oy[inside]] = o["high"].to_numpy().astype(float)[inside]
+
+    def visible(i: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, d = xyz[i] + (0, 0, eye), xyz[j] + (0, 0, chest)
         far = np.hypot(d[:, 0] - a[0], d[:, 1] - a[1])
-        free = far <= reach
-        steps = np.arange(skip, max(float(far[free].max(initial=0.0)), skip) + step, step)
+        walk = far <= reach
+        carve = walk.copy()
+        steps = np.arange(skip, max(float(far[walk].max(initial=0.0)), skip) + step, step)
         for k0 in range(0, len(steps), 64):
             s = steps[k0 : k0 + 64]
             share = s[None, :] / np.maximum(far, 1e-9)[:, None]
-            inside = (s[None, :] <= far[:, None] - skip) & free[:, None]
+            inside = (s[None, :] <= far[:, None] - skip) & carve[:, None]
             x, y, z = (a[m] + share * (d[:, m] - a[m])[:, None] for m in range(3))
             ix, iy = np.floor(x / size).astype(int) - base[0], np.floor(y / size).astype(int) - base[1]
-            known = (ix >= 0) & (iy >= 0) & (ix < ground.shape[0]) & (iy < ground.shape[1])
-            height = np.where(known, ground[np.clip(ix, 0, ground.shape[0] - 1), np.clip(iy, 0, ground.shape[1] - 1)], np.inf)
-            free &= ~(inside & (height > z - 8)).any(1)
-            if not free.any():
+            known = (ix >= 0) & (iy >= 0) & (ix < shape[0]) & (iy < shape[1])
+            at = np.clip(ix, 0, shape[0] - 1), np.clip(iy, 0, shape[1] - 1)
+            slab = (roof[at] - ground[at] > FLOOR_GAP) & (z > roof[at] - 40) & (z < roof[at] + 4)
+            solid = ~known | (ground[at] > z - 8) | slab
+            through = known & (low[at] <= z + 16) & (z <= high[at] + 96)
+            walk &= ~(inside & solid).any(1)
+            carve &= ~(inside & solid & ~through).any(1)
+            if not carve.any():
                 break
-        return free
+        return walk, carve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {int(n): i for i, n in enumerate(node)}
         for batch in batches:
             for n in batch.column(0).to_pylist():
                 later = np.flatnonzero(node > n)
-                seen = later[visible(place[n], later)] if len(later) else later
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), n, np.int64)), pa.array(node[seen].astype(np.int64))], names=["a", "b"])
+                walk, carve = visible(place[n], later)
+                seen = later[carve]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), n, np.int64)), pa.array(node[seen].astype(np.int64)), pa.array(walk[carve]), pa.array(np.ones(len(seen), bool))], names=["a", "b", "walk", "carve"])
 
-    half = cells.select(F.col("node").cast("long").alias("node")).repartition("node").mapInArrow(run, "a long, b long")
-    return half.union(half.select("b", "a")).union(cells.select(F.col("node").cast("long"), F.col("node").cast("long")))
+    half = cells.select(F.col("node").cast("long").alias("node")).repartition("node").mapInArrow(run, "a long, b long, walk boolean, carve boolean")
+    own = cells.select(F.col("node").cast("long").alias("a"), F.col("node").cast("long").alias("b"), F.lit(True).alias("walk"), F.lit(True).alias("carve"))
+    return half.union(half.select("b", "a", "walk", "carve")).union(own)
 
 
 # -- fires ----------------------------------------------------------------------------------------------------------
@@ -272,20 +301,22 @@ def fire_profile(rings: DataFrame, count: int = 14, width: float = 20.0, floor:
     return {"edges": width * np.arange(count + 1), "occupancy": occupancy}
 
 
-def fire_choices(states: DataFrame, fires: DataFrame, cells: DataFrame, walk: DataFrame, count: int = 14, width: float = 20.0, height: float = 100.0, spread: float = 0.5) -> DataFrame:
-    """Moves near a burning fire as choices: truth, and x: for each of up to twelve next cells of the walk a one-hot of its
-    ring, and base: its probability; cells beyond the rings and missing choices have no ring.
-
-    Fires of a round and a player's next cells are few, so a move meets a handful of rows."""
+def fire_choices(states: DataFrame, fires: DataFrame, cells: DataFrame, learned: DataFrame, count: int = 14, width: float = 20.0, height: float = 100.0, spread: float = 0.5) -> DataFrame:
+    """One row for each move near fires that burn where it ends: truth, the ring of the cell moved to, and base, the
+    chance under the learned chain to move into each ring (the last one is beyond the fires); x is that choice's ring
+    as one-hot. A cell's ring is that of the nearest fire on its floor. All next cells count, however many."""
+    keys = ["demo_id", "round_num", "steamid", "tick"]
     moves = temporal.moves(states, ["demo_id", "round_num", "steamid"], ["tick"], "tick", "node", exact=STEP)
+    moves = moves.select(*keys, "side", "phase", bins.since_bin(F.col("since")).alias("sbin"), "node", "next_node", "X", "Y", "Z", (F.col("tick") + STEP).alias("ends"))
     burning = fires.select("demo_id", "round_num", F.col("X").alias("fx"), F.col("Y").alias("fy"), F.col("Z").alias("fz"), (F.col("start_tick") + spread * TICKS).alias("s"), F.col("end_tick").alias("e"))
-    met = temporal.interval_join(moves.select("demo_id", "round_num", "steamid", "tick", "node", "next_node", "X", "Y", "Z"), burning, ["demo_id", "round_num"], "tick", "s", "e", 7 * TICKS)
+    met = temporal.interval_join(moves, burning, ["demo_id", "round_num"], "ends", "s", "e", 7 * TICKS)
     near = met.where((F.hypot(F.col("X") - F.col("fx"), F.col("Y") - F.col("fy")) < count * width + 128) & (F.abs(F.col("Z") - F.col("fz")) < height))
-    at = cells.select(F.col("node").alias("to"), F.col("x").alias("cx"), F.col("y").alias("cy"))
-    options = near.join(walk.select("node", F.col("next_node").alias("to"), "p"), "node").join(at, "to")
+    at = cells.select(F.col("node").alias("to"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
+    options = near.join(learned.select("side", "phase", "sbin", "node", F.col("next_node").alias("to"), "p"), ["side", "phase", "sbin", "node"]).join(at, "to")
     ring = F.least(F.floor(F.hypot(F.col("cx") - F.col("fx"), F.col("cy") - F.col("fy")) / width), F.lit(count)).cast("int")
-    rows = options.groupBy("demo_id", "round_num", "steamid", "tick", "fx", "fy").agg(F.max("next_node").alias("next_node"), F.slice(F.array_sort(F.collect_list(F.struct("to", ring.alias("ring"), "p"))), 1, 12).alias("o"))
-    truth = F.array_position(F.transform("o", lambda c: c["to"]), F.col("next_node")) - 1
-    padded = F.concat("o", F.array_repeat(F.struct(F.lit(-1).cast("long").alias("to"), F.lit(count).alias("ring"), F.lit(0.0).alias("p")), F.lit(12) - F.size("o")))
-    x = F.flatten(F.transform(padded, lambda c: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: (c["ring"] == i).cast("double"))))
-    return rows.select(truth.cast("int").alias("truth"), F.transform(padded, lambda c: c["p"]).alias("base"), x.alias("x")).where("truth >= 0")
+    ring = F.when(F.abs(F.col("cz") - F.col("fz")) < height, ring).otherwise(count)
+    each = options.groupBy(*keys, "to").agg(F.min(ring).alias("ring"), F.first("p").alias("p"), F.max(F.col("to") == F.col("next_node")).alias("true"))
+    mass = F.array(*(F.sum(F.when(F.col("ring") == i, F.col("p")).otherwise(0.0)) for i in range(count + 1)))
+    rows = each.groupBy(*keys).agg(mass.alias("base"), F.max(F.when(F.col("true"), F.col("ring"))).alias("truth"), F.min("ring").alias("least"))
+    eye = F.array(*(F.lit(float(i == j)) for i in range(count + 1) for j in range(count)))
+    return rows.where(f"truth is not null and least < {count}").select(F.col("truth").cast("int").alias("truth"), "base", eye.alias("x"))

@@ -24,7 +24,32 @@ def states_of(store: MatchStore, grid: maps.Grid, demos: DataFrame | None = None
     play = maps.in_play(ticks.where("is_alive"), rounds, maps.STEP)
     located = maps.on_grid(play, grid).join(grid.cells.select("node", F.col("place").alias("region")), "node")
     buys = maps.team_buys(ticks, rounds)
-    return maps.since_seen(located).join(buys, ["demo_id", "round_num", "side"], "left").withColumn("weapon_class", weapon_class(F.col("weapon")))
+    return maps.since_seen(located.withColumn("weapon_class", weapon_class(F.col("weapon")))).join(buys, ["demo_id", "round_num", "side"], "left")
+
+
+def able(store: MatchStore, states: DataFrame) -> DataFrame:
+    """The states of players who can see: those not blinded for more than 0.3 s."""
+    spans = store.read("blinds").where("blind_duration > 0.3 and user_steamid is not null")
+    spans = spans.select("demo_id", "round_num", F.col("user_steamid").cast("long").alias("steamid"), F.col("tick").alias("s"), (F.col("tick") + F.col("blind_duration") * maps.TICKS).alias("e"))
+    return temporal.interval_join(states, spans, ["demo_id", "round_num", "steamid"], "tick", "s", "e", 4 * maps.TICKS, closed=True, how="left_anti")
+
+
+def clouds(store: MatchStore, states: DataFrame) -> DataFrame:
+    """(demo_id, round_num, tick, sx, sy) of smokes, from a second after their start to 1.5 before their end."""
+    spans = store.read("smokes").select("demo_id", "round_num", F.col("X").alias("sx"), F.col("Y").alias("sy"), (F.col("start_tick") + maps.TICKS).alias("s"), (F.col("end_tick") - 1.5 * maps.TICKS).alias("e")).where("e > s")
+    ticks = states.select("demo_id", "round_num", "tick").distinct()
+    return temporal.interval_join(ticks, spans, ["demo_id", "round_num"], "tick", "s", "e", 18 * maps.TICKS).select("demo_id", "round_num", "tick", "sx", "sy")
+
+
+def shown_guns(states: DataFrame) -> DataFrame:
+    """(buy, gun, p): the dearest gun (1 pistol to 4 sniper) that players of a team with this buy have shown so far, with
+    one added to every count."""
+    code = F.lit(4) - F.col("weapon_class")  # classes run from snipers to pistols, then others
+    best = temporal.running_best(states, ["demo_id", "round_num", "steamid"], ["tick"], F.when(F.col("spotted"), code), "gun")
+    counts = best.where("gun > 0 and buy is not null").groupBy("buy", "gun").agg(F.count("*").alias("n"))
+    every = states.sparkSession.createDataFrame([(i, g) for i in range(3) for g in range(1, 5)], "buy int, gun int")
+    mass = every.join(counts, ["buy", "gun"], "left").select("buy", "gun", (F.coalesce("n", F.lit(0)) + 1).alias("n"))
+    return mass.select("buy", "gun", (F.col("n") / F.sum("n").over(Window.partitionBy("buy"))).alias("p"))
 
 
 def fit(store: MatchStore, name: str, demos: DataFrame | None = None, only: Sequence[str] | None = None) -> None:
@@ -45,21 +70,24 @@ def fit(store: MatchStore, name: str, demos: DataFrame | None = None, only: Sequ
     if "teams" in todo:
         store.save_model(name, {"teams": maps.line_ups(states)})
     if "spot" in todo:
-        store.save_model(name, {"lines": maps.sight_lines(grid.cells, store.load_part(name, "bands"))})
-        tables = sight.fit_spotting(sight.pair_views(states, grid.cells), store.load_part(name, "lines"))
+        smokes = clouds(store, states).groupBy("demo_id", "tick").agg(F.collect_list(F.struct("sx", "sy")).alias("clouds"))
+        views = stored(sight.pair_views(states, grid.cells, able(store, states), smokes), "views")
+        store.save_model(name, {"lines": maps.sight_lines(grid.cells, store.load_part(name, "bands"), stored(sight.opened_pixels(views), "opened"))})
+        lines = store.load_part(name, "lines")
+        tables = sight.fit_spotting(views, lines)
         rows = [(k, i, float(v)) for k, t in enumerate(tables) for i, v in enumerate(t)]
-        store.save_model(name, {"spot": store.spark.createDataFrame(rows, "tab int, bin int, value double")})
+        store.save_model(name, {"spot": store.spark.createDataFrame(rows, "tab int, bin int, value double"), "factors": sight.spot_factors(views, lines, tables)})
     if "fires" in todo:
         infernos = store.read("infernos", demos=demos)
         profile = maps.fire_profile(maps.fire_rings(maps.in_play(ticks.where("is_alive"), rounds), infernos))
-        choices = maps.fire_choices(states, infernos, grid.cells, store.load_part(name, "walk"))
+        choices = maps.fire_choices(states, infernos, grid.cells, store.load_part(name, "learned"))
         step = np.ones(len(profile["occupancy"]))
         if choices.take(1):
             step = np.exp(fitting.maximise(choices, fitting.stack_likelihood(), np.zeros(len(step)), pull=1e-3, bounds=(float(np.log(0.01)), 0.0)))
         rows = [(i, float(profile["edges"][i]), float(o), float(m)) for i, (o, m) in enumerate(zip(profile["occupancy"], step, strict=True))]
         store.save_model(name, {"fires": store.spark.createDataFrame(rows, "ring int, lo double, occupancy double, step double")})
     if "buys" in todo:
-        store.save_model(name, {"buys": maps.buy_priors(_situations(store, demos))})
+        store.save_model(name, {"buys": maps.buy_priors(_situations(store, demos)), "guns": shown_guns(states)})
 
 
 def _situations(store: MatchStore, demos: DataFrame | None) -> DataFrame:
@@ -100,6 +128,13 @@ def load(store: MatchStore, name: str, most_states: int = 5_000_000) -> tuple[b.
     for (side, phase, sbin), rows in part("learned").groupby(["side", "phase", "sbin"]):
         rest = walk[~walk.node.isin(set(rows.node))]
         chains[SIDES[side], int(phase), int(sbin), -1] = chain(pd.concat([rows, rest]))
+    armed = part("armed")
+    if armed is not None:
+        learned = part("learned")
+        for (side, phase, sbin, weapon), rows in armed.groupby(["side", "phase", "sbin", "seen_weapon"]):
+            plain = learned[(learned.side == side) & (learned.phase == phase) & (learned.sbin == sbin) & ~learned.node.isin(set(rows.node))]
+            rest = walk[~walk.node.isin(set(rows.node) | set(plain.node))]
+            chains[SIDES[side], int(phase), int(sbin), int(weapon)] = chain(pd.concat([rows, plain, rest]))
     spawn = np.full((2, n), 1.0 / n)
     for r in part("spawn").itertuples():
         spawn[SIDES[r.side], r.node] = r.p
@@ -117,6 +152,9 @@ def load(store: MatchStore, name: str, most_states: int = 5_000_000) -> tuple[b.
         rows = sorted(burnt.collect(), key=lambda r: r["ring"])
         width = rows[1]["lo"] - rows[0]["lo"]
         models.fires = {"edges": np.array([r["lo"] for r in rows] + [rows[-1]["lo"] + width]), "occupancy": np.array([r["occupancy"] for r in rows]), "step": np.array([r["step"] for r in rows])}
+    guns = part("guns")
+    if guns is not None:
+        models.guns = guns.sort_values(["buy", "gun"]).p.to_numpy().reshape(3, 4)
     lib = store.load_part(name, "library")
     if lib is not None:
         rows = lib.limit(most_states + 1).toPandas()
@@ -140,7 +178,7 @@ def episode_steps(store: MatchStore, name: str, states: DataFrame) -> DataFrame:
     """Both sides' episodes: rows of KEYS, side (the enemies'), step, t, phase and the enemies' arrays, with looks."""
     grid = load_grid(store, name)
     side = ["demo_id", "round_num", "side"]
-    row = F.struct("steamid", F.when(F.col("spotted"), F.col("node")).otherwise(-1).cast("long").alias("seen"), F.col("node").cast("long").alias("true"))
+    row = F.struct("steamid", F.when(F.col("spotted"), F.col("node")).otherwise(-1).cast("long").alias("seen"), F.col("node").cast("long").alias("true"), F.when(F.col("spotted"), F.col("weapon_class")).otherwise(-1).cast("long").alias("weapon"))
     at = states.groupBy(*side, "tick").agg(F.map_from_entries(F.collect_list(F.struct("steamid", row.alias("r")))).alias("m"))
     who = states.groupBy(*side).agg(F.array_sort(F.collect_set("steamid")).alias("who"))
     clock = states.groupBy("demo_id", "round_num", "tick").agg(F.min("t").alias("t"), F.min("phase").alias("phase"))
@@ -148,13 +186,15 @@ def episode_steps(store: MatchStore, name: str, states: DataFrame) -> DataFrame:
     of = lambda f: F.transform("who", lambda w: F.coalesce(F.element_at("m", w)[f], F.lit(-1)))
     friendly = F.when(F.col("side") == "t", "ct").otherwise("t")
     step = F.row_number().over(Window.partitionBy(*side).orderBy("tick")) - 1
-    out = steps.select("demo_id", "round_num", friendly.alias("friendly"), F.when(F.col("side") == "t", 0).otherwise(1).alias("side"), "tick", step.alias("step"), "t", "phase", of("seen").alias("seen"), F.transform("who", lambda w: F.coalesce(F.map_contains_key("m", w), F.lit(False))).alias("alive"), of("true").alias("true"), "who")
-    out = _with_fires(store, out)
+    out = steps.select("demo_id", "round_num", friendly.alias("friendly"), F.when(F.col("side") == "t", 0).otherwise(1).alias("side"), "tick", step.alias("step"), "t", "phase", of("seen").alias("seen"), F.transform("who", lambda w: F.coalesce(F.map_contains_key("m", w), F.lit(False))).alias("alive"), of("true").alias("true"), of("weapon").alias("weapon"), "who")
+    out = _with_buys(store, name, _with_fires(store, out), states)
     spot, lines = store.load_part(name, "spot"), store.load_part(name, "lines")
     if spot is None or lines is None:
         return out.drop("who")
     tables = [np.array([r["value"] for r in sorted(spot.where(F.col("tab") == k).collect(), key=lambda r: r["bin"])]) for k in range(3)]
-    watch = sight.looks(states.withColumn("friendly", F.col("side")), grid.cells, lines, tables, [*KEYS, "tick"])
+    lines = sight.with_factors(lines, store.load_part(name, "factors"))
+    smokes = clouds(store, states).withColumn("friendly", F.explode(F.array(*map(F.lit, SIDES))))
+    watch = sight.looks(able(store, states).withColumn("friendly", F.col("side")), grid.cells, lines, tables, [*KEYS, "tick"], smokes)
     out = _with_kills(store, out, grid, lines, tables)
     return out.join(watch, [*KEYS, "tick"], "left").drop("who")
 
@@ -167,6 +207,21 @@ def _with_fires(store: MatchStore, steps: DataFrame) -> DataFrame:
     return steps.join(burning, ["demo_id", "round_num", "tick"], "left")
 
 
+def _with_buys(store: MatchStore, name: str, steps: DataFrame, states: DataFrame) -> DataFrame:
+    """steps with buy_history, the chances of the enemies' buy in their situation, and buy_true, as it was."""
+    priors = store.load_part(name, "buys")
+    if priors is None:
+        return steps
+    enemy = F.when(F.col("side") == "t", "ct").otherwise("t")
+    keys = ["demo_id", "round_num", "friendly"]
+    told = _situations(store, None).join(priors, "situation", "left").select("demo_id", "round_num", enemy.alias("friendly"), F.col("p").alias("buy_history"))
+    even = F.array(*[F.lit(1.0 / 3)] * 3)
+    true = states.groupBy("demo_id", "round_num", enemy.alias("friendly")).agg(F.max("buy").alias("b"))
+    own = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: (F.col("b") == i).cast("double"))
+    found = true.join(told.dropDuplicates(keys), keys, "left").select(*keys, F.coalesce("buy_history", even).alias("buy_history"), F.when(F.col("b").isNotNull(), own).otherwise(even).alias("buy_true"))
+    return steps.join(found, keys, "left")
+
+
 def _with_kills(store: MatchStore, steps: DataFrame, grid: maps.Grid, lines: DataFrame, tables: Sequence[np.ndarray]) -> DataFrame:
     """steps with kills: what the kill feed says of where an enemy shot from, at the first step at or after the kill."""
     k = store.read("kills").where("attacker_steamid is not null and attacker_side <> victim_side and victim_X is not null")

@@ -71,6 +71,8 @@ def matches(spark: SparkSession, demos: int = 2, rounds: int = 6, seconds: int =
                     killer = 1000 + (5 + int(rng.integers(5)) if side == "t" else int(rng.integers(5)))
                     x, y, z = (float(v) for v in c[node, :3])
                     out["kills"].append((death, r, killer, "ct" if side == "t" else "t", x, y, z, False, 1000 + p, side, x, y, z, "knife" if knife else "ak47", False, False, 0, False, source, demo))
+            for p in range(0, 10, 3):
+                out["blinds"].append((start + 64 * (4 + p), f"p{p}", str(1000 + p), 2.5, 9, "p1", 1001, r, source, demo))
             for k in range(2):
                 at = start + 300 + 700 * k
                 x, y, z = (float(v) for v in c[int(rng.integers(len(c))), :3])

@@ -1,6 +1,5 @@
 """From synthetic matches through storage to maps, models, beliefs and scores."""
 
-import numpy as np
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -181,6 +180,51 @@ def test_from_states_to_scores(spark, states, world):
     assert distances.where("src = dst and distance <> 0").count() == 0
 
 
+def test_smokes_blinds_and_factors_reach_the_looks(spark):
+    from fogline.operators import sight
+
+    cells = spark.createDataFrame([(i, 300.0 * i, 0.0, 0.0) for i in range(3)], "node long, x double, y double, z double")
+    lines = spark.createDataFrame([(a, c, True, True) for a in range(3) for c in range(3)], "a long, b long, walk boolean, carve boolean")
+    tables = [np.zeros(32), np.zeros(36), np.zeros(10)]
+    factors = spark.createDataFrame([(0, 2, 0.1)], "a long, b long, factor double")
+    watcher = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0, 0.0, 0.0)], "tick int, node long, X double, Y double, Z double, yaw double, pitch double")
+    missed = lambda lines, smokes=None: dict(zip(*sight.looks(watcher, cells, lines, tables, ["tick"], smokes).select("looked", "missed").first(), strict=True))
+    assert missed(sight.with_factors(lines, None)) == pytest.approx({0: 0.5, 1: 0.5, 2: 0.5})
+    assert missed(sight.with_factors(lines, factors)) == pytest.approx({0: 0.5, 1: 0.5, 2: 0.95})
+    cloud = spark.createDataFrame([(1, 450.0, 0.0)], "tick int, sx double, sy double")
+    assert missed(sight.with_factors(lines, None), cloud) == pytest.approx({0: 0.5, 1: 0.5, 2: 1.0})
+    kills = spark.createDataFrame([(1, 0, 0.0, 0.0, False), (2, 0, 0.0, 0.0, True)], "id int, node long, X double, Y double, obstructed boolean")
+    like = {r.id: r.like for r in sight.shooter_likelihood(kills, cells, sight.with_factors(lines, factors), tables, ["id"]).collect()}
+    assert like[1] == pytest.approx([1.0, 1.0, 0.145]) and like[2] == [1.0, 1.0, 1.0]
+
+
+def test_slabs_block_and_sightings_open(spark):
+    cells = spark.createDataFrame([(0, 8.0, 8.0, 0.0), (1, 168.0, 8.0, 0.0)], "node long, x double, y double, z double")
+    flat = [(i, 0, 0.0, 0.0) for i in range(11)]
+    bands = lambda rows: spark.createDataFrame(rows, "px int, py int, lo double, hi double")
+    pairs = lambda rows, opened=None: {(r.a, r.b): (r.walk, r.carve) for r in maps.sight_lines(cells, bands(rows), opened).collect() if r.a < r.b}
+    assert pairs(flat) == {(0, 1): (True, True)}
+    slab = [(i, 0, 0.0, 80.0 if i == 5 else 0.0) for i in range(11)]
+    assert pairs(slab) == {(0, 1): (True, True)}  # too low a gap for a floor
+    slab = [(i, 0, -60.0, 60.0) if i == 5 else (i, 0, 0.0, 0.0) for i in range(11)]
+    assert pairs(slab) == {}
+    opened = spark.createDataFrame([(5, 0, 50.0, 60.0)], "px int, py int, low double, high double")
+    assert pairs(slab, opened) == {(0, 1): (False, True)}
+
+
+def test_fire_choices_keep_every_cell(spark):
+    """More next cells than any list would hold, and two fires: one row a move, the nearest fire's ring for a cell."""
+    cells = spark.createDataFrame([(i, 20.0 * i, 0.0, 0.0) for i in range(30)], "node long, x double, y double, z double")
+    learned = spark.createDataFrame([("t", 0, 5, 0, i, 1 / 30) for i in range(30)], "side string, phase int, sbin int, node long, next_node long, p double")
+    row = lambda tick, node: ("d", 1, 7, "t", tick, 0, None, node, 20.0 * node, 0.0, 0.0)
+    states = spark.createDataFrame([row(160, 0), row(176, 29)], "demo_id string, round_num int, steamid long, side string, tick int, phase int, since double, node long, X double, Y double, Z double")
+    fires = spark.createDataFrame([("d", 1, 0.0, 0.0, 0.0, 0, 400), ("d", 1, 200.0, 0.0, 0.0, 0, 400)], "demo_id string, round_num int, X double, Y double, Z double, start_tick int, end_tick int")
+    (r,) = maps.fire_choices(states, fires, cells, learned).collect()
+    rings = np.minimum(np.minimum(np.arange(30), np.abs(np.arange(30) - 10)), 14)
+    assert r.truth == 14 and r.base == pytest.approx(np.bincount(rings, minlength=15) / 30)
+    assert maps.fire_choices(states, fires.withColumn("end_tick", F.lit(170)), cells, learned).count() == 0  # out where the move ends
+
+
 def test_stored_tables_can_be_cleared(spark):
     from fogline.session import clear_stored, stored
 
@@ -212,6 +256,17 @@ def test_fit_evaluate_calibrate(spark, tmp_path):
     assert steps.where("size(fires) > 0").count() > 0 and steps.where("size(kills) > 0").count() > 0
     bad = steps.where("size(kills) > 0").select(F.explode("kills").alias("k")).where(f"size(k.like) <> {models.n} or array_max(k.like) > 1 or array_min(k.like) < 0.05 - 1e-9 or k.e >= 5")
     assert bad.count() == 0 and steps.where("size(looked) <> size(missed)").count() == 0
+    assert samples.where("p_region <> probs[true_region]").count() == 0
+    # every variant sees its own evidence: weapons, buys and fires change what their bases put out
+    bases = {"hmm": ("hmm_weapon", "hmm_fire", "hmm_noneg"), "ens_nofire": ("ens_w0.7", "ens_w0.5", "ens_w0.3", "ens_awp0.5", "ens_awp0.3", "ens_guns0.5", "ens_hmmw", "ens_w0.5_hmmw", "ens_fire_occ", "ens_fire_wait", "ens_fire_weight", "ens_indep", "ens_seed1"), "ens_uncal": ("ens_truebuy", "ens_histbuy", "ens_nobuy", "ens_uncal_seed1", "ens_indep", "ens_team", "ens_team_best")}
+    # the synthetic players walk through fires
+    burnt = s.load_part("m", "fires").withColumn("occupancy", F.least(F.lit(1.0), F.col("lo") / 300 + 0.1)).collect()
+    s.save_model("m", {"fires": spark.createDataFrame(burnt)})
+    names = sorted({*bases, *(v for of in bases.values() for v in of)})
+    every = evaluation.evaluate(s, "m", names).select("model", "demo_id", "round_num", "friendly", "step", "entity", "p_true").persist()
+    own = every.withColumnsRenamed({"model": "base", "p_true": "p_base"})
+    gaps = {(r.base, r.model): r.gap for r in every.join(own, ["demo_id", "round_num", "friendly", "step", "entity"]).groupBy("base", "model").agg(F.max(F.abs(F.col("p_true") - F.col("p_base"))).alias("gap")).collect()}
+    assert not [(base, v) for base, of in bases.items() for v in of if gaps[base, v] < 1e-6]
     losses = evaluation.calibrate(s, "m", samples, "hmm", kinds=("power",))
     assert set(losses) == {"none", "power"}
     evaluation.fit(s, "m", only=["buys"])
