@@ -1,7 +1,7 @@
 """Quality rules: counting rules, then a calibrated n-gram classifier trained on labelled rows.
 
 Method: hashed word and character n-gram logistic regression. Words and pairs of words fall into one block of
-buckets, runs of 3 and 4 bytes into another; a text's features are the shares of its n-grams in each bucket.
+buckets, runs of 3 and 4 characters into another; a text's features are the shares of its n-grams in each bucket.
 Training uses at most `train_rows` labelled rows of each class (the smallest hashes of doc_id, so the sample does
 not depend on order or partitioning); a part of them, not used for the weights, calibrates the score to a
 probability (Platt scaling, weighted back to the class shares of all labels). All rows are then scored in Arrow
@@ -36,7 +36,7 @@ RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 @dataclass(frozen=True)
 class QualityModel:
-    """weights: of the word block, then of the byte block; margin = bias + features @ weights."""
+    """weights: of the word block, then of the character block; margin = bias + features @ weights."""
 
     weights: np.ndarray
     bias: float
@@ -78,21 +78,16 @@ def _buckets(chunk) -> list[tuple[np.ndarray, np.ndarray, int]]:
     words, first = chunk.word_hashes(), chunk.first
     pairs_at, pairs = grams(words, first, 2)
     out = [((words >> U(64 - BITS)).astype(np.int64), first, 0), ((mix(pairs + U(2)) >> U(64 - BITS)).astype(np.int64), np.searchsorted(pairs_at, first), 0)]
-    data, bounds = chunk.data.astype(np.uint32), chunk.bounds
-    for n, salt in ((3, 0x9E3779B1), (4, 0x85EBCA6B)):
-        m = max(len(data) - n + 1, 0)
-        code = np.zeros(m, np.uint32)
-        for i in range(n):
-            code |= data[i : i + m] << np.uint32(8 * i)
-        code *= np.uint32(salt)
-        code ^= code >> np.uint32(15)
-        code *= np.uint32(0x2C1B3C6D)
+    # a byte of the form 10xxxxxx goes on with a character
+    begins = np.flatnonzero((chunk.data & 0xC0) != 0x80)
+    ends = np.append(begins, len(chunk.data))
+    of = np.searchsorted(begins, chunk.bounds)
+    for n in (3, 4):
         # a run that reaches into the next text of the chunk belongs to neither
-        inside = np.ones(m, bool)
-        for cut in bounds[1:-1]:
-            inside[max(cut - n + 1, 0) : cut] = False
+        inside = np.arange(len(begins)) + n <= np.repeat(of[1:], np.diff(of))
         at = np.flatnonzero(inside)
-        out.append(((code[at] >> np.uint32(32 - BITS)).astype(np.int64), np.searchsorted(at, bounds), BLOCK))
+        codes = chunk.byte_hashes(begins[at], ends[at + n])
+        out.append(((mix(codes + U(n)) >> U(64 - BITS)).astype(np.int64), np.searchsorted(at, of), BLOCK))
     return out
 
 

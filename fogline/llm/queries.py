@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mixing, topk, urls
+from . import mixing, neardup, substrings, topk, urls
 from .html import extract_main_text
 from .mixing import mix_sources
 from .neardup import near_duplicates
@@ -72,5 +72,5 @@ QUERIES = {
     f.__name__: f
     for f in (op1_html_extraction, op2_exact_topk, op3_quality_rules, op4_secret_scans, op5_packing, op6_substring_dedup, op7_toxicity, op8_source_mixing, op9_url_filters, op10_near_duplicates)
 }
-#: The others rest on a classifier, a tokenizer, hashes of word runs or real-valued tests; brute force tests them.
-SQL: dict[str, str] = {"op2_exact_topk": topk.SQL, "op8_source_mixing": mixing.SQL, "op9_url_filters": urls.sql()}
+#: The others rest on a classifier, a tokenizer, tree alignment or real-valued tests; brute force tests them.
+SQL: dict[str, str] = {"op2_exact_topk": topk.SQL, "op6_substring_dedup": substrings.SQL, "op10_near_duplicates": neardup.SQL, "op8_source_mixing": mixing.SQL, "op9_url_filters": urls.sql()}

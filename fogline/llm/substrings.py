@@ -156,3 +156,17 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(gone), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "spans", "kept_text"])
 
     return flat.mapInArrow(removed, "doc_id long, n_words long, n_removed long, spans array<long>, kept_text string")
+
+
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (
+  SELECT r, i, array_to_string(list_slice(w, i, i + {WINDOW - 1}), ' ') AS win
+  FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW})),
+c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY win) AS n FROM p) WHERE n > 1),
+covered AS (SELECT DISTINCT r, i + k AS j FROM c, range({WINDOW}) t(k)),
+x AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM x ANTI JOIN covered USING (r, j) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""

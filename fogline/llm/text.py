@@ -77,6 +77,11 @@ class Chunk:
     end: np.ndarray  # byte after each word
     first: np.ndarray  # words of text i are first[i]:first[i + 1]
 
+    def byte_hashes(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Hashes (not mixed) of the byte runs lo:hi, equal for equal runs anywhere."""
+        sums, inv = _prefix(self.data.astype(U) + U(1), "byte")
+        return (sums[hi] - sums[lo]) * inv[lo]
+
     def word_hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word; the same word has the same hash in every chunk."""
         sums, inv = _prefix((LOWER[self.data] if lower else self.data).astype(U) + U(1), "byte")

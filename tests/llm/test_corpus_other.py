@@ -254,6 +254,9 @@ def pages(spark):
         (8, None, link("https://shop.com/en/1")), (9, "no scheme", link("https://shop.com/en/1")), (10, "ftp://example.net/de/8", ""), (11, "http://example.net/de/9", ""), (12, "http://net/de/", ""), (13, "http://anet/de/", ""),
         (14, "http://plain.info", "<p>"), (14, "http://plain.info", "<p>"), (15, "http://x.org/es", None), (16, "http://x.org/es/?a#b", None), (17, "://y.org/es/", None), (None, "http://é.com/en/", link("mailto:x")),
     ]
+    # relative targets and character references; 203 names only a fragment of itself
+    rows += [(200, "https://rel.info/a/b?x", link("c")), (201, "https://rel.info/a/c", link("../z")), (202, "https://rel.info/d", link("?q=1&amp;r=2")), (203, "https://rel.info/e", link("#f")), (204, "https://rel.info", link("d?q=1&r=2"))]
+    rows += [(205, "https://rel.info/a/../z", link("http://q.org/es/2")), (206, "https://rel.info/d?q=1&r=2", link("http://q.org/es/3"))]
     rows += [(100 + i, f"https://many.info/{i}", link("https://many.info/hub")) for i in range(40)] + [(99, "https://many.info/hub", link("http://z.org/es/1"))]
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
@@ -272,6 +275,7 @@ def test_urls_equal_their_sql_and_propagate(spark):
     assert all(verdict[i][2:] == (None, "allow") for i in (3, 4, 5, 6, 7, 8, 9, 13, 14, 15))
     assert verdict[10][3] == "block" and verdict[12][3] == "block" and verdict[17][3] == "block"
     assert all(verdict[i][2:] == (None, "block") for i in range(99, 140))
+    assert {i: verdict[i][3] for i in range(200, 207)} == {200: "block", 201: "block", 202: "block", 203: "allow", 204: "block", 205: "block", 206: "block"}
     more = urls.judge_urls(p, redirects=spark.createDataFrame([("http://plain.info", "http://shop.com/de/"), ("http://shop.com/de/", "http://x.net/de/1")], "src string, dst string"))
     assert {r.verdict for r in more.where("page_id = 14").collect()} == {"block"}
     assert urls.judge_urls(p.limit(0)).count() == 0
