@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,13 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (plain local runs), a temporary folder is set.
+    Only where the session names none and the master is local, a temporary folder is set; on a cluster that is an
+    error, as a folder of one machine would not do.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     path = spark.sparkContext.getCheckpointDir()
     if path is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = os.path.join(tempfile.gettempdir(), "fogline-checkpoints")
         spark.sparkContext.setCheckpointDir(path)
         return spark.sparkContext.getCheckpointDir()
@@ -53,11 +57,14 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     """Write df to the shared folder and read it back.
 
     Cuts the lineage, so that a lost executor costs only the stage it was working on, and lets
-    the shuffle files of the finished stages go.
+    the shuffle files of the finished stages go. The table is deleted when the driver's JVM ends, or before that by
+    discard() or clear_stored().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/fogline-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

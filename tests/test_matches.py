@@ -235,6 +235,16 @@ def test_stored_tables_can_be_cleared(spark):
         spark.read.parquet(df.inputFiles()[0]).count()
 
 
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from fogline import session
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        session.shared_dir(SimpleNamespace(conf={}, sparkContext=context))
+
+
 def test_fit_evaluate_calibrate(spark, tmp_path):
     """The three calls over a store, and the calibrated configuration after them."""
     from fogline.plans import evaluation
