@@ -21,12 +21,15 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
   s AS (SELECT user_id, us, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS session FROM g)
   SELECT user_id, min(us) AS start_us, count(*) AS n FROM s GROUP BY user_id, session""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions with gaps of three days; what is still open at the end is read by a batch plan over the same window."""
-    events = spark.read.schema(runs.EVENTS).parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
-    return runs.sessions(events, "3 days").select("user_id", F.unix_micros("w.start").alias("start_us"), "n")
+    """Sessions with gaps of three days, all of them after the last batch of a stream."""
+    rows = runs.finished(runs.sessions(runs.event_stream(spark, sf_dir), "3 days"), "complete")
+    last = rows.agg(F.max("batch").alias("batch"))  # one row
+    return rows.join(F.broadcast(last), "batch", "left_semi").select("user_id", F.unix_micros("w.start").alias("start_us"), "n")
 
 
-@query()
+@query(f"""WITH {E}, g AS (SELECT user_id, us, coalesce(us - lag(us) OVER w >= {3 * 86400000000}, true) AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+  s AS (SELECT user_id, us, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS session FROM g)
+  SELECT user_id, min(us) AS start_us, count(*) AS n FROM s GROUP BY user_id, session HAVING (max(us) + {3 * 86400000000}) // 1000 <= ((SELECT max(us) FROM e) - 86400000000) // 1000""")
 def stream_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed sessions only, in append mode behind a watermark of a day."""
     closed = runs.finished(runs.sessions(runs.event_stream(spark, sf_dir, "1 day"), "3 days"), "append")

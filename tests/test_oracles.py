@@ -46,7 +46,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_queries_without_sql(spark):
     q = catalogue.QUERIES
-    assert set(q) - set(catalogue.SQL) == {"bootstrap_ci", "grouped_folds", "belief_recursion", "particle_filter", "team_correction", "platt_fit", "formula_fit", "stack_fit", "spot_fit", "stream_late_data", "formula_bootstrap"}
+    assert set(q) - set(catalogue.SQL) == {"bootstrap_ci", "grouped_folds", "belief_recursion", "particle_filter", "team_correction", "platt_fit", "formula_fit", "stack_fit", "spot_fit", "formula_bootstrap"}
     assert all(r.lo <= r.weight <= r.hi and r.held_out_loss > 0 for r in q["formula_bootstrap"](spark, SF).collect())
     for r in q["bootstrap_ci"](spark, SF).collect():
         assert r.lo <= r.mean <= r.hi
@@ -58,10 +58,10 @@ def test_queries_without_sql(spark):
     assert p["ens_nofire"].log_loss <= p["pf"].log_loss + 0.05
     assert all(r.factor > 0 for r in q["team_correction"](spark, SF).collect())
     assert {r.kind for r in q["platt_fit"](spark, SF).collect()} == {"power", "platt", "piecewise"}
-    assert q["formula_fit"](spark, SF).count() == 2 and q["stack_fit"](spark, SF).count() == 2
-    assert q["spot_fit"](spark, SF).count() == 11
-    closed = {(r.user_id, r.start_us, r.n) for r in q["stream_late_data"](spark, SF).collect()}
-    assert closed <= {(r.user_id, r.start_us, r.n) for r in q["stream_sessions"](spark, SF).collect()}
+    for r in q["formula_fit"](spark, SF).collect() + q["stack_fit"](spark, SF).collect():
+        assert all(np.isfinite(x) for x in r if isinstance(x, float))
+    spot = q["spot_fit"](spark, SF).collect()
+    assert len(spot) == 11 and all(np.isfinite(x) for r in spot for x in r if isinstance(x, float))
 
 
 def test_the_library_holds_every_state(spark, tmp_path):
