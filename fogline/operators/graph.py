@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .components import connected_components
 
 
@@ -39,11 +40,18 @@ def largest_component(edges: DataFrame) -> DataFrame:
 def reindexed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes with a dense 0-based index in node order, and the edges between them renamed to it.
 
-    The node set is a map's cells (thousands), so one ordered numbering is small whatever the number of events.
+    Ranks come from counts of range partitions, so no task sorts all nodes; a count for each partition is collected.
     """
     from pyspark.sql import Window
 
-    numbered = nodes.withColumn("index", F.row_number().over(Window.orderBy("node")) - 1)
+    parts = stored(nodes.repartitionByRange("node").withColumn("__part", F.spark_partition_id()), "ranges")
+    local = parts.withColumn("index", F.row_number().over(Window.partitionBy("__part").orderBy("node")) - 1)
+    before, total = [], 0
+    for r in sorted(parts.groupBy("__part").agg(F.count("*").alias("n")).collect()):
+        before += [F.lit(r["__part"]), F.lit(total)]
+        total += r["n"]
+    offset = F.element_at(F.create_map(*before), F.col("__part")) if before else F.lit(0)
+    numbered = local.withColumn("index", (F.col("index") + offset).cast("int")).drop("__part")
     a = numbered.select(F.col("node").alias("src"), F.col("index").alias("src_index"))
     b = numbered.select(F.col("node").alias("dst"), F.col("index").alias("dst_index"))
     return numbered, edges.join(a, "src").join(b, "dst").select(F.col("src_index").alias("src"), F.col("dst_index").alias("dst"))

@@ -181,7 +181,7 @@ def team_buys(ticks: DataFrame, rounds: DataFrame) -> DataFrame:
 
 
 def situation(half: Column, half_round: Column, won_last: Column, won_first: Column, losses: Column) -> Column:
-    """The economic situation that a round's history puts a team in."""
+    """The economic situation that a round's history puts a team in. Its names are fixed values, by which priors are kept."""
     return (
         F.when(half > 2, "overtime")
         .when(half_round == 1, "pistol round")
