@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mixing, neardup, substrings, topk, urls
+from . import mixing, neardup, phrases, sharding, substrings, topk, urls
 from .html import extract_main_text
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .packing import pack
+from .phrases import mine_phrases
 from .quality import fit_quality, judge_quality
 from .secrets import find_secrets, span_text
 from .substrings import remove_repeats
@@ -68,9 +69,20 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # of the texts only size and checksum are carried; shard_documents() keeps whatever columns it is given
+    sized = sharding.sized(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32")
+    sharded = sharding.shard_rows(sized, ("doc_id", "size", "text_crc32"))
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_exact_topk, op3_quality_rules, op4_secret_scans, op5_packing, op6_substring_dedup, op7_toxicity, op8_source_mixing, op9_url_filters, op10_near_duplicates)
+    for f in (op1_html_extraction, op2_exact_topk, op3_quality_rules, op4_secret_scans, op5_packing, op6_substring_dedup, op7_toxicity, op8_source_mixing, op9_url_filters, op10_near_duplicates, op11_phrases, op12_sharding)
 }
 #: The others rest on a classifier, a tokenizer, tree alignment or real-valued tests; brute force tests them.
-SQL: dict[str, str] = {"op2_exact_topk": topk.SQL, "op6_substring_dedup": substrings.SQL, "op10_near_duplicates": neardup.SQL, "op8_source_mixing": mixing.SQL, "op9_url_filters": urls.sql()}
+SQL: dict[str, str] = {"op2_exact_topk": topk.SQL, "op6_substring_dedup": substrings.SQL, "op10_near_duplicates": neardup.SQL, "op8_source_mixing": mixing.SQL, "op9_url_filters": urls.sql(), "op11_phrases": phrases.SQL, "op12_sharding": sharding.sql()}
