@@ -87,9 +87,10 @@ def model_name(sources: Sequence[str]) -> str:
     return "+".join(sorted(sources))
 
 
-def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+def read_if_there(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The table at path; None if there is none. Only with a schema may its folders be without files."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     except (AnalysisException, Py4JJavaError) as e:
         if "PATH_NOT_FOUND" in str(e):
             return None
