@@ -1,8 +1,8 @@
 """Phrase collocation mining: counts of frequent word runs, and the runs whose weakest cut still holds together.
 
 1. Words are counted by language. Those that occur often enough form the dictionary; numbered() gives them ids from 1.
-2. Texts are encoded: a batch of texts becomes one array of ids, in which 0 stands for a break between pieces, the end
-   of a text and a word outside the dictionary. The head of the dictionary, its most frequent words up to a bound of
+2. Texts are encoded: a text becomes an array of ids, in which 0 stands for a break between pieces, the end of the
+   text and a word outside the dictionary. The head of the dictionary, its most frequent words up to a bound of
    words and bytes, is broadcast; words of the tail, if there is one, are joined to the dictionary by shuffle and
    patched into the array.
 3. Id runs become keys of four ids, big-endian and padded with 0, so that byte order is id order. A task sorts its keys
@@ -45,7 +45,7 @@ HEAD_WORDS, HEAD_BYTES = 400_000, 16 << 20
 #: Bits of the filter of frequent pairs.
 FILTER_BITS = 27
 #: Word counts and keys that a task holds before it sends them on.
-MOST_COUNTS, MOST_KEYS = 400_000, 2_000_000
+MOST_COUNTS, MOST_KEYS = 250_000, 1_000_000
 
 _FROM = bytes(range(65, 91)) + b"\t" + b".,;:!?\n\x0b\x0c\r"
 _TO = bytes(range(97, 123)) + b" " + b"." * 10
@@ -94,7 +94,7 @@ def dictionary(words: DataFrame, least: int = LEAST) -> tuple[DataFrame, int]:
 
 
 def encode(documents: DataFrame, known: DataFrame, many: int, head_words: int = HEAD_WORDS, head_bytes: int = HEAD_BYTES) -> DataFrame:
-    """(ids): arrays of ids as little-endian 64-bit integers, one for a batch of texts."""
+    """(ids): the ids of each text as little-endian 64-bit integers, 0 at the end."""
     spark = documents.sparkSession
     small_batches(spark)
     # at most head_words rows, and of them those within head_bytes
@@ -112,23 +112,18 @@ def encode(documents: DataFrame, known: DataFrame, many: int, head_words: int =
 
         part, serial = TaskContext.get().partitionId(), 0
         for batch in batches:
-            arrays, at = [], 0
-            tail: list[dict] = []
+            serials, out, tails = [], [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 get = shared.value.get(lang, {}).get
                 found = [w for w in tokens(text.as_py()) if w]
                 found.append(b".")
                 ids = np.array([get(w, 0) for w in found], np.int64)
-                if first_of_tail:
-                    tail += [{"at": at + k, "lang": lang, "word": found[k]} for k in np.flatnonzero(ids == 0).tolist() if found[k] != b"."]
-                arrays.append(ids)
-                at += len(ids)
-            ids = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([(part << 33) + serial], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([tail], pa.list_(pa.struct([("at", pa.int32()), ("lang", pa.string()), ("word", pa.binary())])))],
-                names=["chunk", "ids", "tail"],
-            )
-            serial += 1
+                serials.append((part << 33) + serial)
+                out.append(ids.tobytes())
+                tails.append([{"at": k, "lang": lang, "word": found[k]} for k in np.flatnonzero(ids == 0).tolist() if found[k] != b"."] if first_of_tail else None)
+                serial += 1
+            kinds = (pa.int64(), pa.binary(), pa.list_(pa.struct([("at", pa.int32()), ("lang", pa.string()), ("word", pa.binary())])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((serials, out, tails), kinds, strict=True)], names=["chunk", "ids", "tail"])
 
     chunks = stored(_texts(documents).mapInArrow(encoded, "chunk long, ids binary, tail array<struct<at:int,lang:string,word:binary>>"), "encoded")
     if not first_of_tail:
@@ -150,6 +145,21 @@ def encode(documents: DataFrame, known: DataFrame, many: int, head_words: int =
     return stored(chunks.select("chunk", "ids").join(patches, "chunk", "left").select("ids", "patch").mapInArrow(patched, "ids binary"), "encoded")
 
 
+def pieces_of(column: pa.Array, most: int = 1 << 18) -> Iterator[np.ndarray]:
+    """The ids of a batch of texts, some texts at a time, cut after a break."""
+    large = column.cast(pa.large_binary())
+    offsets = np.frombuffer(large.buffers()[1], np.int64)[large.offset : large.offset + len(large) + 1]
+    data = large.buffers()[2]
+    ids = np.frombuffer(data, np.int64)[offsets[0] // 8 : offsets[-1] // 8] if data is not None and data.size else np.zeros(0, np.int64)
+    breaks = np.flatnonzero(ids == 0) + 1
+    lo = 0
+    while lo < len(ids):
+        ahead = np.searchsorted(breaks, lo + most)
+        hi = int(breaks[min(ahead, len(breaks) - 1)])
+        yield ids[lo:hi]
+        lo = hi
+
+
 def radix_order(digits: np.ndarray) -> np.ndarray:
     """The order of rows of 16-bit digits, most significant first, by stable passes from the last digit to the first."""
     order = np.arange(len(digits))
@@ -207,12 +217,10 @@ def counted_runs(encoded: DataFrame, many: int, lengths: Sequence[int], least: i
             return out
 
         for batch in batches:
-            for raw in batch.column(0):
-                ids = np.frombuffer(raw.as_buffer(), np.int64)
+            for ids in pieces_of(batch.column(0)):
                 pair = (ids[:-1] > 0) & (ids[1:] > 0)
-                if table is not None and len(pair):
-                    a, b = pair_bits(ids[:-1], ids[1:])
-                    for x in (a, b):
+                if table is not None:
+                    for x in pair_bits(ids[:-1], ids[1:]):
                         pair &= (table[(x >> U(3)).astype(np.int64)] >> (x & U(7)).astype(np.uint8)) & 1 > 0
                 for n in lengths:
                     if len(ids) < n:
@@ -223,8 +231,8 @@ def counted_runs(encoded: DataFrame, many: int, lengths: Sequence[int], least: i
                         run[:, i] = ids[at + i]
                     keys.append(run)
                     counts.append(np.ones(len(at), np.int64))
-            if sum(map(len, keys)) > MOST_KEYS and compact() > MOST_KEYS // 2:
-                yield sent()
+                if sum(map(len, keys)) > MOST_KEYS and compact() > MOST_KEYS // 2:
+                    yield sent()
         if keys:
             compact()
             yield sent()
