@@ -53,8 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: dict[str, list[str]] = {}
 
 
-def stored(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write df to the shared folder and read it back.
+def stored(df: DataFrame, label: str = "step", compression: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back; compression: a codec in place of the session's.
 
     Cuts the lineage, so that a lost executor costs only the stage it was working on, and lets
     the shuffle files of the finished stages go. The table is deleted when the driver's JVM ends, or before that by
@@ -62,7 +62,7 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/fogline-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
