@@ -46,6 +46,8 @@ HEAD_WORDS, HEAD_BYTES = 400_000, 16 << 20
 FILTER_BITS = 27
 #: Word counts and keys that a task holds before it sends them on.
 MOST_COUNTS, MOST_KEYS = 250_000, 1_000_000
+#: Keys in a batch that is sent on.
+SENT = 65_536
 
 _FROM = bytes(range(65, 91)) + b"\t" + b".,;:!?\n\x0b\x0c\r"
 _TO = bytes(range(97, 123)) + b" " + b"." * 10
@@ -53,9 +55,16 @@ _TABLE = bytes.maketrans(_FROM, _TO)
 U = np.uint64
 
 
+class Ids(dict):
+    """Ids of words; 0 for all others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return 0
+
+
 def tokens(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8, with b"." at every break between pieces (no word holds a full stop)."""
-    return (text or "").encode().translate(_TABLE).replace(b".", b" . ").split(b" ")
+    return (text or "").encode().translate(_TABLE).replace(b".", b" . ").split()
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
@@ -66,7 +75,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
         held: dict[str, Counter] = {}
 
         def sent() -> pa.RecordBatch:
-            rows = [(lang, w, n) for lang, c in held.items() for w, n in c.items() if w not in (b"", b".")]
+            rows = [(lang, w, n) for lang, c in held.items() for w, n in c.items() if w != b"."]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 
@@ -103,21 +112,20 @@ def encode(documents: DataFrame, known: DataFrame, many: int, head_words: int =
         size += len(word)
         if size > head_bytes:
             break
-        head.setdefault(lang, {})[word] = i
+        head.setdefault(lang, Ids())[word] = i
     first_of_tail = sum(map(len, head.values())) < many
     shared = spark.sparkContext.broadcast(head)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, serial = TaskContext.get().partitionId(), 0
+        part, serial, nothing = TaskContext.get().partitionId(), 0, Ids()
         for batch in batches:
             serials, out, tails = [], [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                get = shared.value.get(lang, {}).get
-                found = [w for w in tokens(text.as_py()) if w]
+                found = tokens(text.as_py())
                 found.append(b".")
-                ids = np.array([get(w, 0) for w in found], np.int64)
+                ids = np.fromiter(map(shared.value.get(lang, nothing).__getitem__, found), np.int64, len(found))
                 serials.append((part << 33) + serial)
                 out.append(ids.tobytes())
                 tails.append([{"at": k, "lang": lang, "word": found[k]} for k in np.flatnonzero(ids == 0).tolist() if found[k] != b"."] if first_of_tail else None)
@@ -125,7 +133,7 @@ def encode(documents: DataFrame, known: DataFrame, many: int, head_words: int =
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.struct([("at", pa.int32()), ("lang", pa.string()), ("word", pa.binary())])))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((serials, out, tails), kinds, strict=True)], names=["chunk", "ids", "tail"])
 
-    chunks = stored(_texts(documents).mapInArrow(encoded, "chunk long, ids binary, tail array<struct<at:int,lang:string,word:binary>>"), "encoded")
+    chunks = stored(_texts(documents).mapInArrow(encoded, "chunk long, ids binary, tail array<struct<at:int,lang:string,word:binary>>"), "encoded", "zstd")
     if not first_of_tail:
         return chunks.select("ids")
     at_tail = chunks.select("chunk", F.explode("tail").alias("t")).select("chunk", "t.*")
@@ -142,7 +150,7 @@ def encode(documents: DataFrame, known: DataFrame, many: int, head_words: int =
                 out.append(ids.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
-    return stored(chunks.select("chunk", "ids").join(patches, "chunk", "left").select("ids", "patch").mapInArrow(patched, "ids binary"), "encoded")
+    return stored(chunks.select("chunk", "ids").join(patches, "chunk", "left").select("ids", "patch").mapInArrow(patched, "ids binary"), "encoded", "zstd")
 
 
 def pieces_of(column: pa.Array, most: int = 1 << 18) -> Iterator[np.ndarray]:
@@ -170,10 +178,10 @@ def radix_order(digits: np.ndarray) -> np.ndarray:
 
 
 def run_lengths(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted different keys (rows of ids) and their summed counts."""
+    """Sorted different keys (rows of 64-bit integers) and their summed counts."""
     if not len(keys):
         return keys, counts
-    digits = np.ascontiguousarray(keys.astype(keys.dtype.newbyteorder(">"))).view(">u2").reshape(len(keys), -1).astype(np.uint16)
+    digits = keys.astype(">i8").view(">u2").reshape(len(keys), -1).astype(np.uint16)
     order = radix_order(digits)
     keys = keys[order]
     start = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
@@ -186,19 +194,27 @@ def pair_bits(left: np.ndarray, right: np.ndarray, bits: int = FILTER_BITS) -> t
     return h & U((1 << bits) - 1), (h >> U(64 - bits))
 
 
-def _width(many: int) -> type:
-    return np.uint32 if many < 1 << 32 else np.uint64
+def _width(many: int) -> int:
+    """Bytes of an id."""
+    return 4 if many < 1 << 32 else 8
 
 
-def _keys(keys: np.ndarray) -> pa.Array:
-    raw = np.ascontiguousarray(keys.astype(keys.dtype.newbyteorder(">")))
-    size = raw.dtype.itemsize * LONGEST
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(raw), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+def packed(ids: np.ndarray, at: np.ndarray, n: int, columns: int, width: int) -> np.ndarray:
+    """The runs of n ids at some places, as rows of 64-bit integers that hold one or two ids each; the rest is 0."""
+    out = np.zeros((len(at), columns), np.int64)
+    for i in range(n):
+        if width == 4:
+            out[:, i // 2] |= ids[at + i] << (32 * (1 - i % 2))
+        else:
+            out[:, i] = ids[at + i]
+    return out
 
 
 def counted_runs(encoded: DataFrame, many: int, lengths: Sequence[int], least: int = LEAST, allowed=None) -> DataFrame:
     """(key, n) of the id runs of some lengths that occur at least so often; allowed: the broadcast filter of pairs."""
-    kind = _width(many)
+    width = _width(many)
+    columns = max(lengths) * width + 7 >> 3
+    names = [f"k{i}" for i in range(columns)]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None if allowed is None else np.frombuffer(allowed.value, np.uint8)
@@ -210,11 +226,11 @@ def counted_runs(encoded: DataFrame, many: int, lengths: Sequence[int], least: i
             keys[:], counts[:] = [k], [n]
             return len(k)
 
-        def sent() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([_keys(keys[0]), pa.array(counts[0])], names=["key", "n"])
-            keys.clear()
-            counts.clear()
-            return out
+        def sent() -> Iterator[pa.RecordBatch]:
+            k, n = keys.pop(), counts.pop()
+            for i in range(0, len(k), SENT):
+                part = k[i : i + SENT]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in part.T), pa.array(n[i : i + SENT])], names=[*names, "n"])
 
         for batch in batches:
             for ids in pieces_of(batch.column(0)):
@@ -226,53 +242,53 @@ def counted_runs(encoded: DataFrame, many: int, lengths: Sequence[int], least: i
                     if len(ids) < n:
                         continue
                     at = np.flatnonzero(np.logical_and.reduce([pair[i : len(pair) - n + 2 + i] for i in range(n - 1)]))
-                    run = np.zeros((len(at), LONGEST), kind)
-                    for i in range(n):
-                        run[:, i] = ids[at + i]
-                    keys.append(run)
+                    keys.append(packed(ids, at, n, columns, width))
                     counts.append(np.ones(len(at), np.int64))
                 if sum(map(len, keys)) > MOST_KEYS and compact() > MOST_KEYS // 2:
-                    yield sent()
+                    yield from sent()
         if keys:
             compact()
-            yield sent()
+            yield from sent()
+
+    schema = ", ".join(f"{c} long" for c in [*names, "n"])
+    return frequent_keys(stored(encoded.select("ids").mapInArrow(local, schema), "runs", "zstd"), least, LONGEST * width)
 
-    return frequent_keys(stored(encoded.select("ids").mapInArrow(local, "key binary, n long"), "runs"), least)
 
+def frequent_keys(parts: DataFrame, least: int, size: int) -> DataFrame:
+    """(key, n): counts of keys summed over range partitions, in each a sort and a count of the runs of equal keys. A
+    key becomes so many bytes, big-endian."""
+    names = [c for c in parts.columns if c != "n"]
 
-def frequent_keys(parts: DataFrame, least: int) -> DataFrame:
-    """(key, n): counts of keys summed over range partitions, in each a sort and a count of the runs of equal keys."""
+    def keyed(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        raw = np.zeros((len(keys), size), np.uint8)
+        raw[:, : 8 * len(names)] = keys.astype(">i8").view(np.uint8).reshape(len(keys), 8 * len(names))
+        coded = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(raw), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([coded, pa.array(n)], names=["key", "n"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, 0  # the run that the next batch may continue
         for batch in batches:
             if not batch.num_rows:
                 continue
-            coded = batch.column(0).cast(pa.large_binary())
-            n = batch.column(1).to_numpy()
-            raw = np.frombuffer(coded.buffers()[2], np.uint8)
-            size = len(coded[0].as_py())
-            begin = np.frombuffer(coded.buffers()[1], np.int64)[coded.offset]
-            rows = raw[begin : begin + size * len(coded)].reshape(-1, size)
+            rows = np.stack([batch.column(i).to_numpy() for i in range(len(names))], 1)
             start = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).any(1))))
-            sums = np.add.reduceat(n, start)
-            keys = [rows[i].tobytes() for i in start.tolist()] if len(start) < 2 else [rows[start[0]].tobytes(), rows[start[-1]].tobytes()]
-            if keys[0] == last:
+            sums = np.add.reduceat(batch.column(len(names)).to_numpy(), start)
+            if last is not None and (rows[0] == last[0]).all():
                 sums[0] += held
             elif last is not None and held >= least:
-                yield pa.RecordBatch.from_arrays([pa.array([last], pa.binary()), pa.array([held])], names=["key", "n"])
-            last, held = keys[-1], int(sums[-1])
+                yield keyed(last, np.array([held]))
+            last, held = rows[start[-1]][None, :], int(sums[-1])
             keep = np.flatnonzero(sums[:-1] >= least)
-            yield pa.RecordBatch.from_arrays([pa.array([rows[start[i]].tobytes() for i in keep.tolist()], pa.binary()), pa.array(sums[keep])], names=["key", "n"])
+            yield keyed(rows[start[keep]], sums[keep])
         if last is not None and held >= least:
-            yield pa.RecordBatch.from_arrays([pa.array([last], pa.binary()), pa.array([held])], names=["key", "n"])
+            yield keyed(last, np.array([held]))
 
-    return parts.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(total, "key binary, n long")
+    return parts.repartitionByRange(*names).sortWithinPartitions(*names).mapInArrow(total, "key binary, n long")
 
 
 def pair_filter(pairs: DataFrame, many: int):
     """The broadcast Bloom filter of the frequent pairs: 2**FILTER_BITS bits whatever their number."""
-    size = np.dtype(_width(many)).itemsize
+    size = _width(many)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << FILTER_BITS - 3, np.uint8)
@@ -299,7 +315,7 @@ def frequent_runs(documents: DataFrame, least: int = LEAST, head_words: int = HE
     pairs = stored(counted_runs(encoded, many, (2,), least), "pairs")
     longer = counted_runs(encoded, many, range(3, LONGEST + 1), least, pair_filter(pairs, many))
     runs = stored(pairs.unionByName(longer), "frequent")
-    return runs, known, words.groupBy("lang").agg(F.sum("n").alias("n")), np.dtype(_width(many)).itemsize
+    return runs, known, words.groupBy("lang").agg(F.sum("n").alias("n")), _width(many)
 
 
 def mine_phrases(documents: DataFrame, least: int = LEAST, top: int = TOP, whole: int = WHOLE, head_words: int = HEAD_WORDS) -> DataFrame:
