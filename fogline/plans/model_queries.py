@@ -9,14 +9,12 @@ from pyspark.sql import functions as F
 from ..functions import maths
 from ..operators import belief as b
 from ..operators import counting as c
-from ..operators import fitting, maps
+from ..operators import fitting, maps, particles
 from ..session import table
 from .common import DAY, E, sightings
 from .registry import query
 
 CELLS = 100
-#: States of a library, which one process holds.
-MOST_STATES = 5_000_000
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,19 +46,14 @@ def chain_models(spark: SparkSession, sf_dir: str) -> b.Models:
     return b.Models({(0, 0, k, -1): chain for k in range(6)}, walk, first[None, :], {(0, 0): first[None, :]}, np.arange(CELLS) // 10, smooth=walk)
 
 
-def _library(spark: SparkSession, sf_dir: str, most_states: int = MOST_STATES) -> b.Library:
-    """All states of the event table as recorded trajectories; more than most_states are an error, as in evaluation.load."""
-    e = sightings(spark, sf_dir)
-    w = Window.partitionBy("user_id").orderBy("us", "event_id")
-    rows = e.select("event_id", "cell", F.coalesce(F.lead("event_id").over(w), F.lit(-1)).alias("nxt"), F.pmod(F.col("us") / DAY, F.lit(30.0)).alias("t"))
-    rows = rows.limit(most_states + 1).toArrow()
-    if len(rows) > most_states:
-        raise ValueError("the library exceeds most_states; fit it from fewer events")
-    rows = rows.sort_by("event_id")
-    ids, nxt = rows["event_id"].to_numpy(), rows["nxt"].to_numpy()
-    at = np.searchsorted(ids, np.maximum(nxt, 0)).clip(0, max(len(ids) - 1, 0))
-    n = len(ids)
-    return b.Library(rows["cell"].to_numpy().astype(int), np.zeros(n, int), rows["t"].to_numpy(), np.zeros(n, int), np.full(n, np.nan), np.full(n, 2), np.full(n, -1), np.zeros((n, 2)), np.where((nxt >= 0) & (ids[at] == nxt), at, -1) if n else nxt, CELLS)
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All states of the event table as recorded trajectories: those of a user within thirty days, of 512 states at most."""
+    e = sightings(spark, sf_dir).withColumn("span", F.expr(f"us div {30 * DAY}"))
+    place = F.row_number().over(Window.partitionBy("user_id", "span").orderBy("us", "event_id")) - 1
+    placed = e.withColumn("place", place)
+    traj = F.concat_ws("|", "user_id", "span", F.expr("place div 512"))
+    never = F.lit(None).cast("double")
+    return placed.select(traj.alias("traj"), F.pmod("place", F.lit(512)).alias("pos"), F.lit(0).alias("side"), F.col("cell").alias("node"), F.pmod(F.col("us") / DAY, F.lit(30.0)).alias("t"), F.lit(0).alias("phase"), never.alias("since"), F.lit(2).alias("buy"), F.lit(-1).alias("weapon"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"))
 
 
 def _unseen(seen: np.ndarray) -> np.ndarray:
@@ -75,21 +68,48 @@ def _summary(samples: DataFrame) -> DataFrame:
     return s.select("model", "n", F.round("top1", 6).alias("top1"), F.round("log_loss", 6).alias("log_loss"))
 
 
-@query()
+def _recursion_sql() -> str:
+    """The grid filters as a recursion over lists of a hundred cells; see belief.run_cells for the order of a step."""
+    lists = lambda rows: f"(SELECT list(x ORDER BY j) FROM (SELECT j, list(p ORDER BY i) AS x FROM {rows} GROUP BY j))"
+    return f"""WITH RECURSIVE {E}, c AS (SELECT i::INTEGER AS i FROM range({CELLS}) t(i)),
+  k AS (SELECT cell, nxt, count(*) AS n FROM (SELECT cell, lead(cell) OVER (PARTITION BY user_id ORDER BY us, event_id) AS nxt FROM e) WHERE nxt IS NOT NULL GROUP BY ALL),
+  t AS (SELECT i, j, (0.05::DOUBLE + coalesce(n, 0)) / sum(0.05::DOUBLE + coalesce(n, 0)) OVER (PARTITION BY i) AS p FROM c JOIN (SELECT i AS j FROM c) ON true LEFT JOIN k ON k.cell = i AND k.nxt = j),
+  w AS (SELECT i, j, CASE WHEN abs(i - j) > 1 THEN 0.0 WHEN i IN (0, {CELLS - 1}) THEN 1 / 2 ELSE 1 / 3 END::DOUBLE AS p FROM t),
+  o AS (SELECT list(p ORDER BY i) AS first FROM (SELECT i, (0.001::DOUBLE + count(cell)) / ({CELLS} * 0.001::DOUBLE + (SELECT count(*) FROM e)) AS p FROM c LEFT JOIN e ON cell = i GROUP BY i)),
+  v AS (SELECT {lists("t")} AS learned, {lists("w")} AS walk, first, list_transform(range({CELLS}), lambda i: CASE WHEN i >= 45 AND i < 55 THEN 0.7::DOUBLE ELSE 1.0 END) AS unseen, [x for x in range({CELLS})] AS cells FROM o),
+  s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS step, CASE WHEN event_type = 'view' THEN cell ELSE -1 END AS seen, cell AS true_cell FROM e),
+  m AS (SELECT * FROM (VALUES ('last_seen', 'none', false), ('prior', 'prior', false), ('prior_neg', 'prior', true), ('diffuse', 'walk', true), ('hmm_noneg', 'learned', false), ('hmm', 'learned', true)) q(model, motion, neg)),
+  r AS (SELECT user_id, -1::BIGINT AS step, -1 AS seen, -1 AS true_cell, model, motion, neg, first AS b FROM (SELECT DISTINCT user_id FROM e), m, v
+   UNION ALL
+   SELECT user_id, step, seen, true_cell, model, motion, neg,
+     CASE WHEN motion = 'prior' THEN CASE WHEN seen >= 0 THEN list_transform(cells, lambda i: (i = seen)::INTEGER::DOUBLE) ELSE b2 END
+       ELSE list_transform(CASE WHEN seen >= 0 THEN list_transform(cells, lambda i: (i = seen)::INTEGER::DOUBLE) ELSE b2 END, lambda x: (1 - {b.FLOOR}::DOUBLE) * x + {b.FLOOR}::DOUBLE / {CELLS}) END
+   FROM (SELECT *, CASE WHEN neg AND list_sum(list_transform(b1, lambda x, i: x * unseen[i])) > 1e-12 THEN list_transform(list_transform(b1, lambda x, i: x * unseen[i]), lambda x: x / list_sum(list_transform(b1, lambda x, i: x * unseen[i]))) ELSE b1 END AS b2
+     FROM (SELECT s.*, r.model, r.motion, r.neg, v.cells, v.unseen,
+       CASE WHEN r.motion = 'prior' THEN v.first WHEN s.step = 0 OR r.motion = 'none' THEN r.b WHEN r.motion = 'walk' THEN list_transform(v.walk, lambda x: list_dot_product(r.b, x)) ELSE list_transform(v.learned, lambda x: list_dot_product(r.b, x)) END AS b1
+       FROM r JOIN s ON s.user_id = r.user_id AND s.step = r.step + 1, v))),
+  g AS (SELECT model, true_cell // 10 AS region, list_transform(range(10), lambda i: list_sum(b[10 * i + 1:10 * i + 10])) AS p FROM r WHERE step >= 0 AND seen < 0),
+  h AS (SELECT model, p[region + 1] AS own, len(list_filter(p, lambda x: x >= p[region + 1] * (1 - 1e-12::DOUBLE))) - 1 AS place FROM g)
+  SELECT model, count(*) AS n, round(avg((place < 1)::INTEGER), 6) AS top1, round(avg(-ln(greatest(own, 1e-9))), 6) AS log_loss FROM h GROUP BY model"""
+
+
+@query(_recursion_sql())
 def belief_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid filters of all users, scored where the entity is hidden."""
     named = b.configurations()
     configs = [named[k] for k in ("last_seen", "prior", "prior_neg", "diffuse", "hmm_noneg", "hmm")]
-    return _summary(b.score(_steps(spark, sf_dir), ["user_id"], chain_models(spark, sf_dir), configs, unseen=_unseen))
+    steps = particles.segments(_steps(spark, sf_dir), ["user_id"])
+    return _summary(b.score(steps, ["user_id", "segment"], chain_models(spark, sf_dir), configs, unseen=_unseen))
 
 
 @query()
 def particle_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trajectory filters and their mixture with the grid filter."""
-    models = chain_models(spark, sf_dir)
-    models.library = _library(spark, sf_dir)
     named = b.configurations()
-    return _summary(b.score(_steps(spark, sf_dir), ["user_id"], models, [named["pf"], named["ens_nofire"]], unseen=_unseen))
+    cells = spark.range(CELLS).select(F.col("id").cast("int").alias("node"))
+    edges = cells.select(F.col("node").alias("src"), F.explode(F.array(F.col("node") - 1, F.col("node") + 1)).alias("dst")).where(f"dst between 0 and {CELLS - 1}")
+    steps = particles.segments(_steps(spark, sf_dir), ["user_id"])
+    return _summary(particles.score(steps, ["user_id", "segment"], _states(spark, sf_dir), particles.node_rings(cells, edges), chain_models(spark, sf_dir), [named["pf"], named["ens_nofire"]], _unseen))
 
 
 def _line_ups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_queries_without_sql(spark):
     q = catalogue.QUERIES
-    assert set(q) - set(catalogue.SQL) == {"bootstrap_ci", "grouped_folds", "belief_recursion", "particle_filter", "team_correction", "platt_fit", "formula_fit", "stack_fit", "spot_fit", "formula_bootstrap"}
+    assert set(q) - set(catalogue.SQL) == {"bootstrap_ci", "grouped_folds", "particle_filter", "team_correction", "platt_fit", "formula_fit", "stack_fit", "spot_fit", "formula_bootstrap"}
     assert all(r.lo <= r.weight <= r.hi and r.held_out_loss > 0 for r in q["formula_bootstrap"](spark, SF).collect())
     for r in q["bootstrap_ci"](spark, SF).collect():
         assert r.lo <= r.mean <= r.hi
@@ -69,11 +69,9 @@ def test_the_library_holds_every_state(spark, tmp_path):
 
     events = spark.range(25_000).selectExpr("id AS event_id", "id % 50 AS user_id", "timestamp_micros(id * 1000000) AS ts", "'view' AS event_type", "1.0 AS value", "concat('{\"k\": ', id % 100, '}') AS props")
     events.write.parquet(f"{tmp_path}/events.parquet")
-    lib = m._library(spark, str(tmp_path))
-    assert len(lib.node) == 25_000 and (lib.node == np.arange(25_000) % 100).all()
-    assert (lib.next == np.where(np.arange(25_000) < 24_950, np.arange(25_000) + 50, -1)).all()
-    with pytest.raises(ValueError):
-        m._library(spark, str(tmp_path), 24_999)
+    lib = m._states(spark, str(tmp_path)).toPandas()
+    assert len(lib) == 25_000 and lib.groupby("traj").pos.agg(lambda p: sorted(p) == list(range(len(p)))).all()
+    assert lib.traj.nunique() == 50 and sorted(lib.node) == sorted(np.arange(25_000) % 100)
 
 
 def test_line_ups_are_the_last_places_of_a_day(spark, tmp_path):
