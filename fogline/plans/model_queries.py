@@ -68,8 +68,14 @@ def _summary(samples: DataFrame) -> DataFrame:
     return s.select("model", "n", F.round("top1", 6).alias("top1"), F.round("log_loss", 6).alias("log_loss"))
 
 
-def _recursion_sql() -> str:
-    """The grid filters as a recursion over lists of a hundred cells; see belief.run_cells for the order of a step."""
+#: Steps of all users, and the summary of a recursion over them.
+STEPS_SQL = "SELECT user_id AS walker, event_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS step, CASE WHEN event_type = 'view' THEN cell ELSE -1 END AS seen, cell AS true_cell FROM e"
+SUMMARY_SQL = "SELECT model, count(*) AS n, round(avg((place < 1)::INTEGER), 6) AS top1, round(avg(-ln(greatest(own, 1e-9))), 6) AS log_loss FROM h GROUP BY model"
+
+
+def recursion_sql(steps: str, models: tuple[str, ...], answer: str) -> str:
+    """The grid filters as a recursion over lists of a hundred cells; see belief.run_cells for the order of a step. steps:
+    (walker, event_id, step, seen, true_cell) from e; answer: over g (a row a hidden step, region probabilities p) or h."""
     lists = lambda rows: f"(SELECT list(x ORDER BY j) FROM (SELECT j, list(p ORDER BY i) AS x FROM {rows} GROUP BY j))"
     return f"""WITH RECURSIVE {E}, c AS (SELECT i::INTEGER AS i FROM range({CELLS}) t(i)),
   k AS (SELECT cell, nxt, count(*) AS n FROM (SELECT cell, lead(cell) OVER (PARTITION BY user_id ORDER BY us, event_id) AS nxt FROM e) WHERE nxt IS NOT NULL GROUP BY ALL),
@@ -77,23 +83,23 @@ def _recursion_sql() -> str:
   w AS (SELECT i, j, CASE WHEN abs(i - j) > 1 THEN 0.0 WHEN i IN (0, {CELLS - 1}) THEN 1 / 2 ELSE 1 / 3 END::DOUBLE AS p FROM t),
   o AS (SELECT list(p ORDER BY i) AS first FROM (SELECT i, (0.001::DOUBLE + count(cell)) / ({CELLS} * 0.001::DOUBLE + (SELECT count(*) FROM e)) AS p FROM c LEFT JOIN e ON cell = i GROUP BY i)),
   v AS (SELECT {lists("t")} AS learned, {lists("w")} AS walk, first, list_transform(range({CELLS}), lambda i: CASE WHEN i >= 45 AND i < 55 THEN 0.7::DOUBLE ELSE 1.0 END) AS unseen, [x for x in range({CELLS})] AS cells FROM o),
-  s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS step, CASE WHEN event_type = 'view' THEN cell ELSE -1 END AS seen, cell AS true_cell FROM e),
-  m AS (SELECT * FROM (VALUES ('last_seen', 'none', false), ('prior', 'prior', false), ('prior_neg', 'prior', true), ('diffuse', 'walk', true), ('hmm_noneg', 'learned', false), ('hmm', 'learned', true)) q(model, motion, neg)),
-  r AS (SELECT user_id, -1::BIGINT AS step, -1 AS seen, -1 AS true_cell, model, motion, neg, first AS b FROM (SELECT DISTINCT user_id FROM e), m, v
+  s AS ({steps}),
+  m AS (SELECT * FROM (VALUES ('last_seen', 'none', false), ('prior', 'prior', false), ('prior_neg', 'prior', true), ('diffuse', 'walk', true), ('hmm_noneg', 'learned', false), ('hmm', 'learned', true)) q(model, motion, neg) WHERE model IN ({", ".join(f"'{m}'" for m in models)})),
+  r AS (SELECT walker, -1::BIGINT AS event_id, -1::BIGINT AS step, -1 AS seen, -1 AS true_cell, model, motion, neg, first AS b FROM (SELECT DISTINCT walker FROM s), m, v
    UNION ALL
-   SELECT user_id, step, seen, true_cell, model, motion, neg,
+   SELECT walker, event_id, step, seen, true_cell, model, motion, neg,
      CASE WHEN motion = 'prior' THEN CASE WHEN seen >= 0 THEN list_transform(cells, lambda i: (i = seen)::INTEGER::DOUBLE) ELSE b2 END
        ELSE list_transform(CASE WHEN seen >= 0 THEN list_transform(cells, lambda i: (i = seen)::INTEGER::DOUBLE) ELSE b2 END, lambda x: (1 - {b.FLOOR}::DOUBLE) * x + {b.FLOOR}::DOUBLE / {CELLS}) END
    FROM (SELECT *, CASE WHEN neg AND list_sum(list_transform(b1, lambda x, i: x * unseen[i])) > 1e-12 THEN list_transform(list_transform(b1, lambda x, i: x * unseen[i]), lambda x: x / list_sum(list_transform(b1, lambda x, i: x * unseen[i]))) ELSE b1 END AS b2
      FROM (SELECT s.*, r.model, r.motion, r.neg, v.cells, v.unseen,
        CASE WHEN r.motion = 'prior' THEN v.first WHEN s.step = 0 OR r.motion = 'none' THEN r.b WHEN r.motion = 'walk' THEN list_transform(v.walk, lambda x: list_dot_product(r.b, x)) ELSE list_transform(v.learned, lambda x: list_dot_product(r.b, x)) END AS b1
-       FROM r JOIN s ON s.user_id = r.user_id AND s.step = r.step + 1, v))),
-  g AS (SELECT model, true_cell // 10 AS region, list_transform(range(10), lambda i: list_sum(b[10 * i + 1:10 * i + 10])) AS p FROM r WHERE step >= 0 AND seen < 0),
+       FROM r JOIN s ON s.walker = r.walker AND s.step = r.step + 1, v))),
+  g AS (SELECT model, event_id, step, true_cell // 10 AS region, list_transform(range(10), lambda i: list_sum(b[10 * i + 1:10 * i + 10])) AS p FROM r WHERE step >= 0 AND seen < 0),
   h AS (SELECT model, p[region + 1] AS own, len(list_filter(p, lambda x: x >= p[region + 1] * (1 - 1e-12::DOUBLE))) - 1 AS place FROM g)
-  SELECT model, count(*) AS n, round(avg((place < 1)::INTEGER), 6) AS top1, round(avg(-ln(greatest(own, 1e-9))), 6) AS log_loss FROM h GROUP BY model"""
+  {answer}"""
 
 
-@query(_recursion_sql())
+@query(recursion_sql(STEPS_SQL, ("last_seen", "prior", "prior_neg", "diffuse", "hmm_noneg", "hmm"), SUMMARY_SQL))
 def belief_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid filters of all users, scored where the entity is hidden."""
     named = b.configurations()

@@ -29,10 +29,16 @@ def event_stream(spark: SparkSession, sf_dir: str, late: str = "3650 days") -> D
     return e.withWatermark("ts", late)
 
 
-def finished(stream: DataFrame, mode: str = "update") -> DataFrame:
-    """Runs a stream over all it has; its rows with the number of the batch that wrote them last."""
+def new_base(spark: SparkSession) -> str:
+    """A new folder for a stream's state and output."""
+    return f"{shared_dir(spark).rstrip('/')}/fogline-stream-{uuid.uuid4().hex}"
+
+
+def finished(stream: DataFrame, mode: str = "update", base: str | None = None) -> DataFrame:
+    """Runs a stream over all it has; its rows with the number of the batch that wrote them last. With the base of an
+    earlier run of the same stream it goes on where that ended."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/fogline-stream-{uuid.uuid4().hex}"
+    base = base or new_base(spark)
 
     def write(batch: DataFrame, number: int) -> None:
         # the folder is named by the batch, so a batch that is run again replaces what it wrote
@@ -43,7 +49,7 @@ def finished(stream: DataFrame, mode: str = "update") -> DataFrame:
     if running.exception() is not None:
         raise running.exception()
     schema = stream.schema.add("batch", "integer")
-    spark.createDataFrame([], schema).write.mode("append").parquet(f"{base}/out/written=-1")
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{base}/out/written=-1")
     return spark.read.schema(schema).parquet(f"{base}/out").drop("written")
 
 

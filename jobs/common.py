@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import argparse
-import contextlib
 import json
 import logging
-from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,20 +30,6 @@ def pattern(path: str) -> str:
     return path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
 
 
-@contextlib.contextmanager
-def held(spark: SparkSession, **conf: str) -> Iterator[None]:
-    """The session with other settings for a while."""
-    names = {k.replace("__", "."): v for k, v in conf.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    try:
-        for k, v in names.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def counted(df: DataFrame, *keys: str) -> str:
     """Rows by a few columns of small domains, for the log."""
     rows = df.groupBy(*keys).count().orderBy(*keys).limit(100).collect()

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from fogline.functions.bins import split_of
 from fogline.functions.words import price, tokens
-from jobs.common import counted, held, log, main, settings
+from fogline.session import held
+from jobs.common import counted, log, main, settings
 
 REQUESTS = "key string, n_asked long, conv_id long, turn long, tokens_in double, tokens_out double, cost double, batch string, split string, status string"
 FIELD, ROW = "\x1f", "\x1e"
@@ -86,7 +87,7 @@ def run(spark: SparkSession, conversations: str, out: str, conf: dict | None = N
     log.info("%s: %d turns, %d of them usable", conversations, turns.count(), kept.count())
     rows = by_key(asked(kept, int(conf["context"]), int(conf["least_answer"])), conf["price_per_million"])
     columns = [c.split()[0] for c in REQUESTS.split(", ")]
-    with held(spark, spark__sql__sources__partitionOverwriteMode="static"):
+    with held(spark, {"spark.sql.sources.partitionOverwriteMode": "static"}):
         requests = batched(rows, float(conf["batch_tokens"]), int(conf["groups"])).select(*columns)
         requests.write.mode("overwrite").partitionBy("split", "status").parquet(f"{out}/requests")
         written = spark.read.schema(REQUESTS).parquet(f"{out}/requests")

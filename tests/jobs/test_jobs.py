@@ -12,8 +12,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from fogline.session import held
 from jobs import queries, request_batches, track_moves
-from jobs.common import held, pattern, settings
+from jobs.common import pattern, settings
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 TURNS = "conv_id long, turn long, role string, text string, extra string"
@@ -173,7 +174,7 @@ def test_settings_and_patterns(spark, tmp_path, caplog):
         settings("request_batches", spark, str(own))
     assert pattern("/a/b.parquet/") == "/a/b.parque[t]" and pattern("/a/*.parquet") == "/a/*.parquet"
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    with pytest.raises(RuntimeError), held(spark, spark__sql__sources__partitionOverwriteMode="dynamic"):
+    with pytest.raises(RuntimeError), held(spark, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
         raise RuntimeError
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
     caplog.set_level(logging.INFO)
