@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import maths
 from ..operators import belief as b
 from ..operators import counting as c
-from ..operators import fitting, maps, particles
+from ..operators import fitting, lineups, maps, particles
 from ..session import table
 from .common import DAY, E, sightings
 from .registry import query
@@ -129,20 +129,35 @@ def _line_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ups.groupBy(F.pmod("day", F.lit(60)).cast("double").alias("clock"), "places").agg(F.count("*").alias("count")).withColumn("alive", F.size("places"))
 
 
-@query()
+#: Regions that the beliefs of the three entities of team_correction favour.
+FAVOURED = (1, 4, 8)
+
+
+def _team_sql() -> str:
+    o = b.LineUps()
+    return f"""WITH {E}, l AS (SELECT user_id, us // {DAY} AS day, arg_max(cell // 10, ROW(us, event_id)) AS region FROM e GROUP BY ALL),
+  u AS (SELECT day % 60 AS clock, list(region ORDER BY region) AS places FROM l GROUP BY user_id // 5, day), r AS (SELECT clock, places, len(places) AS alive, count(*) AS n FROM u GROUP BY ALL),
+  q AS (SELECT clock::INTEGER AS q FROM range(0, 60, 5) t(clock)), x AS (SELECT region, e, CASE WHEN region = favoured THEN 0.55 ELSE 0.05 END AS p FROM range(10) t(region), (VALUES {", ".join(f"({i}, {f})" for i, f in enumerate(FAVOURED))}) v(e, favoured)),
+  m AS (SELECT q, clock, places, alive, n, {o.surplus}::DOUBLE ** (alive - 3) * exp(-0.5 * ((clock - q) / {o.sigma}::DOUBLE) ** 2) AS s FROM q JOIN r ON abs(clock - q) <= {1.5 * o.sigma} WHERE alive >= 3),
+  z AS (SELECT q, region, sum(s * n) AS mass FROM (SELECT q, s, n, unnest(places) AS region FROM m) GROUP BY ALL),
+  g AS (SELECT q.q, t.region, greatest(coalesce(mass, 0) / sum(mass) OVER (PARTITION BY q.q), 0.001) AS usual FROM q JOIN range(10) t(region) ON true LEFT JOIN z ON z.q = q.q AND z.region = t.region),
+  f AS (SELECT q, e, g.region, usual, (p / usual) / sum(p) OVER (PARTITION BY q, e) AS lift FROM g JOIN x ON x.region = g.region),
+  w AS (SELECT n, a, b, c FROM range(3, 6) t(n), range(1, 6) ta(a), range(1, 6) tb(b), range(1, 6) tc(c) WHERE a <= n AND b <= n AND c <= n AND a <> b AND a <> c AND b <> c),
+  y AS (SELECT m.*, m.places[w.a] AS pa, m.places[w.b] AS pb, m.places[w.c] AS pc, f0.lift * f1.lift * f2.lift / (alive * (alive - 1) * (alive - 2)) AS fit FROM m JOIN w ON w.n = alive
+    JOIN f f0 ON f0.q = m.q AND f0.e = 0 AND f0.region = m.places[w.a] JOIN f f1 ON f1.q = m.q AND f1.e = 1 AND f1.region = m.places[w.b] JOIN f f2 ON f2.q = m.q AND f2.e = 2 AND f2.region = m.places[w.c]),
+  t AS (SELECT q, sum(n * k) AS total, sum(n * k) ** 2 / sum(n * k * k) AS size FROM (SELECT q, s, n, s * sum(fit) AS k FROM y GROUP BY q, clock, places, s, n) GROUP BY q),
+  h AS (SELECT q, e, region, sum(s * n * fit) AS met FROM (SELECT *, 0 AS e, pa AS region FROM y UNION ALL SELECT *, 1, pb FROM y UNION ALL SELECT *, 2, pc FROM y) GROUP BY ALL)
+  SELECT t.q AS clock, f.e AS entity, f.region::INTEGER AS region, round((size * coalesce(met, 0) / total + {o.pseudo} * usual * lift) / (size + {o.pseudo}) / (usual * lift), 6) AS factor
+  FROM t JOIN f ON f.q = t.q LEFT JOIN h ON h.q = f.q AND h.e = f.e AND h.region = f.region"""
+
+
+@query(_team_sql())
 def team_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Team factors for three independent beliefs from all recorded line-ups of five users a snapshot."""
-    from ..operators.corrections import team_ratio
-
-    rows = _line_ups(spark, sf_dir).orderBy("clock", "places").collect()
-    recorded = {"clock": np.array([r["clock"] for r in rows]), "alive": np.array([r["alive"] for r in rows]), "buy": np.full(len(rows), 2), "count": np.array([r["count"] for r in rows]), "places": np.array([[*r["places"], *[-1] * (5 - len(r["places"]))] for r in rows], int).reshape(-1, 5)}
-    options = b.LineUps(most=max(len(rows), 1))  # none is left out
-    p = np.stack([np.bincount([i], minlength=10) * 0.5 + 0.05 for i in (1, 4, 8)])
-    out = []
-    for clock in range(0, 60, 5):
-        ratio = team_ratio(recorded, float(clock), None, p, options)
-        out += [(clock, e, r, float(ratio[e, r])) for e in range(3) for r in range(10)] if ratio is not None else []
-    return spark.createDataFrame(out, "clock int, entity int, region int, factor double")
+    recorded = _line_ups(spark, sf_dir).select("clock", "places", F.lit(2).alias("buy"), F.col("count").alias("n"))
+    beliefs = F.array(*(F.array(*(F.lit(0.55 if r == f else 0.05) for r in range(10))) for f in FAVOURED))
+    requests = spark.range(0, 60, 5).select(F.col("id").cast("int").alias("at"), F.col("id").cast("double").alias("clock"), beliefs.alias("p"))
+    return lineups.team_factors(requests, recorded, ["at"], 10).select(F.col("at").alias("clock"), "entity", "region", F.round("factor", 6).alias("factor"))
 
 
 #: P(shown weapon class | buy), fixed for the query.
