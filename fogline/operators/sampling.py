@@ -21,7 +21,8 @@ UNBOUNDED = Window.unboundedPreceding
 def prefix_sums(rows: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str) -> DataFrame:
     """rows of positive weight with before, upto and total: sums of weights of the rows of the same keys before the row,
     up to it, and of all. order must tell the rows of a key apart; rows with a null key are left out."""
-    kept = rows.where(F.col(weight) > 0).dropna(subset=list(keys))
+    kept = rows.where(F.col(weight) > 0)
+    kept = kept.dropna(subset=list(keys)) if keys else kept
     parts = stored(kept.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "prefix")
     each = parts.groupBy(*keys, "__part").agg(F.sum(weight).alias("__sum"))
     over = Window.partitionBy(*keys)
@@ -32,6 +33,12 @@ def prefix_sums(rows: DataFrame, keys: Sequence[str], order: Sequence[str], weig
     return local.join(offsets, [*keys, "__part"]).select(*rows.columns, (upto - F.col(weight)).alias("before"), upto.alias("upto"), "total")
 
 
+def dense_ranks(rows: DataFrame, column: str, name: str = "rank") -> DataFrame:
+    """(column, rank, total): the different values of a column with their place in order from 0, and how many there are."""
+    each = rows.select(column).distinct().withColumn("__one", F.lit(1))
+    return prefix_sums(each, [], [column], "__one").select(column, F.col("before").cast("long").alias(name), F.col("total").cast("long").alias("total"))
+
+
 def at_or_before(left: DataFrame, right: DataFrame, keys: Sequence[str], position: str, values: Sequence[str]) -> DataFrame:
     """left with `values` of the right row of the same keys that has the greatest position at or before its own (null:
     none). An as-of join whose keys may be as hot as they like: both sides are range-partitioned by key and position

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bins, maths
+from ..session import stored
+from . import sampling
 
 
 def summary(samples: DataFrame, slices: Sequence[Sequence[str]], rank: str = "rank", p_true: str = "p_true") -> DataFrame:
@@ -56,47 +56,66 @@ def highest_density(df: DataFrame, keys: Sequence[str], mass: str, share: float,
     return needed.withColumn("__least", lightest).where(F.col(mass) >= F.col("__least")).drop("__in", "__least")
 
 
+def cluster_draws(samples: DataFrame, cluster: str, draws: int, seed: int = 0) -> DataFrame:
+    """(draw, cluster, copies): for every draw as many clusters as there are, taken with replacement. The j-th pick of a
+    draw is the cluster whose place in order is an MD5 of (seed, draw, j) modulo their number, so all models, metrics and
+    engines see the same draws. Copies are counted where they are made, and nothing is collected but the number."""
+    ranks = stored(sampling.dense_ranks(samples.where(F.col(cluster).isNotNull()), cluster), "ranks")
+    n = ranks.select("total").first()
+    if n is None:
+        return ranks.select(F.lit(0).alias("draw"), cluster, F.lit(0).cast("long").alias("copies")).limit(0)
+    n = n["total"]
+    picks = samples.sparkSession.range(draws * n).select(F.expr(f"cast(id div {n} as int)").alias("draw"), F.expr(f"id % {n}").alias("j"))
+    rank = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "draw", "j").cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(n))
+    copies = picks.groupBy("draw", rank.alias("rank")).agg(F.count("*").alias("copies"))
+    return copies.join(ranks.select("rank", cluster), "rank").select("draw", cluster, "copies")
+
+
+def resampled_means(samples: DataFrame, model: str, cluster: str, metrics: Sequence[str], draws: int = 2000, seed: int = 0) -> DataFrame:
+    """(model, metric, draw, mean): means of metrics over resampled clusters, by model. A draw that misses all clusters of
+    a model has mean null."""
+    sums = samples.groupBy(F.col(model).cast("string").alias("model"), cluster).agg(*(F.struct(F.sum(F.col(m).cast("double")).alias("s"), F.count(m).alias("n")).alias(m) for m in metrics))
+    drawn = sums.join(cluster_draws(samples, cluster, draws, seed), cluster)
+    weighed = [f(F.col("copies") * F.col(f"{m}.{part}")).alias(f"{part}{i}") for i, m in enumerate(metrics) for f, part in ((F.sum, "s"), (F.sum, "n"))]
+    each = drawn.groupBy("model", "draw").agg(*weighed)
+    long = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.try_divide(F.col(f"s{i}"), F.col(f"n{i}")).alias("mean")) for i, m in enumerate(metrics))))
+    return each.select("model", "draw", long.alias("x")).select("model", "x.metric", "draw", "x.mean")
+
+
+def _ends(values: DataFrame, *keys: str) -> DataFrame:
+    """95 % intervals; a group holds one number a draw."""
+    return values.groupBy(*keys).agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"))
+
+
 def bootstrap(samples: DataFrame, model: str, cluster: str, value: str, draws: int = 2000, seed: int = 0, pairs: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """(model, mean, lo, hi): 95 % intervals of a mean by resampling clusters; for pairs (a, b) the difference a - b on
-    the same draws, as model 'a - b'.
-
-    Spark sums by model and cluster. Draws are cut into blocks; a block counts each cluster's copies by hashing (seed,
-    draw, cluster) to a Poisson variable of mean 1, so every task makes the same draw without the cluster list, and the
-    sums of draws are aggregated like any others. Nothing of the size of the clusters is collected.
-    """
-    sums = samples.groupBy(model, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-
-    def resampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        draw = np.arange(draws, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        k = np.arange(1, 18)
-        below = np.cumsum(np.exp(-1.0) / np.concatenate(([1.0], np.cumprod(k.astype(float)))))
-        for batch in batches:
-            names = np.array(batch.column(0).to_pylist(), object)
-            hashes, sums = batch.column(1).to_numpy().view(np.uint64), np.stack([batch.column(i).to_numpy() for i in (2, 3)])
-            for name in set(names.tolist()):
-                own = np.flatnonzero(names == name)
-                for i in range(0, len(own), 512):
-                    rows = own[i : i + 512]
-                    x = draw[None, :] ^ hashes[rows, None]
-                    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                    copies = np.searchsorted(below, (x >> np.uint64(11)).astype(np.float64) / 2**53, "right")
-                    total[name] = total.get(name, 0.0) + sums[:, rows] @ copies
-        for name, t in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * draws, pa.string()), pa.array(np.arange(draws, dtype=np.int32)), pa.array(t[0]), pa.array(t[1])], names=["model", "draw", "s", "n"])
-
-    keyed = sums.select(F.col(model).cast("string").alias("model"), F.xxhash64(F.lit(seed), F.col(cluster).cast("string")).alias("h"), F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n"))
-    drawn = keyed.mapInArrow(resampled, "model string, draw int, s double, n double").groupBy("model", "draw").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"))  # a draw may miss all clusters
+    the same draws, as model 'a - b'."""
+    drawn = stored(resampled_means(samples, model, cluster, [value], draws, seed), "draws")
     means = samples.groupBy(F.col(model).cast("string").alias("model")).agg(F.avg(value).alias("mean"))
     for a, b in pairs:
         x, y = drawn.where(F.col("model") == a), drawn.where(F.col("model") == b)
-        both = x.select("draw", F.col("mean").alias("x")).join(y.select("draw", F.col("mean").alias("y")), "draw")
-        drawn = drawn.unionByName(both.select(F.lit(f"{a} - {b}").alias("model"), "draw", (F.col("x") - F.col("y")).alias("mean")))
+        both = x.select("metric", "draw", F.col("mean").alias("x")).join(y.select("draw", F.col("mean").alias("y")), "draw")
+        drawn = drawn.unionByName(both.select(F.lit(f"{a} - {b}").alias("model"), "metric", "draw", (F.col("x") - F.col("y")).alias("mean")))
         one = means.groupBy().agg(F.sum(F.when(F.col("model") == a, F.col("mean"))).alias("x"), F.sum(F.when(F.col("model") == b, F.col("mean"))).alias("y"))
         means = means.unionByName(one.select(F.lit(f"{a} - {b}").alias("model"), (F.col("x") - F.col("y")).alias("mean")))
-    ends = drawn.groupBy("model").agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"))
-    return means.join(ends, "model")
+    return means.join(_ends(drawn, "model"), "model")
+
+
+def intervals(samples: DataFrame, model: str, cluster: str, metrics: Sequence[str], reference: str | None = None, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """(model, metric, n, mean, lo, hi, diff, diff_lo, diff_hi): every metric of every model with its interval, and its
+    paired difference to a reference model on the same draws (null for the reference, or without one)."""
+    drawn = stored(resampled_means(samples, model, cluster, metrics, draws, seed), "draws")
+    means = samples.groupBy(F.col(model).cast("string").alias("model")).agg(F.count("*").alias("n"), *(F.avg(m).alias(f"__{i}") for i, m in enumerate(metrics)))
+    long = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"__{i}").alias("mean")) for i, m in enumerate(metrics))))
+    means = means.select("model", "n", long.alias("x")).select("model", "n", "x.*")
+    out = means.join(_ends(drawn, "model", "metric"), ["model", "metric"])
+    if reference is None:
+        return out.select("*", *(F.lit(None).cast("double").alias(c) for c in ("diff", "diff_lo", "diff_hi")))
+    of = lambda df, name: df.where(F.col("model") == reference).select("metric", *(c for c in ("draw",) if c in df.columns), F.col("mean").alias(name))
+    paired = drawn.where(F.col("model") != reference).join(of(drawn, "r"), ["metric", "draw"]).withColumn("mean", F.col("mean") - F.col("r"))
+    ends = _ends(paired, "model", "metric").withColumnsRenamed({"lo": "diff_lo", "hi": "diff_hi"})
+    diff = F.when(F.col("model") != reference, F.col("mean") - F.col("r")).alias("diff")
+    return out.join(of(means, "r"), "metric").join(ends, ["model", "metric"], "left").select("model", "metric", "n", "mean", "lo", "hi", diff, "diff_lo", "diff_hi")
 
 
 def folds(df: DataFrame, cluster: str, k: int, seed: int = 0) -> DataFrame:

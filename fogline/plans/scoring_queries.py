@@ -157,7 +157,19 @@ def negative_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.groupBy("l_suppkey").agg(F.round(F.exp(F.sum(F.log1p(-p)) / 100), 6).alias("unseen"))
 
 
-@query()
+def _draws_sql(rows: str, draws: int) -> str:
+    """Common table expressions of scoring.cluster_draws: rows has model, cluster and the metrics."""
+    return f"""x AS ({rows}), r AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS rank FROM (SELECT DISTINCT cluster FROM x)), n AS (SELECT count(*) AS n FROM r),
+  k AS (SELECT draw, ('0x' || md5('0|' || draw || '|' || j)[1:15])::BIGINT % n AS rank, count(*) AS copies FROM n, range({draws}) t(draw), LATERAL (SELECT unnest(range(n)) AS j) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_draws_sql("SELECT l_returnflag AS model, l_orderkey AS cluster, l_quantity AS v FROM lineitem", 200)},
+  s AS (SELECT model, cluster, sum(v) AS s, count(v) AS n FROM x GROUP BY ALL),
+  d AS (SELECT model, draw, sum(copies * s.s) / sum(copies * s.n) AS mean FROM s JOIN r USING (cluster) JOIN k USING (rank) GROUP BY ALL),
+  m AS (SELECT model, avg(v) AS mean FROM x GROUP BY 1),
+  p AS (SELECT * FROM d UNION ALL SELECT 'R - A', a.draw, a.mean - b.mean FROM d a JOIN d b USING (draw) WHERE a.model = 'R' AND b.model = 'A'),
+  q AS (SELECT * FROM m UNION ALL SELECT 'R - A', (SELECT mean FROM m WHERE model = 'R') - (SELECT mean FROM m WHERE model = 'A'))
+  SELECT model, round(any_value(q.mean), 6) AS mean, round(quantile_cont(p.mean, 0.025), 6) AS lo, round(quantile_cont(p.mean, 0.975), 6) AS hi FROM p JOIN q USING (model) GROUP BY model""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of the mean quantity by return flag with orders as clusters, and of a paired difference."""
     l = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_quantity")  # noqa: E741
@@ -165,6 +177,22 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("model", *(F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")))
 
 
+@query(f"""WITH {_draws_sql("SELECT c_mktsegment AS model, o_custkey AS cluster, o_totalprice AS price, (o_orderpriority = '1-URGENT')::INT::DOUBLE AS urgent FROM orders JOIN customer ON c_custkey = o_custkey", 100)},
+  s AS (SELECT model, cluster, metric, sum(v) AS s, count(v) AS n FROM (SELECT model, cluster, 'price' AS metric, price AS v FROM x UNION ALL SELECT model, cluster, 'urgent', urgent FROM x) GROUP BY ALL),
+  d AS (SELECT model, metric, draw, sum(copies * s.s) / sum(copies * s.n) AS mean FROM s JOIN r USING (cluster) JOIN k USING (rank) GROUP BY ALL),
+  m AS (SELECT model, metric, sum(s) / sum(n) AS mean, sum(n)::BIGINT AS n FROM s GROUP BY ALL),
+  e AS (SELECT a.model, a.metric, quantile_cont(a.mean, 0.025) AS lo, quantile_cont(a.mean, 0.975) AS hi, quantile_cont(a.mean - b.mean, 0.025) AS diff_lo, quantile_cont(a.mean - b.mean, 0.975) AS diff_hi
+    FROM d a LEFT JOIN d b ON b.draw = a.draw AND b.metric = a.metric AND b.model = 'BUILDING' AND a.model <> 'BUILDING' GROUP BY ALL)
+  SELECT m.model, m.metric, m.n, round(m.mean, 4) AS mean, round(lo, 4) AS lo, round(hi, 4) AS hi, round(CASE WHEN m.model <> 'BUILDING' THEN m.mean - b.mean END, 4) AS diff, round(diff_lo, 4) AS diff_lo, round(diff_hi, 4) AS diff_hi
+  FROM m JOIN e USING (model, metric) JOIN m b ON b.metric = m.metric AND b.model = 'BUILDING'""")
+def paired_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two metrics of every market segment with intervals over customers, and paired differences to one of them."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), F.col("c_custkey") == F.col("o_custkey"))
+    x = o.select(F.col("c_mktsegment").alias("model"), F.col("o_custkey").alias("cluster"), F.col("o_totalprice").alias("price"), (F.col("o_orderpriority") == "1-URGENT").cast("double").alias("urgent"))
+    r = s.intervals(x, "model", "cluster", ["price", "urgent"], "BUILDING", draws=100)
+    return r.select("model", "metric", "n", *(F.round(c, 4).alias(c) for c in ("mean", "lo", "hi", "diff", "diff_lo", "diff_hi")))
+
+
 @query()
 def grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole customers dealt to four folds."""
