@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import maths
 from ..operators import belief as b
 from ..operators import counting as c
-from ..operators import fitting, lineups, maps, particles
+from ..operators import choices, fitting, lineups, maps, particles
 from ..session import table
 from .common import DAY, E, sightings
 from .registry import query
@@ -210,22 +210,69 @@ def platt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, i int, theta double")
 
 
-@query()
+#: The ten places of a vector with two features each, and whether a place is the true one.
+CHOICES_SQL = """c AS (SELECT vec_id, label::INTEGER AS truth, unnest(range(10)) AS i, list_transform(embedding[1:10], lambda x: exp(4 * x::DOUBLE)) AS w FROM embeddings),
+  p AS (SELECT vec_id, truth, i, w[i + 1] / list_sum(w) AS p FROM c)"""
+
+
+def newton_sql(rows: str, fits: str, pull: float, towards: tuple[float, float], answer: str, rounds: int = 25) -> str:
+    """Conditional logits of two features by Newton steps. rows: (vec_id, truth, i, x0, x1, base) from p; fits: (fit,
+    vec_id, w); answer: over t (fit, t0, t1), the last step."""
+    return f"""WITH RECURSIVE {CHOICES_SQL}, x AS ({rows}), f AS ({fits}),
+  r AS (SELECT fit, 0 AS step, {towards[0]}::DOUBLE AS t0, {towards[1]}::DOUBLE AS t1 FROM (SELECT DISTINCT fit FROM f)
+   UNION ALL
+   SELECT fit, step + 1, t0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), t1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+     SELECT fit, step, t0, t1, sum(w * (x0 - m0)) / sum(w) - {2 * pull} * (t0 - {towards[0]}) AS g0, sum(w * (x1 - m1)) / sum(w) - {2 * pull} * (t1 - {towards[1]}) AS g1,
+       sum(w * (s00 - m0 * m0)) / sum(w) + {2 * pull} AS h00, sum(w * (s01 - m0 * m1)) / sum(w) AS h01, sum(w * (s11 - m1 * m1)) / sum(w) + {2 * pull} AS h11
+     FROM (SELECT fit, step, t0, t1, vec_id, any_value(w) AS w, max(CASE WHEN i = truth THEN x0 END) AS x0, max(CASE WHEN i = truth THEN x1 END) AS x1,
+         sum(e * x0) / sum(e) AS m0, sum(e * x1) / sum(e) AS m1, sum(e * x0 * x0) / sum(e) AS s00, sum(e * x0 * x1) / sum(e) AS s01, sum(e * x1 * x1) / sum(e) AS s11
+       FROM (SELECT r.fit, step, t0, t1, x.vec_id, truth, i, x0, x1, w, exp(base + x0 * t0 + x1 * t1) AS e FROM r JOIN f ON f.fit = r.fit JOIN x ON x.vec_id = f.vec_id WHERE step < {rounds})
+       GROUP BY fit, step, t0, t1, vec_id)
+     GROUP BY fit, step, t0, t1)),
+  t AS (SELECT fit, t0, t1 FROM r WHERE step = {rounds})
+  {answer}"""
+
+
+def _two_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability and position of ten places."""
+    return _choices(spark, sf_dir).select("vec_id", (F.col("vec_id") % 50).alias("grp"), "truth", "p", F.flatten(F.transform("p", lambda p, i: F.array(F.log(p + 0.01), i.cast("double") / 10))).alias("x"))
+
+
+FORMULA_SQL = "SELECT vec_id, truth, i, ln(p + 0.01) AS x0, i / 10 AS x1, 0 AS base FROM p"
+ONE_SQL = "SELECT 0 AS fit, vec_id, 1.0::DOUBLE AS w FROM (SELECT DISTINCT vec_id FROM p)"
+
+
+@query(newton_sql(FORMULA_SQL, ONE_SQL, 0.01, (0.0, 0.0), "SELECT i::INTEGER AS i, round(CASE WHEN i = 0 THEN t0 ELSE t1 END, 4) AS weight FROM t, range(2) q(i)"))
 def formula_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conditional logit on log-probability and position of ten places."""
-    x = _choices(spark, sf_dir).select("truth", F.flatten(F.transform("p", lambda p, i: F.array(F.log(p + 0.01), i.cast("double") / 10))).alias("x"))
-    theta = fitting.maximise(x, fitting.choice_likelihood(), (1.0, 0.0), pull=0.01)
+    theta = choices.fit_choices(_two_features(spark, sf_dir), 2, pull=0.01)[0]
     return spark.createDataFrame([(i, round(float(t), 4)) for i, t in enumerate(theta)], "i int, weight double")
 
 
-@query()
+@query(newton_sql("SELECT vec_id, truth, i, ln(greatest(p, 1e-9)) AS x0, (i % 3 = 0)::INTEGER::DOUBLE AS x1, 0 AS base FROM p", ONE_SQL, 0.01, (1.0, 0.0), "SELECT i::INTEGER AS i, round(CASE WHEN i = 0 THEN t0 ELSE t1 END, 4) AS weight FROM t, range(2) q(i)"))
 def stack_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A correction on top of given probabilities, drawn to none."""
-    x = _choices(spark, sf_dir).select("truth", F.col("p").alias("base"), F.flatten(F.transform("p", lambda p, i: F.array((i % 3 == 0).cast("double"), i.cast("double") / 10))).alias("x"))
-    theta = fitting.maximise(x, fitting.stack_likelihood(), (0.0, 0.0), pull=0.01)
+    """A correction on top of given log-probabilities, drawn to leaving them alone."""
+    x = _choices(spark, sf_dir).select("truth", F.flatten(F.transform("p", lambda p, i: F.array(F.log(F.greatest(p, F.lit(1e-9))), (i % 3 == 0).cast("double")))).alias("x"))
+    theta = choices.fit_choices(x, 2, pull=0.01, towards=(1.0, 0.0))[0]
     return spark.createDataFrame([(i, round(float(t), 4)) for i, t in enumerate(theta)], "i int, weight double")
 
 
+#: Five folds under five seeds, fitted on rows of other folds with features of their own scale.
+FOLDS_SQL = """SELECT s * 5 + g AS fit, vec_id, (f <> g)::INTEGER::DOUBLE AS w FROM (SELECT s, grp, (row_number() OVER (PARTITION BY s ORDER BY md5(s || '|' || grp), grp) - 1) % 5 AS f FROM (SELECT DISTINCT vec_id % 50 AS grp FROM p), range(5) t(s))
+    JOIN (SELECT DISTINCT vec_id FROM p) ON vec_id % 50 = grp, range(5) q(g)"""
+#: The second feature is scaled fit by fit: its ridge is that of the scaled weight.
+STACK_SQL = "SELECT vec_id, truth, i, ln(greatest(p, 1e-9)) AS x0, i / 10 AS x1, 0 AS base FROM p"
+
+
+@query(newton_sql(STACK_SQL, FOLDS_SQL, 0.0, (1.0, 0.0), """, q AS (SELECT f.vec_id, fit // 5 AS s, truth, i, exp(x0 * t0 + x1 * t1) / sum(exp(x0 * t0 + x1 * t1)) OVER (PARTITION BY f.vec_id, fit) AS p FROM f JOIN t USING (fit) JOIN x ON x.vec_id = f.vec_id WHERE w = 0),
+  m AS (SELECT vec_id, truth, i, avg(p) AS p FROM q GROUP BY ALL) SELECT vec_id, round(max(CASE WHEN i = truth THEN p END), 5) AS p_true, round(max(p), 5) AS most FROM m GROUP BY vec_id"""))
+def cross_fitted_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold probabilities of a stack over given log-probabilities: five folds of whole groups under five seeds."""
+    x = _choices(spark, sf_dir).select("vec_id", (F.col("vec_id") % 50).alias("grp"), "truth", F.flatten(F.transform("p", lambda p, i: F.array(F.log(F.greatest(p, F.lit(1e-9))), i.cast("double") / 10))).alias("x"))
+    held, _ = choices.cross_fitted(x, "grp", 2, towards=(1.0, 0.0), unscaled=(0,))
+    return held.select("vec_id", F.round(F.get("p", F.col("truth")), 5).alias("p_true"), F.round(F.array_max("p"), 5).alias("most"))
+
+
 @query()
 def spot_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Additive logit tables from binomial cells of all lines."""
@@ -255,15 +302,24 @@ def buy_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("situation", *(F.round(F.col("p")[i], 6).alias(a) for i, a in enumerate(("eco", "force", "full_buy"))))
 
 
-@query()
+#: A hundred draws of fifty groups of vectors, all rows once, and all but each of four folds.
+REFITS_SQL = """SELECT draw AS fit, vec_id, copies::DOUBLE AS w FROM (SELECT draw, ('0x' || md5('0|' || draw || '|' || j)[1:15])::BIGINT % n AS rank, count(*) AS copies
+      FROM (SELECT count(DISTINCT vec_id % 50) AS n FROM p), range(100) t(draw), LATERAL (SELECT unnest(range(n)) AS j) GROUP BY ALL)
+    JOIN (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS rank FROM (SELECT DISTINCT vec_id % 50 AS grp FROM p)) USING (rank) JOIN (SELECT DISTINCT vec_id FROM p) ON vec_id % 50 = grp
+  UNION ALL SELECT -1, vec_id, 1.0 FROM (SELECT DISTINCT vec_id FROM p)
+  UNION ALL SELECT 1000 + g, vec_id, (f <> g)::INTEGER::DOUBLE FROM (SELECT grp, (row_number() OVER (ORDER BY md5('0|' || grp), grp) - 1) % 4 AS f FROM (SELECT DISTINCT vec_id % 50 AS grp FROM p)) JOIN (SELECT DISTINCT vec_id FROM p) ON vec_id % 50 = grp, range(4) q(g)"""
+
+
+@query(newton_sql(FORMULA_SQL, REFITS_SQL, 0.01, (0.0, 0.0), """, v AS (SELECT fit, i, CASE WHEN i = 0 THEN t0 ELSE t1 END AS v FROM t, range(2) q(i)),
+  h AS (SELECT avg(-ln(p)) AS loss FROM (SELECT truth, i, exp(x0 * t0 + x1 * t1) / sum(exp(x0 * t0 + x1 * t1)) OVER (PARTITION BY f.vec_id, fit) AS p FROM f JOIN t USING (fit) JOIN x ON x.vec_id = f.vec_id WHERE fit >= 1000 AND w = 0) WHERE i = truth)
+  SELECT i::INTEGER AS i, round(max(CASE WHEN fit < 0 THEN v END), 4) AS weight, round(quantile_cont(v, 0.025) FILTER (fit BETWEEN 0 AND 999), 4) AS lo, round(quantile_cont(v, 0.975) FILTER (fit BETWEEN 0 AND 999), 4) AS hi, round(any_value(loss), 4) AS held_out_loss FROM v, h GROUP BY i"""))
 def formula_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of the conditional logit's weights, clusters being fifty groups of vectors, and its held-out loss."""
-    from ..operators.scoring import folds
-
-    x = _choices(spark, sf_dir).select((F.col("vec_id") % 50).alias("grp"), "truth", F.flatten(F.transform("p", lambda p, i: F.array(F.log(p + 0.01), i.cast("double") / 10))).alias("x"))
-    like = fitting.choice_likelihood()
-    theta = fitting.maximise(x.drop("grp"), like, (1.0, 0.0), pull=0.01)
-    ends = fitting.bootstrap_weights(x, "grp", like, theta, pull=0.01)
-    loss, _ = fitting.held_out_loss(folds(x, "grp", 4).drop("grp"), "fold", 4, like, (1.0, 0.0))
-    rows = [(i, round(float(t), 4), round(float(lo), 4), round(float(hi), 4), round(float(loss), 4)) for i, (t, (lo, hi)) in enumerate(zip(theta, ends, strict=True))]
+    """Intervals of the conditional logit's weights from refits on resampled groups of vectors, and its held-out loss."""
+    x = _two_features(spark, sf_dir)
+    theta = choices.fit_choices(x, 2, pull=0.01)[0]
+    again = choices.refits(x, "grp", 2, pull=0.01, draws=100)
+    held, _ = choices.cross_fitted(x.drop("p"), "grp", 2, pull=0.01, unscaled=(0, 1), folds=4, seeds=1)
+    loss = held.agg(F.avg(maths.log_loss(F.get("p", F.col("truth")))).alias("x")).first()["x"]
+    ends = [np.percentile(again[:, i], (2.5, 97.5)) for i in range(2)]
+    rows = [(i, *(round(float(v), 4) for v in (theta[i], *ends[i], loss))) for i in range(2)] if loss is not None else []
     return spark.createDataFrame(rows, "i int, weight double, lo double, hi double, held_out_loss double")
