@@ -5,7 +5,7 @@ Everything up to the fitted tables is relational and scales with the events; the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bins
+from ..session import stored
 from . import counting, graph, temporal
 
 # Fixed values of the game's clock and of the grid.
-TICKS, STEP, COLUMN, RISE, FLOOR_GAP, LEAST_SAMPLES, STAND = 64, 16, 64.0, 48.0, 110.0, 8, 32.0
+TICKS, STEP, COLUMN, RISE, FLOOR_GAP, LEAST_SAMPLES, STAND, PIXEL = 64, 16, 64.0, 48.0, 110.0, 8, 32.0, 16.0
 BUYS = ("eco", "force", "full")
 
 
@@ -65,6 +66,7 @@ def build_grid(positions: DataFrame, least: int = LEAST_SAMPLES) -> Grid:
     named = counting.majority(at.where("node is not null").select("node", "place"), "node", "place")
     middle = at.groupBy("node").agg(F.avg("X").alias("x"), F.avg("Y").alias("y"))
     cells = cells.join(numbered, "node").join(named, "node").join(middle, "node").select(F.col("index").alias("node"), "cx", "cy", "floor", "z", "place", "x", "y")
+    cells = representative_points(cells, pixel_bands(positions), x0, y0)
     a = cells.select(F.col("node").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"))
     b = cells.select(F.col("node").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"))
     length = F.sqrt(F.pow(F.col("ax") - F.col("bx"), F.lit(2)) + F.pow(F.col("ay") - F.col("by"), F.lit(2)) + F.pow(F.col("az") - F.col("bz"), F.lit(2)))
@@ -203,78 +205,78 @@ def buy_priors(situations: DataFrame, add: float = 3.0) -> DataFrame:
     return situations.groupBy("situation").agg(F.array(*((c + add * overall[f"b{i}"] / n) / total for i, c in enumerate(each))).alias("p"))
 
 
-# -- sight ----------------------------------------------------------------------------------------------------------
-
+def buy_rates(situations: DataFrame) -> DataFrame:
+    """(p): the overall rates of BUYS, for situations that were never met; one row, null without rounds."""
+    return situations.agg(F.array(*(F.avg((F.col("buy") == b).cast("double")) for b in range(len(BUYS)))).alias("p")).select(F.when(F.get("p", F.lit(0)).isNotNull(), F.col("p")).alias("p"))
 
-def pixel_bands(positions: DataFrame, size: float = 16.0) -> DataFrame:
-    """(px, py, lo, hi): heights at which anyone ever was in a fine pixel."""
-    return positions.groupBy(F.floor(F.col("X") / size).cast("int").alias("px"), F.floor(F.col("Y") / size).cast("int").alias("py")).agg(F.min("Z").alias("lo"), F.max("Z").alias("hi"))
 
+# -- sight ----------------------------------------------------------------------------------------------------------
 
-def sight_lines(cells: DataFrame, bands: DataFrame, opened: DataFrame | None = None, size: float = 16.0, step: float = 8.0, reach: float = 4500.0, eye: float = 64.0, chest: float = 48.0, skip: float = 20.0, most: int = 20_000) -> DataFrame:
-    """(a, b, walk, carve) pairs of cells with a free line, both directions and each cell with itself.
 
-    A line from eye to chest is sampled every 8 units but for 20 at the ends. It is blocked where nobody ever walked,
-    where the ground rises into it, or by the slab under an upper floor (walk); opened pixels (px, py, low, high),
-    which real sightings crossed, do not block at such heights (carve). Cells and pixels of a map are checked to be
-    few and go to every task; each task takes some source cells.
-    """
-    c = cells.select("node", "x", "y", "z").limit(most + 1).toArrow()
-    b = bands.limit(50 * most + 1).toArrow()
-    if len(c) > most or len(b) > 50 * most:
-        raise ValueError("too large for one map")
-    node = c["node"].to_numpy()
-    xyz = np.stack([c[k].to_numpy().astype(float) for k in ("x", "y", "z")], 1)
-    px, py, lo = b["px"].to_numpy(), b["py"].to_numpy(), b["lo"].to_numpy().astype(float)
-    base = (int(px.min(initial=0)), int(py.min(initial=0)))
-    shape = (int(px.max(initial=0)) - base[0] + 1, int(py.max(initial=0)) - base[1] + 1)
-    ground, roof, low, high = (np.full(shape, v) for v in (np.inf, -np.inf, np.inf, -np.inf))
-    ground[px - base[0], py - base[1]] = lo
-    roof[px - base[0], py - base[1]] = b["hi"].to_numpy().astype(float)
-    if opened is not None:
-        o = opened.limit(50 * most + 1).toArrow()
-        if len(o) > 50 * most:
-            raise ValueError("too large for one map")
-        ox, oy = o["px"].to_numpy() - base[0], o["py"].to_numpy() - base[1]
-        inside = (ox >= 0) & (oy >= 0) & (ox < shape[0]) & (oy < shape[1])
-        low[ox[inside], oy[inside]] = o["low"].to_numpy().astype(float)[inside]
-        high[ox[inside], oy[inside]] = o["high"].to_numpy().astype(float)[inside]
-
-    def visible(i: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, d = xyz[i] + (0, 0, eye), xyz[j] + (0, 0, chest)
-        far = np.hypot(d[:, 0] - a[0], d[:, 1] - a[1])
-        walk = far <= reach
-        carve = walk.copy()
-        steps = np.arange(skip, max(float(far[walk].max(initial=0.0)), skip) + step, step)
-        for k0 in range(0, len(steps), 64):
-            s = steps[k0 : k0 + 64]
-            share = s[None, :] / np.maximum(far, 1e-9)[:, None]
-            inside = (s[None, :] <= far[:, None] - skip) & carve[:, None]
-            x, y, z = (a[m] + share * (d[:, m] - a[m])[:, None] for m in range(3))
-            ix, iy = np.floor(x / size).astype(int) - base[0], np.floor(y / size).astype(int) - base[1]
-            known = (ix >= 0) & (iy >= 0) & (ix < shape[0]) & (iy < shape[1])
-            at = np.clip(ix, 0, shape[0] - 1), np.clip(iy, 0, shape[1] - 1)
-            slab = (roof[at] - ground[at] > FLOOR_GAP) & (z > roof[at] - 40) & (z < roof[at] + 4)
-            solid = ~known | (ground[at] > z - 8) | slab
-            through = known & (low[at] <= z + 16) & (z <= high[at] + 96)
-            walk &= ~(inside & solid).any(1)
-            carve &= ~(inside & solid & ~through).any(1)
-            if not carve.any():
-                break
-        return walk, carve
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {int(n): i for i, n in enumerate(node)}
-        for batch in batches:
-            for n in batch.column(0).to_pylist():
-                later = np.flatnonzero(node > n)
-                walk, carve = visible(place[n], later)
-                seen = later[carve]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), n, np.int64)), pa.array(node[seen].astype(np.int64)), pa.array(walk[carve]), pa.array(np.ones(len(seen), bool))], names=["a", "b", "walk", "carve"])
-
-    half = cells.select(F.col("node").cast("long").alias("node")).repartition("node").mapInArrow(run, "a long, b long, walk boolean, carve boolean")
+def pixel_bands(positions: DataFrame, size: float = PIXEL) -> DataFrame:
+    """(px, py, n, lo, hi): how often anyone was in a fine pixel, its lowest floor, and the one above: the least height more
+    than FLOOR_GAP above the lowest; lo where there is none."""
+    at = positions.select(F.floor(F.col("X") / size).cast("int").alias("px"), F.floor(F.col("Y") / size).cast("int").alias("py"), F.col("Z").cast("double").alias("z"))
+    heights = at.groupBy("px", "py", "z").agg(F.count("*").alias("n"))
+    lowest = heights.groupBy("px", "py").agg(F.min("z").alias("lo"))
+    upper = F.min(F.when(F.col("z") > F.col("lo") + FLOOR_GAP, F.col("z")))
+    return heights.join(lowest, ["px", "py"]).groupBy("px", "py").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.coalesce(upper, F.min("lo")).alias("hi"))
+
+
+def representative_points(cells: DataFrame, bands: DataFrame, x0: float, y0: float, size: float = PIXEL) -> DataFrame:
+    """cells (node, cx, cy, x, y: the mean position) with x and y at the middle of the nearest pixel of their column that
+    anyone walked on, as a mean may lie inside a wall; the first one by rows among equals. A column has 16 pixels."""
+    middle = lambda p: (F.col(p) + 0.5) * size
+    walked = bands.select(F.floor((F.col("px") * size - x0) / COLUMN).cast("int").alias("cx"), F.floor((F.col("py") * size - y0) / COLUMN).cast("int").alias("cy"), "px", "py", middle("px").alias("__x"), middle("py").alias("__y"))
+    far = F.pow(F.col("__x") - F.col("x"), F.lit(2)) + F.pow(F.col("__y") - F.col("y"), F.lit(2))
+    near = cells.select("node", "cx", "cy", "x", "y").join(walked, ["cx", "cy"]).groupBy("node").agg(F.min_by(F.struct("__x", "__y"), F.struct(far, "py", "px")).alias("__at"))
+    found = cells.join(near, "node", "left")
+    return found.select(*(F.coalesce(f"__at.__{c}", c).alias(c) if c in ("x", "y") else F.col(c) for c in cells.columns))
+
+
+def ray_samples(rays: DataFrame, size: float = PIXEL, step: float = 8.0, skip: float = 20.0) -> DataFrame:
+    """rays (ax, ay, az, bx, by, bz and other columns) by sample: px, py and z of points at equal steps of some 8 units,
+    but for those within 20 of an end; a row of nulls for a ray without any."""
+    far = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    n = F.greatest(F.ceil(F.col("__far") / step), F.lit(1)).cast("int")
+    along = F.col("__far") * F.col("__t")
+    kept = [c for c in rays.columns if c not in ("ax", "ay", "az", "bx", "by", "bz")]
+    inside = lambda i: (i / F.col("__n") * F.col("__far") > skip) & (F.col("__far") - i / F.col("__n") * F.col("__far") > skip)
+    places = F.when(F.col("__n") > 1, F.filter(F.sequence(F.lit(1), F.col("__n") - 1), inside)).otherwise(F.array().cast("array<int>"))
+    s = rays.withColumn("__far", far).withColumn("__n", n).withColumn("__i", F.explode_outer(places)).withColumn("__t", F.col("__i") / F.col("__n"))
+    on = lambda c: F.col(f"a{c}") + F.col("__t") * (F.col(f"b{c}") - F.col(f"a{c}"))
+    return s.select(*kept, F.floor(on("x") / size).cast("int").alias("px"), F.floor(on("y") / size).cast("int").alias("py"), on("z").alias("z"))
+
+
+def clear_rays(rays: DataFrame, keys: Sequence[str], bands: DataFrame, opened: DataFrame | None = None) -> DataFrame:
+    """(keys, walk, carve): whether a ray is free. It is blocked where nobody ever walked, where the ground rises into it,
+    or by the slab under an upper floor (walk); opened pixels (px, py, low, high), which real sightings crossed, do not
+    block at such heights (carve)."""
+    ground = bands.select("px", "py", "lo", "hi")
+    if opened is None:
+        pixels = ground.select("*", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    else:
+        pixels = ground.join(opened.select("px", "py", "low", "high"), ["px", "py"], "full")
+    z = F.col("z")
+    slab = (F.col("hi") - F.col("lo") > FLOOR_GAP) & (z > F.col("hi") - 40) & (z < F.col("hi") + 4)
+    solid = z.isNotNull() & (F.col("lo").isNull() | (F.col("lo") > z - 8) | slab)
+    through = F.coalesce((F.col("low") <= z + 16) & (z <= F.col("high") + 96), F.lit(False))
+    met = ray_samples(rays.select(*keys, "ax", "ay", "az", "bx", "by", "bz")).join(pixels, ["px", "py"], "left")
+    return met.groupBy(*keys).agg((~F.bool_or(solid)).alias("walk"), (~F.bool_or(solid & ~through)).alias("carve"))
+
+
+def sight_lines(cells: DataFrame, bands: DataFrame, opened: DataFrame | None = None, reach: float = 4500.0, eye: float = 64.0) -> DataFrame:
+    """(a, b, walk, carve): pairs of cells with a free ray from eye to eye, both directions and each cell with itself.
+    Cells meet through squares as large as the reach."""
+    square = lambda c: F.floor(F.col(c) / reach)
+    at = lambda n, p: cells.select(F.col("node").cast("long").alias(n), F.col("x").cast("double").alias(f"{p}x"), F.col("y").cast("double").alias(f"{p}y"), (F.col("z") + eye).cast("double").alias(f"{p}z"))
+    around = F.array(*(F.lit(d) for d in (-1, 0, 1)))
+    a = at("a", "a").withColumn("sx", square("ax")).withColumn("sy", square("ay"))
+    b = at("b", "b").withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).withColumn("sx", square("bx") + F.col("dx")).withColumn("sy", square("by") + F.col("dy")).drop("dx", "dy")
+    rays = a.join(b, ["sx", "sy"]).where((F.col("a") < F.col("b")) & (F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) <= reach))
+    half = stored(clear_rays(rays, ["a", "b"], bands, opened).where("carve"), "rays")
     own = cells.select(F.col("node").cast("long").alias("a"), F.col("node").cast("long").alias("b"), F.lit(True).alias("walk"), F.lit(True).alias("carve"))
-    return half.union(half.select("b", "a", "walk", "carve")).union(own)
+    return half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "walk", "carve")).unionByName(own)
 
 
 # -- fires ----------------------------------------------------------------------------------------------------------

@@ -21,7 +21,7 @@ EYE, CHEST, SMOKE, MOST = 64.0, 48.0, 130.0, 0.9
 
 def _bins(dx: Column, dy: Column, dz: Column, yaw: Column, pitch: Column) -> list[Column]:
     far = F.hypot(dx, dy)
-    up = F.abs(F.degrees(F.atan2(dz, F.greatest(far, F.lit(1e-6)))) + pitch)
+    up = F.abs(F.degrees(F.atan2(dz, F.greatest(far, F.lit(1.0)))) + pitch)
     return [bins.bin_left(far, DISTANCES).alias("dbin"), bins.fixed_bin(maths.off_axis(yaw, dx, dy), ANGLE, OFF_BINS).alias("obin"), bins.fixed_bin(up, ANGLE, UP_BINS).alias("vbin")]
 
 
@@ -48,13 +48,13 @@ def _hidden(tx: Column, ty: Column) -> Column:
     return F.coalesce(F.exists("clouds", lambda c: maths.segment_distance(c["sx"], c["sy"], F.col("ox"), F.col("oy"), tx, ty) < SMOKE), F.lit(False))
 
 
-def opened_pixels(views: DataFrame, size: float = 16.0, step: float = 8.0, skip: float = 20.0) -> DataFrame:
+def opened_pixels(views: DataFrame) -> DataFrame:
     """(px, py, low, high): the heights at which the lines of real sightings crossed a pixel, from eye to chest."""
-    hits = views.where("hit").withColumn("far", F.hypot(F.col("px") - F.col("ox"), F.col("py") - F.col("oy"))).where(F.col("far") >= 2 * skip)
-    along = hits.withColumn("s", F.explode(F.sequence(F.lit(0), F.floor((F.col("far") - 2 * skip) / step).cast("int")))).withColumn("u", (F.col("s") * step + skip) / F.col("far"))
-    on = lambda p, o, lift=0.0, eye=0.0: F.col(o) + eye + F.col("u") * (F.col(p) + lift - F.col(o) - eye)
-    at = along.select(F.floor(on("px", "ox") / size).cast("int").alias("x"), F.floor(on("py", "oy") / size).cast("int").alias("y"), on("pz", "oz", CHEST, EYE).alias("z"))
-    return at.groupBy(F.col("x").alias("px"), F.col("y").alias("py")).agg(F.min("z").alias("low"), F.max("z").alias("high"))
+    from .maps import ray_samples
+
+    ends = {"ax": F.col("ox"), "ay": F.col("oy"), "az": F.col("oz") + EYE, "bx": F.col("px"), "by": F.col("py"), "bz": F.col("pz") + CHEST}
+    rays = views.where("hit").select(*(c.cast("double").alias(name) for name, c in ends.items()))
+    return ray_samples(rays).where("px is not null").groupBy("px", "py").agg(F.min("z").alias("low"), F.max("z").alias("high"))
 
 
 def _classed(views: DataFrame, lines: DataFrame) -> DataFrame:

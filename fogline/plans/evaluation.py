@@ -34,18 +34,32 @@ def able(store: MatchStore, states: DataFrame) -> DataFrame:
     return temporal.interval_join(states, spans, ["demo_id", "round_num", "steamid"], "tick", "s", "e", 4 * maps.TICKS, closed=True, how="left_anti")
 
 
-def clouds(store: MatchStore, states: DataFrame) -> DataFrame:
-    """(demo_id, round_num, tick, sx, sy) of smokes, from a second after their start to 1.5 before their end."""
-    spans = store.read("smokes").select("demo_id", "round_num", F.col("X").alias("sx"), F.col("Y").alias("sy"), (F.col("start_tick") + maps.TICKS).alias("s"), (F.col("end_tick") - 1.5 * maps.TICKS).alias("e")).where("e > s")
+def clouds(store: MatchStore, states: DataFrame, whole: bool = False) -> DataFrame:
+    """(demo_id, round_num, tick, sx, sy) of smokes, from a second after their start to 1.5 before their end; whole: from
+    start to end, as fits of spotting leave out all pairs that a smoke may hide."""
+    bloom, fade = (0.0, 0.0) if whole else (1.0, 1.5)
+    spans = store.read("smokes").select("demo_id", "round_num", F.col("X").alias("sx"), F.col("Y").alias("sy"), (F.col("start_tick") + bloom * maps.TICKS).alias("s"), (F.col("end_tick") - fade * maps.TICKS).alias("e")).where("e > s")
     ticks = states.select("demo_id", "round_num", "tick").distinct()
     return temporal.interval_join(ticks, spans, ["demo_id", "round_num"], "tick", "s", "e", 18 * maps.TICKS).select("demo_id", "round_num", "tick", "sx", "sy")
 
 
-def shown_guns(states: DataFrame) -> DataFrame:
-    """(buy, gun, p): the dearest gun (1 pistol to 4 sniper) that players of a team with this buy have shown so far, with
-    one added to every count."""
-    code = F.lit(4) - F.col("weapon_class")  # classes run from snipers to pistols, then others
-    best = temporal.running_best(states, ["demo_id", "round_num", "steamid"], ["tick"], F.when(F.col("spotted"), code), "gun")
+def feed_weapons(store: MatchStore) -> DataFrame:
+    """(demo_id, round_num, tick, steamid, feed): the class of the dearest weapon that the kill feed showed of a player, at
+    the first step at or after the kill."""
+    k = store.read("kills").where("attacker_steamid is not null and attacker_side <> victim_side")
+    at = k.select("demo_id", "round_num", temporal.snap_up(F.col("tick"), maps.STEP).alias("tick"), F.col("attacker_steamid").alias("steamid"), weapon_class(F.col("weapon")).alias("feed"))
+    return at.groupBy("demo_id", "round_num", "tick", "steamid").agg(F.min("feed").alias("feed"))  # classes run from snipers to pistols, then others
+
+
+def shown_guns(states: DataFrame, feed: DataFrame) -> DataFrame:
+    """(buy, gun, p): the dearest gun (1 pistol to 4 sniper) that players of a team with this buy have shown so far, on the
+    radar or in the kill feed, with one added to every count."""
+    keys = ["demo_id", "round_num", "steamid"]
+    known = states.select(*keys, "tick", "buy", F.when(F.col("spotted"), F.col("weapon_class")).alias("shown"))
+    # a kill may come after the player's last step alive: it counts with the buy of the round
+    buys = states.groupBy(*keys).agg(F.max("buy").alias("buy"))
+    every = known.unionByName(feed.join(buys, keys).select(*keys, "tick", "buy", F.col("feed").alias("shown")))
+    best = temporal.running_best(every, keys, ["tick"], F.lit(4) - F.col("shown"), "gun").groupBy(*keys, "tick", "buy").agg(F.max("gun").alias("gun"))
     counts = best.where("gun > 0 and buy is not null").groupBy("buy", "gun").agg(F.count("*").alias("n"))
     every = states.sparkSession.createDataFrame([(i, g) for i in range(3) for g in range(1, 5)], "buy int, gun int")
     mass = every.join(counts, ["buy", "gun"], "left").select("buy", "gun", (F.coalesce("n", F.lit(0)) + 1).alias("n"))
@@ -70,7 +84,7 @@ def fit(store: MatchStore, name: str, demos: DataFrame | None = None, only: Sequ
     if "teams" in todo:
         store.save_model(name, {"teams": maps.line_ups(states)})
     if "spot" in todo:
-        smokes = clouds(store, states).groupBy("demo_id", "tick").agg(F.collect_list(F.struct("sx", "sy")).alias("clouds"))
+        smokes = clouds(store, states, whole=True).groupBy("demo_id", "tick").agg(F.collect_list(F.struct("sx", "sy")).alias("clouds"))
         views = stored(sight.pair_views(states, grid.cells, able(store, states), smokes), "views")
         store.save_model(name, {"lines": maps.sight_lines(grid.cells, store.load_part(name, "bands"), stored(sight.opened_pixels(views), "opened"))})
         lines = store.load_part(name, "lines")
@@ -87,7 +101,7 @@ def fit(store: MatchStore, name: str, demos: DataFrame | None = None, only: Sequ
         rows = [(i, float(profile["edges"][i]), float(o), float(m)) for i, (o, m) in enumerate(zip(profile["occupancy"], step, strict=True))]
         store.save_model(name, {"fires": store.spark.createDataFrame(rows, "ring int, lo double, occupancy double, step double")})
     if "buys" in todo:
-        store.save_model(name, {"buys": maps.buy_priors(_situations(store, demos)), "guns": shown_guns(states)})
+        store.save_model(name, {"buys": maps.buy_priors(_situations(store, demos)), "guns": shown_guns(states, feed_weapons(store)), "rates": maps.buy_rates(_situations(store, demos))})
 
 
 def _situations(store: MatchStore, demos: DataFrame | None) -> DataFrame:
@@ -187,7 +201,7 @@ def episode_steps(store: MatchStore, name: str, states: DataFrame) -> DataFrame:
     friendly = F.when(F.col("side") == "t", "ct").otherwise("t")
     step = F.row_number().over(Window.partitionBy(*side).orderBy("tick")) - 1
     out = steps.select("demo_id", "round_num", friendly.alias("friendly"), F.when(F.col("side") == "t", 0).otherwise(1).alias("side"), "tick", step.alias("step"), "t", "phase", of("seen").alias("seen"), F.transform("who", lambda w: F.coalesce(F.map_contains_key("m", w), F.lit(False))).alias("alive"), of("true").alias("true"), of("weapon").alias("weapon"), "who")
-    out = _with_buys(store, name, _with_fires(store, out), states)
+    out = _with_feed(store, _with_buys(store, name, _with_fires(store, out), states))
     spot, lines = store.load_part(name, "spot"), store.load_part(name, "lines")
     if spot is None or lines is None:
         return out.drop("who")
@@ -199,6 +213,13 @@ def episode_steps(store: MatchStore, name: str, states: DataFrame) -> DataFrame:
     return out.join(watch, [*KEYS, "tick"], "left").drop("who")
 
 
+def _with_feed(store: MatchStore, steps: DataFrame) -> DataFrame:
+    """steps with feed: the classes of the weapons that the kill feed shows of the enemies at a step, -1 for none."""
+    shown = feed_weapons(store).groupBy("demo_id", "round_num", "tick").agg(F.map_from_entries(F.collect_list(F.struct("steamid", "feed"))).alias("m"))
+    met = steps.join(shown, ["demo_id", "round_num", "tick"], "left")
+    return met.withColumn("feed", F.transform("who", lambda w: F.coalesce(F.element_at("m", w), F.lit(-1)))).drop("m")
+
+
 def _with_fires(store: MatchStore, steps: DataFrame) -> DataFrame:
     """steps with fires: those burning for half a second or more."""
     spans = store.read("infernos").select("demo_id", "round_num", F.col("X").alias("x"), F.col("Y").alias("y"), F.col("Z").alias("z"), (F.col("start_tick") + 32).alias("s"), F.col("end_tick").alias("e"))
@@ -215,7 +236,9 @@ def _with_buys(store: MatchStore, name: str, steps: DataFrame, states: DataFrame
     enemy = F.when(F.col("side") == "t", "ct").otherwise("t")
     keys = ["demo_id", "round_num", "friendly"]
     told = _situations(store, None).join(priors, "situation", "left").select("demo_id", "round_num", enemy.alias("friendly"), F.col("p").alias("buy_history"))
-    even = F.array(*[F.lit(1.0 / 3)] * 3)
+    rates = store.load_part(name, "rates")
+    overall = rates.first()["p"] if rates is not None else None
+    even = F.array(*(F.lit(float(x)) for x in overall or [1.0 / 3] * 3))  # for situations that were not met
     true = states.groupBy("demo_id", "round_num", enemy.alias("friendly")).agg(F.max("buy").alias("b"))
     own = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: (F.col("b") == i).cast("double"))
     found = true.join(told.dropDuplicates(keys), keys, "left").select(*keys, F.coalesce("buy_history", even).alias("buy_history"), F.when(F.col("b").isNotNull(), own).otherwise(even).alias("buy_true"))

@@ -206,12 +206,49 @@ def test_slabs_block_and_sightings_open(spark):
     assert pairs(flat) == {(0, 1): (True, True)}
     slab = [(i, 0, 0.0, 80.0 if i == 5 else 0.0) for i in range(11)]
     assert pairs(slab) == {(0, 1): (True, True)}  # too low a gap for a floor
-    slab = [(i, 0, -60.0, 60.0) if i == 5 else (i, 0, 0.0, 0.0) for i in range(11)]
+    slab = [(i, 0, -60.0, 62.0) if i == 5 else (i, 0, 0.0, 0.0) for i in range(11)]
     assert pairs(slab) == {}
     opened = spark.createDataFrame([(5, 0, 50.0, 60.0)], "px int, py int, low double, high double")
     assert pairs(slab, opened) == {(0, 1): (False, True)}
 
 
+def test_floors_points_and_rays(spark):
+    """Literal cases: the upper floor is the least height above the gap, a point is a walked pixel, rays go eye to eye."""
+    rows = [(3.0, 3.0, z) for z in (5.0, 40.0, 116.0, 130.0, 300.0)] + [(20.0, 3.0, 7.0), (-1.0, 3.0, 1.0), (-1.0, 3.0, 112.0), (40.0, 60.0, 2.0)]
+    positions = spark.createDataFrame(rows, "X double, Y double, Z double")
+    bands = maps.pixel_bands(positions)
+    assert {(r.px, r.py): (r.n, r.lo, r.hi) for r in bands.collect()} == {(0, 0): (5, 5.0, 116.0), (1, 0): (1, 7.0, 7.0), (-1, 0): (2, 1.0, 112.0), (2, 3): (1, 2.0, 2.0)}
+    cells = spark.createDataFrame([(0, 0, 0, 30.0, 30.0), (1, 9, 9, 600.0, 600.0), (2, -1, 0, -40.0, 8.0)], "node long, cx int, cy int, x double, y double")
+    # pixels of the first column: middles (8, 8), (24, 8), (40, 56)
+    assert {r.node: (r.x, r.y) for r in maps.representative_points(cells, bands, 0.0, 0.0).collect()} == {0: (24.0, 8.0), 1: (600.0, 600.0), 2: (-8.0, 8.0)}
+    ray = spark.createDataFrame([(1, 0.0, 8.0, 64.0, 160.0, 8.0, 64.0), (2, 0.0, 8.0, 0.0, 30.0, 8.0, 0.0)], "id int, ax double, ay double, az double, bx double, by double, bz double")
+    got = sorted((r.id, r.px, r.z) for r in maps.ray_samples(ray).collect() if r.px is not None)
+    assert got == [(1, int(8 * i // 16), 64.0) for i in range(3, 18)]  # none within 20 of an end
+    flat = spark.createDataFrame([(i, 0, 0.0, 0.0) for i in range(11)], "px int, py int, lo double, hi double")
+    clear = lambda b: {r.id: (r.walk, r.carve) for r in maps.clear_rays(ray, ["id"], b).collect()}
+    assert clear(flat) == {1: (True, True), 2: (True, True)}
+    assert clear(flat.where("px <> 4")) == {1: (False, False), 2: (True, True)}
+    risen = flat.withColumn("lo", F.when(F.col("px") == 4, 57.0).otherwise(F.col("lo"))).withColumn("hi", F.greatest("lo", "hi"))
+    assert clear(risen)[1] == (False, False)
+
+
+def test_guns_of_the_feed_count_and_unknown_situations_take_the_overall_rates(spark):
+    sniper, rifle = 0, 1
+    guns = np.array([[0.6, 0.2, 0.15, 0.05], [0.3, 0.4, 0.2, 0.1], [0.1, 0.1, 0.6, 0.2]])
+    prior, none = np.full((3, 3), 1 / 3), np.full((3, 2), -1)
+    seen = np.array([[-1, -1], [rifle, -1], [-1, rifle]])
+    feed = np.array([[-1, -1], [-1, -1], [sniper, -1]])
+    base = b.estimated_buys(prior, seen, guns)
+    assert (b.estimated_buys(prior, seen, guns, none) == base).all()
+    got = b.estimated_buys(prior, seen, guns, feed)
+    assert (got[:2] == base[:2]).all() and (got[2] != base[2]).any()
+    want = (1 / 3) * (guns[:, 3] * guns[:, 2]) ** 0.7  # a sniper in the feed outdoes the rifle seen before
+    assert got[2] == pytest.approx(want / want.sum())
+    rates = maps.buy_rates(spark.createDataFrame([("x", 0), ("x", 2), ("y", 2), ("y", 1)], "situation string, buy int")).first()["p"]
+    assert rates == [0.25, 0.25, 0.5]
+    assert maps.buy_rates(spark.createDataFrame([], "situation string, buy int")).first()["p"] is None
+
+
 def test_fire_choices_keep_every_cell(spark):
     """More next cells than any list would hold, and two fires: one row a move, the nearest fire's ring for a cell."""
     cells = spark.createDataFrame([(i, 20.0 * i, 0.0, 0.0) for i in range(30)], "node long, x double, y double, z double")
