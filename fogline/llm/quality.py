@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .text import U, chunks, grams, mix, small_batches
 
 BITS = 12
@@ -181,7 +182,10 @@ def fit_quality(documents: DataFrame, labels: DataFrame, train_rows: int = 1500)
 
     # at most 2 * train_rows rows are broadcast
     joined = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
-    x, ids, y = _matrix(joined.mapInArrow(vectors, "doc_id long, quality int, x binary"))
+    # a doc_id may stand on any number of rows: of what they make, no more than train_rows of a class come to the driver
+    made = stored(joined.mapInArrow(vectors, "doc_id long, quality int, x binary"), "vectors")
+    bounded = [made.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(train_rows) for y in (0, 1)]
+    x, ids, y = _matrix(bounded[0].unionAll(bounded[1]))
     if len(set(y)) < 2:
         return None
     held = mix(ids.view(U)) % U(4) == U(0)
