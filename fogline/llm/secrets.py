@@ -212,12 +212,25 @@ def span_text(spans: str) -> Column:
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """documents (found by find_secrets) with each stretch of overlapping or touching spans replaced by mark in text."""
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["s"] > acc["at"]
-        piece = F.concat(F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))
-        begun = (acc["at"] == 0) & (x["s"] == 0) & (F.length(acc["out"]) == 0)
-        out = F.when(fresh, F.concat(acc["out"], piece)).when(begun, F.lit(mark)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
+    # spans are taken in blocks of about the square root of their number: a block is put together from its own stretch of
+    # the text, so neither the text nor what was put together before is gone through again for every span
+    n = F.size("all_spans")
+    width = F.greatest(F.ceil(F.sqrt(n.cast("double"))), F.lit(1)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda i: F.slice("all_spans", i * width + 1, width))
 
-    rebuilt = F.aggregate("all_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    def span(acc: Column, x: Column) -> Column:
+        fresh = x["s"] > acc["at"]
+        gap = F.substring(acc["part"], F.greatest(acc["at"], F.lit(0)) - acc["base"] + 1, x["s"] - F.greatest(acc["at"], F.lit(0)))
+        out = F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["base"].alias("base"), acc["part"].alias("part"), out.alias("out"))
+
+    def block(acc: Column, spans: Column) -> Column:
+        base = F.greatest(acc["at"], F.lit(0))
+        last = F.element_at(spans, -1)["s"]  # spans are in order of their starts
+        part = F.substring(F.col("text"), base + 1, F.greatest(last - base, F.lit(0)))
+        start = F.struct(acc["at"].alias("at"), base.alias("base"), part.alias("part"), F.lit("").alias("out"))
+        done = F.aggregate(spans, start, span, lambda a: F.struct(a["at"].alias("at"), a["out"].alias("out")))
+        return F.struct(done["at"].alias("at"), F.concat(acc["out"], done["out"]).alias("out"))
+
+    rebuilt = F.aggregate(blocks, F.struct(F.lit(-1).alias("at"), F.lit("").alias("out")), block, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     return documents.withColumn("text", F.when(F.size("all_spans") > 0, rebuilt).otherwise(F.col("text")))
