@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import maps, reports
 from ..session import shared_dir, stored, table
+from ..sources import recordings as rec
 from ..sources import store
 from .common import DAY, E, sightings
 from .registry import query
@@ -196,3 +197,25 @@ def answer_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def side_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("user_id") % 2 == 0, "t").otherwise("ct").alias("side"))
     return e.withColumn("enemy", F.when(F.col("side") == "t", "ct").otherwise("t"))
+
+
+@query(f"""WITH {E}, r AS (SELECT 's' || (user_id % 3) AS source, 'd' || (user_id % 7) AS demo_id, event_id::INTEGER AS tick, user_id AS steamid, round(value, 2) AS x FROM e)
+  SELECT source, demo_id, tick, steamid, x, CAST(NULL AS VARCHAR) AS reason FROM r WHERE source IN ('s0', 's1') AND demo_id <> 'd3'
+  UNION ALL SELECT DISTINCT source, demo_id, CAST(NULL AS INTEGER), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), 'ValueError: truncated' FROM r WHERE demo_id = 'd3'""")
+def ingest_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings by source and match, some of which broke off: the rows of two sources that could be read, and the reasons
+    why others could not. A second call finds nothing but the broken ones to do."""
+    root, s = _folder(spark), store.MatchStore(spark, _folder(spark))
+    e = sightings(spark, sf_dir)
+    keys = [F.concat(F.lit("s"), F.pmod("user_id", F.lit(3))).alias("source"), F.concat(F.lit("d"), F.pmod("user_id", F.lit(7))).alias("demo_id")]
+    rows = e.select(*keys, F.lit(0).alias("o"), F.to_json(F.struct(F.lit("footsteps").alias("table"), F.col("event_id").alias("tick"), F.col("user_id").alias("steamid"), F.round("value", 2).alias("X"))).alias("value"))
+    matches = rows.select("source", "demo_id").distinct()
+    meta = matches.select("source", "demo_id", F.lit(1).alias("o"), F.lit('{"table": "meta", "map_name": "x", "n_rounds": 1}').alias("value"))
+    ends = matches.where("demo_id <> 'd3'").select("source", "demo_id", F.lit(2).alias("o"), F.lit('{"table": "end"}').alias("value"))
+    lines = rows.unionAll(meta).unionAll(ends).repartition("source", "demo_id").sortWithinPartitions("source", "demo_id", "o")
+    lines.select("source", "demo_id", "value").write.partitionBy("source", "demo_id").text(root)
+    for _ in range(2):
+        _, failed = rec.ingest(s, root)
+    read = s.read("footsteps", sources=["s0", "s1"], columns=["tick", "steamid", "X"])
+    told = read.select("source", "demo_id", "tick", "steamid", F.round(F.col("X").cast("double"), 2).alias("x"), F.lit(None).cast("string").alias("reason"))
+    return told.unionByName(failed.select("source", "demo_id", "reason"), allowMissingColumns=True)
