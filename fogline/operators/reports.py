@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bins, maths
+from . import scoring
 
 
 def around_contact(samples: DataFrame, model: str, contact: Column, rank: Column, p: Column) -> DataFrame:
@@ -15,6 +16,43 @@ def around_contact(samples: DataFrame, model: str, contact: Column, rank: Column
     return samples.groupBy(model, contact.alias("after")).agg(F.count("*").alias("n"), F.avg((rank < 1).cast("double")).alias("top1"), F.avg(maths.log_loss(p)).alias("log_loss"))
 
 
+# Edges of expected counts, of stated probabilities and of the age of a sighting, in seconds.
+COUNTS = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.01)
+STATED = (0.0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+AGES, AGE_NAMES = (2, 5, 10, 20, 40), ("0-2s", "2-5s", "5-10s", "10-20s", "20-40s", "40s+")
+METRICS = ("top1", "top3", "log_loss", "cell_loss")
+
+
+def with_metrics(samples: DataFrame) -> DataFrame:
+    """Samples of a run with METRICS (of the region, and the loss of the cell), the horizon and how much of the first choice
+    is the region of the last sighting, equal first choices sharing it."""
+    rank, p = F.col("region_rank"), F.col("probs")
+    first = F.array_max(p)
+    picks = F.when(F.get(p, F.col("last_region")) == first, 1.0 / F.size(F.filter(p, lambda x: x == first))).otherwise(0.0)
+    return samples.select(
+        "*", (rank < 1).cast("double").alias("top1"), (rank < 3).cast("double").alias("top3"), maths.log_loss(F.col("p_region")).alias("log_loss"), (-F.log("p_true")).alias("cell_loss"),
+        bins.label_bins(F.col("since"), AGES, AGE_NAMES).alias("horizon"), F.when(F.col("last_region") >= 0, picks).alias("picks_last"),
+    )
+
+
+def moments(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, model, step, region, expected, actual, contact, hidden): hidden enemies of a side by region at every step."""
+    each = samples.select(*keys, "model", "step", "true_region", "contact", F.posexplode("probs").alias("region", "p"))
+    here = (F.col("true_region") == F.col("region")).cast("long")
+    return each.groupBy(*keys, "model", "step", "region").agg(F.sum("p").alias("expected"), F.sum(here).alias("actual"), F.max("contact").alias("contact"), F.count("*").alias("hidden"))
+
+
+def team_table(at: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, model, step, contact, hidden, count_brier): squared error of the expected counts of moments()."""
+    gap = F.col("expected") - F.col("actual")
+    return at.groupBy(*keys, "model", "step").agg(F.max("contact").alias("contact"), F.max("hidden").alias("hidden"), F.sum(gap * gap).alias("count_brier"))
+
+
+def count_table(at: DataFrame) -> DataFrame:
+    """(model, contact, bin, n, expected, actual): means of expected and actual counts of moments() by the expected one."""
+    return scoring.count_calibration(at, "expected", "actual", COUNTS, ["model", "contact"])
+
+
 def score_table(samples: DataFrame, model: str, cluster: str, p: Column, truth: Column, last: Column) -> DataFrame:
     """(model, n, top1, log_loss, lo, hi, picks_last): split credit, and how much of the first choice is the last place
     seen; lo and hi are 1.96 standard errors of the loss, clusters being independent."""

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import weapon_class
 from ..operators import belief as b
-from ..operators import fitting, history, maps, scoring, sight, temporal
+from ..operators import fitting, history, maps, reports, scoring, sight, temporal
 from ..session import stored
-from ..sources.store import MatchStore
+from ..sources.store import MatchStore, write_csv
 
 SIDES = {"t": 0, "ct": 1}
 KEYS = ["demo_id", "round_num", "friendly"]
@@ -201,6 +201,8 @@ def episode_steps(store: MatchStore, name: str, states: DataFrame) -> DataFrame:
     friendly = F.when(F.col("side") == "t", "ct").otherwise("t")
     step = F.row_number().over(Window.partitionBy(*side).orderBy("tick")) - 1
     out = steps.select("demo_id", "round_num", friendly.alias("friendly"), F.when(F.col("side") == "t", 0).otherwise(1).alias("side"), "tick", step.alias("step"), "t", "phase", of("seen").alias("seen"), F.transform("who", lambda w: F.coalesce(F.map_contains_key("m", w), F.lit(False))).alias("alive"), of("true").alias("true"), of("weapon").alias("weapon"), "who")
+    friends = states.groupBy("demo_id", "round_num", F.col("side").alias("friendly"), "tick").agg(F.count("*").cast("int").alias("friends"))
+    out = out.join(friends, [*KEYS, "tick"], "left").fillna(0, ["friends"])
     out = _with_feed(store, _with_buys(store, name, _with_fires(store, out), states))
     spot, lines = store.load_part(name, "spot"), store.load_part(name, "lines")
     if spot is None or lines is None:
@@ -279,8 +281,46 @@ def calibrate(store: MatchStore, name: str, samples: DataFrame, model: str, kind
 
 def report(samples: DataFrame) -> DataFrame:
     """Metrics by model, and by model and horizon, in one table."""
-    from ..functions.bins import label_bins
-
-    horizon = label_bins(F.col("since"), (2, 5, 10, 20, 40), ("0-2s", "2-5s", "5-10s", "10-20s", "20-40s", "40s+"))
-    return scoring.summary(samples.withColumn("horizon", horizon), [["model"], ["model", "horizon"]], "region_rank", "p_region")
-
+    return scoring.summary(reports.with_metrics(samples), [["model"], ["model", "horizon"]], "region_rank", "p_region")
+
+
+def tables(samples: DataFrame, reference: str | None = None, draws: int = 2000) -> dict[str, DataFrame]:
+    """All tables of a run. Intervals are over whole rounds, both views of a round being one cluster, and paired
+    differences to the reference model are on the same draws.
+
+    summary; intervals (enemies seen before), intervals_unseen (never seen, after contact), horizons and clutches (one
+    friend left, by enemies); team (moments), team_intervals (by contact), counts; contact (before and after); reliability
+    and ece (enemies seen before); picks (how much of the first choice is the last place seen).
+    """
+    rows = reports.with_metrics(samples).withColumn("cluster", F.concat_ws("|", "demo_id", "round_num"))
+    seen = rows.where(F.col("since").isNotNull())
+    of = lambda df, metrics=reports.METRICS, ref=reference: scoring.intervals(df, "model", "cluster", list(metrics), ref, draws)
+    at = stored(reports.moments(samples, KEYS), "moments")
+    team = reports.team_table(at, KEYS).withColumn("cluster", F.concat_ws("|", "demo_id", "round_num"))
+    by_contact = [of(team.where(F.col("contact") == c), ["count_brier"]).withColumn("contact", F.lit(c)) for c in (True, False)]
+    aged = seen.withColumn("model", F.concat_ws("|", "model", "horizon"))
+    parts = lambda df, name: df.select(F.substring_index("model", "|", 1).alias("model"), F.substring_index("model", "|", -1).alias(name), *(c for c in df.columns if c != "model"))
+    reliable = stored(scoring.reliability(seen, "probs", "true_region", reports.STATED, ["model"]), "reliability")
+    return {
+        "summary": report(samples),
+        "intervals": of(seen),
+        "intervals_unseen": of(rows.where("since is null and contact")),
+        "horizons": parts(of(aged, ref=None), "horizon").drop("diff", "diff_lo", "diff_hi"),
+        "clutches": scoring.summary(seen.where("friends = 1"), [["model", "hidden"]], "region_rank", "p_region"),
+        "team": team.drop("cluster"),
+        "team_intervals": by_contact[0].unionByName(by_contact[1]),
+        "counts": reports.count_table(at),
+        "contact": reports.around_contact(rows, "model", F.col("contact"), F.col("region_rank"), F.col("p_region")),
+        "reliability": reliable,
+        "ece": scoring.calibration_error(reliable, ["model"]),
+        "picks": seen.groupBy("model").agg(F.count("*").alias("n"), F.avg("picks_last").alias("picks_last")),
+    }
+
+
+def write_tables(samples: DataFrame, folder: str, reference: str | None = None, draws: int = 2000) -> None:
+    """tables() under folder: the moments of teams as Parquet, all others, which are small, as CSV."""
+    for name, df in tables(samples, reference, draws).items():
+        if name == "team":
+            df.write.mode("overwrite").partitionBy("model").parquet(f"{folder}/{name}")
+        else:
+            write_csv(df, f"{folder}/{name}")

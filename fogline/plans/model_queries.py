@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import maths
 from ..operators import belief as b
 from ..operators import counting as c
-from ..operators import choices, fitting, lineups, maps, particles
+from ..operators import choices, fitting, lineups, maps, particles, reports
 from ..session import table
 from .common import DAY, E, sightings
 from .registry import query
@@ -94,7 +94,7 @@ def recursion_sql(steps: str, models: tuple[str, ...], answer: str) -> str:
      FROM (SELECT s.*, r.model, r.motion, r.neg, v.cells, v.unseen,
        CASE WHEN r.motion = 'prior' THEN v.first WHEN s.step = 0 OR r.motion = 'none' THEN r.b WHEN r.motion = 'walk' THEN list_transform(v.walk, lambda x: list_dot_product(r.b, x)) ELSE list_transform(v.learned, lambda x: list_dot_product(r.b, x)) END AS b1
        FROM r JOIN s ON s.walker = r.walker AND s.step = r.step + 1, v))),
-  g AS (SELECT model, event_id, step, true_cell // 10 AS region, list_transform(range(10), lambda i: list_sum(b[10 * i + 1:10 * i + 10])) AS p FROM r WHERE step >= 0 AND seen < 0),
+  g AS (SELECT model, walker, event_id, step, true_cell // 10 AS region, list_transform(range(10), lambda i: list_sum(b[10 * i + 1:10 * i + 10])) AS p FROM r WHERE step >= 0 AND seen < 0),
   h AS (SELECT model, p[region + 1] AS own, len(list_filter(p, lambda x: x >= p[region + 1] * (1 - 1e-12::DOUBLE))) - 1 AS place FROM g)
   {answer}"""
 
@@ -323,3 +323,43 @@ def formula_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = [np.percentile(again[:, i], (2.5, 97.5)) for i in range(2)]
     rows = [(i, *(round(float(v), 4) for v in (theta[i], *ends[i], loss))) for i in range(2)] if loss is not None else []
     return spark.createDataFrame(rows, "i int, weight double, lo double, hi double, held_out_loss double")
+
+
+#: Expected and actual numbers of a team of five users' hidden ones by region, at every step; contact: any was seen before.
+MOMENTS_SQL = """, met AS (SELECT walker, step, bool_or(seen >= 0) OVER (PARTITION BY walker ORDER BY step) AS contact FROM s),
+  a AS (SELECT model, walker // 5 AS team, step, i AS region, sum(p[i + 1]) AS expected, sum((region = i)::INT) AS actual, bool_or(contact) AS contact, count(*) AS hidden FROM g JOIN met USING (walker, step), range(10) t(i) GROUP BY ALL)"""
+
+
+def _team_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = b.configurations()
+    samples = b.score(_steps(spark, sf_dir), ["user_id"], chain_models(spark, sf_dir), [named["prior_neg"], named["hmm"]], unseen=_unseen)
+    return reports.moments(samples.withColumn("team", F.expr("user_id div 5")), ["team"])
+
+
+@query(recursion_sql(STEPS_SQL, ("prior_neg", "hmm"), f"{MOMENTS_SQL} SELECT model, team, step::INTEGER AS step, bool_or(contact) AS contact, max(hidden) AS hidden, round(sum((expected - actual) ** 2), 6) AS count_brier FROM a GROUP BY model, team, step"))
+def team_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared error of expected hidden users by region, for every team and step."""
+    t = reports.team_table(_team_moments(spark, sf_dir), ["team"])
+    return t.select("model", "team", "step", "contact", "hidden", F.round("count_brier", 6).alias("count_brier"))
+
+
+def _count_bin() -> str:
+    return "CASE " + " ".join(f"WHEN expected < {e} THEN {i}" for i, e in enumerate(reports.COUNTS[1:-1])) + f" ELSE {len(reports.COUNTS) - 2} END"
+
+
+@query(recursion_sql(STEPS_SQL, ("prior_neg", "hmm"), f"{MOMENTS_SQL} SELECT model, contact, {_count_bin()} AS bin, count(*) AS n, round(avg(expected), 6) AS expected, round(avg(actual), 6) AS actual FROM a GROUP BY model, contact, bin"))
+def expected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected against actual counts of a region, by the expected one, before and after contact."""
+    c = reports.count_table(_team_moments(spark, sf_dir))
+    return c.select("model", "contact", F.col("bin").cast("int").alias("bin"), "n", F.round("expected", 6).alias("expected"), F.round("actual", 6).alias("actual"))
+
+
+@query(recursion_sql(STEPS_SQL, ("last_seen", "hmm"), """, q AS (SELECT *, last_value(CASE WHEN seen >= 0 THEN seen // 10 END IGNORE NULLS) OVER (PARTITION BY walker ORDER BY step) AS last FROM s),
+  y AS (SELECT g.model, g.p[region + 1] AS own, g.p[last + 1] = list_max(g.p) AS first, len(list_filter(g.p, lambda x: x = list_max(g.p))) AS ties FROM g JOIN q USING (walker, step) WHERE last IS NOT NULL)
+  SELECT model, count(*) AS n, round(avg(CASE WHEN first THEN 1.0 / ties ELSE 0 END), 6) AS picks_last, round(avg(-ln(greatest(own, 1e-9))), 6) AS log_loss FROM y GROUP BY model"""))
+def picks_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of a model's first choice is the region of the last sighting."""
+    named = b.configurations()
+    samples = b.score(_steps(spark, sf_dir), ["user_id"], chain_models(spark, sf_dir), [named["last_seen"], named["hmm"]], unseen=_unseen)
+    rows = reports.with_metrics(samples).where("last_region >= 0")
+    return rows.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg("picks_last"), 6).alias("picks_last"), F.round(F.avg("log_loss"), 6).alias("log_loss"))

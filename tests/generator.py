@@ -1,4 +1,4 @@
-"""Synthetic matches in the shape of parsed recordings, for tests and demonstrations.
+"""Synthetic matches in the shape of parsed recordings, for tests.
 
 Players walk a small two-floor map by a known chain; everything else (sightings, grenades, plants, economy) follows
 from the seed. Deterministic for a seed.
@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from . import schemas
+from fogline.sources import schemas
 
 PLACES = ("TSpawn", "TopofMid", "BombsiteA", "BombsiteB", "Apartments", "CTSpawn", "Ramp", "Shop")
 WIDTH, HEIGHT = 8, 6

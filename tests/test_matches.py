@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from fogline.operators import belief as b
 from fogline.operators import graph, maps, scoring
-from fogline.sources import generator, schemas, store
+from fogline.sources import schemas, store
+from tests import generator
 
 
 @pytest.fixture(scope="module")
@@ -282,6 +283,43 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
         session.shared_dir(SimpleNamespace(conf={}, sparkContext=context))
 
 
+def check_tables(spark, samples, folder):
+    """The tables of a run against SQL over its samples."""
+    import duckdb
+
+    from fogline.operators import reports
+    from fogline.plans import evaluation
+
+    samples.write.parquet(f"{folder}/samples")
+    evaluation.write_tables(spark.read.parquet(f"{folder}/samples"), folder, "last_seen", draws=40)
+    sql = duckdb.connect().execute(f"CREATE VIEW x AS SELECT * FROM '{folder}/samples/*.parquet'").execute("""CREATE VIEW a AS SELECT model, demo_id, round_num, friendly, step, region, sum(p) AS expected, sum((region = true_region)::INT) AS actual, bool_or(contact) AS contact, count(*) AS hidden
+        FROM (SELECT *, unnest(range(len(probs))) AS region, unnest(probs) AS p FROM x) GROUP BY ALL""")
+    csv = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/{name}").collect()
+    close = lambda x, y: sorted(x) == [tuple(pytest.approx(v) if isinstance(v, float) else v for v in r) for r in sorted(y)]
+    team = spark.read.parquet(f"{folder}/team").groupBy("model", "contact").agg(F.count("*").alias("n"), F.sum("count_brier").alias("b"), F.sum("hidden").alias("h")).collect()
+    want = sql.execute("SELECT model, contact, count(*), sum(b), sum(h)::BIGINT FROM (SELECT model, demo_id, round_num, friendly, step, bool_or(contact) AS contact, sum((expected - actual) ** 2) AS b, max(hidden) AS h FROM a GROUP BY ALL) GROUP BY ALL").fetchall()
+    assert len(want) > 4 and close([tuple(r) for r in want], [tuple(r) for r in team])
+    edges = " ".join(f"WHEN expected < {e} THEN {i}" for i, e in enumerate(reports.COUNTS[1:-1]))
+    want = sql.execute(f"SELECT model, contact, CASE {edges} ELSE {len(reports.COUNTS) - 2} END AS bin, count(*), avg(expected), avg(actual) FROM a GROUP BY ALL").fetchall()
+    assert close(want, [(r.model, r.contact, r.bin, r.n, r.expected, float(r.actual)) for r in csv("counts")])
+    want = sql.execute("SELECT model, 'top3' AS metric, count(*), avg((region_rank < 3)::INT) FROM x WHERE since IS NOT NULL GROUP BY ALL UNION ALL SELECT model, 'cell_loss', count(*), avg(-ln(p_true)) FROM x WHERE since IS NOT NULL GROUP BY ALL").fetchall()
+    got = csv("intervals")
+    assert close(want, [(r.model, r.metric, r.n, r["mean"]) for r in got if r.metric in ("top3", "cell_loss")])
+    assert all(r.lo <= r["mean"] + 1e-9 and r["mean"] <= r.hi + 1e-9 for r in got) and all((r["diff"] is None) == (r.model == "last_seen") for r in got)
+    means = {(r.model, r.metric): r["mean"] for r in got}
+    assert all(r["diff"] == pytest.approx(means[r.model, r.metric] - means["last_seen", r.metric]) for r in got if r["diff"] is not None)
+    want = sql.execute("SELECT model, contact, count(*), avg((region_rank < 1)::INT) FROM x GROUP BY ALL").fetchall()
+    assert close(want, [(r.model, r.after, r.n, r.top1) for r in csv("contact")])
+    want = sql.execute("SELECT model, hidden, count(*) FROM x WHERE since IS NOT NULL AND friends = 1 GROUP BY ALL").fetchall()
+    assert close(want, [(r.model, r.hidden, r.n) for r in csv("clutches")])
+    picks = {r.model: r.picks_last for r in csv("picks")}
+    assert picks["last_seen"] == pytest.approx(1.0) and 0 <= picks["hmm"] <= 1
+    assert {r.horizon for r in csv("horizons")} <= set(reports.AGE_NAMES) and all(0 <= r.ece <= 1 for r in csv("ece"))
+    assert sum(r.n for r in csv("reliability")) == sql.execute("SELECT sum(len(probs)) FROM x WHERE since IS NOT NULL").fetchone()[0]
+    assert {r.contact for r in csv("team_intervals")} == {True, False} and len(csv("summary")) > 4
+    assert sql.execute("SELECT count(*) FROM x WHERE contact <> (since IS NOT NULL) AND since IS NOT NULL").fetchone()[0] == 0
+
+
 def test_fit_evaluate_calibrate(spark, tmp_path):
     """The three calls over a store, and the calibrated configuration after them."""
     from fogline.plans import evaluation
@@ -304,6 +342,7 @@ def test_fit_evaluate_calibrate(spark, tmp_path):
     bad = steps.where("size(kills) > 0").select(F.explode("kills").alias("k")).where(f"size(k.like) <> {models.n} or array_max(k.like) > 1 or array_min(k.like) < 0.05 - 1e-9 or k.e >= 5")
     assert bad.count() == 0 and steps.where("size(looked) <> size(missed)").count() == 0
     assert samples.where("p_region <> probs[true_region]").count() == 0
+    check_tables(spark, samples, str(tmp_path / "run"))
     # every variant sees its own evidence: weapons, buys and fires change what their bases put out
     bases = {"hmm": ("hmm_weapon", "hmm_fire", "hmm_noneg"), "ens_nofire": ("ens_w0.7", "ens_w0.5", "ens_w0.3", "ens_awp0.5", "ens_awp0.3", "ens_guns0.5", "ens_hmmw", "ens_w0.5_hmmw", "ens_fire_occ", "ens_fire_wait", "ens_fire_weight", "ens_indep", "ens_seed1"), "ens_uncal": ("ens_truebuy", "ens_histbuy", "ens_nobuy", "ens_uncal_seed1", "ens_indep", "ens_team", "ens_team_best")}
     # the synthetic players walk through fires
