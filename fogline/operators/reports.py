@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bins, maths
-from . import scoring
+from . import sampling, scoring
 
 
 def around_contact(samples: DataFrame, model: str, contact: Column, rank: Column, p: Column) -> DataFrame:
@@ -77,12 +77,17 @@ def horizon_curve(samples: DataFrame, model: str, since: Column, edges: Sequence
 
 
 def latency_summary(answers: DataFrame, keys: Sequence[str], seconds: str) -> DataFrame:
-    """Mean, 90th percentile (of ranks, so that partial counts meet in no one task) and most of the seconds taken."""
-    each = answers.groupBy(*keys, seconds).agg(F.count("*").alias("m"))
-    w = Window.partitionBy(*keys)
-    upto = F.sum("m").over(w.orderBy(seconds).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = each.withColumn("upto", upto).withColumn("all", F.sum("m").over(w))
-    return ranked.groupBy(*keys).agg(F.sum("m").alias("n"), (F.sum(F.col(seconds) * F.col("m")) / F.sum("m")).alias("mean"), F.min(F.when(F.col("upto") >= F.ceil(0.9 * F.col("all")), F.col(seconds))).alias("p90"), F.max(seconds).alias("most"))
+    """(keys, n, mean, median, p90, most) of the seconds taken, percentiles being interpolated between ranks. Equal values
+    are counted first, and ranks come from prefix sums over partitions, so no key's values meet in one task."""
+    each = answers.where(F.col(seconds).isNotNull()).groupBy(*keys, seconds).agg(F.count("*").alias("m"))
+    ranked = sampling.prefix_sums(each, keys, [seconds], "m")
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col(seconds)))
+
+    def percentile(p: float) -> Column:
+        place = F.lit(p) * (F.col("total") - 1)
+        return at(F.floor(place)) + F.max(place - F.floor(place)) * (at(F.ceil(place)) - at(F.floor(place)))
+
+    return ranked.groupBy(*keys).agg(F.sum("m").alias("n"), (F.sum(F.col(seconds) * F.col("m")) / F.sum("m")).alias("mean"), percentile(0.5).alias("median"), percentile(0.9).alias("p90"), F.max(seconds).alias("most"))
 
 
 def by_sense(table: DataFrame, metric: str, value: str, errors: Sequence[str]) -> DataFrame:

@@ -119,12 +119,9 @@ def intervals(samples: DataFrame, model: str, cluster: str, metrics: Sequence[st
 
 
 def folds(df: DataFrame, cluster: str, k: int, seed: int = 0) -> DataFrame:
-    """df with fold: whole clusters are dealt to k folds of nearly equal numbers of clusters, in hashed order."""
-    order = df.select(cluster).distinct().withColumn("__u", F.xxhash64(F.lit(seed), F.col(cluster)))
-    parts = 64
-    order = order.withColumn("__p", F.pmod("__u", F.lit(parts)))
-    sizes = order.groupBy("__p").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "before")
-    place = F.row_number().over(Window.partitionBy("__p").orderBy("__u", cluster)) - 1
-    dealt = order.withColumn("__r", place).join(F.broadcast(before), "__p").select(cluster, F.pmod(F.col("__r") + F.col("before"), F.lit(k)).cast("int").alias("fold"))
+    """df with fold: whole clusters are dealt to k folds of equal numbers of clusters but for one, in an order hashed with the
+    seed."""
+    each = df.select(cluster).where(F.col(cluster).isNotNull()).distinct().withColumn("__one", F.lit(1))
+    hashed = each.withColumn("__u", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(cluster).cast("string")).cast("binary")))
+    dealt = sampling.prefix_sums(hashed, [], ["__u", cluster], "__one").select(cluster, F.pmod("before", F.lit(k)).cast("int").alias("fold"))
     return df.join(dealt, cluster)

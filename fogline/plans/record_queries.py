@@ -142,11 +142,11 @@ def horizon_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("model", F.col("horizon").cast("int").alias("horizon"), "n", *(F.round(x, 8).alias(x) for x in ("rate", "lo", "hi")))
 
 
-@query("""SELECT role, count(*) AS n, round(avg(length(text)), 8) AS mean, quantile_disc(length(text), 0.9) AS p90, max(length(text)) AS most FROM conversations GROUP BY 1""")
+@query("""SELECT role, count(*) AS n, round(avg(length(text)), 8) AS mean, quantile_cont(length(text), 0.5) AS median, round(quantile_cont(length(text), 0.9), 6) AS p90, max(length(text)) AS most FROM conversations WHERE text IS NOT NULL GROUP BY 1""")
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("role", F.length("text").cast("long").alias("s"))
     out = reports.latency_summary(c, ["role"], "s")
-    return out.select("role", "n", F.round("mean", 8).alias("mean"), "p90", "most")
+    return out.select("role", "n", F.round("mean", 8).alias("mean"), "median", F.round("p90", 6).alias("p90"), "most")
 
 
 @query("""WITH m AS (SELECT o_orderpriority AS model, unnest(['mean', 'spread']) AS metric, unnest([avg(o_totalprice), stddev_samp(o_totalprice)]) AS v FROM orders GROUP BY 1)

@@ -193,7 +193,8 @@ def paired_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("model", "metric", "n", *(F.round(c, 4).alias(c) for c in ("mean", "lo", "hi", "diff", "diff_lo", "diff_hi")))
 
 
-@query()
+@query("""WITH f AS (SELECT o_custkey, (row_number() OVER (ORDER BY md5('0|' || o_custkey), o_custkey) - 1) % 4 AS fold FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IS NOT NULL))
+  SELECT fold::INTEGER AS fold, count(DISTINCT o_custkey) AS clusters, count(*) AS n FROM orders JOIN f USING (o_custkey) GROUP BY 1""")
 def grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole customers dealt to four folds."""
     o = s.folds(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", 4)

@@ -46,7 +46,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_queries_without_sql(spark):
     q = catalogue.QUERIES
-    assert set(q) - set(catalogue.SQL) == {"grouped_folds", "particle_filter", "platt_fit", "spot_fit"}
+    assert set(q) - set(catalogue.SQL) == {"particle_filter", "platt_fit", "spot_fit"}
     assert all(r.lo <= r.weight <= r.hi and r.held_out_loss > 0 for r in q["formula_bootstrap"](spark, SF).collect())
     for r in q["bootstrap_ci"](spark, SF).collect():
         assert r.lo <= r.mean <= r.hi
