@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import weapon_class
 from ..operators import belief as b
-from ..operators import fitting, history, maps, reports, scoring, sight, temporal
+from ..operators import documents, fitting, history, maps, reports, scoring, sight, temporal
 from ..session import stored
 from ..sources.store import MatchStore, write_csv
 
@@ -324,3 +324,42 @@ def write_tables(samples: DataFrame, folder: str, reference: str | None = None,
             df.write.mode("overwrite").partitionBy("model").parquet(f"{folder}/{name}")
         else:
             write_csv(df, f"{folder}/{name}")
+
+
+def region_chances(looks: DataFrame, cells: DataFrame, traffic: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, region, chance): how likely someone in a region would be seen, cells counting by their traffic (node, w).
+    looks: of sight.looks(); cells that nobody looks at are never seen."""
+    at = cells.select("node", F.col("place").alias("region")).join(traffic, "node")
+    whole = at.groupBy("region").agg(F.sum("w").alias("all"))
+    each = looks.select(*keys, F.explode(F.arrays_zip(F.col("looked").alias("node"), F.col("missed").alias("miss"))).alias("x")).select(*keys, "x.node", "x.miss")
+    seen = each.join(at, "node").groupBy(*keys, "region").agg(F.sum(F.col("w") * (1 - F.col("miss"))).alias("s"))
+    return seen.join(whole, "region").select(*keys, "region", (F.col("s") / F.col("all")).alias("chance"))
+
+
+def moment_documents(store: MatchStore, name: str, moments: DataFrame, demos: DataFrame | None = None) -> DataFrame:
+    """The documents of moments (demo_id, round_num, friendly, tick) of a store, as documents.moment_documents() has them;
+    what teams watch and friends look at is there if a spotting model was fitted."""
+    grid = load_grid(store, name)
+    rounds = store.read("rounds", demos=demos)
+    wanted = moments.select("demo_id", "round_num").distinct()
+    states = stored(states_of(store, grid, demos).join(wanted, ["demo_id", "round_num"], "left_semi"), "states")
+    regions = grid.cells.select("node", F.col("place").alias("region"))
+    locate = lambda p: maps.on_grid(p, grid).join(regions, "node").drop("node")
+    k = store.read("kills", demos=demos).where("attacker_steamid is not null and victim_X is not null")
+    k = k.select("demo_id", "round_num", "tick", "attacker_steamid", "attacker_side", "victim_side", (F.coalesce("thrusmoke", F.lit(False)) | (F.coalesce("penetrated", F.lit(0)) > 0)).alias("obstructed"), F.col("victim_X").alias("X"), F.col("victim_Y").alias("Y"), F.col("victim_Z").alias("Z"))
+    smoke = clouds(store, states).select("demo_id", "round_num", "tick", F.col("sx").alias("X"), F.col("sy").alias("Y"), F.lit(100.0).alias("Z"))
+    ticks = states.select("demo_id", "round_num", "tick").distinct()
+    fire = _with_fires(store, ticks).where("fires is not null").select("demo_id", "round_num", "tick", F.explode("fires").alias("f")).select("demo_id", "round_num", "tick", F.col("f.x").alias("X"), F.col("f.y").alias("Y"), F.col("f.z").alias("Z"))
+    can, watched, looks = able(store, states), None, None
+    spot, lines = store.load_part(name, "spot"), store.load_part(name, "lines")
+    if spot is not None and lines is not None:
+        tables = [np.array([r["value"] for r in sorted(spot.where(F.col("tab") == i).collect(), key=lambda r: r["bin"])]) for i in range(3)]
+        lines, traffic = sight.with_factors(lines, store.load_part(name, "factors")), states.groupBy("node").agg(F.count("*").alias("w"))
+        smokes = clouds(store, states).join(ticks, ["demo_id", "round_num", "tick"])
+        at = can.withColumn("friendly", F.col("side")).join(moments.select(*KEYS, "tick").distinct(), [*KEYS, "tick"], "left_semi")
+        both = smokes.withColumn("friendly", F.explode(F.array(*map(F.lit, SIDES))))
+        watched = region_chances(sight.looks(at, grid.cells, lines, tables, [*KEYS, "tick"], both), grid.cells, traffic, [*KEYS, "tick"])
+        own = ["demo_id", "round_num", "tick", "steamid"]
+        each = smokes.join(at.select(*own), ["demo_id", "round_num", "tick"])
+        looks = region_chances(sight.looks(at, grid.cells, lines, tables, own, each), grid.cells, traffic, own)
+    return documents.moment_documents(moments, states, rounds, locate(k), locate, locate(smoke), locate(fire), watched, can, looks)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import describe as d
-from ..session import table
+from ..operators import documents
+from ..session import stored, table
 from ..streaming import runs
 from .common import DAY, E, sightings
 from .registry import query
@@ -101,3 +102,29 @@ def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     on = F.expr("user_id = u and ts >= seen + interval 12 hours and ts < seen + interval 3 days")
     joined = runs.finished(c.join(v, on).select("event_id", "seen"), "append")
     return joined.groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {E}, s AS (SELECT user_id // 10 AS demo, user_id AS steamid, CASE user_id % 2 WHEN 0 THEN 't' ELSE 'ct' END AS side, us // {DAY} * 16 AS tick, arg_max(cell, ROW(us, event_id)) AS cell, arg_max(event_type, ROW(us, event_id)) = 'view' AS spotted FROM e GROUP BY ALL),
+  l AS (SELECT *, lag(CASE WHEN spotted THEN ROW(tick, cell) END) OVER w AS before FROM s WINDOW w AS (PARTITION BY steamid ORDER BY tick)),
+  h AS (SELECT *, last_value(CASE WHEN spotted THEN {{'tick': tick, 'cell': cell, 'v': CASE WHEN before[1] = tick - 16 THEN 10 * (cell - before[2]) END}} END IGNORE NULLS) OVER (PARTITION BY steamid ORDER BY tick) AS last FROM l),
+  r AS (SELECT DISTINCT demo, side, steamid FROM s), n AS (SELECT *, upper(side) || row_number() OVER (PARTITION BY demo, side ORDER BY steamid) AS id FROM r),
+  m AS (SELECT DISTINCT demo, tick, f AS friendly FROM s, (VALUES ('t'), ('ct')) v(f)),
+  x AS (SELECT m.demo, m.friendly, m.tick, n.id, h.spotted, h.cell, last, CASE WHEN last.v IS NOT NULL THEN 'R' || greatest(least(10 * last.cell + 400 * sign(last.v), 990), 0)::INTEGER // 100 END AS toward FROM m JOIN n ON n.demo = m.demo AND n.side <> m.friendly LEFT JOIN h ON h.steamid = n.steamid AND h.tick = m.tick),
+  y AS (SELECT *, CASE WHEN spotted IS NULL THEN 'dead' WHEN spotted THEN 'on your radar now' WHEN last IS NULL THEN 'not seen yet this round' ELSE 'off your radar' END AS status, 'R' || last.cell // 10 AS was FROM x)
+  SELECT demo::VARCHAR AS demo_id, friendly, tick::INTEGER AS tick, id, status, CASE WHEN spotted THEN 'R' || cell // 10 END AS "at", CASE WHEN status LIKE 'off%' THEN was END AS last_seen_at, CASE WHEN status LIKE 'off%' THEN round_even((tick - last.tick) / 64, 0)::BIGINT END AS seconds_since_seen,
+    CASE WHEN status LIKE 'off%' THEN CASE WHEN abs(last.v) * 4 < 60 THEN 'holding still' WHEN toward <> was THEN 'moving toward ' || toward WHEN last.v IS NOT NULL THEN 'moving within ' || was END END AS when_last_seen FROM y""")
+def enemy_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ten users' two sides know of each other day by day, a day being a step and a user's last event the state."""
+    e = sightings(spark, sf_dir)
+    day, at = F.expr(f"us div {DAY}"), F.struct("us", "event_id")
+    last = e.groupBy("user_id", (day * 16).cast("int").alias("tick")).agg(F.max_by(F.struct("cell", "event_type"), at).alias("x"))
+    region = lambda x: F.concat(F.lit("R"), F.floor(x / 100).cast("string"))
+    x = (F.col("x.cell") * 10).cast("double")
+    states = last.select(
+        F.expr("cast(user_id div 10 as string)").alias("demo_id"), F.lit(1).alias("round_num"), F.col("user_id").alias("steamid"), F.when(F.col("user_id") % 2 == 0, "t").otherwise("ct").alias("side"), "tick",
+        x.alias("X"), F.lit(0.0).alias("Y"), F.lit(0.0).alias("Z"), region(x).alias("region"), (F.col("x.event_type") == "view").alias("spotted"),
+    )
+    states = stored(states, "states")
+    moments = states.select("demo_id", "round_num", "tick").distinct().withColumn("friendly", F.explode(F.array(F.lit("t"), F.lit("ct"))))
+    known = documents.enemy_entries(moments, states, lambda p: p.withColumn("region", region(F.greatest(F.least("X", F.lit(990.0)), F.lit(0.0)))))
+    return known.select("demo_id", "friendly", "tick", F.explode("enemies").alias("e")).select("demo_id", "friendly", "tick", "e.*")
