@@ -125,6 +125,12 @@ def answer_schema(options: Column) -> Column:
     return F.concat(F.lit('{"type":"object","properties":{'), properties, F.lit('},"required":['), names, F.lit('],"additionalProperties":false}'))
 
 
+def two_stage_schema(options: Column) -> Column:
+    """A JSON schema of an answer in two stages: the chance to stay, and a share of each option otherwise."""
+    chance = '{"type":"number","description":"Probability that the answer is yes: 0 means no, 1 means yes."}'
+    return F.concat(F.lit(f'{{"type":"object","properties":{{"stay":{chance},"where":'), answer_schema(options), F.lit('},"required":["stay","where"],"additionalProperties":false}'))
+
+
 def usage(raw: Column) -> Column:
     """(fresh, cached, output, refused) of a raw answer: token counts, and whether it was refused."""
     n = lambda path: F.coalesce(F.get_json_object(raw, path).cast("long"), F.lit(0))

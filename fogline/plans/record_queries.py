@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import maps, reports
 from ..session import shared_dir, stored, table
 from ..sources import recordings as rec
-from ..sources import store
+from ..sources import refresh, store
 from .common import DAY, E, sightings
 from .registry import query
 
@@ -219,3 +219,38 @@ def ingest_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = s.read("footsteps", sources=["s0", "s1"], columns=["tick", "steamid", "X"])
     told = read.select("source", "demo_id", "tick", "steamid", F.round(F.col("X").cast("double"), 2).alias("x"), F.lit(None).cast("string").alias("reason"))
     return told.unionByName(failed.select("source", "demo_id", "reason"), allowMissingColumns=True)
+
+
+@query("""WITH n AS (SELECT n_regionkey AS r_regionkey, string_agg('"' || n_name || '":{"type":"number","minimum":0,"maximum":1}', ',' ORDER BY n_name) AS p, string_agg('"' || n_name || '"', ',' ORDER BY n_name) AS r FROM nation GROUP BY 1)
+  SELECT r_regionkey, '{"type":"object","properties":{"stay":{"type":"number","description":"Probability that the answer is yes: 0 means no, 1 means yes."},"where":{"type":"object","properties":{' || p || '},"required":[' || r || '],"additionalProperties":false}},"required":["stay","where"],"additionalProperties":false}' AS schema FROM n""")
+def two_stage_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON schema of an answer in two stages about a region's nations."""
+    n = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list("n_name").alias("names"))
+    return n.select("r_regionkey", reports.two_stage_schema(F.col("names")).alias("schema"))
+
+
+@query(f"""WITH {E}, d AS (SELECT DISTINCT 's' || (user_id % 3) AS source, 'm' || (user_id % 40) AS demo_id FROM e),
+  h AS (SELECT *, sha1(demo_id) AS h FROM d), u AS (SELECT *, (('0x' || h[1:10])::BIGINT % 10000 * 4576 + ('0x' || h[11:25])::BIGINT % 10000 * 6976 + ('0x' || h[26:40])::BIGINT % 10000) % 10000 / 10000.0 AS u FROM h),
+  s AS (SELECT source, demo_id, CASE WHEN demo_id IN ('m1', 'm2') THEN 'test' WHEN demo_id = 'm3' THEN 'val' WHEN u < 0.2 THEN 'test' WHEN u < 0.3 THEN 'val' ELSE 'train' END AS split FROM u)
+  SELECT source, demo_id, split FROM s WHERE split IN ('test', 'val') AND source IN ('s0', 's2')""")
+def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog's matches of two splits and sources; lists override the split by hash, the last one that names a match."""
+    s, e = store.MatchStore(spark, _folder(spark)), sightings(spark, sf_dir)
+    named = e.select(F.concat(F.lit("m"), F.pmod("user_id", F.lit(40))).alias("demo_id"), F.concat(F.lit("s"), F.pmod("user_id", F.lit(3))).alias("source"))
+    s.write_meta(named.distinct())
+    lists = [spark.createDataFrame(rows, "demo_id string, split string") for rows in ([("m1", "train"), ("m2", "test")], [("m1", "test"), ("m3", "val")])]
+    return s.demos(["test", "val"], ["s0", "s2"], lists).select("source", "demo_id", "split")
+
+
+@query(f"""WITH {E}, x AS (SELECT 'd' || (user_id % 7) AS demo_id, user_id AS entity_id, (us // 36000000 % 1000000)::INTEGER AS tick, event_type FROM e),
+  s AS (SELECT demo_id, entity_id, tick AS start_tick FROM x WHERE event_type = 'view'), c AS (SELECT demo_id, entity_id, tick FROM x WHERE event_type = 'click'),
+  n AS (SELECT s.demo_id, s.entity_id, s.start_tick, (SELECT min(c.tick) FROM c WHERE c.demo_id = s.demo_id AND c.entity_id = s.entity_id AND c.tick > s.start_tick) AS later FROM s)
+  SELECT demo_id, entity_id::INTEGER AS entity_id, start_tick, CASE WHEN demo_id IN ('d1', 'd2', 'd3') THEN CASE WHEN later - start_tick < 2304 THEN later ELSE start_tick + 1152 END ELSE -1 END AS end_tick FROM n""")
+def refreshed_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smokes whose ends are made anew for three matches and left as they were for the others."""
+    s, e = store.MatchStore(spark, _folder(spark)), sightings(spark, sf_dir)
+    x = e.select(F.lit("a").alias("source"), F.concat(F.lit("d"), F.pmod("user_id", F.lit(7))).alias("demo_id"), F.col("user_id").cast("int").alias("entity_id"), F.expr("us div 36000000 % 1000000").cast("int").alias("tick"), "event_type")
+    s.write("smokes", x.where("event_type = 'view'").select("source", "demo_id", "entity_id", F.col("tick").alias("start_tick"), F.lit(-1).alias("end_tick")))
+    some = spark.createDataFrame([("d1",), ("d2",), ("d3",)], "demo_id string")
+    refresh.refresh_grenade_ends(s, x.where("event_type = 'click'").select(F.lit("smokes").alias("table"), "demo_id", "entity_id", "tick"), some)
+    return s.read("smokes", columns=["entity_id", "start_tick", "end_tick"]).drop("source")

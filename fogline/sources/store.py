@@ -5,7 +5,7 @@ Everything goes through Spark's readers and writers, so any store that Spark kno
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bins import split_of
+from ..session import stored
 from . import schemas
 
 
@@ -41,6 +42,12 @@ class MatchStore:
             df = df.join(demos.select("demo_id"), "demo_id", "left_semi")
         return df.select("source", "demo_id", *columns) if columns is not None else df
 
+    def refresh(self, table: str, derive: Callable[[DataFrame], DataFrame], demos: DataFrame | None = None) -> None:
+        """Makes a table's rows anew from themselves, for all matches or those of demos (with demo_id); all others stay. The
+        rows are stored before their files are replaced."""
+        rows = stored(self.read(table, demos=demos), "refresh")
+        self.write(table, derive(rows))
+
     # -- catalog
 
     def write_meta(self, meta: DataFrame) -> None:
