@@ -362,12 +362,16 @@ def mine_phrases(documents: DataFrame, least: int = LEAST, top: int = TOP, whole
 SQL = rf"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
-w AS (SELECT lang, regexp_extract_all(piece, '[^ \x09]+') AS ws FROM p),
+w AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^ \x09]+') AS ws FROM p),
 n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
-g AS (SELECT lang, ws[i:i + k - 1] AS ph, k, count(*) AS f FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, {LONGEST + 1}) t(k)) GROUP BY ALL HAVING count(*) >= {LEAST}),
+u AS (SELECT lang, piece, unnest(ws) AS w1, unnest(range(len(ws))) AS i FROM w),
+q4 AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4 FROM u WINDOW o AS (PARTITION BY piece ORDER BY i)),
+g AS (SELECT lang, ph, len(ph) AS k, count(*) AS f FROM (SELECT lang, [w1] AS ph FROM q4 UNION ALL SELECT lang, [w1, w2] FROM q4 WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, [w1, w2, w3] FROM q4 WHERE w3 IS NOT NULL UNION ALL SELECT lang, [w1, w2, w3, w4] FROM q4 WHERE w4 IS NOT NULL) GROUP BY ALL HAVING count(*) >= {LEAST}),
 c AS (SELECT lang, ph, k AS m, f AS a FROM g WHERE k > 1),
-s AS (SELECT c.lang, c.ph, c.a, c.m, x.f AS l, y.f AS r, t.k, ({SCALE}::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score FROM c, range(1, {LONGEST}) t(k), g x, g y
-  WHERE t.k < c.m AND x.lang = c.lang AND y.lang = c.lang AND x.ph = c.ph[1:t.k] AND y.ph = c.ph[t.k + 1:c.m]),
+y AS (SELECT lang, array_to_string(ph, ' ') AS part, f FROM g),
+x AS MATERIALIZED (SELECT lang, ph, a, m, k, array_to_string(ph[1:k], ' ') AS first, array_to_string(ph[k + 1:m], ' ') AS rest FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT x.lang, ph, a, m, l.f AS l, r.f AS r, k, ({SCALE}::HUGEINT * a // (l.f + r.f))::BIGINT AS score FROM x JOIN y l ON l.lang = x.lang AND l.part = x.first JOIN y r ON r.lang = x.lang AND r.part = x.rest),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
 o AS (SELECT lang, sub, max(a) AS longer FROM (SELECT lang, a, ph[i:i + k - 1] AS sub FROM (SELECT lang, a, ph, k, unnest(range(1, m - k + 2)) AS i FROM c, range(2, {LONGEST}) t(k) WHERE k < m)) GROUP BY ALL),
 z AS (SELECT b.lang, array_to_string(b.ph, ' ') AS phrase, b.a, b.l, b.r, b.score FROM b LEFT JOIN o ON o.lang = b.lang AND o.sub = b.ph WHERE o.longer IS NULL OR 100::HUGEINT * o.longer < {WHOLE}::HUGEINT * b.a),
