@@ -191,21 +191,25 @@ def _clock(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def weighed(ep: b.Episode, pieces: list[dict], models: b.Models, cfg: b.Recursion, m: int, h: int) -> tuple[list[np.ndarray], list[tuple]]:
+def weighed(ep: b.Episode, pieces: pa.Table, models: b.Models, cfg: b.Recursion, m: int, h: int) -> tuple[list[np.ndarray], list[tuple]]:
     """Beliefs of a segment's steps, or requests (k, round, off, node, vx, vy) that must be answered first."""
     n, steps = models.n, len(ep.t)
-    by_round: dict[int, list[dict]] = {}
-    for p in pieces:
-        by_round.setdefault(p["round"], []).append(p)
     path, speed = np.full((m, steps), -1), np.zeros((m, steps, 2))
-
-    def lay(rows: list[dict]) -> None:
-        for p in rows:
-            a = p["off"]
-            path[p["k"], a : a + len(p["nodes"])] = p["nodes"]
-            speed[p["k"], a : a + len(p["nodes"])] = np.stack([p["vxs"], p["vys"]], 1)
-
-    lay(by_round.get(0, []))
+    # all pieces end to end: which particle, step and round each place is of
+    lists = [pieces[c].combine_chunks() for c in ("nodes", "vxs", "vys")]
+    long = lists[0].value_lengths().to_numpy(zero_copy_only=False).astype(int)
+    number_of = np.repeat(pieces["round"].to_numpy(), long)
+    particle = np.repeat(pieces["k"].to_numpy(), long)
+    at = np.repeat(pieces["off"].to_numpy() - (np.cumsum(long) - long), long) + np.arange(long.sum())
+    nodes, vx, vy = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+
+    def lay(number: int) -> bool:
+        own = number_of == number
+        path[particle[own], at[own]] = nodes[own]
+        speed[particle[own], at[own], 0], speed[particle[own], at[own], 1] = vx[own], vy[own]
+        return bool(own.any())
+
+    lay(0)
     if (path < 0).any():  # nothing was ever recorded of this side
         return [np.full((1, n), 1.0 / n)] * steps, []
     weight, number, out = np.full(m, 1.0 / m), 0, []
@@ -221,10 +225,8 @@ def weighed(ep: b.Episode, pieces: list[dict], models: b.Models, cfg: b.Recursio
                 path[:, s:], speed[:, s:] = path[picked, s:], speed[picked, s:]
                 number += 1
                 if len(again):
-                    answers = by_round.get(number)
-                    if answers is None:
+                    if not lay(number):
                         return [], [(int(k), number, s, int(path[k, s]), *map(float, speed[k, s])) for k in again]
-                    lay(answers)
                 weight = np.full(m, 1.0 / m)
         mass = np.bincount(path[:, s], weight, n)
         if models.smooth is not None:
@@ -256,7 +258,7 @@ def score(steps: DataFrame, keys: Sequence[str], states: DataFrame, rings: DataF
     def run(own: pa.Table, pieces: pa.Table) -> pa.Table:
         own = own.sort_by("step")
         ep = b.episode_of(own, models, unseen)
-        beliefs, asked = weighed(ep, pieces.to_pylist(), models, cfg, m, own["__h"][0].as_py())
+        beliefs, asked = weighed(ep, pieces, models, cfg, m, own["__h"][0].as_py())
         samples = b.samples_of(ep, iter(()) if asked else b.run_all(ep, models, configs, given={cfg: iter(beliefs)}), models, own.select(keys))
         names = [x.split()[0] for x in request_columns.split(", ")]
         if not asked:
