@@ -10,12 +10,53 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
 
 UNBOUNDED = Window.unboundedPreceding
+#: Shifts and constants of MD5's 64 steps.
+SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+SINES = tuple(int(abs(np.sin(i + 1.0)) * 2**32) for i in range(64))
+
+
+def hashed(prefix: bytes, first: int, many: int, part: int = 32_768) -> np.ndarray:
+    """The first 15 hexadecimal digits of the MD5s of prefix and each of the numbers first, first + 1, ... in decimals, as
+    integers. prefix: 35 bytes at most, so that all of it is one block of MD5."""
+    out, at, last = np.empty(many, np.uint64), first, first + many
+    while at < last:
+        digits = len(str(at))
+        stop = min(last, 10**digits, at + part)
+        out[at - first : stop - first] = _one_block(prefix, np.arange(at, stop), digits)
+        at = stop
+    return out.astype(np.int64)
+
+
+def _one_block(prefix: bytes, numbers: np.ndarray, digits: int) -> np.ndarray:
+    size = len(prefix) + digits
+    fixed = prefix + b"\0" * digits + b"\x80" + b"\0" * (55 - size) + (8 * size).to_bytes(8, "little")
+    words: list = list(np.frombuffer(fixed, "<u4"))
+    for place in range(len(prefix), size):
+        digit = (numbers // 10 ** (size - 1 - place) % 10 + 48).astype(np.uint32)
+        words[place // 4] = words[place // 4] + (digit << np.uint32(8 * (place % 4)))
+    start = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+    a, b, c, d = (np.full(len(numbers), x, np.uint32) for x in start)
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f = f + a + np.uint32(SINES[i]) + words[g]
+        turn = SHIFTS[i // 16][i % 4]
+        a, d, c, b = d, c, b, b + ((f << np.uint32(turn)) | (f >> np.uint32(32 - turn)))
+    high, low = ((x + np.uint32(y)).byteswap().astype(np.uint64) for x, y in zip((a, b), start, strict=False))
+    return (high << np.uint64(32) | low) >> np.uint64(4)
 
 
 def prefix_sums(rows: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from ..functions import bins, maths
 from ..session import stored
 from . import sampling
 
+#: Picks that a task makes at a time, and those of a block of clusters over all draws.
+STRETCH, MOST_PICKS = 1 << 20, 1 << 22
+
 
 def summary(samples: DataFrame, slices: Sequence[Sequence[str]], rank: str = "rank", p_true: str = "p_true") -> DataFrame:
     """n, top-1, top-3 and log-loss by several slices in one pass (grouping sets); columns of other slices are null."""
@@ -72,12 +77,56 @@ def cluster_draws(samples: DataFrame, cluster: str, draws: int, seed: int = 0) -
 
 
 def resampled_means(samples: DataFrame, model: str, cluster: str, metrics: Sequence[str], draws: int = 2000, seed: int = 0) -> DataFrame:
-    """(model, metric, draw, mean): means of metrics over resampled clusters, by model. A draw that misses all clusters of
-    a model has mean null."""
-    sums = samples.groupBy(F.col(model).cast("string").alias("model"), cluster).agg(*(F.struct(F.sum(F.col(m).cast("double")).alias("s"), F.count(m).alias("n")).alias(m) for m in metrics))
-    drawn = sums.join(cluster_draws(samples, cluster, draws, seed), cluster)
-    weighed = [f(F.col("copies") * F.col(f"{m}.{part}")).alias(f"{part}{i}") for i, m in enumerate(metrics) for f, part in ((F.sum, "s"), (F.sum, "n"))]
-    each = drawn.groupBy("model", "draw").agg(*weighed)
+    """(model, metric, draw, mean): means of metrics over the clusters of cluster_draws, by model. A draw that misses all
+    clusters of a model has no row.
+
+    The picks never become rows: a task makes those of a stretch of a draw, sorts them, and sends them on as arrays of two
+    bytes a pick by block of clusters. A block's picks and sums meet in one group, which holds MOST_PICKS picks or so."""
+    metrics = list(metrics)
+    ranks = stored(sampling.dense_ranks(samples.where(F.col(cluster).isNotNull()), cluster), "ranks")
+    first = ranks.select("total").first()
+    n = 0 if first is None else first["total"]
+    size = max(1, min(1 << 16, MOST_PICKS // draws))
+    sums = samples.groupBy(F.col(model).cast("string").alias("model"), cluster).agg(*(f for i, m in enumerate(metrics) for f in (F.sum(F.col(m).cast("double")).alias(f"s{i}"), F.count(m).cast("double").alias(f"n{i}"))))
+    values = [f"{part}{i}" for i in range(len(metrics)) for part in "sn"]
+    placed = sums.join(ranks.select(cluster, "rank"), cluster).select("model", F.expr(f"rank div {size}").alias("of_block"), F.expr(f"cast(rank % {size} as int)").alias("at"), *(F.coalesce(v, F.lit(0.0)).alias(v) for v in values))
+    a_draw = -(-n // STRETCH)
+
+    def picks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for stretch in batch.column(0).to_pylist():
+                draw, at = divmod(stretch, a_draw)
+                rank = np.sort(sampling.hashed(f"{seed}|{draw}|".encode(), at * STRETCH, min(STRETCH, n - at * STRETCH)) % n)
+                block = np.arange(rank[0] // size, rank[-1] // size + 1)
+                ends = np.searchsorted(rank, np.append(block, block[-1] + 1) * size)
+                raw = (rank % size).astype("<u2").tobytes()
+                sent = [raw[2 * i : 2 * j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.full(len(block), draw, np.int32)), pa.array(sent, pa.binary())], names=["block", "draw", "picks"])
+
+    def summed(drawn: pa.Table, held: pa.Table) -> pa.Table:
+        copies = np.zeros((draws, size))
+        for draw, raw in zip(drawn["draw"].to_pylist(), drawn["picks"], strict=True):
+            copies[draw] += np.bincount(np.frombuffer(raw.as_buffer(), "<u2"), minlength=size)
+        names, of = np.unique(np.array(["" if x is None else "x" + x for x in held["model"].to_pylist()]), return_inverse=True)
+        at, each = held["at"].to_numpy(), np.stack([held[v].to_numpy() for v in values], 1) if len(held) else np.zeros((0, len(values)))
+        out = []
+        for i, name in enumerate(names):
+            own, its = at[of == i], each[of == i]
+            table = np.zeros((size, len(values) + 1))
+            table[own, :-1], table[own, -1] = np.where(np.isfinite(its), its, 0.0), 1.0
+            total = copies @ table
+            for k in np.flatnonzero(~np.isfinite(its).all(1)):  # counts only in the draws that took it
+                taken = copies[:, own[k], None]
+                total[:, :-1] += np.where(taken > 0, taken * np.where(np.isfinite(its[k]), 0.0, its[k]), 0.0)
+            met = np.flatnonzero(total[:, -1] > 0)
+            out.append(pa.table([pa.array([name[1:] if name else None] * len(met), pa.string()), pa.array(met.astype(np.int32)), *(pa.array(c) for c in total[met, :-1].T)], names=["model", "draw", *values]))
+        blank = pa.table([pa.array([], t) for t in (pa.string(), pa.int32(), *[pa.float64()] * len(values))], names=["model", "draw", *values])
+        return pa.concat_tables([blank, *out])
+
+    stretches = samples.sparkSession.range(0, draws * a_draw, 1, max(1, min(draws * a_draw, 2_000)))
+    drawn = stretches.mapInArrow(picks, "block long, draw int, picks binary")
+    parts = drawn.groupBy("block").cogroup(placed.groupBy("of_block")).applyInArrow(summed, ", ".join(["model string", "draw int", *(f"{v} double" for v in values)]))
+    each = parts.groupBy("model", "draw").agg(*(F.sum(v).alias(v) for v in values))
     long = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.try_divide(F.col(f"s{i}"), F.col(f"n{i}")).alias("mean")) for i, m in enumerate(metrics))))
     return each.select("model", "draw", long.alias("x")).select("model", "x.metric", "draw", "x.mean")
 

@@ -1,5 +1,7 @@
 """Batched conditional logits against single fits; folds that leak nothing; refits on resampled clusters."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +127,20 @@ def test_intervals_pair_models_on_the_same_draws(spark):
     assert b["diff"] == pytest.approx(0.5) and b["diff_lo"] == pytest.approx(0.5) and b["diff_hi"] == pytest.approx(0.5)
     assert got["a", "v"]["lo"] < got["a", "v"]["mean"] < got["a", "v"]["hi"] and got["a", "hit"]["n"] == 150
     assert got["b", "hit"]["diff"] == 0
+
+
+def test_means_of_blocks_are_those_of_the_picks(spark, monkeypatch):
+    """Stretches and blocks of a few picks, a number that is not finite, a missing one and a model of few clusters."""
+    from fogline.operators import sampling
+
+    rows = [(m, c, float("inf") if (m, c) == ("a", 3) else None if c == 5 else 1.0 * (c * 7 % 11) + len(m or ""), 1.0) for m, c in [("a", c) for c in range(40)] + [(None, c) for c in range(90, 130)] + [("few", 200)]] + [("a", None, 5.0, 1.0)]
+    frame = spark.createDataFrame(rows + rows[:9], "model string, c int, v double, one double")
+    monkeypatch.setattr(scoring, "STRETCH", 7)
+    monkeypatch.setattr(scoring, "MOST_PICKS", 300)
+    got = {(r.model, r.metric, r.draw): r["mean"] for r in scoring.resampled_means(frame, "model", "c", ["v", "one"], 30, 4).collect()}
+    want = frame.join(scoring.cluster_draws(frame, "c", 30, 4), "c").groupBy("model", "draw").agg(*((F.sum(F.col("copies") * F.col(m)) / F.sum(F.when(F.col(m).isNotNull(), F.col("copies")))).alias(m) for m in ("v", "one"))).collect()
+    assert set(got) == {(r.model, m, r.draw) for r in want for m in ("v", "one")} and any(got[k] == float("inf") for k in got)
+    for r in want:
+        assert got[r.model, "one", r.draw] == r.one and got[r.model, "v", r.draw] == pytest.approx(r.v)
+    for prefix, first in ((b"0|1|", 0), (b"12345678901234567890|1999999|", 99_990), (b"", 9)):
+        assert sampling.hashed(prefix, first, 1_200, 500).tolist() == [int(hashlib.md5(prefix + str(j).encode()).hexdigest()[:15], 16) for j in range(first, first + 1_200)]
