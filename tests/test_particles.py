@@ -195,3 +195,35 @@ def test_one_plain_particle_recursion_is_asked_for(spark):
     for configs in ([named["hmm"]], [named["ens"]], [named["pf"], named["pf_noneg"]]):
         with pytest.raises(ValueError):
             p.score(steps_of(spark, []), ["who", "segment"], states(spark, []), line(spark, 6), models_of(6), configs + [named["ens_fire_wait"]])
+
+
+def test_episodes_side_by_side_are_those_one_by_one(spark, monkeypatch):
+    """Several sides, phases, dead and unknown entities, sightings that are looked at, and sparse and full chains."""
+    rng = np.random.default_rng(6)
+    row, col = np.indices((12, 12)).reshape(2, -1)
+    full = rng.random((12, 12))
+    full /= full.sum(1, keepdims=True)
+    near = np.abs(row - col) <= 1
+    walk = b.Chain(row[near], col[near], 1.0 / np.array([2 if x in (0, 11) else 3 for x in row[near]]), 12)
+    sparse = b.Chain(np.arange(12), (np.arange(12) + 1) % 12, np.ones(12), 12)
+    first = rng.random((2, 12))
+    first /= first.sum(1, keepdims=True)
+    models = b.Models({(0, 0, 1, -1): b.Chain(row, col, full.ravel(), 12), (1, 0, 5, -1): sparse}, walk, first, {(s, p): np.stack([first[s], first[1 - s]]) for s in (0, 1) for p in (0, 1)}, np.arange(12) // 4)
+    rows = [(f"k{k % 7}" if k % 9 else None, k, k % 2, i, 1.7 * i, int(i > 5), [int(rng.integers(12)) if rng.random() < 0.3 else -1], [bool(rng.random() < 0.9)], [int(rng.integers(-1, 12))]) for k in range(40) for i in range(1 + k % 13)]
+    steps = spark.createDataFrame(rows, "name string, k long, side int, step int, t double, phase int, seen array<int>, alive array<boolean>, true array<int>").repartition(3)
+    named = b.configurations()
+    configs = [named[x] for x in ("last_seen", "prior", "prior_neg", "diffuse", "hmm_noneg", "hmm")] + [b.BeliefConfig("mixed", ((0.4, named["hmm"].parts[0][1]), (0.6, named["prior"].parts[0][1])))]
+    unseen = lambda x: np.where(np.arange(12) % 5 == x[0] % 5, 0.4, 1.0)
+    monkeypatch.setattr(b, "TOGETHER", 50)
+    together = b.score(steps, ["name", "k"], models, configs, unseen=unseen)
+    alone = b.score(steps.withColumn("friends", F.lit(-1)), ["name", "k"], models, configs, unseen=unseen)
+    key = lambda r: (r.k, r.model, r.step)
+    got, want = (sorted(x.collect(), key=key) for x in (together, alone))
+    assert len(got) == len(want) > 500 and together.schema == alone.schema
+    for x, y in zip(got, want, strict=True):
+        assert all(u == pytest.approx(v, abs=1e-12) if isinstance(v, float) or isinstance(v, list) else u == v for u, v in zip(x, y, strict=True)), (x, y)
+    # an episode of two entities is taken by itself
+    two = [(0, 0, i, 1.0 * i, 0, [i % 3 - 1, -1], [True, True], [1, 2]) for i in range(5)]
+    pair = spark.createDataFrame(two, "k long, side int, step int, t double, phase int, seen array<int>, alive array<boolean>, true array<int>")
+    assert {r.entity for r in b.score(pair, ["k"], models, configs, unseen=unseen).collect()} == {0, 1}
+    assert "MapInArrow" in together._jdf.queryExecution().toString()
