@@ -9,6 +9,7 @@ store. An empty file has not arrived yet: Spark does not list it.
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Callable, Iterator
 
@@ -22,6 +23,8 @@ from .store import MatchStore, read_if_there
 
 Decoder = Callable[[bytes], Iterator[tuple[str, dict]]]
 DECODED = "source string, demo_id string, table string, row string, error string"
+#: Decoded rows that a worker holds before it sends them on.
+SENT = 20_000
 QUARANTINE = "file string, reason string, source string, demo_id string"
 
 
@@ -34,7 +37,7 @@ def jsonl(content: bytes) -> Iterator[tuple[str, dict]]:
     """Lines of JSON objects with their table's name in `table`; the last line is of the table `end`, so that a recording
     which broke off is told from a whole one."""
     ended = False
-    for line in content.decode().splitlines():
+    for line in _lines(content.decode()):
         if not line.strip():
             continue
         if ended:
@@ -51,23 +54,44 @@ def jsonl(content: bytes) -> Iterator[tuple[str, dict]]:
         raise ValueError("truncated")
 
 
+def _lines(text: str) -> Iterator[str]:
+    """text.splitlines() without a list of all lines."""
+    at = 0
+    while at < len(text):
+        end = text.find("\n", at) + 1 or len(text)
+        yield from text[at:end].splitlines()
+        at = end
+
+
 def decoded(files: DataFrame, decoder: Decoder) -> DataFrame:
-    """DECODED: the rows of all files as JSON by table, and one row with error for a file that failed; written to the
-    shared folder, one file at a time in a worker."""
+    """DECODED: the rows of all files as JSON by table, and a row with error for a file that failed, after those before
+    the fault; written to the shared folder, one file at a time in a worker, SENT rows at a time."""
     names = [c.split()[0] for c in DECODED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for source, demo, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tables, rows, error = [], [], None
-                try:
-                    for table, row in decoder(content):
-                        tables.append(table)
-                        rows.append(json.dumps(row))
-                except Exception as e:  # a broken recording is no reason to stop the others
-                    tables, rows, error = [None], [None], f"{type(e).__name__}: {e}"[:300]
-                n = len(tables)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in ([source] * n, [demo] * n, tables, rows, [error] * n)], names=names)
+
+                def sent(tables: list, rows: list, error: str | None = None) -> pa.RecordBatch:
+                    n = len(tables)
+                    return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in ([source] * n, [demo] * n, tables, rows, [error] * n)], names=names)  # noqa: B023
+
+                each = None
+                while True:
+                    tables, rows, error = [], [], None
+                    try:
+                        each = iter(decoder(content)) if each is None else each
+                        for table, row in itertools.islice(each, SENT):
+                            rows.append(json.dumps(row))
+                            tables.append(table)
+                    except Exception as e:  # a broken recording is no reason to stop the others
+                        error = f"{type(e).__name__}: {e}"[:300]
+                    if tables:
+                        yield sent(tables, rows[: len(tables)])
+                    if error is not None:
+                        yield sent([None], [None], error)
+                    if error is not None or len(tables) < SENT:
+                        break
 
     with held(files.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}):
         return stored(files.select("source", "demo_id", "content").mapInArrow(run, DECODED), "decoded")
@@ -82,7 +106,9 @@ def ingest(store: MatchStore, root: str, decoder: Decoder = jsonl) -> tuple[Data
     rows = decoded(files.join(F.broadcast(todo), ["source", "demo_id"], "left_semi"), decoder)  # two strings a match
     failed = rows.where("error is not null").select("source", "demo_id", F.col("error").alias("reason")).dropDuplicates(["source", "demo_id"])
     bad = stored(failed.join(files.groupBy("source", "demo_id").agg(F.min("path").alias("file")), ["source", "demo_id"]).select("file", "reason", "source", "demo_id"), "failed")
-    good = rows.where("error is null").join(bad.select("source", "demo_id"), ["source", "demo_id"], "left_anti")
+    # a broken recording's rows before the fault go too
+    broken = bad.select(F.col("source").alias("__source"), F.col("demo_id").alias("__demo"))
+    good = rows.where("error is null").join(broken, F.col("source").eqNullSafe(F.col("__source")) & F.col("demo_id").eqNullSafe(F.col("__demo")), "left_anti")
     for table, schema in schemas.TABLES.items():
         own = good.where(F.col("table") == table).select("source", "demo_id", F.from_json("row", schema).alias("r")).select("source", "demo_id", "r.*")
         store.write(table, own)

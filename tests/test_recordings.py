@@ -57,3 +57,18 @@ def test_filters_prune_folders_and_unselected_content_is_not_read(spark, tmp_pat
     assert one.count() == 1 and "PartitionFilters: [isnotnull(source" in plan
     listed = rec.recordings(spark, str(tmp_path)).select("source", "demo_id")
     assert "content" not in listed._jdf.queryExecution().executedPlan().toString() and listed.distinct().count() == 6
+
+
+def test_a_recording_is_decoded_some_rows_at_a_time(spark, tmp_path, monkeypatch):
+    """What is sent before a fault is not kept, and a decoder is never far ahead of what was sent."""
+    monkeypatch.setattr(rec, "SENT", 3)
+    raw, store = tmp_path / "raw", MatchStore(spark, str(tmp_path / "store"))
+    recording(raw, "a", "1", [SHOT] * 10)
+    recording(raw, "a", "2", [SHOT] * 10, end=False)
+    read, failed = rec.ingest(store, str(raw))
+    assert [tuple(r) for r in read.collect()] == [("a", "1")] and [r.reason for r in failed.collect()] == ["ValueError: truncated"]
+    assert store.read("shots").count() == 10
+    rows = rec.decoded(rec.recordings(spark, str(raw)), rec.jsonl)
+    assert rows.where("error is not null").count() == 1 and rows.where("error is null and demo_id = '2'").count() >= 9
+    text = "a\r\nb c\n\nd\x0be\r"
+    assert list(rec._lines(text)) == text.splitlines()
