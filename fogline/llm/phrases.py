@@ -7,8 +7,9 @@
    patched into the array.
 3. Id runs become keys of four ids, big-endian and padded with 0, so that byte order is id order. A task sorts its keys
    by radix, counts runs of equal ones, and sends (key, count) on; range partitions are sorted and counted again. Runs of
-   three and four words are taken only where each of their word pairs is in a Bloom filter of frequent pairs. The
-   filter's size is fixed; a wrongly let-in run costs time and is dropped by its exact count.
+   three words are taken only where both of their pairs are in a Bloom filter of the frequent pairs, runs of four where
+   both of their runs of three are in one of those. The filter's size is fixed; a wrongly let-in run costs time and is
+   dropped by its exact count. A pass sends one row at most for a place in a text.
 4. Frequent runs meet the counts of their parts, and their words, in one join; a longer run reports its count to the
    runs inside it. The result is ranked within each language.
 
@@ -188,9 +189,11 @@ def run_lengths(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys[start], np.add.reduceat(counts[order], start)
 
 
-def pair_bits(left: np.ndarray, right: np.ndarray, bits: int = FILTER_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of the filter for each pair of ids."""
-    h = mix(left.astype(U) * U(0x9E3779B97F4A7C15) + mix(right.astype(U)))
+def run_bits(columns: Sequence[np.ndarray], bits: int = FILTER_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the filter for each run of ids, given word by word."""
+    h = columns[0].astype(U)
+    for right in columns[1:]:
+        h = mix(h * U(0x9E3779B97F4A7C15) + mix(right.astype(U)))
     return h & U((1 << bits) - 1), (h >> U(64 - bits))
 
 
@@ -210,10 +213,22 @@ def packed(ids: np.ndarray, at: np.ndarray, n: int, columns: int, width: int) ->
     return out
 
 
-def counted_runs(encoded: DataFrame, many: int, lengths: Sequence[int], least: int = LEAST, allowed=None) -> DataFrame:
-    """(key, n) of the id runs of some lengths that occur at least so often; allowed: the broadcast filter of pairs."""
-    width = _width(many)
-    columns = max(lengths) * width + 7 >> 3
+def places_of(ids: np.ndarray, n: int, table: np.ndarray | None = None) -> np.ndarray:
+    """Where runs of n ids begin; table: the filter that holds both of the shorter runs of each."""
+    whole = np.logical_and.reduce([ids[i : len(ids) - n + 1 + i] > 0 for i in range(n)])
+    if table is None:
+        return np.flatnonzero(whole)
+    some = ids[:-1] > 0
+    at = np.flatnonzero(np.logical_and.reduce([some[i : len(some) - n + 3 + i] for i in range(n - 2)] + [ids[n - 2 :] > 0]))
+    let = np.zeros(len(ids) - n + 2, bool)
+    let[at] = np.logical_and.reduce([(table[(x >> U(3)).astype(np.int64)] >> (x & U(7)).astype(np.uint8)) & 1 > 0 for x in run_bits([ids[at + i] for i in range(n - 1)])])
+    return np.flatnonzero(whole & let[:-1] & let[1:])
+
+
+def counted_runs(encoded: DataFrame, many: int, n: int, least: int = LEAST, allowed=None) -> DataFrame:
+    """(key, n) of the runs of n ids that occur at least so often; allowed: the broadcast filter of those of n - 1."""
+    width, length = _width(many), n
+    columns = length * width + 7 >> 3
     names = [f"k{i}" for i in range(columns)]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,16 +249,11 @@ def counted_runs(encoded: DataFrame, many: int, lengths: Sequence[int], least: i
 
         for batch in batches:
             for ids in pieces_of(batch.column(0)):
-                pair = (ids[:-1] > 0) & (ids[1:] > 0)
-                if table is not None:
-                    for x in pair_bits(ids[:-1], ids[1:]):
-                        pair &= (table[(x >> U(3)).astype(np.int64)] >> (x & U(7)).astype(np.uint8)) & 1 > 0
-                for n in lengths:
-                    if len(ids) < n:
-                        continue
-                    at = np.flatnonzero(np.logical_and.reduce([pair[i : len(pair) - n + 2 + i] for i in range(n - 1)]))
-                    keys.append(packed(ids, at, n, columns, width))
-                    counts.append(np.ones(len(at), np.int64))
+                if len(ids) < length:
+                    continue
+                at = places_of(ids, length, table)
+                keys.append(packed(ids, at, length, columns, width))
+                counts.append(np.ones(len(at), np.int64))
                 if sum(map(len, keys)) > MOST_KEYS and compact() > MOST_KEYS // 2:
                     yield from sent()
         if keys:
@@ -286,24 +296,24 @@ def frequent_keys(parts: DataFrame, least: int, size: int) -> DataFrame:
     return parts.repartitionByRange(*names).sortWithinPartitions(*names).mapInArrow(total, "key binary, n long")
 
 
-def pair_filter(pairs: DataFrame, many: int):
-    """The broadcast Bloom filter of the frequent pairs: 2**FILTER_BITS bits whatever their number."""
+def run_filter(runs: DataFrame, many: int, n: int):
+    """The broadcast Bloom filter of the frequent runs of n words: 2**FILTER_BITS bits whatever their number."""
     size = _width(many)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << FILTER_BITS - 3, np.uint8)
         for batch in batches:
             ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), f">u{size}").reshape(-1, LONGEST)
-            for x in pair_bits(ids[:, 0], ids[:, 1]):
+            for x in run_bits([ids[:, i] for i in range(n)]):
                 np.bitwise_or.at(table, (x >> U(3)).astype(np.int64), np.left_shift(1, (x & U(7)).astype(np.uint8)).astype(np.uint8))
         words = table.view(np.int64)
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
 
-    found = pairs.select("key").mapInArrow(bits, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    found = runs.select("key").mapInArrow(bits, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
     words = np.zeros(1 << FILTER_BITS - 6, np.int64)
     words[found["at"].to_numpy()] = found["word"].to_numpy()
-    return pairs.sparkSession.sparkContext.broadcast(words.tobytes())
+    return runs.sparkSession.sparkContext.broadcast(words.tobytes())
 
 
 def frequent_runs(documents: DataFrame, least: int = LEAST, head_words: int = HEAD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -312,9 +322,12 @@ def frequent_runs(documents: DataFrame, least: int = LEAST, head_words: int = HE
     words = stored(word_counts(documents), "words")
     known, many = dictionary(words, least)
     encoded = encode(documents, known, many, head_words)
-    pairs = stored(counted_runs(encoded, many, (2,), least), "pairs")
-    longer = counted_runs(encoded, many, range(3, LONGEST + 1), least, pair_filter(pairs, many))
-    runs = stored(pairs.unionByName(longer), "frequent")
+    runs = shorter = stored(counted_runs(encoded, many, 2, least), "frequent")
+    for n in range(3, LONGEST + 1):
+        allowed = run_filter(shorter, many, n - 1)
+        shorter = stored(counted_runs(encoded, many, n, least, allowed), "frequent")
+        allowed.unpersist()
+        runs = runs.unionByName(shorter)
     return runs, known, words.groupBy("lang").agg(F.sum("n").alias("n")), _width(many)
 
 

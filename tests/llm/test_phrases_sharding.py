@@ -157,3 +157,13 @@ def test_empty_table_and_written_shards(spark, tmp_path):
         assert sorted(rows) == list(range(len(rows)))
     with pytest.raises(ValueError):
         sharding.shard_rows(got, ("doc_id",), 0)
+
+
+def test_runs_of_four_begin_only_where_both_runs_of_three_are_let_in():
+    ids = np.array([1, 2, 3, 4, 0, 1, 2, 3, 5, 0, 2, 3, 4, 6, 0])
+    table = np.zeros(1 << phrases.FILTER_BITS - 3, np.uint8)
+    for run in ((1, 2, 3), (2, 3, 4)):
+        for x in phrases.run_bits([np.array([i]) for i in run]):
+            table[int(x[0]) >> 3] |= 1 << (int(x[0]) & 7)
+    assert phrases.places_of(ids, 4).tolist() == [0, 5, 10] and phrases.places_of(ids, 4, table).tolist() == [0]
+    assert phrases.places_of(np.array([1, 2, 0]), 3, table).tolist() == []
