@@ -14,6 +14,9 @@ their paths are made ahead of the weights:
   systematically, and copies ask for paths of their own from there on; segments with such requests are weighed again
   once these are made, all others are done.
 
+What grows with the input meets by shuffles: only tables of a map's cells are broadcast, so the driver holds no more of a
+larger input (long_side()).
+
 Every uniform number is hashed from the seed, the segment, the particle and the step, so nothing depends on partitions
 and a lost task is done again with the same result.
 """
@@ -38,6 +41,12 @@ STARTS, EARLY = -1, -2  # in place of a cell: first states of trajectories, and
 STATE = "traj string, pos int, side int, node int, t double, phase int, since double, buy int, weapon int, vx double, vy double"
 
 
+def long_side(df: DataFrame) -> DataFrame:
+    """A table that grows with the input, as a side of a join. Arrays of few values take little room in files and much in
+    memory, so by its files alone Spark would broadcast it through the driver."""
+    return df.hint("merge")
+
+
 # -- candidates -----------------------------------------------------------------------------------------------------
 
 
@@ -52,7 +61,7 @@ def reach(rings: DataFrame, states: DataFrame, least: int = 40) -> DataFrame:
     """(side, node, ring, n): the smallest ring within which a cell has `least` states of a side, else the last one with
     any; cells without any have no row."""
     counts = states.groupBy("side", F.col("node").alias("near")).agg(F.count("*").alias("n"))
-    by_ring = rings.join(counts, "near").groupBy("side", "node", "ring").agg(F.sum("n").alias("n"))
+    by_ring = rings.join(F.broadcast(counts), "near").groupBy("side", "node", "ring").agg(F.sum("n").alias("n"))
     upto = by_ring.withColumn("n", F.sum("n").over(Window.partitionBy("side", "node").orderBy("ring").rowsBetween(Window.unboundedPreceding, 0)))
     enough = F.col("n") >= least
     return upto.groupBy("side", "node").agg(F.coalesce(F.min(F.when(enough, F.struct("ring", "n"))), F.max(F.struct("ring", "n"))).alias("r")).select("side", "node", "r.ring", "r.n")
@@ -61,19 +70,20 @@ def reach(rings: DataFrame, states: DataFrame, least: int = 40) -> DataFrame:
 def candidates(wanted: DataFrame, states: DataFrame, rings: DataFrame, reached: DataFrame) -> DataFrame:
     """The states near wanted cells (side, node): node, ring and the columns of states (their own cell as at)."""
     near = wanted.select("side", "node").distinct().join(reached.select("side", "node", F.col("ring").alias("__most")), ["side", "node"]).join(rings, "node").where(F.col("ring") <= F.col("__most"))
-    return near.select("side", "node", "near", "ring").join(states.withColumnRenamed("node", "near"), ["side", "near"]).withColumnRenamed("near", "at")
+    # cells of a map and those within three rings of each
+    return states.withColumnRenamed("node", "near").join(F.broadcast(near.select("side", "node", "near", "ring")), ["side", "near"]).withColumnRenamed("near", "at")
 
 
 def _offered(wanted: DataFrame, states: DataFrame, rings: DataFrame, reached: DataFrame) -> DataFrame:
     """Candidates of cells, and of STARTS and EARLY."""
     first = states.where("pos = 0").withColumn("at", F.col("node"))
     early = first.where("t < 3")
-    late = first.join(early.select("side").distinct(), "side", "left_anti")  # a side without early states starts anywhere
+    late = first.join(F.broadcast(early.select("side").distinct()), "side", "left_anti")  # a side without early states starts anywhere
     columns = ["side", "node", "traj", "pos", "at", "t", "phase", "since", "buy", "weapon", "vx", "vy"]
     parts = [candidates(wanted, states, rings, reached), first.withColumn("node", F.lit(STARTS)), early.unionByName(late).withColumn("node", F.lit(EARLY))]
     every = parts[0].select(*columns)
     for p in parts[1:]:
-        every = every.unionByName(p.join(wanted.select("side", "node").distinct(), ["side", "node"], "left_semi").select(*columns))
+        every = every.unionByName(p.join(F.broadcast(wanted.select("side", "node").distinct()), ["side", "node"], "left_semi").select(*columns))
     return every
 
 
@@ -89,6 +99,28 @@ def uniforms(h: np.ndarray, salt: int) -> np.ndarray:
     return ((x ^ (x >> u(31))) >> u(11)).astype(float) / 2**53 + 2.0**-54
 
 
+class _Alike:
+    """b.state_weights() of all states of a list for many requests. Where what a request asks for but the clock is the same
+    for all of them, its factors are numbers; the weights are the same to the last bit."""
+
+    def __init__(self, lib: SimpleNamespace):
+        self.lib, self.every = lib, np.arange(len(lib.t))
+        self.phases, self.never = np.unique(lib.phase), bool(np.isnan(lib.since).all())
+        self.still = not lib.velocity.any()
+
+    def weights(self, t: float, phase: int, since: float, buy: np.ndarray | None, heading: np.ndarray | None, weapon: int, cfg: b.Recursion) -> np.ndarray:
+        slow = heading is None or (self.still and np.hypot(*heading) <= 20)
+        armed = cfg.other_weapon < 1 and weapon >= 0
+        if buy is not None or armed or not (slow and self.never and len(self.phases) == 1):
+            return b.state_weights(self.lib, self.every, t, phase, since, buy, heading, weapon, cfg)
+        w = np.exp(-0.5 * ((self.lib.t - t) / 15.0) ** 2)
+        if self.phases[0] != phase:
+            w *= 0.02
+        if not np.isnan(since):
+            w *= 0.05
+        return w + 1e-12
+
+
 def draw(requests: DataFrame, keys: Sequence[str], states: DataFrame, rings: DataFrame, reached: DataFrame, cfg: b.Recursion) -> DataFrame:
     """(keys, round, k, off, traj, pos): a recorded state for every requested particle. requests: keys, round, off, k, side,
     node, t, phase, since, vx, vy, weapon, buy. Particles at the same cell and step share the heading of the first."""
@@ -97,13 +129,13 @@ def draw(requests: DataFrame, keys: Sequence[str], states: DataFrame, rings: Dat
     grouped = requests.groupBy(*spot).agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("t", "phase", "since", "weapon", "buy")), heading, F.array_sort(F.collect_list("k")).alias("ks"))  # as many as particles
     known = reached.select("side", "node", F.lit(1).alias("__known"))
     lost = (F.col("node") >= 0) & F.col("__known").isNull()
-    grouped = grouped.join(known, ["side", "node"], "left").withColumn("node", F.when(lost, STARTS).otherwise(F.col("node"))).drop("__known")
+    grouped = grouped.join(F.broadcast(known), ["side", "node"], "left").withColumn("node", F.when(lost, STARTS).otherwise(F.col("node"))).drop("__known")
     grouped = grouped.withColumn("h", F.xxhash64(F.lit(cfg.seed), *keys, "round", "off"))
     grouped = stored(grouped, "requests")
     offered = _offered(grouped, states, rings, reached)
     sizes = grouped.groupBy("side", "node").agg(F.ceil(F.count("*") / MOST_REQUESTS).cast("int").alias("salts"))
     blocks = offered.groupBy("side", "node").agg(F.ceil(F.count("*") / MOST_CANDIDATES).cast("int").alias("blocks"))
-    deal = sizes.join(blocks, ["side", "node"])  # a map's cells
+    deal = F.broadcast(sizes.join(blocks, ["side", "node"]))  # a map's cells
     left = grouped.join(deal, ["side", "node"]).withColumn("salt", F.pmod("h", F.col("salts"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("salts", "blocks")
     right = offered.join(deal, ["side", "node"]).withColumn("block", F.pmod(F.xxhash64("traj", "pos"), F.col("blocks")).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("salts") - 1).cast("long")))).drop("salts", "blocks")
     types = {f.name: f.dataType.simpleString() for f in grouped.schema}
@@ -117,6 +149,7 @@ def draw(requests: DataFrame, keys: Sequence[str], states: DataFrame, rings: Dat
         held = held.sort_by([("traj", "ascending"), ("pos", "ascending")])
         array = lambda c: held[c].to_numpy(zero_copy_only=False)
         lib = SimpleNamespace(t=array("t"), phase=array("phase"), since=array("since").astype(float), buy=array("buy"), weapon=array("weapon"), velocity=np.stack([array("vx"), array("vy")], 1))
+        alike = _Alike(lib)
         every, block, node = np.arange(len(held)), asked["block"][0].as_py(), asked["node"][0].as_py()
         rows, at, ks, races = [], [], [], []
         for i, r in enumerate(asked.select(["t", "phase", "since", "weapon", "buy", "heading", "ks", "h"]).to_pylist()):
@@ -125,7 +158,7 @@ def draw(requests: DataFrame, keys: Sequence[str], states: DataFrame, rings: Dat
             else:
                 h = None if r["heading"] is None else np.array([r["heading"]["vx"], r["heading"]["vy"]])
                 buy = None if r["buy"] is None else np.array(r["buy"])
-                w = b.state_weights(lib, every, r["t"], r["phase"], np.nan if r["since"] is None else r["since"], buy, h, -1 if r["weapon"] is None else r["weapon"], cfg)
+                w = alike.weights(r["t"], r["phase"], np.nan if r["since"] is None else r["since"], buy, h, -1 if r["weapon"] is None else r["weapon"], cfg)
             ends = np.cumsum(w)
             mine = np.array(r["ks"], np.int64)
             own = np.int64(r["h"]) ^ (mine * np.int64(0x632BE59BD9B4E019) + np.int64(block) * np.int64(0x1D8AF066A5B1E9))
@@ -157,14 +190,14 @@ def paths(requests: DataFrame, keys: Sequence[str], clock: DataFrame, states: Da
     columns = [*keys, "round", "k", "off", "nodes", "vxs", "vys"]
     at = clock.select(*keys, "off", "side", "left", "t", "phase", "since", "weapon", "buy")
     while True:
-        drawn = draw(requests, keys, states, rings, reached, cfg).join(tracks, "traj").join(at.select(*keys, "off", "left", "side"), [*keys, "off"])
+        drawn = draw(requests, keys, states, rings, reached, cfg).join(long_side(tracks), "traj").join(long_side(at.select(*keys, "off", "left", "side")), [*keys, "off"])
         rest = lambda c: F.slice(c, F.col("pos") + 1, F.col("left")).alias(c)
         piece = stored(drawn.select(*keys, "round", "k", "off", "left", "side", rest("nodes"), rest("vxs"), rest("vys")), "pieces")
         done = piece.select(*columns) if done is None else done.unionByName(piece.select(*columns))
         ended = piece.where(F.size("nodes") < F.col("left")).select(*keys, "round", "k", (F.col("off") + F.size("nodes")).alias("off"), F.element_at("nodes", -1).alias("node"), F.element_at("vxs", -1).alias("vx"), F.element_at("vys", -1).alias("vy"))
         if ended.isEmpty():
             return done
-        requests = ended.join(at.drop("left"), [*keys, "off"])
+        requests = ended.join(long_side(at.drop("left")), [*keys, "off"])
 
 
 # -- the filter -----------------------------------------------------------------------------------------------------
@@ -246,8 +279,8 @@ def score(steps: DataFrame, keys: Sequence[str], states: DataFrame, rings: DataF
         raise ValueError("one particle recursion, without kills and fires")
     cfg, keys = next(iter(parts)), list(keys)
     steps, states = stored(steps, "steps"), stored(states, "states")
-    reached = stored(reach(rings, states, least), "reach")
     rings, tracks = stored(rings, "rings"), stored(trajectories(states), "tracks")
+    reached = stored(reach(rings, states, least), "reach")
     clock = stored(_clock(steps, keys), "clock")
     start = clock.where("off = 0").withColumn("node", F.coalesce(F.col("seen"), F.lit(EARLY)).cast("int"))
     requests = start.select(*keys, F.lit(0).alias("round"), "off", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("k"), "side", "node", "t", "phase", "since", F.col("hx").alias("vx"), F.col("hy").alias("vy"), "weapon", "buy")
@@ -273,12 +306,12 @@ def score(steps: DataFrame, keys: Sequence[str], states: DataFrame, rings: DataF
     made, scores = None, None
     while True:
         fresh = paths(requests, keys, clock, states, tracks, rings, reached, cfg)
-        made = fresh if made is None else made.join(requests.select(*keys).distinct(), keys, "left_semi").unionByName(fresh)
+        made = fresh if made is None else made.join(long_side(requests.select(*keys).distinct()), keys, "left_semi").unionByName(fresh)
         out = stored(left.groupBy(*keys).cogroup(made.groupBy(*keys)).applyInArrow(run, f"{schema}, {request_columns}"), "weighed")
         found = out.where("model is not null").drop("k", "round", "off", "node", "vx", "vy")
         scores = found if scores is None else scores.unionByName(found)
         asked = out.where("k is not null")
         if asked.isEmpty():
             return scores
-        requests = asked.select(*keys, "k", "round", "off", "node", "vx", "vy").join(clock.select(*keys, "off", "side", "t", "phase", "since", "weapon", "buy"), [*keys, "off"])
-        left = left.join(requests.select(*keys).distinct(), keys, "left_semi")
+        requests = asked.select(*keys, "k", "round", "off", "node", "vx", "vy").join(long_side(clock.select(*keys, "off", "side", "t", "phase", "since", "weapon", "buy")), [*keys, "off"])
+        left = left.join(long_side(requests.select(*keys).distinct()), keys, "left_semi")

@@ -1,5 +1,7 @@
 """Weighted draws and the trajectory filter as joins, against numpy and the filter in one process."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -227,3 +229,38 @@ def test_episodes_side_by_side_are_those_one_by_one(spark, monkeypatch):
     pair = spark.createDataFrame(two, "k long, side int, step int, t double, phase int, seen array<int>, alive array<boolean>, true array<int>")
     assert {r.entity for r in b.score(pair, ["k"], models, configs, unseen=unseen).collect()} == {0, 1}
     assert "MapInArrow" in together._jdf.queryExecution().toString()
+
+
+def test_only_tables_of_a_map_are_broadcast(spark, monkeypatch):
+    """Steps, requests, states and trajectories grow with the input; small as their files are, they go by shuffles."""
+    plans, stored = {}, p.stored
+
+    def kept(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, label)
+
+    monkeypatch.setattr(p, "stored", kept)
+    rows = [(f"t{i:02}", k, (i + k) % 12, k) for i in range(24) for k in range(4)]
+    steps = steps_of(spark, [(f"e{e}", s, e if s == 0 else -1, 1) for e in range(3) for s in range(4)])
+    p.score(steps, ["who", "segment"], states(spark, rows), line(spark, 12), models_of(12), [PF], m=8)
+    assert {"requests", "pieces", "weighed"} <= plans.keys() and "SortMergeJoin [traj" in plans["pieces"]
+    for label in set(plans) - {"rings"}:
+        for keys in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plans[label]):
+            assert set(re.findall(r"([a-z_]+)#", keys)) <= {"side", "node", "near"}, (label, keys)
+
+
+def test_weights_of_states_that_are_alike_equal_the_general_ones():
+    from types import SimpleNamespace
+
+    rng, k = np.random.default_rng(3), 40
+    plain = SimpleNamespace(t=rng.random(k) * 90, phase=np.zeros(k, int), since=np.full(k, np.nan), buy=np.full(k, 2), weapon=np.full(k, -1), velocity=np.zeros((k, 2)))
+    mixed = SimpleNamespace(t=plain.t, phase=rng.integers(0, 2, k), since=np.where(rng.random(k) < 0.5, np.nan, 3.0), buy=rng.integers(0, 3, k), weapon=rng.integers(-1, 5, k), velocity=rng.normal(0, 30, (k, 2)))
+    armed = b.Recursion("particles", other_weapon=0.5)
+    for lib in (plain, mixed):
+        for phase in (0, 1):
+            for since in (np.nan, 4.0):
+                for buy in (None, np.array([0.2, 0.3, 0.5])):
+                    for heading in (None, np.zeros(2), np.array([30.0, 0.0])):
+                        for cfg, weapon in ((PF.parts[0][1], -1), (armed, 1)):
+                            asked = (12.5, phase, since, buy, heading, weapon, cfg)
+                            assert np.array_equal(p._Alike(lib).weights(*asked), b.state_weights(lib, np.arange(k), *asked))
