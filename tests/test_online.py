@@ -69,3 +69,28 @@ def test_late_and_repeated_rows_change_nothing(spark):
     said = {r["event_id"]: r["p_region"] for r in got if not r["late"]}
     assert said.keys() == want.keys() and all(np.isclose(said[k], want[k][2], atol=1e-12) for k in want)
     assert sorted(r["event_id"] for r in got if r["late"]) == [2, 2, 3]
+
+
+def test_steps_that_were_taken_once_are_looked_up(monkeypatch):
+    """Entities that are moved and looked for alike share their beliefs; they equal those of the recursion."""
+    rng, models, calls = np.random.default_rng(2), models_of(12), []
+    moved = b.Chain.moved
+    for name in ("last_seen", "prior", "prior_neg", "diffuse", "hmm_noneg", "hmm"):
+        cfg = b.configurations()[name].parts[0][1]
+        for most in (20_000, 3):
+            steps = online.Steps(models, cfg, unseen)
+            steps.MOST = most
+            for _ in range(40):
+                seen = np.where(rng.random(8) < 0.4, rng.integers(0, 3, 8), -1)
+                t = np.cumsum(rng.integers(1, 3, 8) * 1.5)
+                ep = b.Episode(0, t, np.zeros(8, int), seen[:, None], np.ones((8, 1), bool), np.zeros((8, 1), int), unseen=np.stack([unseen(x) for x in seen]))
+                want, ages, got, at = [x[0] for x in b.run_cells(ep, models, cfg)], [None, *ep.since()[:, 0]], steps.start, []
+                monkeypatch.setattr(b.Chain, "moved", lambda self, x: calls.append((name, most)) or moved(self, x))
+                for s in range(8):
+                    got = steps.take(got, t[s], ages[s], int(seen[s]))
+                    at.append(got.mass)
+                monkeypatch.setattr(b.Chain, "moved", moved)
+                assert np.allclose(want, at, rtol=0, atol=1e-15)
+                assert [p for p, _ in got.said] == np.bincount(models.region, got.mass).tolist()
+    # forty entities of seven moves each
+    assert 0 < sum(c == ("diffuse", 20_000) for c in calls) < 140 and sum(c == ("diffuse", 3) for c in calls) <= 280
