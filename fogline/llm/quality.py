@@ -4,8 +4,8 @@ Method: hashed word and character n-gram logistic regression. Words and pairs of
 buckets, runs of 3 and 4 characters into another; a text's features are the shares of its n-grams in each bucket.
 Training uses at most `train_rows` labelled rows of each class (the smallest hashes of doc_id, so the sample does
 not depend on order or partitioning); a part of them, not used for the weights, calibrates the score to a
-probability (Platt scaling, weighted back to the class shares of all labels). All rows are then scored in Arrow
-batches against fixed thresholds.
+probability (Platt scaling, weighted back to the class shares of all labels). One task fits these bounded rows, and only
+the weights come to the driver. All rows are then scored in Arrow batches against fixed thresholds.
 
 Defined cases: a null text has no words; an empty text fails the base rule; without labels of both classes there is
 no model, and the base rules alone decide; repeated rows are judged one by one; columns of the input with the
@@ -14,6 +14,7 @@ names of the result are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -182,17 +183,46 @@ def fit_quality(documents: DataFrame, labels: DataFrame, train_rows: int = 1500)
 
     # at most 2 * train_rows rows are broadcast
     joined = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
-    # a doc_id may stand on any number of rows: of what they make, no more than train_rows of a class come to the driver
+    # a doc_id may stand on any number of rows: of what they make, no more than train_rows of a class are fitted
     made = stored(joined.mapInArrow(vectors, "doc_id long, quality int, x binary"), "vectors")
     bounded = [made.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(train_rows) for y in (0, 1)]
-    x, ids, y = _matrix(bounded[0].unionAll(bounded[1]))
+
+    def fitted(batches):
+        model = _train(*_read(batches, 2 * train_rows), shares)
+        if model is not None:
+            columns = [pa.array([model.weights.tobytes()], pa.binary()), *(pa.array([v], pa.float64()) for v in (model.bias, model.slope, model.shift))]
+            yield pa.RecordBatch.from_arrays(columns, names=["weights", "bias", "slope", "shift"])
+
+    # the matrix stays in a worker; the driver gets the weights
+    found = _matrix(bounded[0].unionAll(bounded[1])).mapInArrow(fitted, "weights binary, bias double, slope double, shift double").collect()
+    return QualityModel(np.frombuffer(found[0]["weights"]), *found[0][1:]) if found else None
+
+
+def _matrix(rows: DataFrame) -> DataFrame:
+    """The training rows, whose number is bounded, for one task."""
+    return rows.coalesce(1)
+
+
+def _read(batches: Iterator[pa.RecordBatch], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, doc_ids and labels of at most so many rows, a batch at a time."""
+    x, ids, y, n = np.empty((most, 2 * BLOCK), np.float32), np.zeros(most, np.int64), np.zeros(most), 0
+    for batch in batches:
+        for vector in batch.column(2):
+            x[n] = np.frombuffer(vector.as_buffer(), np.float16)
+            n += 1
+        ids[n - len(batch) : n], y[n - len(batch) : n] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    return x[:n], ids[:n], y[:n]
+
+
+def _train(x: np.ndarray, ids: np.ndarray, y: np.ndarray, shares: dict[int, int]) -> QualityModel | None:
+    """The classifier of these rows, calibrated to the labels' numbers by class; x is reordered and scaled in place."""
     if len(set(y)) < 2:
         return None
     held = mix(ids.view(U)) % U(4) == U(0)
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), bool)
     # the rows for the weights first, so that both parts are views
-    order = np.argsort(held, kind="stable")
+    order = np.lexsort((y, ids, held))
     _reorder(x, order)
     y, n = y[order], int((~held).sum())
     fit_y = y[:n]
@@ -204,23 +234,6 @@ def fit_quality(documents: DataFrame, labels: DataFrame, train_rows: int = 1500)
     return QualityModel(weights, bias, slope, shift)
 
 
-def _matrix(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, doc_ids and labels, in order of doc_id; the only large thing that stays is the matrix itself."""
-    table = rows.toArrow()
-    ids, y = table["doc_id"].to_numpy().astype(np.int64), table["quality"].to_numpy().astype(np.float64)
-    x = np.empty((len(y), 2 * BLOCK), np.float32)
-    at = 0
-    for chunk in table["x"].chunks:
-        part = np.frombuffer(chunk.buffers()[2], np.float16)[: 2 * BLOCK * (chunk.offset + len(chunk))] if len(chunk) else np.zeros(0, np.float16)
-        x[at : at + len(chunk)] = part.reshape(-1, 2 * BLOCK)[chunk.offset :]
-        at += len(chunk)
-    del table
-    pa.default_memory_pool().release_unused()
-    order = np.lexsort((y, ids))
-    _reorder(x, order)
-    return x, ids[order], y[order]
-
-
 def _reorder(x: np.ndarray, order: np.ndarray) -> None:
     """x[:] = x[order] with room for one row: every cycle of the permutation is turned in place."""
     done = np.zeros(len(order), bool)

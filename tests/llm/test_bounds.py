@@ -49,3 +49,16 @@ def test_training_rows_of_repeated_ids_stay_within_the_bound(spark, monkeypatch)
     labels = spark.createDataFrame([(0, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.fit_quality(docs, labels, train_rows=10) is not None
     assert seen == [20]
+
+
+def test_training_rows_do_not_come_to_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ("good words of many kinds " if i % 2 else "zzz ### @@ ") * (i % 7 + 1)) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    came = []
+    for name in ("collect", "toArrow", "toPandas"):
+        plain = getattr(type(docs), name)
+        monkeypatch.setattr(type(docs), name, lambda self, plain=plain: (came.append(plain(self)), came[-1])[1])
+    model = quality.fit_quality(docs, labels, train_rows=100)
+    # the numbers of labels by class, and the model
+    assert sum(map(len, came)) == 3
+    assert model.weights.shape == (2 * quality.BLOCK,) and model.weights.any()
