@@ -264,3 +264,100 @@ def test_weights_of_states_that_are_alike_equal_the_general_ones():
                         for cfg, weapon in ((PF.parts[0][1], -1), (armed, 1)):
                             asked = (12.5, phase, since, buy, heading, weapon, cfg)
                             assert np.array_equal(p._Alike(lib).weights(*asked), b.state_weights(lib, np.arange(k), *asked))
+
+
+def mixed_list(k, at=3):
+    """A list of k candidates of all kinds of one cell, held as a group of draws holds it."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    since, weapon = pa.array(rng.random(k) * 20, mask=rng.random(k) < 0.4), pa.array(rng.integers(-1, 5, k).astype(np.int32))
+    held = {"node": np.full(k, at, np.int32), "id": np.arange(k), "t": rng.random(k) * 90, "phase": rng.integers(0, 2, k).astype(np.int32), "since": since, "buy": rng.integers(0, 3, k).astype(np.int32), "weapon": weapon, "vx": rng.normal(0, 30, k), "vy": rng.normal(0, 30, k)}
+    ones = p._packed(np.zeros(k, np.int16), np.ones(k, int))
+    return p._Lists(pa.table(held | {"rest": ones, "restx": pa.nulls(k, pa.binary()), "resty": pa.nulls(k, pa.binary())}), 12, np.int16, b.Recursion("particles", other_weapon=0.5), 0)
+
+
+SITUATIONS = [(12.5, 0, np.nan, None, None, -1), (300.0, 1, 4.0, None, None, 1), (40.0, 0, 4.0, [0.2, 0.3, 0.5], [30.0, 0.0], 1), (40.0, 2, np.nan, [0.2, 0.3, 0.5], [0.0, 0.0], 4)]
+
+
+def drawn(lists, many):
+    """Draws for all SITUATIONS at once."""
+    t, phase, since, buy, heading, weapon = zip(*SITUATIONS, strict=True)
+    array = lambda x, width: np.array([v if v is not None else [np.nan] * width for v in x])
+    spot = np.repeat(np.arange(len(t)), many)
+    own = np.arange(len(spot)) * np.int64(0x632BE59BD9B4E019)
+    return spot, *lists.draw(np.zeros(len(t), int), spot, own, np.array(t), np.array(phase), np.array(since), array(buy, 3), array(heading, 2), np.array(weapon))
+
+
+@pytest.mark.parametrize("tries", [16, 1])
+def test_draws_by_bounds_follow_the_weights(monkeypatch, tries):
+    """Also where most are left to the weighed list; and the race's numbers are exponential by the total weight."""
+    monkeypatch.setattr(p, "TRIES", tries)
+    lists = mixed_list(60)
+    spot, place, race = drawn(lists, 60_000)
+    for i, (t, phase, since, buy, heading, weapon) in enumerate(SITUATIONS):
+        w = b.state_weights(lists.lib, np.arange(60), t, phase, since, None if buy is None else np.array(buy), None if heading is None else np.array(heading), weapon, lists.cfg)
+        share = w / w.sum()
+        got = np.bincount(place[spot == i], minlength=60) / 60_000
+        assert np.abs(got - share).max() < 5 * np.sqrt(share.max() / 60_000), i
+        assert race[spot == i].mean() * w.sum() == pytest.approx(1, abs=0.03), i
+
+
+def test_a_draw_does_not_weigh_all_of_its_list(monkeypatch):
+    """Work grew with requests times candidates: at 6 times the input, 36 times."""
+    weighed, weights = [], b.state_weights
+    monkeypatch.setattr(b, "state_weights", lambda lib, found, *a: (weighed.append(len(found)), weights(lib, found, *a))[1])
+    lib = list_by_clock(20_000)
+    for spots in (100, 1000):
+        weighed.clear()
+        of = np.zeros(spots, int)
+        lib.draw(of, np.arange(spots), np.arange(spots) * np.int64(0x632BE59BD9B4E019), np.linspace(0, 90, spots), of, np.full(spots, 4.0), None, np.zeros((spots, 2)), of - 1)
+        assert sum(weighed) < 3 * spots
+
+
+def list_by_clock(k):
+    """A list of states that differ in their clocks alone."""
+    import pyarrow as pa
+
+    rng, zero = np.random.default_rng(6), np.zeros(k, np.int32)
+    held = {"node": zero, "id": np.arange(k), "t": rng.random(k) * 90, "phase": zero, "since": pa.nulls(k, pa.float64()), "buy": zero, "weapon": zero - 1, "vx": np.zeros(k), "vy": np.zeros(k)}
+    return p._Lists(pa.table(held | {"rest": p._packed(np.zeros(k, np.int16), np.ones(k, int)), "restx": pa.nulls(k, pa.binary()), "resty": pa.nulls(k, pa.binary())}), 12, np.int16, PF.parts[0][1], 0)
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_paths_through_cells_of_several_parts(spark, monkeypatch, most):
+    """The path of test_one_recorded_path..., where cells are in parts or blocks of their own."""
+    monkeypatch.setattr(p, "MOST_CANDIDATES", most)
+    lib = states(spark, [("a", i, 5 + i, 10 + i) for i in range(4)] + [("b", 0, 8, 13), ("b", 1, 9, 14)])
+    got = probabilities(p.score(steps_of(spark, [("e", s, 5 if s == 2 else -1, 1) for s in range(8)]), ["who", "segment"], lib, line(spark, 12), models_of(12), [PF], m=64, least=1))
+    assert [int(got["e", 1, s].argmax()) for s in (1, 2, 3)] == [6, 7, 8]
+    # the fourth step is drawn at 8 anew: by both of its states, of which that of b goes on to 9, and that of a ends and is drawn again
+    assert got["e", 1, 4][[8, 9]].sum() > 0.99
+    assert all(np.isclose(x.sum(), 1) for x in got.values()) and len(got) == 7
+
+
+def test_moving_armed_states_agree_with_the_filter_in_one_process(spark):
+    """Velocities, weapons, buys and phases, episodes that are taken one by one, and resampled copies."""
+    rng = np.random.default_rng(7)
+    n, rows = 12, []
+    for i in range(200):
+        at = int(rng.integers(0, n))
+        for k in range(int(rng.integers(3, 10))):
+            # all that leave a cell are of one speed, so whose heading is a cell's does not matter
+            rows.append((f"t{i:03}", k, 0, at, float(k), i % 2, None, i % 3, i % 5, 30.0 if at < 6 else 0.0, 0.0))
+            at = int(np.clip(at + rng.integers(-1, 2), 0, n - 1))
+    column = lambda i: np.array([r[i] for r in rows])
+    follows = np.array([i + 1 if i + 1 < len(rows) and rows[i + 1][0] == rows[i][0] else -1 for i in range(len(rows))])
+    models = models_of(n)
+    models.library = b.Library(column(3), np.zeros(len(rows), int), column(4), column(5), np.full(len(rows), np.nan), column(7), column(8), np.stack([column(9), column(10)], 1), follows, n)
+    cfg = b.Recursion("particles", other_weapon=0.3, kills=False)
+    seen, weapon, phase = [4, -1, -1, -1, -1, -1, 9, -1, -1], [1, -1, -1, -1, -1, -1, 2, -1, -1], [0, 0, 0, 1, 1, 1, 1, 1, 1]
+    away = lambda _: np.where(np.arange(n) == 5, 1e-3, 1.0)
+    buy = np.array([[0.6, 0.3, 0.1]] * 9)
+    ep = b.Episode(0, np.arange(9.0), np.array(phase), np.array(seen)[:, None], np.ones((9, 1), bool), np.ones((9, 1), int), unseen=np.stack([away(None)] * 9), weapon=np.array(weapon)[:, None], buy={"estimate": buy})
+    want = list(b.run_particles(ep, models, cfg, m=20_000))
+    df = spark.createDataFrame([("e", 0, s, float(s), phase[s], [seen[s]], [True], [1], [weapon[s]], buy[s].tolist()) for s in range(9)], "who string, side int, step int, t double, phase int, seen array<int>, alive array<boolean>, true array<int>, weapon array<int>, buy array<double>")
+    got = probabilities(p.score(p.segments(df, ["who"]), ["who", "segment"], spark.createDataFrame(rows, p.STATE), line(spark, n), models, [b.BeliefConfig("pf", ((1.0, cfg),))], away, m=20_000))
+    assert len(got) == 7
+    for (_, segment, step), x in got.items():
+        assert np.abs(x - want[{1: 0, 2: 6}[segment] + step][0]).max() < 0.03, (segment, step)
